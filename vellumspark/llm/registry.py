@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import crc_mod, table
+from .langid import identify
+from .media import text_payload_columns
 from .mixing import mix_documents
 from .packing import pack_documents
+from .quality import classify_quality
+from .secrets import findings_by_path, scan_documents, span_digest
+from .wrapper import main_text
 
 
 def tokenizer_path() -> str:
@@ -17,6 +23,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    found = identify(docs, ~F.col("held_out"))
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("label_id", 3) != 1)
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, ledger = scan_documents(table(spark, sf_dir, "documents"))
+    return span_digest(findings_by_path(paths, ledger))
+
+
+def op8_gif_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_payload_columns(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -28,6 +58,11 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hyperdimensional_language": op1_hyperdimensional_language,
+        "op4_boosted_quality": op4_boosted_quality,
+        "op5_wrapper_induction": op5_wrapper_induction,
+        "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
+        "op8_gif_payload": op8_gif_payload,
         "op9_mix_sources": op9_mix_sources,
         "op10_best_two_fit": op10_best_two_fit,
     }
