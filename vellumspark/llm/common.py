@@ -39,10 +39,14 @@ class Scratch:
         self.count = 0
         self.paths: dict[int, str] = {}
 
-    def save(self, frame: DataFrame) -> DataFrame:
+    def save(self, frame: DataFrame, few_rows: bool = False) -> DataFrame:
+        """Write and reread. ``few_rows``: one file, for a table of a row a source or the like."""
         path = f"{self.root}/t{self.count}"
         self.count += 1
-        frame.write.option("compression", "zstd").parquet(path)
+        if few_rows:
+            frame.coalesce(1).write.option("compression", "none").parquet(path)
+        else:
+            frame.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(frame.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path

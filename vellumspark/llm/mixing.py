@@ -82,7 +82,7 @@ def solve_dual(classes: DataFrame, sources: DataFrame, scratch: Scratch, cap: in
     free = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * F.lit(float(cap)))
     state = scratch.save(sources.select(
         "source", "target", (F.col("source_size") / F.col("n_docs")).alias("mean"), F.lit(0.0).alias("lam"),
-        (-bound).alias("low"), bound.alias("high"), (~free).alias("done")))
+        (-bound).alias("low"), bound.alias("high"), (~free).alias("done")), few_rows=True)
 
     def total(c: Column) -> Column:
         return F.sum(c.cast("decimal(38,8)")).cast("double")
@@ -110,7 +110,7 @@ def solve_dual(classes: DataFrame, sources: DataFrame, scratch: Scratch, cap: in
             F.when(F.col("done") | reached, F.col("lam")).when(inside, step).otherwise((low + high) / 2).alias("lam"),
             F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"),
             F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"),
-            (F.col("done") | reached | (high - low < 1e-11)).alias("done")))
+            (F.col("done") | reached | (high - low < 1e-11)).alias("done")), few_rows=True)
         scratch.drop(state)
         state = following
     return state.select("source", "mean", "lam")
@@ -130,11 +130,11 @@ def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, id_
     totals = classes.groupBy(F.col("s").alias("source")).agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
     targets = source_targets(totals.select("source", "source_size"), weights, cap)
-    sources = scratch.save(targets.join(totals.select(F.col("source").alias("t"), "n_docs"), F.col("source").eqNullSafe(F.col("t"))).drop("t"))
+    sources = scratch.save(targets.join(totals.select(F.col("source").alias("t"), "n_docs"), F.col("source").eqNullSafe(F.col("t"))).drop("t"), few_rows=True)
     solved = solve_dual(classes, sources, scratch, cap)
     solution = scratch.save(
         solved.select(F.col("source").alias("t"), "mean", "lam")
-        .join(sources, F.col("t").eqNullSafe(F.col("source"))).drop("t"))
+        .join(sources, F.col("t").eqNullSafe(F.col("source"))).drop("t"), few_rows=True)
     full = F.col("target") >= F.col("source_size") * F.lit(float(cap))
     rate = (F.when(F.col("size") == 0, 0).when(full, F.lit(cap * MICRO))
             .otherwise(F.round(_rate(F.col("lam"), F.col("size") / F.col("mean"), cap) * MICRO)).cast("long"))
@@ -183,6 +183,6 @@ def _repair(mixed: DataFrame, scratch: Scratch, cap: int) -> DataFrame:
                 .filter(allowed & (left < F.abs(miss)))
                 .groupBy("t").agg(F.min(F.struct(left.alias("left"), "doc_id", "row", F.signum(miss).cast("long").alias("change"))).alias("best"))
                 .select(F.col("best.row").alias("r"), F.col("best.change").alias("change")))
-        mixed = (mixed.join(scratch.save(best), F.col("row") == F.col("r"), "left").drop("r")
+        mixed = (mixed.join(scratch.save(best, few_rows=True), F.col("row") == F.col("r"), "left").drop("r")
                  .withColumn("copies", F.col("copies") + F.coalesce(F.col("change"), F.lit(0))).drop("change"))
     return mixed
