@@ -74,28 +74,31 @@ def scan_new_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rule_versi
 
 
 def distinct_blobs(paths: DataFrame, versions: DataFrame) -> DataFrame:
-    """(blob, text), one row a blob.
+    """(blob, text) of the blobs in ``versions`` (doc_id, blob).
 
-    ``paths`` has row, blob and text, ``versions`` row and blob, both of every
-    version. The representative row of each blob is chosen on hashes alone, so
-    a blob that stands behind many paths moves once, and a text is moved only
-    by the key of its row: copies never meet in one task.
+    One path stands for each blob; it is chosen on hashes alone. Texts are moved
+    by blob and path, so copies of a text never meet in one task. A path that
+    repeats the same text gives the same row again.
     """
-    chosen = versions.groupBy("blob").agg(F.min("row").alias("row"))
-    return paths.select("row", "text").join(chosen, "row").select("blob", "text")
+    chosen = versions.groupBy("blob").agg(F.min(_path_key()).alias("path"))
+    return paths.select("blob", _path_key().alias("path"), "text").join(chosen, ["blob", "path"]).select("blob", "text")
+
+
+def _path_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION,
                    id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(paths, ledger): doc_id, row and blob of every version, and the ledger with this scan's rows added."""
+    """(paths, ledger): doc_id and blob of every version, and the ledger with this scan's rows added."""
     scratch = Scratch(docs.sparkSession, "ledger")
-    base = pick(docs, doc_id=id_col, text=text_col).select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    versions = scratch.save(base.select("row", "doc_id", blob_id(F.col("text")).alias("blob")))
-    needed = versions.select("row", "blob")
+    base = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = base.withColumn("blob", blob_id(F.col("text")))
+    versions = scratch.save(base.select("doc_id", "blob"))
+    needed = versions
     if ledger is not None:
         needed = needed.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    fresh = scan_new_blobs(distinct_blobs(base, needed), None, rule_version)
+    fresh = scan_new_blobs(distinct_blobs(base, needed), None, rule_version).dropDuplicates(["blob", "rule_version"])
     fresh = scratch.save(fresh)
     return versions, fresh if ledger is None else ledger.unionByName(fresh)
 
