@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .jaccard import jaccard_classes
 from .langid import identify
 from .media import text_payload_columns
 from .mixing import mix_documents
@@ -43,6 +44,10 @@ def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(findings_by_path(paths, ledger))
 
 
+def op7_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_gif_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_payload_columns(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_boosted_quality": op4_boosted_quality,
         "op5_wrapper_induction": op5_wrapper_induction,
         "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
+        "op7_jaccard_regions": op7_jaccard_regions,
         "op8_gif_payload": op8_gif_payload,
         "op9_mix_sources": op9_mix_sources,
         "op10_best_two_fit": op10_best_two_fit,
