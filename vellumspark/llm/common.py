@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 import zlib
 
@@ -77,6 +79,19 @@ def pick(frame: DataFrame, **columns: str) -> DataFrame:
     return frame.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of texts in one Arrow batch; Spark's default of 10,000 suits narrow rows.
+TEXT_ROWS = 1000
+
+
+def text_rows(frame: DataFrame) -> DataFrame:
+    """The frame, with Arrow batches small enough for rows that hold whole texts."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return frame
+
+
+def worker_cache() -> dict:
+    """A dictionary that lasts as long as the worker process, for models that tasks share.
+
+    Functions travel by value, so their modules' globals last for one task only.
+    """
+    return sys.modules.setdefault("_vellum_worker_cache", types.ModuleType("_vellum_worker_cache")).__dict__

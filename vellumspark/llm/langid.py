@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, text_rows, worker_cache
 
 DIMENSIONS = 512
 SEED = 20_240
@@ -50,6 +50,14 @@ class Encoder:
         for cp in range(0x3000):
             self.symbols[cp] = self._symbol(cp)
 
+    @classmethod
+    def shared(cls, dimensions: int, seed: int) -> "Encoder":
+        """The worker process's own, made once."""
+        kept = worker_cache()
+        if ("encoder", dimensions, seed) not in kept:
+            kept["encoder", dimensions, seed] = cls(dimensions, seed)
+        return kept["encoder", dimensions, seed]
+
     @staticmethod
     def _symbol(cp: int) -> int:
         c = chr(cp).lower()[0]
@@ -116,7 +124,7 @@ def train_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(dimensions, seed)
+        encoder = Encoder.shared(dimensions, seed)
         weights: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1)):
@@ -131,7 +139,7 @@ def train_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
             total = np.rint(encoder.bundle(grams, weights[x][grams]) * 1e6).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["lang", "sums"])
 
-    rows = pick(docs, text=text_col, lang=lang_col).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = text_rows(pick(docs, text=text_col, lang=lang_col)).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     parts = rows.select("text", "lang").mapInArrow(run, "lang string, sums array<long>")
     at = parts.select("lang", F.posexplode("sums").alias("k", "v")).groupBy("lang", "k").agg(F.sum("v").alias("v"))
     gathered = at.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("kv")).select("lang", F.col("kv.v").alias("sums"))
@@ -150,7 +158,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], id_col
     matrix = np.array([prototypes[x] for x in langs], dtype=np.float32).reshape(len(langs), dimensions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(dimensions, seed)
+        encoder = Encoder.shared(dimensions, seed)
         for batch in batches:
             pred, score = [], []
             for text in batch.column(1):
@@ -160,7 +168,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, list[float]], id_col
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PREDICTION_SCHEMA)
+    return text_rows(pick(docs, doc_id=id_col, text=text_col)).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PREDICTION_SCHEMA)
 
 
 def classify(encoder: Encoder, matrix: np.ndarray, langs: list[str], text: str | None) -> tuple[str, float]:
@@ -184,9 +192,10 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least_s
     langs = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in langs], dtype=np.float32).reshape(len(langs), dimensions)
     place = docs.columns.index(text_col)
+    text_rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(dimensions, seed)
+        encoder = Encoder.shared(dimensions, seed)
         for batch in batches:
             found = [classify(encoder, matrix, langs, t.as_py()) for t in batch.column(place)]
             yield batch.filter(pa.array([p != UNDETERMINED and s >= least_score for p, s in found], pa.bool_()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, pick, text_rows
 
 STATISTICS = (
     "bytes", "words", "mean_word", "sd_word", "longest_word", "distinct_words", "lines", "mean_line", "distinct_lines", "repeated_line_bytes",
@@ -93,7 +93,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             found = [statistics(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], names=["doc_id", "stats"])
 
-    return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, stats array<float>")
+    return text_rows(pick(docs, doc_id=id_col, text=text_col)).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, stats array<float>")
 
 
 class FlatTrees:

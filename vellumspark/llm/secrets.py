@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, pick, text_rows
 
 RULE_VERSION = "base-1"
 
@@ -92,7 +92,7 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rule_versio
                    id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(paths, ledger): doc_id and blob of every version, and the ledger with this scan's rows added."""
     scratch = Scratch(docs.sparkSession, "ledger")
-    base = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    base = text_rows(pick(docs, doc_id=id_col, text=text_col)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("blob", blob_id(F.col("text")))
     versions = scratch.save(base.select("doc_id", "blob"))
     needed = versions
@@ -122,6 +122,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") -> D
     """The table with every found secret in ``text_col`` replaced; all other columns stay as they are."""
     schema = docs.schema
     place = docs.columns.index(text_col)
+    text_rows(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

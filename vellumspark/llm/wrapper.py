@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, pick, text_rows
 
 #: Share of distinct aligned pages with the same text from which a slot is template, and the least number of them.
 CONSTANT_SHARE = 0.9
@@ -326,7 +326,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     scratch = Scratch(pages.sparkSession, "wrapper")
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pick(pages, page_id=id_col, url=url_col, html=html_col).select(F.col("page_id").cast("long"), "url", "html", host.alias("host"))
+    rows = text_rows(pick(pages, page_id=id_col, url=url_col, html=html_col)).select(F.col("page_id").cast("long"), "url", "html", host.alias("host"))
     order = F.struct((F.length("html") < 200).alias("short"), F.xxhash64("url", "page_id").alias("h"))
     references = scratch.save(rows.filter(F.col("html").isNotNull()).groupBy("host").agg(F.min_by("html", order).alias("reference")))
     measured = references.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host")), F.lit(0))).first()[0]
