@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from .forest import near_duplicates
 from .jaccard import jaccard_classes
 from .langid import identify
 from .media import text_payload_columns
@@ -15,6 +16,7 @@ from .mixing import mix_documents
 from .packing import pack_documents
 from .quality import classify_quality
 from .secrets import findings_by_path, scan_documents, span_digest
+from .suffixes import remove_repeats
 from .wrapper import main_text
 
 
@@ -30,6 +32,15 @@ def op1_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("label_id", 3) != 1)
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
@@ -64,6 +75,8 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hyperdimensional_language": op1_hyperdimensional_language,
+        "op2_projection_forest": op2_projection_forest,
+        "op3_previous_factors": op3_previous_factors,
         "op4_boosted_quality": op4_boosted_quality,
         "op5_wrapper_induction": op5_wrapper_induction,
         "op6_blob_ledger_secrets": op6_blob_ledger_secrets,
