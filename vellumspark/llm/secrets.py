@@ -3,7 +3,7 @@
 Every version of every path is content-addressed by the SHA-256 of its text.
 ``scan_new_blobs`` scans only (blob, rule version) pairs that a ledger does not
 hold, ``findings_by_path`` joins the ledger's findings back to all paths, and
-``redact`` replaces found secrets in texts.
+``redact_spans`` replaces found secrets in texts.
 
 Defined results: a null text is the empty blob; repeated rows and equal texts
 share one blob and are scanned once; a null id is a path like any other; an empty
@@ -13,10 +13,10 @@ count code points.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, pick, text_rows
 
 RULE_VERSION = "base-1"
+MASK = "[secret]"
 
 #: Fixed patterns of the base rules, in the order in which ties are listed.
 ASSIGN = re.compile(
@@ -118,32 +119,32 @@ def span_digest(findings: DataFrame) -> DataFrame:
     return findings.select("doc_id", *counts, F.sha2(listed.cast("binary"), 256).alias("base_sha256"), listed.alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """The table with every found secret in ``text_col`` replaced; all other columns stay as they are."""
-    schema = docs.schema
-    place = docs.columns.index(text_col)
-    text_rows(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [redact_text(t.as_py(), mask) for t in batch.column(place)]
-            columns = list(batch.columns)
-            columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+def redact_spans(docs: DataFrame, findings: DataFrame, mask: str = MASK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with every found secret replaced, by the ledger's findings; rows without one are not moved through Python.
 
-    return docs.mapInArrow(run, schema)
+    ``findings`` has doc_id, blob, starts and ends. Findings are met by document
+    and content, so of rows that share an id each is masked by its own text's.
+    """
+    found = findings.filter(F.size("starts") > 0).groupBy(F.col("blob").alias("__blob"), F.col("doc_id").alias("__id")).agg(
+        F.first("starts").alias("__starts"), F.first("ends").alias("__ends"))
+    keyed = docs.withColumn("__own", blob_id(F.col(f"`{text_col}`")))
+    joined = keyed.join(found, (F.col("__own") == F.col("__blob")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
 
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([mask_text(t, s, e, mask) for t, s, e in zip(texts, starts, ends)])
 
-def redact_text(text: str | None, mask: str) -> str | None:
-    if not text:
-        return text
-    out, at = [], 0
-    for start, _, end in find_secrets(text):
-        if start >= at:
-            out += [text[at:start], mask]
-        at = max(at, end)
-    return "".join(out) + text[at:] if out else text
+    text_rows(docs)
+    clean = joined.filter(F.col("__starts").isNull()).select(*docs.columns)
+    hit = joined.filter(F.col("__starts").isNotNull()).withColumn(text_col, masked(F.col(f"`{text_col}`"), "__starts", "__ends")).select(*docs.columns)
+    return clean.unionByName(hit)
 
 
-def blob_of(text: str | None) -> str:
-    return hashlib.sha256((text or "").encode()).hexdigest()
+def mask_text(text: str, starts, ends, mask: str = MASK) -> str:
+    """The text with the union of the spans replaced, one mask a stretch."""
+    out, at = [], 0
+    for s, e in sorted(zip(starts, ends)):
+        if s >= at:
+            out += [text[at:s], mask]
+        at = max(at, int(e))
+    return "".join(out) + text[at:]
