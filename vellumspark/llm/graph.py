@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+#: Links in one file of an intermediate table; few links are few tasks.
+EDGES_A_FILE = 200_000
+
+
 def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has a link; the component is its smallest node.
 
@@ -24,13 +28,15 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 6
     for _ in range(max_rounds):
         if not state[0]:
             break
+        files = max(4, state[0] // EDGES_A_FILE)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.save(large)
+        large = scratch.save(large.coalesce(files))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e"))
-        following = scratch.save(hung.filter("e.x <> e.m").select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).distinct())
+        following = hung.filter("e.x <> e.m").select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).distinct()
+        following = scratch.save(following.coalesce(files))
         scratch.drop(large, edges)
         before, state, edges = state, _state(following), following
         if state == before:

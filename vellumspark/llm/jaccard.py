@@ -10,13 +10,14 @@ all others, where no pivot can tell them apart, so regions are found in two step
    is its own class. For the others a document's rarest shared shingles, as many
    as a partner can't all lack, are its region keys: two linked documents have a
    region in common.
-2. Pivots. In each region one document is the pivot; every other gets its exact
-   distance to it. Those within r are linked to it. A region whose documents are
-   all in one component is settled. In the others, further pivots, four times as
-   many each round, are compared with the documents of other components that the
-   windows allow: sizes within t of each other, and, by the triangle inequality,
-   distances to the first pivot that differ by at most r. When a round's pivots
-   are all of a region's documents, the region has been joined exhaustively.
+2. Pivots. In each region the most central document is the pivot; every other gets
+   its exact distance to it. Those within r are linked to it. A region whose
+   documents are all in one component is settled.
+3. Windows. In the others, documents lie in rings of width r around the pivot. By
+   the triangle inequality a partner lies in the same ring or the next, so each
+   document is at home in its ring and replicated to the one within. Cells that
+   hold several components are joined exhaustively: small ones pair by pair,
+   large ones block against block.
 
 Pairs inside one component are not compared further: they can't change a class.
 
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, pick, text_rows
@@ -47,8 +48,9 @@ LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16
 #: A task hands on its shingles after so many of them, or so many documents.
 CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 20_000
 SLICE_BYTES = 4 << 20
-#: Pivots a region in the second round; each later round has four times as many.
-PIVOTS = 4
+#: Documents in a cell that is joined pair by pair; larger ones are joined in blocks, with strips of so many shingles.
+SMALL_CELL = 48
+BLOCK, STRIP = 1024, 4096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -218,7 +220,11 @@ def documents_of(shared: DataFrame) -> DataFrame:
 
 
 def candidates_of(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, n, tokens (its shared shingles) and keys (its region keys) of each document that can have a partner."""
+    """node, n, tokens (its shared shingles), keys (its region keys) and central of each document that can have a partner.
+
+    ``central`` is the mean logarithm of how many documents have a shingle: of a
+    text and its edited copies the text itself has the most.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -241,7 +247,7 @@ def candidates_of(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
             keep = able[place]
             token, place, count = token[keep], place[keep], count[keep]
             order = np.lexsort((token, count, place))
-            token, place = token[order], place[order]
+            token, place, count = token[order], place[order], count[order]
             done: set[bytes] = set()
             cuts = np.searchsorted(place, np.arange(len(nodes) + 1))
             for i in np.flatnonzero(able).tolist():
@@ -252,12 +258,13 @@ def candidates_of(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
                 n = int(sizes[i])
                 # the rarest n - ceil(t n) + 1 of all its shingles; those that no other document has come first and are no region
                 prefix = n - -(-percent * n // 100) + 1 - (n - len(own))
-                out.append((nodes[i], n, np.sort(own).tolist(), own[:prefix].tolist()))
-        columns = list(zip(*out)) or [[]] * 4
-        kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n", "tokens", "keys"])
+                central = float(np.log(count[cuts[i] : cuts[i + 1]].astype(np.float64)).sum() / n)
+                out.append((nodes[i], n, np.sort(own).tolist(), own[:prefix].tolist(), round(central, 6)))
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n", "tokens", "keys", "central"])
 
-    return shared.groupBy("chunk").applyInArrow(run, "node binary, n long, tokens array<long>, keys array<long>")
+    return shared.groupBy("chunk").applyInArrow(run, "node binary, n long, tokens array<long>, keys array<long>, central double")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -275,42 +282,94 @@ def link_components(candidates: DataFrame, scratch: Scratch, percent: int = PERC
     """(node, component) of all nodes with a link."""
     candidates = scratch.save(candidates.dropDuplicates(["node"]))
     sets = candidates.select("node", "n", "tokens")
-    members = candidates.select(F.explode("keys").alias("region"), "node", "n")
-    heads = members.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("n", "node")).alias("p")).filter("size > 1")
-    regions = scratch.save(members.join(heads.select("region", "size", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "region"))
-    alike = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes that a link allows
-    first = regions.filter((F.col("node") != F.col("pivot")) & alike(F.col("n"), F.col("pivot_n")))
-    first = first.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
+    members = candidates.select(F.explode("keys").alias("region"), "node", "n", "central")
+    # keys that the same documents have are one region: their members' hashes have the same sums
+    sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (1, 2)]
+    heads = members.groupBy("region").agg(F.count("*").alias("size"), F.max(F.struct("central", "node", "n")).alias("p"), *sums).filter("size > 1")
+    heads = heads.groupBy("size", "sum1", "sum2").agg(F.min("region").alias("region"), F.first("p").alias("p"))
+    heads = scratch.save(heads.select("region", "size", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
+    regions = scratch.save(members.drop("central").join(heads, "region"))
+    first = regions.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
     measured = scratch.save(_measured(first, sets))
     links = measured.filter(_linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     components = scratch.save(connected_components(links, scratch))
-    # distance to the first pivot; unknown where sizes alone rule a link with it out
     near = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"),
                            (1 - F.col("common") / (F.col("n_x") + F.col("n_y") - F.col("common"))).alias("distance"))
-    open_members = scratch.save(
-        regions.filter(F.col("node") != F.col("pivot")).join(near, ["node", "pivot"], "left").select("region", "node", "n", "distance"))
-    reach = 1 - percent / 100 + 1e-9
-    pivots = PIVOTS
-    while True:
-        labelled = (open_members.join(components, "node", "left")
-                    .select("region", "node", "n", "distance", F.coalesce("component", "node").alias("component")))
-        mixed = labelled.groupBy("region").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        mixed = mixed.filter("low <> high").select("region", "size")
-        labelled = scratch.save(labelled.join(mixed, "region"))
-        most = labelled.agg(F.max("size")).first()[0]
-        if most is None:
-            return components
-        chance = F.pmod(F.xxhash64("node", "region"), F.lit(1_000_000)) * F.col("size") < F.lit(pivots * 1_000_000)
-        chosen = labelled.filter(chance).select("region", F.col("node").alias("y"), F.col("n").alias("m"), F.col("distance").alias("e"),
-                                                F.col("component").alias("other"))
-        apart = F.coalesce(F.abs(F.col("distance") - F.col("e")) <= reach, F.lit(True))
-        pairs = labelled.join(chosen, "region").filter((F.col("component") != F.col("other")) & alike(F.col("n"), F.col("m")) & apart)
-        pairs = pairs.select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y")).distinct()
-        found = _measured(pairs, sets).filter(_linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        components = scratch.save(connected_components(known.unionByName(found), scratch))
-        open_members = labelled.filter(~chance).select("region", "node", "n", "distance")
-        pivots *= 4
+    unsettled = (regions.filter(F.col("node") != F.col("pivot")).join(near, ["node", "pivot"])
+                 .select("region", "node", "n", "distance").join(components, "node", "left")
+                 .select("region", "node", "n", "distance", F.coalesce("component", "node").alias("component")))
+    # rings of width r around the pivot; a document is at home in its own and visits the one within
+    ring = F.floor((F.col("distance") + 1e-9) / (1 - percent / 100)).cast("int")
+    placed = unsettled.withColumn("ring", ring).withColumn("cell", F.explode(F.array("ring", F.col("ring") - 1)))
+    placed = placed.filter("cell >= 0").withColumn("home", F.col("ring") == F.col("cell")).drop("ring", "distance")
+    cells = placed.groupBy("region", "cell").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    placed = scratch.save(placed.join(cells.filter("low <> high").select("region", "cell", "size"), ["region", "cell"]))
+    found = scratch.save(_small_cells(placed.filter(F.col("size") <= SMALL_CELL), sets, scratch, percent).unionByName(
+        _large_cells(placed.filter(F.col("size") > SMALL_CELL), sets, percent)).distinct().coalesce(8))
+    if found.isEmpty():
+        return components
+    return scratch.save(_merged(components, connected_components(found, scratch)))
+
+
+def _alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes allow a link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _small_cells(placed: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b between components) of cells of a bounded size, pair by pair."""
+    other = placed.select("region", "cell", F.col("node").alias("y"), F.col("n").alias("m"), F.col("component").alias("b"))
+    pairs = placed.filter("home").withColumnRenamed("component", "a").join(other, ["region", "cell"])
+    pairs = pairs.filter((F.col("a") != F.col("b")) & _alike(F.col("n"), F.col("m"), percent))
+    pairs = pairs.select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y"), F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = scratch.save(pairs.distinct())
+    linked = _measured(pairs.select("x", "y"), sets).filter(_linked(percent)).select("x", "y")
+    return pairs.join(linked, ["x", "y"]).select("a", "b")
+
+
+def _large_cells(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b between components) of all other cells, block against block.
+
+    A block pair's intersections are one product of 0/1 matrices of documents and
+    shingles; shingles of one document only are left out, the others taken in
+    strips. Pairs never become rows.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("region", "cell", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node", "n", "component", "home")
+    rows = rows.join(sets.select("node", "tokens"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        m = table.num_rows
+        lists = table.column("tokens").combine_chunks()
+        who = np.repeat(np.arange(m), np.diff(lists.offsets.to_numpy()))
+        token, place, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = count[place] > 1
+        who, place = who[shared], np.cumsum(count > 1)[place[shared]] - 1
+        order = np.argsort(place, kind="stable")
+        who, place = who[order], place[order]
+        common = np.zeros((m, m), np.float32)
+        for at in range(0, int(place[-1]) + 1 if len(place) else 0, STRIP):
+            s, e = np.searchsorted(place, (at, at + STRIP))
+            strip = np.zeros((m, STRIP), np.float32)
+            strip[who[s:e], place[s:e] - at] = 1
+            common += strip @ strip.T
+        n = table.column("n").to_numpy()
+        linked = 100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common.astype(np.int64))
+        linked &= np.triu(np.ones((m, m), bool), 1)
+        component = table.column("component").to_pylist()
+        pairs = {(max(component[i], component[j]), min(component[i], component[j])) for i, j in np.argwhere(linked).tolist() if component[i] != component[j]}
+        return pa.table([pa.array(c, pa.binary()) for c in (list(zip(*pairs)) or [[], []])], names=["a", "b"])
+
+    return rows.groupBy("region", "cell", "first", "second").applyInArrow(run, "a binary, b binary")
+
+
+def _merged(components: DataFrame, roots: DataFrame) -> DataFrame:
+    """Components after links between components; a node that had no link before is its own."""
+    fresh = roots.select("node").join(components, "node", "left_anti").select("node", F.col("node").alias("component"))
+    moved = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return components.unionByName(fresh).join(moved, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
