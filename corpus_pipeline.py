@@ -35,10 +35,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class; rows with that same id are one document and stay once."""
-    classes = jaccard_classes(docs)
+    """The document of the smallest id of each class.
+
+    Rows that share an id are one document and stay once; rows without an id
+    can't be named in a class and all stay.
+    """
+    classes = jaccard_classes(docs.filter(F.col("doc_id").isNotNull()))
     kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +53,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, under one id."""
-    taken = mix_documents(docs).filter(F.col("copies") > 0).select("doc_id", F.sequence(F.lit(1), "copies").alias("__copies"))
-    return docs.join(taken, "doc_id").withColumn("__copy", F.explode("__copies")).select(*docs.columns)
+    """Each document as many times as the mix takes it, under one id; rows without an id stay as they are."""
+    taken = mix_documents(docs.filter(F.col("doc_id").isNotNull()))
+    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("__n")).filter("__n > 0").select("doc_id", F.sequence(F.lit(1), "__n").alias("__copies"))
+    named = docs.join(taken, "doc_id").withColumn("__copy", F.explode("__copies")).select(*docs.columns)
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
