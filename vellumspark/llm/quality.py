@@ -177,7 +177,7 @@ def fit_on_labels(stats: DataFrame, labels: DataFrame, learn: Column, sample_row
         usable = usable.filter(F.pmod(F.xxhash64(F.col("label_id")), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
     rows = stats.join(usable, F.col("doc_id") == F.col("label_id")).select("doc_id", "stats", "label").toPandas()
     rows = rows.sort_values(["doc_id", "label"], kind="stable")
-    x = np.array(rows["stats"].tolist(), dtype=np.float32).reshape(len(rows), -1)
+    x = np.array(rows["stats"].tolist(), dtype=np.float32).reshape(len(rows), len(STATISTICS))
     return fit_trees(x, rows["label"].to_numpy(dtype=np.float64))
 
 
