@@ -42,7 +42,7 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     classes = jaccard_classes(docs.filter(F.col("doc_id").isNotNull()))
     kept = classes.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(kept.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, under one id; rows without an id stay as they are."""
     taken = mix_documents(docs.filter(F.col("doc_id").isNotNull()))
     taken = taken.groupBy("doc_id").agg(F.max("copies").alias("__n")).filter("__n > 0").select("doc_id", F.sequence(F.lit(1), "__n").alias("__copies"))
-    named = docs.join(taken, "doc_id").withColumn("__copy", F.explode("__copies")).select(*docs.columns)
+    named = docs.join(taken.hint("shuffle_hash"), "doc_id").withColumn("__copy", F.explode("__copies")).select(*docs.columns)
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
