@@ -44,7 +44,7 @@ def _cast_amount(number: Column, suffix: Column) -> Column:
 def liability_cap(text: Column) -> Column:
     """Struct has_cap, basis (fee_based, fixed_amount, other), amount_text, amount_usd, matched_text."""
     trigger = F.regexp_extract(text, P.CAP_TRIGGER, 0)
-    capped = (trigger != "") & ~F.rlike(text, F.lit(P.CAP_VETO))
+    capped = F.coalesce((trigger != "") & ~F.rlike(text, F.lit(P.CAP_VETO)), F.lit(False))
     fee = F.regexp_extract(text, P.FEE_CAP, 0)
     place = F.instr(text, trigger)
     start = F.greatest(place - 50, F.lit(1))
@@ -55,7 +55,7 @@ def liability_cap(text: Column) -> Column:
     amount = F.when(basis == "fee_based", F.concat(F.regexp_extract(text, P.FEE_CAP, 1), F.lit("-month fees"))).when(basis == "fixed_amount", raw).when(
         basis == "other", "(amount not parseable)")
     matched = F.when(basis == "fee_based", fee).when(basis == "fixed_amount", F.concat(trigger, F.lit(" "), raw)).when(basis == "other", trigger)
-    return F.struct(F.coalesce(capped, F.lit(False)).alias("has_cap"), basis.alias("basis"), amount.alias("amount_text"),
+    return F.struct(capped.alias("has_cap"), basis.alias("basis"), amount.alias("amount_text"),
                     F.when(basis == "fixed_amount", _cast_amount(number, suffix)).alias("amount_usd"), matched.alias("matched_text"))
 
 
