@@ -87,5 +87,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_REACHED = """both_ways as (select x as a, y as b from links union select y, x from links),
+reach as (select k, k as r from ids union select reach.k, both_ways.b from reach join both_ways on both_ways.a = reach.r)"""
+
+_OP2 = f"""with recursive usable as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit as (select vec_id, label, v, sqrt(list_dot_product(v, v)) as norm from usable),
+links as (select a.vec_id as x, b.vec_id as y from unit a join unit b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v)
+          where list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+ids as (select vec_id as k from embeddings), {_REACHED},
+counted as (select a, count(*) as n from both_ways group by a)
+select k as vec_id, coalesce(any_value(n), 0) as n_links, min(r) as component_id, k = min(r) as kept from reach left join counted on a = k group by k"""
+
+_OP7 = f"""with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+grams as (select distinct doc_id, g from (
+  select doc_id, unnest(list_transform(range(1, greatest(2, cast(len(w) as bigint) - 3)), lambda i: array_to_string(w[i:i+4], ' '))) as g from words where len(w) > 0) u),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+common as (select p.doc_id as x, q.doc_id as y, count(*) as c from grams p join grams q on p.g = q.g and p.doc_id < q.doc_id group by p.doc_id, q.doc_id),
+links as (select x, y from common join sizes s on s.doc_id = x join sizes t on t.doc_id = y where 100 * c >= 75 * (s.n + t.n - c)),
+ids as (select doc_id as k from documents), {_REACHED}
+select k as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id from reach left join sizes on sizes.doc_id = k group by k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the two joins; the other operators are learned, cut bytes or depend on their method, and tests hold them against brute force."""
+    return {"op2_projection_forest": _OP2, "op7_jaccard_regions": _OP7}
