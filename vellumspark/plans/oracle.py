@@ -230,3 +230,70 @@ SQL: dict[str, str] = {
     "extra_revenue_rollup": """select r_name, n_name, round(cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(24,6))) as double), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey
       join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by rollup (r_name, n_name)""",
 }
+
+BIGRAMS = "case when len(w) > 1 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) else w end"
+SQL |= {
+    "rerank_overlap": f"""with {_bm25(20)}, r as (select s.qid, s.id, s.rank, round(coalesce(len(list_intersect(list_distinct(q.w), d.w)) / cast(nullif(len(list_distinct(q.w)), 0) as double), 0), 4) as rerank_score
+        from sparse s join (select qid, {WORDS3} as w from questions) q on q.qid = s.qid join (select doc_id, {WORDS3} as w from documents) d on d.doc_id = s.id)
+      select qid, id, rerank_score, place from (select *, row_number() over (partition by qid order by rerank_score desc, rank) as place from r) p where place <= 8""",
+    "bigram_overlap": f"""with i as (select item_id, {WORDS3} as w from benchmark), own as (select item_id, unnest({BIGRAMS}) as g from i),
+      d as (select {WORDS3} as w from documents), known as (select distinct unnest({BIGRAMS}) as g from d)
+      select 'p' as project_id, b.item_id, coalesce(round(count(known.g) / cast(nullif(count(own.g), 0) as double), 6), 0) as overlap
+      from benchmark b left join own on own.item_id = b.item_id left join known on known.g = own.g group by b.item_id""",
+    "metric_regressions": f"""with {RUNS.format(name='b', s=0)}, {RUNS.format(name='c', s=1)}, rb as ({ROLLUP.format(name='b')}), rc as ({ROLLUP.format(name='c')}),
+      m as (""" + " union all ".join(f"select '{n}' as metric, rb.{n} as base, rc.{n} as current from rb, rc" for n in ("pass_rate", "judge", "recall", "precision", "f1")) + """)
+      select metric, base, current, base > 0 and base - current > 0.05 as regressed from m""",
+    "quality_gate": f"""with {RUNS.format(name='b', s=0)}, r as ({ROLLUP.format(name='b')}) select concat_ws(',', case when f1 < 0.7 then 'clause_f1' end, case when recall < 0.65 then 'clause_recall' end,
+      case when precision < 0.65 then 'clause_precision' end, case when judge < 0.7 then 'judge' end, case when pass_rate < 0.8 then 'pass_rate' end) as failures from r""",
+    "label_set_scores": f"""with {CONTRACT}, {CLAUSES}, g as (select project_id, list_distinct(list(clause_type)) as found from clauses group by project_id),
+      h as (select project_id, len(list_intersect(found, {_list(P.CORE_CLAUSES)})) as hits, len(found) as n from g),
+      s as (select project_id, round(hits / cast(n as double), 6) as p, round(hits / {float(len(P.CORE_CLAUSES))}, 6) as r from h)
+      select project_id, p as precision, r as recall, {F1} as f1 from s""",
+    "intents": f"""with r as (select text as q from conversations where role = 'user')
+      select case when regexp_matches(trim(lower(q)), '^(hi|hello|hey|good (morning|afternoon|evening))\\b') then 'greeting'
+        when not {INJECTED} and {_any('lower(q)', P.OFF_TOPIC)} and not {_any('lower(q)', P.LEGAL_WORDS)} then 'off_topic' else 'technical' end as intent, count(*) as n from r group by 1""",
+    "instruction_rows": """with m as (select conv_id, max(case when role = 'system' then text end) as s, min_by(text, turn) filter (where role = 'user') as u, min_by(text, turn) filter (where role = 'assistant') as a
+        from conversations group by conv_id)
+      select conv_id, '### Instruction:' || chr(10) || coalesce(s, '') || chr(10) || chr(10) || '### Input:' || chr(10) || substring(coalesce(u, ''), 1, 1500) || chr(10) || chr(10) || '### Response:' || chr(10) as prompt,
+        length(coalesce(a, '')) as response_chars from m""",
+    "contexts": f"""with {CONTRACT}, {_typed()}, {DENSE}, b as (select qid, rank, '--- Chunk ' || rank || ' [' || concat_ws(', ', 'document=' || source, 'clause_type=' || clause_type, 'section=' || {SECTION}, 'page=' || (id % 9))
+        || '] ---' || chr(10) || substring(text, 1, 60) as block from dense join typed on id = doc_id where rank <= 4)
+      select qid, string_agg(block, chr(10) || chr(10) order by rank) as context from b group by qid""",
+    "claim_counts": f"""with {CONTRACT}, s as (select doc_id, list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as parts from contracts)
+      select doc_id, len(list_filter(parts, lambda x: length(x) >= 20 and (contains(lower(x), 'must') or contains(lower(x), 'shall') or contains(lower(x), 'will') or contains(lower(x), 'may')
+        or contains(lower(x), 'cannot') or regexp_matches(x, '[0-9]{{4}}')))) as claims from s""",
+    "risk_features": f"""with {CONTRACT}, {CLAUSES}, f as (select project_id, pos, clause_type, text, {DAYS} as days, regexp_matches(text, {_s(P.CAP_TRIGGER)}) and not {CAP_VETO} as cap from clauses),
+      g as (select project_id, bool_or(clause_type = 'liability' and cap) as cap_present, min(case when clause_type in ('termination', 'auto_renewal') then days end) as min_notice_days,
+        coalesce(string_agg(case when clause_type = 'indemnification' then text end, ' ' order by pos), '') as i from f group by project_id)
+      select project_id, cap_present, min_notice_days,
+        len(list_distinct(list_filter(list_transform(regexp_extract_all(i, {_s(P.OBLIGOR)}, 1), lambda n: regexp_replace(trim(n), '[,.]+$', '')), lambda n: length(n) >= 3))) = 1 as one_sided_indemnity from g""",
+}
+
+_CORE = ", ".join(f"case when not bool_or(clause_type = '{t}') then {{'c': 'missing_clause', 's': '{'high' if t == 'liability' else 'medium'}', 't': 'Missing {t.replace('_', ' ')} clause'}} end" for t in P.CORE_CLAUSES)
+_OBLIGORS = "list_distinct(list_filter(list_transform(regexp_extract_all(i, {p}, 1), lambda n: regexp_replace(trim(n), '[,.]+$', '')), lambda n: length(n) >= 3))"
+_RULES = f"""g as (select project_id, right(project_id, 1) as last, bool_or(clause_type = 'intellectual_property') as ip, bool_or(clause_type = 'payment') as pay, bool_or(clause_type = 'termination') as term,
+    [{_CORE}] as core, coalesce(string_agg(case when clause_type = 'indemnification' then text end, ' ' order by pos), '') as i from deduped group by project_id),
+  k as (select *, case when last in ('0', '1', '2') then 'software services' when last in ('3', '4') then 'lease' else '' end as kind from g),
+  found as (
+    select project_id, unnest(list_filter(core, lambda x: x is not null)) as x from k
+    union all select project_id, {{'c': 'missing_clause', 's': 'high', 't': 'Missing Intellectual Property ownership clause'}} from k where {_any('kind', P.TECH_WORDS)} and not ip
+    union all select project_id, {{'c': 'missing_clause', 's': 'high', 't': 'Missing Payment terms clause'}} from k where {_any('kind', P.COMMERCE_WORDS)} and not pay
+    union all select project_id, {{'c': 'operational', 's': 'medium', 't': 'No expiration date or termination clause'}} from k where last <> '6' and not term
+    union all select project_id, {{'c': 'unfavorable_terms', 's': 'high', 't': 'Auto-renewal without adequate opt-out notice'}} from deduped
+      where clause_type = 'auto_renewal' and regexp_extract(text, {_s(P.RENEWAL)}) <> '' and not coalesce({DAYS} >= 30, false)
+    union all select project_id, {{'c': 'financial', 's': 'high', 't': 'Uncapped liability'}} from deduped where clause_type = 'liability' and not (regexp_matches(text, {_s(P.CAP_TRIGGER)}) and not {CAP_VETO})
+    union all select project_id, {{'c': 'unfavorable_terms', 's': 'high', 't': 'One-sided indemnification obligation'}} from k where len({_OBLIGORS.format(p=_s(P.OBLIGOR))}) = 1)"""
+SQL |= {
+    "rule_risks": f"with {CONTRACT}, {DEDUPED}, {_RULES} select project_id, x.c as category, x.s as severity, x.t as title, count(*) as n from found group by all",
+    "indemnity_sides": f"""with {CONTRACT}, r as (select doc_id, substring(text, 1, 200) as i from contracts), o as (select doc_id, list_filter(list_transform(regexp_extract_all(i, {_s(P.OBLIGOR)}, 1),
+        lambda n: regexp_replace(trim(n), '[,.]+$', '')), lambda n: length(n) >= 3) as names from r)
+      select doc_id, case when len(names) = 0 then '' when len(list_distinct(names)) = 1 then names[1] when len(names) = 2 then names[1] || '|' || names[2] else '?' end as obligors,
+        len(list_distinct(names)) = 1 as one_sided from o""",
+    "clause_validation": f"""with i as (select item_id % 5 as project_id, item_id, text, {WORDS3} as w from benchmark), own as (select project_id, item_id, unnest({BIGRAMS}) as g from i),
+      d as (select doc_id % 5 as project_id, {WORDS3} as w from documents), known as (select distinct project_id, unnest({BIGRAMS}) as g from d),
+      o as (select i.project_id, i.item_id, coalesce(round(count(known.g) / cast(nullif(count(own.g), 0) as double), 6), 0) as overlap from i left join own on own.item_id = i.item_id
+        left join known on known.project_id = i.project_id and known.g = own.g group by i.project_id, i.item_id),
+      u as (select project_id, cast(sum({" + ".join(f"cast(regexp_matches(text, {_s(p)}) as integer)" for p in P.UNSAFE.values())}) as bigint) as unsafe from i group by project_id),
+      h as (select project_id, count(*) filter (where overlap < {P.CLAUSE_OVERLAP}) as hallucinations from o group by project_id)
+      select project_id, hallucinations, unsafe, round(greatest(0, least(1, 1 - hallucinations * 0.1 - unsafe * 0.2)), 6) as confidence, hallucinations = 0 and unsafe = 0 as passed from h join u using (project_id)""",
+}
