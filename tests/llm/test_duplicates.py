@@ -94,6 +94,7 @@ def brute_repeats(docs, length=100):
 
 def test_repeats(odd, none, texts, monkeypatch):
     monkeypatch.setattr(suffixes, "SLICE_BYTES", 700)
+    monkeypatch.setattr(suffixes, "PART_WINDOWS", 50)
     short = [(i, t) for i, t in texts if len(t or "") < 100_000]
     expected = brute_repeats(short)
     found = suffixes.remove_repeats(odd.filter("coalesce(length(text), 0) < 100000")).collect()

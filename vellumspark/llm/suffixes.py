@@ -49,6 +49,8 @@ CHUNK_ANCHORS, CHUNK_DOCS = 1_000_000, 20_000
 #: Bytes of runs that a task holds back to send them together.
 CHUNK_BYTES = 24 << 20
 SLICE_BYTES = 1 << 20
+#: Windows that are sorted together, about; a key's windows are never parted.
+PART_WINDOWS = 400_000
 LAST = (1 << 63) - 1  # stands for a null id
 
 _LETTER = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -326,7 +328,7 @@ def deal_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
     return texts.select("sha", "first", "keys", "text").mapInArrow(run, RUN_SCHEMA)
 
 
-def repeats_in(starts: np.ndarray, owner: np.ndarray, data: np.ndarray, position: tuple[np.ndarray, ...], length: int) -> np.ndarray:
+def repeats_in(starts: np.ndarray, data: np.ndarray, position: tuple[np.ndarray, ...], length: int) -> np.ndarray:
     """Which of the suffixes at ``starts`` (of ``data``) have a previous factor of at least ``length`` bytes.
 
     Suffixes are sorted to ``length`` bytes, as big-endian words, ties by
@@ -377,12 +379,18 @@ def find_repeats(runs: DataFrame, length: int) -> DataFrame:
         spans_of.append(whole)
         spans_start.append(start[whole])
         spans_end.append(start[whole] + size[whole])
+        # equal windows have one key: whole keys are taken until a part has enough windows
         lone = np.flatnonzero(~again)
-        if len(lone):
-            n = count[lone]
-            owner = np.repeat(lone, n)
+        lone = lone[np.argsort(key[lone], kind="stable")]
+        firsts = np.flatnonzero(np.concatenate([[True], key[lone][1:] != key[lone][:-1]])) if len(lone) else lone
+        before = np.concatenate([[0], np.cumsum(count[lone])])[firsts]
+        heads = firsts[np.concatenate([[True], np.diff(before // PART_WINDOWS) > 0])] if len(lone) else lone
+        for x, y in zip(heads.tolist(), [*heads[1:].tolist(), len(lone)]):
+            part = lone[x:y]
+            n = count[part]
+            owner = np.repeat(part, n)
             shift = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
-            hit = repeats_in(at[owner] + shift, owner, data, (first[owner], sha[owner], start[owner] + shift), length)
+            hit = repeats_in(at[owner] + shift, data, (first[owner], sha[owner], start[owner] + shift), length)
             spans_of.append(owner[hit])
             spans_start.append((start[owner] + shift)[hit])
             spans_end.append((start[owner] + shift)[hit] + length)
