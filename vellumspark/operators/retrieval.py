@@ -1,14 +1,19 @@
 """Dense, sparse and hybrid retrieval, reranking, context assembly and TF-IDF near duplicates.
 
 Questions come in batches: a table of questions is ranked against all chunks in
-one job. Only question tables are small by contract; sparse scores come from a
-postings join on terms, so no pair without a common term is ever formed.
+one job. Dense scores are matrix products of blocks of both tables, so either may
+be large; sparse scores come from a postings join on terms, so no pair without a
+common term is ever formed.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import params as P
 from ..functions import contract_text as C
@@ -34,10 +39,52 @@ def _top(scored: DataFrame, k: int, question: str = "qid", item: str = "id", sco
     return part.withColumn("rank", F.row_number().over(Window.partitionBy(question).orderBy(*order))).filter(F.col("rank") <= k).drop("salt", "r")
 
 
+#: Rows of a block of items and of a block of questions, about.
+ITEM_BLOCK, QUESTION_BLOCK = 4096, 1024
+
+
+def _unit_rows(vectors: pa.ListArray, dimensions: int) -> np.ndarray:
+    """Unit vectors, one a row; NaN where a vector is null, zero, of another length or holds a null."""
+    fits = np.flatnonzero(pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False) == dimensions)
+    out = np.full((len(vectors), dimensions), np.nan)
+    out[fits] = vectors.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), dimensions)
+    norms = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norms == 0, np.nan, norms)
+
+
 def dense_top(questions: DataFrame, items: DataFrame, k: int = P.TOP_K, digits: int = 9) -> DataFrame:
-    """qid, id, score, rank. questions: qid, qvec (a small table, broadcast); items: id, vec."""
-    both = items.crossJoin(F.broadcast(questions))
-    return _top(both.select("qid", "id", F.round(cosine(F.col("vec"), F.col("qvec")), digits).alias("score")), k)
+    """qid, id, score, rank. questions: qid, qvec; items: id, vec.
+
+    Every block of questions meets every block of items, and a meeting sends on
+    only its k best items of each question.
+    """
+    n_items, n_questions = -(-items.count() // ITEM_BLOCK) or 1, -(-questions.count() // QUESTION_BLOCK) or 1
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = items.select("id", "vec", own("id", n_items).alias("ib"), every(n_questions).alias("qb"))
+    b = questions.select("qid", "qvec", own("qid", n_questions).alias("qb"), every(n_items).alias("ib"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("id").combine_chunks()
+        vectors, asked = left.column("vec").combine_chunks(), right.column("qvec").combine_chunks()
+        sizes = pc.list_value_length(asked).fill_null(0).to_numpy(zero_copy_only=False)
+        who, what, scores = [], [], []
+        for d in np.unique(sizes).tolist() if left.num_rows else []:
+            x, rows = _unit_rows(vectors, d), np.flatnonzero(sizes == d)
+            for part in np.array_split(rows, -(-len(rows) // 128)):
+                s = _unit_rows(asked.take(pa.array(part)), d) @ x.T if d else np.full((len(part), len(x)), np.nan)
+                s = np.copysign(np.floor(np.abs(s) * 10**digits + 0.5) / 10**digits, s) + 0.0
+                best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids decide ties, items without a score come last
+                who.append(np.repeat(part, best.shape[1]))
+                what.append(best.ravel())
+                scores.append(np.take_along_axis(s, best, axis=1).ravel())
+        flat = lambda found, kind: np.concatenate(found) if found else np.array([], kind)
+        return pa.table({"qid": right.column("qid").take(pa.array(flat(who, np.int64))), "id": left.column("id").take(pa.array(flat(what, np.int64))),
+                         "score": pa.array(flat(scores, np.float64), from_pandas=True)})
+
+    schema = StructType([questions.schema["qid"], items.schema["id"], StructField("score", DoubleType())])
+    scored = a.groupBy("ib", "qb").cogroup(b.groupBy("ib", "qb")).applyInArrow(run, schema)
+    return _top(scored, k)
 
 
 def postings(items: DataFrame) -> DataFrame:
