@@ -49,3 +49,12 @@ def test_rollups_take_every_order(spark, duck, data, name):  # noqa: F811
     rows = same(spark, duck, data, name, *((f" where (o_orderkey + {s}) % 9 <> 0", "") for s in (0, 1)))
     if name == "eval_rollup":
         assert rows[0].total == spark.read.parquet(f"{data}/orders.parquet").count()
+
+
+ASKED = ("substring(text, 1, 120) as text from benchmark where item_id < 12", "text from benchmark")
+
+
+@pytest.mark.parametrize("name", ["bm25_topk", "rrf_topk", "rerank_overlap"])
+def test_every_item_asks_its_whole_text(spark, duck, data, name):  # noqa: F811
+    rows = same(spark, duck, data, name, ASKED, SEARCHED)
+    assert {r.qid for r in rows} >= {r.item_id for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}

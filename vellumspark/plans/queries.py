@@ -247,7 +247,8 @@ def rank_norm(spark, d):
 
 
 def _questions(spark, d):
-    return _t(spark, d, "benchmark").filter("item_id < 12").select(F.col("item_id").alias("qid"), F.substring("text", 1, 120).alias("question"))
+    """Every item asks its whole text."""
+    return _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
 def _items(spark, d):
