@@ -58,3 +58,22 @@ ASKED = ("substring(text, 1, 120) as text from benchmark where item_id < 12", "t
 def test_every_item_asks_its_whole_text(spark, duck, data, name):  # noqa: F811
     rows = same(spark, duck, data, name, ASKED, SEARCHED)
     assert {r.qid for r in rows} >= {r.item_id for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+
+
+@pytest.mark.parametrize("name, cuts", [
+    ("governing_laws", [("substring(text, 1, 200) as x", "text as x")]), ("indemnity_sides", [("substring(text, 1, 200) as i", "text as i")]),
+    ("question_types", [("substring(text, 1, 110)", "text")])])
+def test_extractors_read_whole_texts(spark, duck, data, name, cuts):  # noqa: F811
+    same(spark, duck, data, name, *cuts)
+
+
+def test_extractors_find_what_stands_late(spark, tmp_path):
+    late = "word " * 100 + ("This is governed by the laws of the State of Ohio. Beta Company shall indemnify Gamma. Is the premium for insurance due? "
+                            "The ACME Holdings paid $5,000 on 2024.")
+    spark.createDataFrame([(16, "Alpha Company shall indemnify Beta. " + late, "en", "s0"), (6, late, "en", "s1"), (33, "word " * 100 + "is insurance due?", "en", "s1")], "doc_id long, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    row = lambda name: {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert "Ohio" in row("governing_laws")[6].law
+    assert not row("indemnity_sides")[16].one_sided and "Beta Company" in row("indemnity_sides")[6].obligors
+    assert "insurance" in {r.clause_type for r in QUERIES["question_types"](spark, str(tmp_path)).collect()}
+    assert row("entity_counts")[6].key > 0 and row("entity_counts")[6].factual > 0

@@ -131,11 +131,11 @@ def auto_renewals(spark, d):
 
 
 def governing_laws(spark, d):
-    return contracts(spark, d).select("doc_id", C.governing_law(F.substring("text", 1, 200)).alias("law"))
+    return contracts(spark, d).select("doc_id", C.governing_law(F.col("text")).alias("law"))
 
 
 def indemnity_sides(spark, d):
-    t = F.substring("text", 1, 200)
+    t = F.col("text")
     return contracts(spark, d).select("doc_id", F.array_join(C.obligors(t), "|").alias("obligors"), C.one_sided_indemnity(t).alias("one_sided"))
 
 
@@ -146,7 +146,7 @@ def asked_pages(spark, d):
 
 
 def question_types(spark, d):
-    return contracts(spark, d).groupBy(C.question_type(F.substring("text", 1, 110)).alias("clause_type")).agg(F.count("*").alias("n"))
+    return contracts(spark, d).groupBy(C.question_type(F.col("text")).alias("clause_type")).agg(F.count("*").alias("n"))
 
 
 def input_verdicts(spark, d):
@@ -164,7 +164,7 @@ def claim_counts(spark, d):
 
 
 def entity_counts(spark, d):
-    t = F.substring("text", 1, 120)
+    t = F.col("text")
     return contracts(spark, d).select("doc_id", F.size(C.key_entities(t)).alias("key"), F.size(C.factual_entities(t)).alias("factual"))
 
 
