@@ -77,3 +77,23 @@ def test_extractors_find_what_stands_late(spark, tmp_path):
     assert not row("indemnity_sides")[16].one_sided and "Beta Company" in row("indemnity_sides")[6].obligors
     assert "insurance" in {r.clause_type for r in QUERIES["question_types"](spark, str(tmp_path)).collect()}
     assert row("entity_counts")[6].key > 0 and row("entity_counts")[6].factual > 0
+
+
+WHOLE_CLAUSE = ("substring(text, 1, 200) as text from typed", "text from typed")
+
+
+@pytest.mark.parametrize("name", ["clause_dedupe", "rule_scores", "rule_risks", "risk_features"])
+def test_risks_read_whole_clauses(spark, duck, data, name):  # noqa: F811
+    same(spark, duck, data, name, WHOLE_CLAUSE)
+
+
+def test_contexts_hold_whole_chunks(spark, duck, data):  # noqa: F811
+    same(spark, duck, data, "contexts", ("substring(text, 1, 60) as block", "text as block"), SEARCHED)
+
+
+def test_longest_clause_is_kept(spark, tmp_path):
+    cap = " word" * 100 + " The aggregate liability shall not exceed $5,000."
+    rows = [(0, "x" * 300, "en", "s0"), (119, "x" * 300 + cap, "en", "s0")]  # both liability clauses of one project
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = QUERIES["clause_dedupe"](spark, str(tmp_path)).filter("clause_type = 'liability'").collect()
+    assert [r.pos for r in kept] == [119]

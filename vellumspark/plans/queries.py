@@ -279,7 +279,7 @@ def page_priority(spark, d):
 def contexts(spark, d):
     rows = _dense(spark, d, 4).join(contracts(spark, d), F.col("id") == F.col("doc_id"))
     return retrieval.assemble_context(rows.select("qid", "rank", F.col("source").alias("document"), C.clause_type(F.col("text")).alias("clause_type"),
-                                                  C.section_reference(F.col("text")).alias("section"), (F.col("id") % 9).alias("page"), F.substring("text", 1, 60).alias("text")))
+                                                  C.section_reference(F.col("text")).alias("section"), (F.col("id") % 9).alias("page"), "text"))
 
 
 def tfidf_near_duplicates(spark, d):
@@ -300,7 +300,7 @@ def _clauses(spark, d):
     kind = C.clause_type(F.col("text"))
     kind = F.when(kind == "term_and_renewal", "auto_renewal").when(kind == "signatures", "other").otherwise(F.coalesce(kind, F.lit("other")))
     return rows.select(F.concat_ws("-", "source", (F.col("doc_id") % 7).cast("string")).alias("project_id"), F.col("doc_id").alias("pos"), kind.alias("clause_type"),
-                       F.coalesce(C.section_reference(F.col("text")), F.lit("untitled")).alias("title"), F.substring("text", 1, 200).alias("text"))
+                       F.coalesce(C.section_reference(F.col("text")), F.lit("untitled")).alias("title"), "text")
 
 
 def _metadata(spark, d):
