@@ -69,6 +69,20 @@ def test_embedding_links(spark, monkeypatch):
     assert forest.near_duplicates(frame.filter("false")).count() == 0
 
 
+def test_links_of_a_dense_label(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LEAF", 64)
+    monkeypatch.setattr(forest, "BLOCK", 128)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 64))
+    x = np.sqrt(0.06) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += np.sqrt(0.94)  # cosines of about 0.94
+    x = x.astype(np.float32)
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = {r.vec_id: r.n_links for r in forest.near_duplicates(frame).collect()}
+    assert [found[i] for i in range(900)] == ((y @ y.T >= forest.THRESHOLD).sum(axis=1) - 1).tolist()
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.binary(max_size=60).map(lambda b: bytes(x % 3 for x in b)))
 def test_longest_previous_factors(data):

@@ -10,7 +10,8 @@ leaves counts in the least of them. Links are united to components.
 Splits are fitted on a bounded sample of each group, but every vector is routed.
 A leaf that is still too large is a group of the next round, so leaves are
 bounded however many vectors there are; only a leaf that no split divides (a
-dense cluster) stays, and is compared in blocks.
+dense cluster) stays, and is compared in blocks. A label that a tree leaves whole
+holds all its pairs in that one leaf; the other trees drop it.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, nor do rows with a null label or vectors of
@@ -39,9 +40,10 @@ LEAF = 1024
 #: Vectors that the splits of one group are fitted on, about.
 SAMPLE = 8192
 #: Margin around a split, in units of the spread of the projected difference of two vectors that just link.
-SPILL = 0.5
-#: A split that leaves more than this share on a side divides nothing.
-USELESS = 0.85
+SPILL = 0.75
+#: A split that leaves more than this share on a side divides nothing: it would part too many linked pairs for its use.
+#: With SPILL, a split parts at most about 1.2 % of the pairs that just link.
+USELESS = 0.65
 LEVELS = 24
 ROUNDS = 12
 BLOCK = 1024
@@ -167,9 +169,20 @@ def plant_forest(vectors: DataFrame, scratch: Scratch, threshold: float = THRESH
         following = scratch.save(rest.unionByName(moved))
         scratch.drop(state)
         state = following
+        if not number:
+            state = scratch.save(_once_if_whole(state))
+            scratch.drop(following)
     return state
 
 
+def _once_if_whole(state: DataFrame) -> DataFrame:
+    """After the first round: groups that some tree left whole (closed) stay in the least such tree only."""
+    group = [F.col("label"), F.size("vector").alias("dimensions")]
+    whole = state.filter("closed").groupBy(*group).agg(F.min("tree").alias("only"))
+    rows = state.withColumn("dimensions", group[1]).join(whole, ["label", "dimensions"], "left")
+    return rows.filter("only is null or tree = only").select(*STATE_COLUMNS)
+
+
 def _links(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return x @ y.T >= threshold
 
