@@ -35,6 +35,11 @@ def test_language_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and {30, 31, 32, 35}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_lettered_texts_stay_where_no_language_is_named(odd):
+    kept = langid.keep_identified(odd, langid.train_prototypes(odd.filter("lang is null and false")), 0.0)
+    assert kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in odd.collect())
+
+
 def test_language_slices_join_up(monkeypatch):
     text = "der schnelle Fuchs springt über den faulen Hund " * 40
     whole = langid.Encoder().trigrams(text)

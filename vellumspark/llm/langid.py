@@ -188,7 +188,10 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
 
 def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least_score: float, text_col: str = "text",
                     dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """The rows whose text has a language, with all their columns; a cosine under ``least_score`` to every prototype has none."""
+    """The rows whose text has a language, with all their columns; a cosine under ``least_score`` to every prototype has none.
+
+    Without prototypes nothing can be told apart, so every text with a letter stays.
+    """
     langs = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in langs], dtype=np.float32).reshape(len(langs), dimensions)
     place = docs.columns.index(text_col)
@@ -197,6 +200,9 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least_s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(dimensions, seed)
         for batch in batches:
+            if not langs:
+                yield batch.filter(pa.array([encoder.vector(t.as_py()) is not None for t in batch.column(place)], pa.bool_()))
+                continue
             found = [classify(encoder, matrix, langs, t.as_py()) for t in batch.column(place)]
             yield batch.filter(pa.array([p != UNDETERMINED and s >= least_score for p, s in found], pa.bool_()))
 
