@@ -55,11 +55,11 @@ DENSE = f"""dense as (
              (sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[]))) * sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[])))), 6) as score,
            row_number() over (partition by q.vec_id order by round(list_dot_product(cast(q.embedding as double[]), cast(e.embedding as double[])) /
              (sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[]))) * sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[])))), 6) desc, e.vec_id) as rank
-    from embeddings e, embeddings q where q.vec_id < 5) r where rank <= 50)"""
+    from embeddings e, embeddings q where q.vec_id % 50 = 0) r where rank <= 50)"""
 
 
 def _bm25(k: int) -> str:
-    return f"""questions as (select item_id as qid, substring(text, 1, 120) as text from benchmark where item_id < 12),
+    return f"""questions as (select item_id as qid, text from benchmark),
 asked as (select distinct qid, unnest({WORDS3}) as term from questions),
 words as (select doc_id as id, {WORDS3} as w from documents),
 size as (select count(*) as n, sum(len(w)) as total from words),
@@ -73,14 +73,21 @@ sparse as (select * from (select *, row_number() over (partition by qid order by
 CLAUSES = _typed() + f""", clauses as (
   select source || '-' || (doc_id % 7) as project_id, doc_id as pos,
          case when clause_type = 'term_and_renewal' then 'auto_renewal' when clause_type = 'signatures' then 'other' else coalesce(clause_type, 'other') end as clause_type,
-         coalesce({SECTION}, 'untitled') as title, substring(text, 1, 200) as text from typed)"""
+         coalesce({SECTION}, 'untitled') as title, text from typed)"""
 DEDUPED = CLAUSES + """, deduped as (select project_id, pos, clause_type, title, text from (
   select *, row_number() over (partition by project_id, case when clause_type = 'other' then 'other:' || lower(trim(title)) else clause_type end
                                order by case when clause_type = 'other' then 0 else length(text) end desc, pos) as rn from clauses) r where rn = 1)"""
 RUNS = """{name} as (select o_orderkey as case_id, o_orderpriority as kind, ((o_orderkey * 37 + {s} * 11) % 100) / 100.0 >= 0.4 as passed,
   ((o_orderkey * 37 + {s} * 11) % 100) / 100.0 as judge_overall, ((o_orderkey * 13 + {s}) % 90) / 100.0 as clause_recall, ((o_orderkey * 17 + {s}) % 95) / 100.0 as clause_precision,
   ((o_orderkey * 19 + {s}) % 93) / 100.0 as clause_f1, case when o_orderkey % 4 <> 0 then cast(o_orderkey % 3 as double) end as severity_calibration_error,
-  case when o_orderkey % 50 = 0 then 'timeout' end as error from orders where (o_orderkey + {s}) % 9 <> 0)"""
+  case when o_orderkey % 50 = 0 then 'timeout' end as error from orders{where})"""
+
+
+def _runs(name: str, s: int, parted: bool = False) -> str:
+    """A run's results; ``parted`` runs each lack other cases."""
+    return RUNS.format(name=name, s=s, where=f" where (o_orderkey + {s}) % 9 <> 0" if parted else "")
+
+
 ROLLUP = """select count(*) as total, count(*) filter (where passed) as passed, count(*) filter (where error is not null) as errors,
   round(count(*) filter (where passed) / cast(count(*) as double), 3) as pass_rate, round(avg(judge_overall) filter (where error is null), 3) as judge,
   round(avg(clause_recall) filter (where error is null), 3) as recall, round(avg(clause_precision) filter (where error is null), 3) as precision,
@@ -147,10 +154,10 @@ SQL: dict[str, str] = {
       coalesce(nullif(regexp_extract(text, {_s(P.RENEWAL_TERM)}, 1), ''), '1') as cnt, {DAYS} as days from contracts)
       select doc_id, r as has_auto_renewal, case when r then case when unit = '' then '' else cnt || '-' || case when regexp_matches(unit, 'year|annual') then 'year' else 'month' end end end as renewal_period,
         case when r then days end as opt_out_days, r and coalesce(days >= 30, false) as adequate from t""",
-    "governing_laws": f"""with {CONTRACT}, t as (select doc_id, substring(text, 1, 200) as x from contracts)
+    "governing_laws": f"""with {CONTRACT}, t as (select doc_id, text as x from contracts)
       select doc_id, regexp_replace(trim(coalesce({", ".join(f"nullif(regexp_extract(x, {_s(P.LAW)}, {g}), '')" for g in (1, 2, 3))})), '[.,;]+$', '') as law from t""",
     "asked_pages": f"with r as (select conv_id, turn, lower({ASKED_Q}) as q from conversations where role = 'user') select conv_id, turn, {_asked('q')} as page from r",
-    "question_types": f"""with {CONTRACT}, r as (select lower(substring(text, 1, 110)) as q from contracts)
+    "question_types": f"""with {CONTRACT}, r as (select lower(text) as q from contracts)
       select case {" ".join(f"when contains(q, {_s(w)}) then '{k}'" for w, k in P.QUESTION_TYPES)} else 'other' end as clause_type, count(*) as n from r group by 1""",
     "query_verdicts": f"""with r as (select conv_id, turn, {QUERY_Q} as q from conversations where role = 'user')
       select conv_id, turn, case when {INJECTED} then 'injection' when {_any('lower(q)', P.OFF_TOPIC)} and not {_any('lower(q)', P.LEGAL_WORDS)} then 'off_topic' end as verdict from r""",
@@ -200,11 +207,11 @@ SQL: dict[str, str] = {
     "prf_macro": f"""with {PRED}, {PER.format(k='doc_id')}, t as (select type, sum(hits) as hits, sum(predicted) as predicted, sum(truth) as truth from counts group by type),
       s as (select {PR.format(d='predicted')} as p, {PR.format(d='truth')} as r from t where truth > 0), f as (select p, r, {F1} as f from s)
       select round(avg(p), 6) as precision, round(avg(r), 6) as recall, round(avg(f), 6) as f1 from f""",
-    "run_diff": f"""with {RUNS.format(name='b', s=0)}, {RUNS.format(name='c', s=1)}, d as (select case when b.case_id is null then 'new' when c.case_id is null then 'removed'
+    "run_diff": f"""with {_runs('b', 0, True)}, {_runs('c', 1, True)}, d as (select case when b.case_id is null then 'new' when c.case_id is null then 'removed'
         when (b.passed and not c.passed) or b.judge_overall - c.judge_overall > 0.1 then 'regression' when (not b.passed and c.passed) or c.judge_overall - b.judge_overall > 0.1 then 'improvement'
         else 'same' end as change from b full join c on b.case_id = c.case_id) select change, count(*) as n from d group by 1""",
-    "eval_rollup": f"with {RUNS.format(name='b', s=0)}, r as ({ROLLUP.format(name='b')}) select *, judge >= 0.7 and recall >= 0.6 and precision >= 0.6 as meets from r",
-    "eval_breakdown": f"""with {RUNS.format(name='b', s=0)} select kind, count(*) as n, round(count(*) filter (where passed) / cast(count(*) as double), 3) as pass_rate, round(avg(clause_f1), 3) as f1
+    "eval_rollup": f"with {_runs('b', 0)}, r as ({ROLLUP.format(name='b')}) select *, judge >= 0.7 and recall >= 0.6 and precision >= 0.6 as meets from r",
+    "eval_breakdown": f"""with {_runs('b', 0)} select kind, count(*) as n, round(count(*) filter (where passed) / cast(count(*) as double), 3) as pass_rate, round(avg(clause_f1), 3) as f1
       from b group by kind""",
     "severity_errors": """with r as (select (o_orderkey % 5 + 1) as p, (o_orderkey % 7 + 1) as e from orders)
       select round(avg(case when e <= 4 then abs(coalesce(case when p <= 4 then p end, 1) - e) end), 6) as mae from r""",
@@ -240,10 +247,10 @@ SQL |= {
       d as (select {WORDS3} as w from documents), known as (select distinct unnest({BIGRAMS}) as g from d)
       select 'p' as project_id, b.item_id, coalesce(round(count(known.g) / cast(nullif(count(own.g), 0) as double), 6), 0) as overlap
       from benchmark b left join own on own.item_id = b.item_id left join known on known.g = own.g group by b.item_id""",
-    "metric_regressions": f"""with {RUNS.format(name='b', s=0)}, {RUNS.format(name='c', s=1)}, rb as ({ROLLUP.format(name='b')}), rc as ({ROLLUP.format(name='c')}),
+    "metric_regressions": f"""with {_runs('b', 0)}, {_runs('c', 1)}, rb as ({ROLLUP.format(name='b')}), rc as ({ROLLUP.format(name='c')}),
       m as (""" + " union all ".join(f"select '{n}' as metric, rb.{n} as base, rc.{n} as current from rb, rc" for n in ("pass_rate", "judge", "recall", "precision", "f1")) + """)
       select metric, base, current, base > 0 and base - current > 0.05 as regressed from m""",
-    "quality_gate": f"""with {RUNS.format(name='b', s=0)}, r as ({ROLLUP.format(name='b')}) select concat_ws(',', case when f1 < 0.7 then 'clause_f1' end, case when recall < 0.65 then 'clause_recall' end,
+    "quality_gate": f"""with {_runs('b', 0)}, r as ({ROLLUP.format(name='b')}) select concat_ws(',', case when f1 < 0.7 then 'clause_f1' end, case when recall < 0.65 then 'clause_recall' end,
       case when precision < 0.65 then 'clause_precision' end, case when judge < 0.7 then 'judge' end, case when pass_rate < 0.8 then 'pass_rate' end) as failures from r""",
     "label_set_scores": f"""with {CONTRACT}, {CLAUSES}, g as (select project_id, list_distinct(list(clause_type)) as found from clauses group by project_id),
       h as (select project_id, len(list_intersect(found, {_list(P.CORE_CLAUSES)})) as hits, len(found) as n from g),
@@ -257,7 +264,7 @@ SQL |= {
       select conv_id, '### Instruction:' || chr(10) || coalesce(s, '') || chr(10) || chr(10) || '### Input:' || chr(10) || substring(coalesce(u, ''), 1, 1500) || chr(10) || chr(10) || '### Response:' || chr(10) as prompt,
         length(coalesce(a, '')) as response_chars from m""",
     "contexts": f"""with {CONTRACT}, {_typed()}, {DENSE}, b as (select qid, rank, '--- Chunk ' || rank || ' [' || concat_ws(', ', 'document=' || source, 'clause_type=' || clause_type, 'section=' || {SECTION}, 'page=' || (id % 9))
-        || '] ---' || chr(10) || substring(text, 1, 60) as block from dense join typed on id = doc_id where rank <= 4)
+        || '] ---' || chr(10) || text as block from dense join typed on id = doc_id where rank <= 4)
       select qid, string_agg(block, chr(10) || chr(10) order by rank) as context from b group by qid""",
     "claim_counts": f"""with {CONTRACT}, s as (select doc_id, list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as parts from contracts)
       select doc_id, len(list_filter(parts, lambda x: length(x) >= 20 and (contains(lower(x), 'must') or contains(lower(x), 'shall') or contains(lower(x), 'will') or contains(lower(x), 'may')
@@ -285,9 +292,9 @@ _RULES = f"""g as (select project_id, right(project_id, 1) as last, bool_or(clau
     union all select project_id, {{'c': 'unfavorable_terms', 's': 'high', 't': 'One-sided indemnification obligation'}} from k where len({_OBLIGORS.format(p=_s(P.OBLIGOR))}) = 1)"""
 SQL |= {
     "rule_risks": f"with {CONTRACT}, {DEDUPED}, {_RULES} select project_id, x.c as category, x.s as severity, x.t as title, count(*) as n from found group by all",
-    "indemnity_sides": f"""with {CONTRACT}, r as (select doc_id, substring(text, 1, 200) as i from contracts), o as (select doc_id, list_filter(list_transform(regexp_extract_all(i, {_s(P.OBLIGOR)}, 1),
+    "indemnity_sides": f"""with {CONTRACT}, r as (select doc_id, text as i from contracts), o as (select doc_id, list_filter(list_transform(regexp_extract_all(i, {_s(P.OBLIGOR)}, 1),
         lambda n: regexp_replace(trim(n), '[,.]+$', '')), lambda n: length(n) >= 3) as names from r)
-      select doc_id, case when len(names) = 0 then '' when len(list_distinct(names)) = 1 then names[1] when len(names) = 2 then names[1] || '|' || names[2] else '?' end as obligors,
+      select doc_id, array_to_string(list_filter(names, lambda n, k: list_position(names, n) = k), '|') as obligors,
         len(list_distinct(names)) = 1 as one_sided from o""",
     "clause_validation": f"""with i as (select item_id % 5 as project_id, item_id, text, {WORDS3} as w from benchmark), own as (select project_id, item_id, unnest({BIGRAMS}) as g from i),
       d as (select doc_id % 5 as project_id, {WORDS3} as w from documents), known as (select distinct project_id, unnest({BIGRAMS}) as g from d),
