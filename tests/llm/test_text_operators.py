@@ -128,6 +128,12 @@ def test_gif_round_trip(odd, none, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         gif = media.write_gif(padded)
         assert (r.media_bytes, r.media_sha256) == (len(gif), hashlib.sha256(gif).hexdigest())
+        hist = np.bincount(np.frombuffer(padded, np.uint8) // 16, minlength=16)  # grey: a byte is its luminance
+        share = hist[hist > 0] / len(padded)
+        frames = -(-len(padded) // 65_536)
+        assert r.feature == (f"gif;frames={frames};width=64;rows={len(padded) // 64};delay_cs={4 * frames};"
+                             f"entropy={-(share * np.log2(share)).sum() + 0.0:.4f};hist={','.join(map(str, hist))}")
+    assert all(found[i].media_bytes < found[i].payload_bytes for i, t in texts if len(t or "") > 100_000)
     assert media.text_payload_columns(none).count() == 0
 
 
@@ -175,6 +181,24 @@ def test_lzw_decodes_compressed_streams(bits, n):
         assert (media.lzw_decode(lzw_encode(data.tobytes(), bits), bits, n) == data).all()
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 255, 5000, 70_000])
+def test_lzw_encoder(n):
+    rng = np.random.default_rng(n)
+    for bits in (2, 4, 8):
+        for data in (rng.integers(0, 1 << bits, n, dtype=np.uint8), np.zeros(n, np.uint8), (np.arange(n) % 3).astype(np.uint8)):
+            stream = media.lzw_encode(data.tobytes(), bits)
+            assert (media.lzw_decode(stream, bits, n) == data).all()
+            if n and max(map(len, media.lzw_segments(data.tobytes(), bits))) < 4096 - (1 << bits):
+                assert stream == lzw_encode(data.tobytes(), bits)
+    assert len(media.lzw_encode(bytes(70_000))) < 2000
+
+
+def test_payload_of_one_id_with_two_texts(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (None, "a")], "doc_id long, text string")
+    found = media.text_payload_columns(rows).collect()
+    assert len({r.media_sha256 for r in found}) == 2 and len(found) == 3
+
+
 def gif(frames, size=(4, 2), palette=bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])):
     out = b"GIF89a" + size[0].to_bytes(2, "little") + size[1].to_bytes(2, "little") + bytes([0x81, 0, 0]) + palette
     for left, top, w, h, pixels, disposal, transparent, delay in frames:

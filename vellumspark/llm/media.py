@@ -1,6 +1,6 @@
 """GIF media columns: a writer, a decoder and frame features.
 
-``write_gif`` stores bytes losslessly as 8-bit palette indexes, ``iter_gif``
+``write_gif`` stores bytes losslessly as 8-bit palette indexes in compressed LZW code streams, ``iter_gif``
 decodes any GIF87a or GIF89a file (LZW code streams, local and global palettes,
 interlacing, disposal, transparency, delays), ``frame_features`` summarises
 frames by colour histograms, ``gif_columns`` applies decoding to a binary column
@@ -57,45 +57,67 @@ class Frame:
 # --- writing -----------------------------------------------------------------
 
 
-def lzw_literals(data: np.ndarray) -> bytes:
-    """A valid 8-bit LZW stream of clear codes and literals only.
+def lzw_segments(data: bytes, bits: int = 8) -> Iterator[list[int]]:
+    """Codes of the data, each times 256, in runs that each start from an empty string table.
 
-    The table is cleared before codes grow past nine bits, so every code has
-    nine bits and the whole stream is packed at once. It trades size (9/8 of the
-    data) for an encoder without a loop over the bytes.
+    The table maps (code of a known string, next byte) to the longer string's
+    code. A run ends when the table's 4,096 codes are used up, so the table is
+    bounded however long the data are.
     """
-    run = 254  # literals that a decoder can take before its codes widen to ten bits
-    n = len(data)
-    blocks = -(-n // run) if n else 1
-    codes = np.full(n + blocks + 1, 256, dtype=np.uint16)
-    places = np.arange(n)
-    codes[places + places // run + 1] = data
-    codes[-1] = 257
-    return _pack_nine(codes)
-
-
-def _pack_nine(codes: np.ndarray) -> bytes:
-    """Nine-bit codes, least significant bit first: eight codes are nine bytes."""
-    n = len(codes)
-    eights = np.zeros((-(-n // 8), 8), np.uint16)
-    eights.ravel()[:n] = codes
-    out = np.empty((len(eights), 9), np.uint8)
-    out[:, 0] = eights[:, 0]
-    for j in range(1, 8):
-        out[:, j] = (eights[:, j - 1] >> (9 - j)) | (eights[:, j] << j)
-    out[:, 8] = eights[:, 7] >> 1
-    return out.tobytes()[: -(-9 * n // 8)]
-
-
-def _unpack_nine(stream: bytes) -> np.ndarray:
-    n = len(stream) * 8 // 9
-    nines = np.zeros((-(-n // 8), 9), np.uint8)
-    used = min(len(stream), nines.size)
-    nines.ravel()[:used] = np.frombuffer(stream, np.uint8, used)
-    out = np.empty((len(nines), 8), np.uint16)
-    for j in range(8):
-        out[:, j] = (nines[:, j] >> j) | ((nines[:, j + 1].astype(np.uint16) << (8 - j)) & 0x1FF)
-    return out.ravel()[:n]
+    first = (1 << bits) + 2 << 8
+    rest = iter(data)
+    word = next(rest, None)
+    if word is None:
+        return
+    word <<= 8
+    table: dict[int, int] = {}
+    codes: list[int] = []
+    free, full = first, MAX_CODES << 8
+    for byte in rest:
+        longer = word | byte
+        if longer in table:
+            word = table[longer]
+            continue
+        codes.append(word)
+        word = byte << 8
+        if free < full:
+            table[longer] = free
+            free += 256
+        else:
+            yield codes
+            table.clear()
+            codes, free = [], first
+    codes.append(word)
+    yield codes
+
+
+def lzw_encode(data: bytes, bits: int = 8) -> bytes:
+    """A GIF code stream: a clear code before each run of codes, widths that grow with the table, an end code."""
+    clear, offsets = 1 << bits, _widths(bits)
+    codes, where, at = [[clear]], [np.zeros(1, np.int64)], bits + 1
+    for run in lzw_segments(data, bits):
+        if len(codes) > 1:  # the clear code between two runs still has the width of the run before it
+            codes.append([clear])
+            where.append(np.array([at]))
+            at += width
+        codes.append(np.array(run, np.uint32) >> np.uint32(8))
+        where.append(at + offsets[: len(run)])
+        width = int(offsets[len(run) + 1] - offsets[len(run)])
+        at += int(offsets[len(run)])
+    codes.append([clear + 1])
+    where.append(np.array([at]))
+    end = at + (width if len(codes) > 2 else bits + 1)
+    return _packed(np.concatenate([np.array(c, np.uint32) for c in codes]), np.concatenate(where), end)
+
+
+def _packed(codes: np.ndarray, where: np.ndarray, end: int) -> bytes:
+    """Codes of 12 bits at most at their bit offsets, least significant bit first; no two overlap."""
+    out = np.zeros(int(where[-1] >> 3) + 4, np.uint32)
+    wide = codes << (where & 7).astype(np.uint32)
+    byte = where >> 3
+    for k in range(3):
+        np.add.at(out, byte + k, wide >> np.uint32(8 * k) & np.uint32(255))
+    return out[: -(-end // 8)].astype(np.uint8).tobytes()
 
 
 def _sub_blocks(stream: bytes) -> bytes:
@@ -107,7 +129,10 @@ def _sub_blocks(stream: bytes) -> bytes:
 
 
 def write_gif(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS) -> bytes:
-    """Payload (a positive multiple of ``width`` bytes) as the pixel indexes of one or more frames, grey palette."""
+    """Payload (a positive multiple of ``width`` bytes) as the pixel indexes of one or more frames, grey palette.
+
+    Every frame is cleared after its time, so the canvas shows one part of the payload at a time.
+    """
     data = np.frombuffer(payload, dtype=np.uint8)
     rows = len(data) // width
     if rows * width != len(data) or not rows:
@@ -117,9 +142,9 @@ def write_gif(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS,
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette]
     for at in range(0, rows, frame_rows):
         part = data[at * width : min(rows, at + frame_rows) * width]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_cs, 0) + b"\0")
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 2 << 2, delay_cs, 0) + b"\0")
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08")
-        out.append(_sub_blocks(lzw_literals(part)))
+        out.append(_sub_blocks(lzw_encode(part.tobytes())))
     out.append(b"\x3b")
     return b"".join(out)
 
@@ -136,30 +161,25 @@ def _code_offsets(bits: int, after_clear: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(widths)))
 
 
+SPAN = MAX_CODES + 64
 _OFFSETS: dict[int, np.ndarray] = {}
 
 
+def _widths(bits: int) -> np.ndarray:
+    if bits not in _OFFSETS:
+        _OFFSETS[bits] = _code_offsets(bits, SPAN)
+    return _OFFSETS[bits]
+
+
 def lzw_decode(stream: bytes, min_bits: int, limit: int) -> np.ndarray:
     """Indexes of an LZW code stream, at most ``limit``.
 
-    A stream of literals that is cleared before codes widen has codes of one
-    width, which are cut out at once. Else the width of every code between two
-    clear codes follows from its number alone, so a segment's codes are cut out
-    of the bit stream at once. A segment of literals is its own expansion; any
-    other goes through the string table.
+    The width of every code between two clear codes follows from its number
+    alone, so a run's codes are cut out of the bit stream at once; then they go
+    through the string table that they build.
     """
     clear, end = 1 << min_bits, (1 << min_bits) + 1
-    if min_bits == 8:
-        codes = _unpack_nine(stream)
-        ends = np.flatnonzero(codes == end)
-        codes = codes[: ends[0]] if len(ends) else codes
-        clears = np.flatnonzero(codes == clear)
-        gaps = np.diff(np.concatenate([clears, [len(codes)]]))
-        # 255 literals after a clear fill the nine-bit table; a code beyond 257 needs the string table
-        if len(ends) and len(clears) and clears[0] == 0 and gaps.max() <= 255 and codes.max() <= clear:
-            return np.delete(codes, clears).astype(np.uint8)[:limit]
-    span = MAX_CODES + 64
-    offsets = _OFFSETS.setdefault(min_bits, _code_offsets(min_bits, span))
+    offsets = _widths(min_bits)
     data = np.frombuffer(stream + b"\0\0\0\0", dtype=np.uint8)
     total_bits = len(stream) * 8
     out: list[np.ndarray] = []
@@ -169,14 +189,14 @@ def lzw_decode(stream: bytes, min_bits: int, limit: int) -> np.ndarray:
         k, stop, base = 0, None, at
         while stop is None:
             # a table stays full at 12 bits until the next clear, however far that is
-            if k < span:
-                m = min(span - k, 320 if k == 0 else span)
+            if k < SPAN:
+                m = min(SPAN - k, 320 if k == 0 else SPAN)
                 where = base + offsets[k : k + m]
                 width = offsets[k + 1 : k + m + 1] - offsets[k : k + m] if k + m < len(offsets) else np.diff(offsets[k:])
                 where = where[: len(width)]
             else:
-                where = base + offsets[span] + 12 * (np.arange(span) + k - span)
-                width = np.full(span, 12)
+                where = base + offsets[SPAN] + 12 * (np.arange(SPAN) + k - SPAN)
+                width = np.full(SPAN, 12)
             inside = where + width <= total_bits
             where, width = where[inside], width[inside]
             byte = where >> 3
@@ -193,12 +213,8 @@ def lzw_decode(stream: bytes, min_bits: int, limit: int) -> np.ndarray:
             k += len(width)
         codes = np.concatenate(parts)
         if len(codes):
-            if codes.max() < clear:
-                piece = codes.astype(np.uint8)
-            else:
-                piece = _expand(codes, clear)
-            out.append(piece)
-            have += len(piece)
+            out.append(_expand(codes, clear))
+            have += len(out[-1])
         if stop == end:
             break
     found = np.concatenate(out) if out else np.zeros(0, np.uint8)
@@ -206,25 +222,36 @@ def lzw_decode(stream: bytes, min_bits: int, limit: int) -> np.ndarray:
 
 
 def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
-    """Strings of a segment's codes, through the table that the codes themselves build."""
-    strings: list[bytes] = [bytes([i]) for i in range(clear)] + [b"", b""]
-    listed = codes.tolist()
-    if listed[0] >= clear:
-        raise ValueError("a segment starts with a code that is not a literal")
-    previous = strings[listed[0]]
-    out = [previous]
-    for code in listed[1:]:
-        if code < len(strings):
-            string = strings[code]
-        elif code == len(strings) and len(strings) < MAX_CODES:
-            string = previous + previous[:1]
-        else:
-            raise ValueError("a code lies beyond the table")
-        if len(strings) < MAX_CODES:
-            strings.append(previous + string[:1])
-        out.append(string)
-        previous = string
-    return np.frombuffer(b"".join(out), dtype=np.uint8)
+    """Strings of a run's codes, through the table that the codes themselves build.
+
+    The table's k-th string is the k-th code's string and the byte that follows
+    it in the output, so each byte of the output is a literal or has its source
+    further to the front. Lengths and sources are followed by pointer doubling.
+    """
+    n = len(codes)
+    place = np.arange(n, dtype=np.int32)
+    literal = codes < clear
+    entry = np.where(literal, place, codes - (clear + 2)).astype(np.int32)
+    if not literal[0]:
+        raise ValueError("a run starts with a code that is not a literal")
+    if (~literal & ((entry < 0) | (entry >= place))).any():
+        raise ValueError("a code lies beyond the table")
+    size, ahead = np.where(literal, 0, 1).astype(np.int32), entry
+    while not literal[ahead].all():
+        size = size + size[ahead]
+        ahead = ahead[ahead]
+    size = size + 1
+    start = np.cumsum(size, dtype=np.int32) - size
+    at = np.arange(int(start[-1] + size[-1]), dtype=np.int32)
+    source = at - np.repeat(np.where(literal, 0, start - start[entry]).astype(np.int32), size)
+    while True:
+        further = source[source]
+        if (further == source).all():
+            break
+        source = further
+    value = np.zeros(len(at), np.uint8)
+    value[start[literal]] = codes[literal]
+    return value[source]
 
 
 def _blocks(media: bytes, at: int) -> tuple[bytes, int]:
@@ -301,10 +328,12 @@ def iter_gif(media: bytes, render: bool = True) -> Iterator[tuple[int, int, Fram
                 colours = np.zeros((256, 4), np.uint8)
                 colours[: len(palette), :3] = palette
                 colours[:, 3] = 255
-                pixels = colours[part]
-                area = canvas[top:y1, left:x1]
-                opaque = np.ones(part.shape, bool) if transparent is None else part != transparent
-                area[opaque] = pixels[opaque]
+                pixels = colours.view(np.uint32).ravel()[part]  # a pixel's four bytes as one number
+                area = canvas.view(np.uint32)[top:y1, left:x1, 0]
+                if transparent is None:
+                    area[:] = pixels
+                else:
+                    np.copyto(area, pixels, where=part != transparent)
                 shown = canvas.copy()
                 if disposal == 2:
                     area[:] = 0
@@ -328,20 +357,28 @@ def colour_histogram(frame: Frame, bins: int = HISTOGRAM_BINS) -> np.ndarray:
         counts[frame.transparent] = 0
     palette = np.zeros((256, 3), np.int64)
     palette[: len(frame.palette)] = frame.palette
-    luminance = (299 * palette[:, 0] + 587 * palette[:, 1] + 114 * palette[:, 2]) // 1000
+    luminance = (77 * palette[:, 0] + 150 * palette[:, 1] + 29 * palette[:, 2]) // 256
     return np.bincount(luminance * bins // 256, weights=counts, minlength=bins).astype(np.int64)
 
 
+def canvas_histogram(canvas: np.ndarray, bins: int = HISTOGRAM_BINS) -> np.ndarray:
+    """Visible pixels of an RGBA canvas by luminance bin."""
+    seen = canvas[canvas[..., 3] > 0]
+    weight = np.array([77, 150, 29], np.uint16)  # of 256
+    luminance = (seen[:, 0] * weight[0] + seen[:, 1] * weight[1] + seen[:, 2] * weight[2]) >> np.uint16(8)
+    return np.bincount(luminance.astype(np.int64) * bins // 256, minlength=bins)
+
+
 def frame_features(media: bytes) -> tuple[bytes, str]:
-    """The stored bytes, and the features of the decoded frames as text."""
+    """The stored bytes, and the features of the decoded and rendered frames as text."""
     payload, hist, n, height, delay = [], np.zeros(HISTOGRAM_BINS, np.int64), 0, 0, 0
     width = 0
-    for width, _, frame in iter_gif(media, render=False):
+    for width, _, frame in iter_gif(media):
         payload.append(frame.indexes.tobytes())
-        hist += colour_histogram(frame)
+        hist += canvas_histogram(frame.canvas)
         n, height, delay = n + 1, height + len(frame.indexes), delay + frame.delay_cs
     share = hist / max(1, hist.sum())
-    entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum())
+    entropy = float(-(share[share > 0] * np.log2(share[share > 0])).sum()) + 0.0
     text = f"gif;frames={n};width={width};rows={height};delay_cs={delay};entropy={entropy:.4f};hist={','.join(map(str, hist))}"
     return b"".join(payload), text
 
@@ -356,7 +393,7 @@ def text_payload_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for value in batch.column(1):
-                text = (value.as_py() or "").encode()
+                text = (value.as_py() or "").encode("utf-8", "surrogatepass")
                 padded = text + b"\0" * (-len(text) % BLOCK or (0 if text else BLOCK))
                 media = write_gif(padded)
                 back, feature = frame_features(media)
