@@ -40,6 +40,60 @@ def test_lettered_texts_stay_where_no_language_is_named(odd):
     assert kept.count() == sum(any(c.isalpha() for c in r.text or "") for r in odd.collect())
 
 
+def plain_vector(text):
+    """A text's vector by loops over its trigrams, from the letter vectors alone."""
+    encoder = langid.Encoder()
+    letters = encoder.third.astype(int)
+    codes = [0] + encoder.codes(text).tolist() + [0]
+    total = np.zeros(letters.shape[1])
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        if b or (a and c):
+            total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return total, sum(bool(b or (a and c)) for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+
+def plain_prototypes(rows):
+    sums = {}
+    for text, lang in rows:
+        if lang is not None and any(c.isalpha() for c in text or ""):
+            v, n = plain_vector(text)
+            sums[lang] = sums.get(lang, 0) + v / n
+    return {k: v / np.linalg.norm(v) for k, v in sums.items()}
+
+
+def plain_cosines(text, prototypes):
+    v, n = plain_vector(text)
+    return {k: float(p @ v / np.linalg.norm(v)) for k, p in sorted(prototypes.items())}, n
+
+
+def test_language_by_a_plain_recomputation(spark):
+    rows = [(0, "the cat sat on the mat and the dog ran after it", "en"), (1, "der Hund lief schnell über die alte Straße nach Hause", "de"),
+            (2, "où est la bibliothèque de la ville près d'ici", "fr"), (3, "the dog and the house", None), (4, "die Straße nach der alten Stadt", "xx"),
+            (5, "", "en"), (6, None, "de"), (7, "!!", "fr"), (8, "日本語 😀 text", None), (3, "la ville", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = plain_prototypes([(t, x) for i, t, x in rows if i < 3])
+    found = Counter((r.doc_id, r.lang_pred, round(r.score, 4)) for r in langid.identify(frame, F.col("doc_id") < 3).collect())
+    expected = Counter()
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            expected[i, "und", 0.0] += 1
+            continue
+        cosines, _ = plain_cosines(t, learned)
+        best = max(cosines, key=cosines.get)
+        expected[i, best, round(max(0.0, min(1.0, cosines[best])), 4)] += 1
+    assert found == expected
+
+
+def test_junk_is_rejected_and_clean_rows_stay(spark, data):
+    docs = table(spark, data, "documents")
+    rng = np.random.default_rng(6)
+    junk = ["".join(chr(c) for c in rng.integers(low, high, 400)) for low, high in ((0x430, 0x450), (0x5D0, 0x5EA), (97, 123)) for _ in range(20)]
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string"))
+    kept = Counter(r.doc_id for r in langid.keep_identified(rows, langid.train_prototypes(docs), 0.13).collect())
+    assert sum(i < 0 for i in kept) <= 2
+    assert {i for i in kept if i >= 0} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
 def test_language_slices_join_up(monkeypatch):
     text = "der schnelle Fuchs springt über den faulen Hund " * 40
     whole = langid.Encoder().trigrams(text)
@@ -93,30 +147,38 @@ def brute_secrets(text):
 
 
 def test_secrets_by_brute_force(odd, none, texts):
-    paths, ledger = secrets.scan_documents(odd)
-    assert ledger.count() == len({t or "" for _, t in texts})  # a blob is scanned once
-    found = secrets.span_digest(secrets.findings_by_path(paths, ledger)).collect()
+    ledger = secrets.scan_history(odd)
+    assert sum(ledger.scanned) == ledger.findings.count() == len({t or "" for _, t in texts})  # a blob is scanned once
+    found = secrets.span_digest(secrets.findings_by_path(ledger)).collect()
     assert sorted((r.doc_id, r.spans) for r in found) == sorted((i, brute_secrets(t or "")) for i, t in texts)
     assert all(r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest() and r.n_hex == r.spans.count("hex:") for r in found)
-    assert secrets.scan_documents(none)[1].count() == 0
-
-
-def test_ledger_is_incremental(odd):
-    part = odd.filter("doc_id % 2 = 0")
-    _, first = secrets.scan_documents(part)
-    _, both = secrets.scan_documents(odd, first)
-    _, whole = secrets.scan_documents(odd)
-    key = lambda rows: sorted((r.blob, r.rule_version, tuple(r.starts)) for r in rows.collect())
-    assert key(both) == key(whole)
-    _, again = secrets.scan_documents(odd, whole, rule_version="next")
-    assert again.count() == 2 * whole.count()
-
-
-def test_masking(odd):
-    paths, ledger = secrets.scan_documents(odd)
-    masked = secrets.redact_spans(odd, secrets.findings_by_path(paths, ledger))
+    assert secrets.scan_history(none).findings.count() == 0
+
+
+def test_ledger_is_incremental(odd, texts):
+    blobs = lambda keep: {t or "" for i, t in texts if keep(i)}
+    even, whole = blobs(lambda i: i % 2 == 0), blobs(lambda i: True)
+    first = secrets.scan_increment(odd.filter("doc_id % 2 = 0"))
+    both = secrets.scan_increment(odd.filter("doc_id % 2 = 1"), first)
+    assert both.scanned == [len(even), len(whole - even)]  # only what the first had not
+    again = secrets.scan_increment(odd, both)
+    assert again.scanned[-1] == 0 and again.findings.count() == len(whole)
+    key = lambda ledger: sorted((r.doc_id, r.blob, tuple(r.starts)) for r in secrets.findings_by_path(ledger).collect())
+    assert key(both) == key(secrets.scan_history(odd, increments=1)) == key(secrets.scan_history(odd, increments=3))
+    assert len(key(again)) == 2 * odd.count()  # paths of all increments get their findings
+    following = secrets.scan_increment(odd, both, rule_version="next")
+    assert following.scanned[-1] == len(whole) and following.findings.count() == 2 * len(whole)
+    twice = secrets.Ledger(both.paths, both.findings.unionByName(both.findings))
+    assert key(twice) == key(both)
+
+
+def test_masking(spark, odd):
+    masked = secrets.redact_spans(odd, secrets.findings_by_path(secrets.scan_history(odd)))
     assert masked.columns == odd.columns and masked.count() == odd.count()
     assert not any(brute_secrets(r.text or "") for r in masked.collect())
+    two = spark.createDataFrame([(1, "password = abcdefgh"), (1, "clean"), (None, "password = abcdefgh")], "doc_id long, text string")
+    found = secrets.redact_spans(two, secrets.findings_by_path(secrets.scan_history(two)))
+    assert sorted((r.doc_id or 0, r.text) for r in found.collect()) == [(0, "[secret]"), (1, "[secret]"), (1, "clean")]
 
 
 def test_gif_round_trip(odd, none, texts):

@@ -32,6 +32,8 @@ ALPHABET = 64
 #: Code points in one slice of a long text; neighbouring slices share two.
 SLICE = 1 << 18
 UNDETERMINED = "und"
+#: Trigrams of a text under which its cosines are left out of account when texts are rejected.
+LEAST_TRIGRAMS = 12
 
 PREDICTION_SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -180,17 +182,31 @@ def classify(encoder: Encoder, matrix: np.ndarray, langs: list[str], text: str |
     return langs[best], float(min(1.0, max(0.0, cosines[best])))
 
 
+def identified(encoder: Encoder, matrix: np.ndarray, text: str | None, least_score: float, least_trigrams: int) -> bool:
+    """Whether a text has a letter and is not, by at least so many trigrams, unlike every prototype."""
+    found = encoder.trigrams(text) if text else None
+    if found is None:
+        return False
+    if not len(matrix) or int(found[1].sum()) < least_trigrams:
+        return True
+    v = encoder.bundle(*found)
+    return float((matrix @ v).max()) >= least_score * float(np.linalg.norm(v))
+
+
 def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows that ``learn`` selects, then predict every row."""
     prototypes = train_prototypes(docs.filter(learn), text_col, lang_col)
     return predict_language(docs, prototypes, id_col, text_col)
 
 
-def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least_score: float, text_col: str = "text",
-                    dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
-    """The rows whose text has a language, with all their columns; a cosine under ``least_score`` to every prototype has none.
+def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least_score: float, least_trigrams: int = LEAST_TRIGRAMS,
+                    text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
+    """The rows whose text has a language, with all their columns.
 
-    Without prototypes nothing can be told apart, so every text with a letter stays.
+    A text without a letter has none, nor has one whose cosine with every
+    prototype is under ``least_score``. Fewer than ``least_trigrams`` trigrams
+    prove nothing against a text, and without prototypes nothing can be told
+    apart: such texts stay if they have a letter.
     """
     langs = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in langs], dtype=np.float32).reshape(len(langs), dimensions)
@@ -200,10 +216,6 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least_s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(dimensions, seed)
         for batch in batches:
-            if not langs:
-                yield batch.filter(pa.array([encoder.vector(t.as_py()) is not None for t in batch.column(place)], pa.bool_()))
-                continue
-            found = [classify(encoder, matrix, langs, t.as_py()) for t in batch.column(place)]
-            yield batch.filter(pa.array([p != UNDETERMINED and s >= least_score for p, s in found], pa.bool_()))
+            yield batch.filter(pa.array([identified(encoder, matrix, t.as_py(), least_score, least_trigrams) for t in batch.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ from .media import text_payload_columns
 from .mixing import mix_documents
 from .packing import pack_documents
 from .quality import classify_quality
-from .secrets import findings_by_path, scan_documents, span_digest
+from .secrets import findings_by_path, scan_history, span_digest
 from .suffixes import remove_repeats
 from .wrapper import main_text
 
@@ -51,8 +51,7 @@ def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, ledger = scan_documents(table(spark, sf_dir, "documents"))
-    return span_digest(findings_by_path(paths, ledger))
+    return span_digest(findings_by_path(scan_history(table(spark, sf_dir, "documents"))))
 
 
 def op7_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,24 @@
 """Secret scans over an incremental blob ledger.
 
-Every version of every path is content-addressed by the SHA-256 of its text.
-``scan_new_blobs`` scans only (blob, rule version) pairs that a ledger does not
-hold, ``findings_by_path`` joins the ledger's findings back to all paths, and
+Every version of every path is content-addressed by the SHA-256 of its text. A
+``Ledger`` holds all versions (path and blob) and the findings of every (blob,
+rule version) pair that was ever scanned, both as tables in the shared folder.
+``scan_increment`` adds one increment of documents: only pairs that the ledger
+lacks are scanned. ``scan_history`` takes documents in, increment after increment,
+``findings_by_path`` joins findings back to all paths of all increments, and
 ``redact_spans`` replaces found secrets in texts.
 
 Defined results: a null text is the empty blob; repeated rows and equal texts
-share one blob and are scanned once; a null id is a path like any other; an empty
-table gives an empty table; texts of any length are scanned whole, and offsets
-count code points.
+share one blob and are scanned once; a null id is a path like any other; a ledger
+that repeats a pair gives its findings once; an empty table gives an empty table;
+texts of any length are scanned whole, and offsets count code points.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, pick, text_rows
 
 RULE_VERSION = "base-1"
+#: Increments in which a table of documents is taken in.
+INCREMENTS = 2
 MASK = "[secret]"
 
 #: Fixed patterns of the base rules, in the order in which ties are listed.
@@ -55,11 +61,17 @@ def blob_id(column: Column) -> Column:
     return F.sha2(F.coalesce(column, F.lit("")).cast("binary"), 256)
 
 
-def scan_new_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows for blobs (blob, text; one row a blob) that the ledger lacks at this rule version."""
-    if ledger is not None:
-        known = ledger.filter(F.col("rule_version") == rule_version).select("blob")
-        blobs = blobs.join(known, "blob", "left_anti")
+@dataclass
+class Ledger:
+    """paths: doc_id, blob of every version so far; findings: LEDGER_SCHEMA; scanned: blobs that each increment scanned."""
+
+    paths: DataFrame
+    findings: DataFrame
+    scanned: list[int] = field(default_factory=list)
+
+
+def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Ledger rows of blobs (blob, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,43 +86,60 @@ def scan_new_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rule_versi
     return blobs.select("blob", "text").mapInArrow(run, LEDGER_SCHEMA)
 
 
-def distinct_blobs(paths: DataFrame, versions: DataFrame) -> DataFrame:
-    """(blob, text) of the blobs in ``versions`` (doc_id, blob).
+def unseen_blobs(versions: DataFrame, ledger: Ledger | None, rule_version: str) -> DataFrame:
+    """blob and one path of each blob of ``versions`` that the ledger has not at this rule version.
 
-    One path stands for each blob; it is chosen on hashes alone. Texts are moved
-    by blob and path, so copies of a text never meet in one task. A path that
-    repeats the same text gives the same row again.
+    Copies are folded into one row a blob before the ledger is asked, so a text
+    with very many copies is no hot key.
     """
     chosen = versions.groupBy("blob").agg(F.min(_path_key()).alias("path"))
-    # the chosen keys are hashed, so that texts are neither sorted nor held
-    return paths.select("blob", _path_key().alias("path"), "text").join(chosen.hint("shuffle_hash"), ["blob", "path"]).select("blob", "text")
+    if ledger is None:
+        return chosen
+    known = ledger.findings.filter(F.col("rule_version") == rule_version).select("blob")
+    return chosen.join(known, "blob", "left_anti")
 
 
 def _path_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
 
 
-def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rule_version: str = RULE_VERSION,
-                   id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(paths, ledger): doc_id and blob of every version, and the ledger with this scan's rows added."""
-    scratch = Scratch(docs.sparkSession, "ledger")
+def scan_increment(docs: DataFrame, ledger: Ledger | None = None, rule_version: str = RULE_VERSION, id_col: str = "doc_id",
+                   text_col: str = "text", scratch: Scratch | None = None) -> Ledger:
+    """The ledger with the versions of ``docs`` and the findings of their unseen blobs added.
+
+    One path stands for each unseen blob. Texts are moved by blob and path, and
+    the chosen keys are hashed, so that copies of a text never meet in one task
+    and texts are neither sorted nor held.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "ledger")
     base = text_rows(pick(docs, doc_id=id_col, text=text_col)).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("blob", blob_id(F.col("text")))
     versions = scratch.save(base.select("doc_id", "blob"))
-    needed = versions
-    if ledger is not None:
-        needed = needed.join(ledger.filter(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    fresh = scratch.save(scan_new_blobs(distinct_blobs(base, needed), None, rule_version))
-    rows, blobs = fresh.groupBy("blob").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    if rows > blobs:  # a chosen path repeats its text
+    chosen = unseen_blobs(versions, ledger, rule_version)
+    blobs = base.select("blob", _path_key().alias("path"), "text").join(chosen.hint("shuffle_hash"), ["blob", "path"]).select("blob", "text")
+    fresh = scratch.save(scan_blobs(blobs, rule_version))
+    rows, distinct = fresh.groupBy("blob").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if rows > distinct:  # a chosen path repeats its text
         fresh = scratch.save(fresh.dropDuplicates(["blob"]))
-    return versions, fresh if ledger is None else ledger.unionByName(fresh)
+    if ledger is None:
+        return Ledger(versions, fresh, [distinct])
+    return Ledger(ledger.paths.unionByName(versions), ledger.findings.unionByName(fresh), [*ledger.scanned, distinct])
+
+
+def scan_history(docs: DataFrame, increments: int = INCREMENTS, ledger: Ledger | None = None, rule_version: str = RULE_VERSION,
+                 id_col: str = "doc_id", text_col: str = "text") -> Ledger:
+    """Take ``docs`` in as so many increments, dealt by a hash of the id, each onto the ledger that the one before left."""
+    scratch = Scratch(docs.sparkSession, "ledger")
+    for k in range(increments):
+        part = docs.filter(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(increments)) == k)
+        ledger = scan_increment(part, ledger, rule_version, id_col, text_col, scratch)
+    return ledger
 
 
-def findings_by_path(paths: DataFrame, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Each path with the findings of its blob at the rule version."""
-    current = ledger.filter(F.col("rule_version") == rule_version).drop("rule_version")
-    return paths.join(current.hint("shuffle_hash"), "blob")
+def findings_by_path(ledger: Ledger, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Every version of every path, of all increments, with the findings of its blob at the rule version."""
+    current = ledger.findings.filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).drop("rule_version")
+    return ledger.paths.join(current.hint("shuffle_hash"), "blob")
 
 
 def span_digest(findings: DataFrame) -> DataFrame:
