@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vellumspark.llm import forest, graph, jaccard, suffixes, wrapper
 from vellumspark.llm.common import Scratch, table
@@ -49,9 +50,11 @@ def links_of(vectors, labels, threshold=0.93):
     return out
 
 
-def test_embedding_links(spark, monkeypatch):
-    monkeypatch.setattr(forest, "LEAF", 40)  # so that trees split
-    monkeypatch.setattr(forest, "BLOCK", 16)  # and blocks pair up
+@pytest.mark.parametrize("large", [False, True])
+def test_embedding_links(spark, monkeypatch, large):
+    if large:  # groups are split over the cluster, trees split and blocks pair up
+        for name, value in (("GROUP", 50), ("WIDE_LEAF", 40), ("BLOCK", 16)):
+            monkeypatch.setattr(forest, name, value)
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((12, 64))
     vectors = [(centres[i % 12] + rng.standard_normal(64) * (0.05 + 0.2 * (i % 3 == 0))).astype(np.float32).tolist() for i in range(240)]
@@ -60,6 +63,8 @@ def test_embedding_links(spark, monkeypatch):
     labels = [i % 2 if i % 17 else None for i in range(len(vectors))]
     rows = [(i, v, k, "x") for i, (v, k) in enumerate(zip(vectors, labels))]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, leaf string")
+    if large:  # a label of another type
+        frame = frame.withColumn("label", F.concat(F.lit("l"), F.col("label").cast("string")))
     clean = [None if v is None or any(x is None for x in v) else v for v in vectors]
     links = links_of(clean, labels)
     count, root = np.bincount(np.array(links).ravel(), minlength=len(vectors)), roots(len(vectors), links)
@@ -69,9 +74,39 @@ def test_embedding_links(spark, monkeypatch):
     assert forest.near_duplicates(frame.filter("false")).count() == 0
 
 
-def test_links_of_a_dense_label(spark, monkeypatch):
-    monkeypatch.setattr(forest, "LEAF", 64)
-    monkeypatch.setattr(forest, "BLOCK", 128)
+def near_the_threshold(n, dimensions=64, seed=8):
+    """n vectors in pairs whose cosine is 0.9301 to 0.935, and n more that are alone."""
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((n // 2, dimensions))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal(a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9301, 0.935, (n // 2, 1))
+    return np.concatenate([a, c * a + np.sqrt(1 - c * c) * side, rng.standard_normal((n, dimensions))])
+
+
+def test_recall_at_production_parameters(spark):
+    x = near_the_threshold(6000)  # 12,000 vectors of one label
+    frame = spark.createDataFrame([(i, v.tolist(), "one") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    found = {r.vec_id: r for r in forest.near_duplicates(frame).collect()}
+    hit = sum(found[i + 3000].component_id == i for i in range(3000))
+    assert hit >= 0.99 * 3000 and sum(r.n_links for r in found.values()) >= 2 * hit
+    assert any(len(rows) < 6000 for rows in forest.tree_leaves(x[:6000] @ forest.directions(0, 64), forest.margin(0.93, 64), forest.LEAF))
+
+
+def test_a_pair_exactly_at_the_threshold(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [0.93, float(np.sqrt(1 - 0.93**2))], 0), (3, [0.0, 1.0], 0), (4, [1e200, 0.0], 0), (5, [1e-200, 0.0], 0)]
+    found = {r.vec_id: r for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    linked = float(np.dot([1.0, 0.0], np.array(rows[1][1]) / np.linalg.norm(rows[1][1]))) >= 0.93
+    assert (found[2].component_id == 1) == linked and found[3].n_links == 0 and found[4].component_id == found[5].component_id == 1
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_links_of_a_dense_label(spark, monkeypatch, large):
+    if large:
+        for name, value in (("GROUP", 500), ("WIDE_LEAF", 64), ("BLOCK", 128)):
+            monkeypatch.setattr(forest, name, value)
     rng = np.random.default_rng(3)
     x = rng.standard_normal((900, 64))
     x = np.sqrt(0.06) * x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -19,7 +19,8 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 6
     nothing. Large-star and small-star rounds alternate: each node's neighbours
     are hung on the least of them until nothing changes, which takes a number of
     rounds logarithmic in the components' size. Least neighbours are found by
-    partial aggregation, so a node with very many links is no hot key.
+    partial aggregation, so a node with very many links is no hot key. Should
+    ``max_rounds`` not be enough, it raises rather than give a part of the answer.
     """
     edges = scratch.save(
         links.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
@@ -41,6 +42,8 @@ def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 6
         before, state, edges = state, _state(following), following
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
