@@ -126,6 +126,43 @@ def test_longest_previous_factors(data):
     assert suffixes.suffix_array(data).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.binary(min_size=12, max_size=40).map(lambda b: bytes(x % 2 for x in b)), min_size=1, max_size=6), st.randoms())
+def test_previous_factors_of_a_bucket(parts, random):
+    """Factors, up to the length, of windows of several runs against plain comparison."""
+    length = 11
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    windows, at = [], 0
+    for k, part in enumerate(parts):
+        windows += [(at + s, k, s) for s in range(len(part) - length + 1)]
+        at += len(part)
+    random.shuffle(windows)
+    starts, doc, place = (np.array(c, np.int64) for c in zip(*windows))
+    found = suffixes.previous_factors(starts, data, (doc, place), length)
+    raw = data.tobytes()
+    for i, (s, d, p) in enumerate(windows):
+        earlier = [raw[x : x + length] for x, e, q in windows if (e, q) < (d, p)]
+        mine = raw[s : s + length]
+        assert found[i] == max((next((k for k in range(length) if w[k] != mine[k]), length) for w in earlier), default=0)
+
+
+def test_spans_come_from_the_factors(spark, monkeypatch):
+    passage = "a passage that two documents share, " * 5
+    frame = spark.createDataFrame([(1, "first " + passage), (2, "second " + passage + " end")], "doc_id long, text string")
+    assert [r.n_removed > 0 for r in suffixes.remove_repeats(frame).orderBy("doc_id").collect()] == [True, True]
+    monkeypatch.setattr(suffixes, "previous_factors", lambda starts, *rest: np.zeros(len(starts), np.int64))
+    assert [r.n_removed for r in suffixes.remove_repeats(frame).collect()] == [0, 0]
+
+
+def test_one_id_with_two_texts_and_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 1)  # thousands of buckets
+    words = [f"word{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (1, " ".join(words[50:])), (2, " ".join(words[:120]))]
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes > 0) for r in found) == [(1, True), (1, True), (2, True)]
+    assert [r.n_removed for r in found if r.doc_id == 2] == [len(rows[2][1])]
+
+
 def brute_repeats(docs, length=100):
     seen, out = set(), {}
     for i, t in sorted(set(docs), key=lambda x: x[0]):

@@ -4,11 +4,12 @@ A byte is removed if a string of ``length`` bytes that covers it also starts
 earlier in the corpus, in a document of smaller id or earlier in its own. The
 first copy of every string stays.
 
-``longest_previous_factors`` gives the full array for one text: suffixes are
-sorted, and the previous and the next suffix in that order with a smaller
-position are the two candidates for the longest earlier match. For a corpus the
-question is only whether that factor reaches ``length``, and suffixes that could
-match are brought together first:
+The longest previous factor of a position is the longest string there that also
+starts earlier. With the suffixes sorted, the nearest one before and the nearest
+one after that have a smaller position are the two candidates, and the least
+common prefix on the way to them is the length of the match. ``longest_previous_factors``
+gives the array of one text. For a corpus factors are needed up to ``length``
+only, and suffixes that could match that far are brought together first:
 
 1. Anchors. Of each window of ``length`` bytes the least hash of its ``GRAM``-byte
    strings is its key. Equal windows have equal keys, wherever they stand. Key
@@ -16,9 +17,10 @@ match are brought together first:
 2. Runs. Neighbouring windows with one key form a run. The texts are read again,
    and each run with a repeated key sends its bytes to its key's bucket. Equal
    texts are one text here: all rows but the first of an equal text lose all.
-3. Suffix order. A bucket sorts the suffixes at all window starts, to ``length``
-   bytes, ties by position. Neighbours that agree that far have a previous factor
-   of at least ``length``; all but the first of them are repeats.
+3. Previous factors. A bucket sorts the suffixes at all window starts, to
+   ``length`` bytes, takes the common prefixes of neighbours, finds for each the
+   previous and the next smaller position in that order, and from them its
+   previous factor. A window whose factor reaches ``length`` is a repeat.
 
 Hashes only bring windows together; equality is decided on the bytes themselves.
 
@@ -44,7 +46,7 @@ LENGTH = 100
 GRAM = 50
 #: Text bytes that one bucket stands for.
 BUCKET_BYTES = 12 << 20
-LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16
+LEAST_BUCKETS = 16
 CHUNK_ANCHORS, CHUNK_DOCS = 1_000_000, 20_000
 #: Bytes of runs that a task holds back to send them together.
 CHUNK_BYTES = 24 << 20
@@ -77,31 +79,44 @@ def suffix_array(data: bytes) -> np.ndarray:
     return order
 
 
+def _match_with_smaller(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each suffix, in suffix order, its common prefix with the nearest one before it of a smaller rank (position); 0 without one.
+
+    ``common`` holds the prefixes of neighbours. Each suffix points to the one
+    before it, and follows pointers over suffixes of greater rank, all at once:
+    what lies between a suffix and its pointer always has a greater rank.
+    """
+    to = np.arange(-1, len(rank) - 1)
+    low = np.concatenate([[0], common])[: len(rank)]
+    active = np.flatnonzero(to >= 0)
+    active = active[rank[to[active]] > rank[active]]
+    while len(active):
+        over = to[active]
+        further, shared = to[over], np.minimum(low[active], low[over])
+        to[active], low[active] = further, np.where(further >= 0, shared, 0)
+        active = active[further >= 0]
+        active = active[rank[to[active]] > rank[active]]
+    return low
+
+
+def factors_in_order(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factors, in suffix order, from positions' ranks and neighbours' common prefixes."""
+    return np.maximum(_match_with_smaller(rank, common), _match_with_smaller(rank[::-1], common[::-1])[::-1])
+
+
 def longest_previous_factors(data: bytes) -> np.ndarray:
     """For each position the length of the longest string there that also starts earlier."""
-    n = len(data)
     order = suffix_array(data)
-    smaller = [np.full(n, -1, np.int64), np.full(n, -1, np.int64)]  # previous and next smaller position in suffix order
-    for side, walk in enumerate((order, order[::-1])):
-        stack: list[int] = []
-        for p in walk.tolist():
-            while stack and stack[-1] > p:
-                stack.pop()
-            if stack:
-                smaller[side][p] = stack[-1]
-            stack.append(p)
+    n = len(order)
+    common = np.zeros(max(0, n - 1), np.int64)
+    padded = np.concatenate([np.frombuffer(data, np.uint8).astype(np.int64), np.full(1, -1)])
+    a, b, open_ = order[:-1].copy(), order[1:].copy(), np.arange(max(0, n - 1))
+    while len(open_):  # neighbours' common prefixes, a byte a round
+        longer = (a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])
+        a, b, open_ = a[longer] + 1, b[longer] + 1, open_[longer]
+        common[open_] += 1
     out = np.zeros(n, np.int64)
-    for source in smaller:
-        have = 0
-        for p in range(n):  # a factor shortens by one at most from a position to the next
-            q = int(source[p])
-            have = max(0, have - 1) if q >= 0 else 0
-            if q >= 0:
-                if data[q : q + have] != data[p : p + have]:
-                    have = 0
-                while p + have < n and data[q + have] == data[p + have]:
-                    have += 1
-            out[p] = max(out[p], have)
+    out[order] = factors_in_order(order, common)
     return out
 
 
@@ -156,6 +171,16 @@ def _bucket_key(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(buckets)).astype(np.int64), h >> np.uint64(24)
 
 
+def _key(token: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """64 bits: a hash's 40 and its bucket's lowest 24."""
+    return (token << np.uint64(24)) | (np.asarray(bucket).astype(np.uint64) & np.uint64(0xFFFFFF))
+
+
+def _cuts(ordered: np.ndarray) -> np.ndarray:
+    """Where stretches of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.int64)
+
+
 ANCHOR_SCHEMA = "bucket int, chunk binary, tokens binary, places binary"
 
 
@@ -178,11 +203,12 @@ def deal_anchors(docs: DataFrame, buckets: int, length: int, gram: int) -> DataF
             bucket, token = _bucket_key(np.concatenate(found), buckets)
             place = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            bucket = bucket[order]
+            cuts = _cuts(bucket)
             narrow = np.ascontiguousarray(token[order]).view(np.uint8).reshape(-1, 8)[:, :5]
             place = place[order]
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                rows.append((b, chunk, narrow[cuts[b] : cuts[b + 1]].tobytes(), place[cuts[b] : cuts[b + 1]].tobytes()))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                rows.append((int(bucket[x]), chunk, narrow[x:y].tobytes(), place[x:y].tobytes()))
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "chunk", "tokens", "places"])
 
@@ -260,7 +286,7 @@ def documents_of(repeated: DataFrame) -> DataFrame:
 
 
 def keys_of(repeated: DataFrame) -> DataFrame:
-    """sha and its repeated keys (64-bit: 40 bits of the hash, then the bucket), for texts that have any."""
+    """sha and its repeated keys (64-bit), for texts that have any."""
 
     def run(table: pa.Table) -> pa.Table:
         shas: list[bytes] = []
@@ -269,7 +295,7 @@ def keys_of(repeated: DataFrame) -> DataFrame:
             if r["bucket"] < 0:
                 shas = _directory(r["tokens"], r["places"])[0]
             else:
-                parts.append(((_wide([r["tokens"]]) << np.uint64(16)) | np.uint64(r["bucket"]), np.frombuffer(r["places"], np.uint16)))
+                parts.append((_key(_wide([r["tokens"]]), r["bucket"]), np.frombuffer(r["places"], np.uint16)))
         out: dict[bytes, bytes] = {}
         if parts and shas:
             token, place = (np.concatenate(p) for p in zip(*parts))
@@ -311,8 +337,7 @@ def deal_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
                     h = window_keys(data, grams, length, gram)[0]
                     cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
                     bucket, token = _bucket_key(h[cuts[:-1]], buckets)
-                    key = (token << np.uint64(16)) | bucket.astype(np.uint64)
-                    key &= np.uint64((1 << 56) - 1)
+                    key = _key(token, bucket)
                     place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                     for i in np.flatnonzero(wanted[place] == key).tolist():
                         s, e = int(cuts[i]), int(cuts[i + 1])
@@ -328,12 +353,11 @@ def deal_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
     return texts.select("sha", "first", "keys", "text").mapInArrow(run, RUN_SCHEMA)
 
 
-def repeats_in(starts: np.ndarray, data: np.ndarray, position: tuple[np.ndarray, ...], length: int) -> np.ndarray:
-    """Which of the suffixes at ``starts`` (of ``data``) have a previous factor of at least ``length`` bytes.
+def previous_factors(starts: np.ndarray, data: np.ndarray, position: tuple[np.ndarray, ...], length: int) -> np.ndarray:
+    """Longest previous factors, up to ``length`` bytes, of the suffixes at ``starts`` (of ``data``), among themselves.
 
     Suffixes are sorted to ``length`` bytes, as big-endian words, ties by
-    position; the one before is then the previous smaller position in suffix
-    order if it agrees in all bytes.
+    position. ``position`` says which of two suffixes is earlier.
     """
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
@@ -343,13 +367,21 @@ def repeats_in(starts: np.ndarray, data: np.ndarray, position: tuple[np.ndarray,
         if at + 8 > length:
             w &= np.uint64((0xFFFFFFFFFFFFFFFF << (8 * (at + 8 - length))) & 0xFFFFFFFFFFFFFFFF)
         words.append(w)
-    order = np.lexsort((*position[::-1], *words[::-1]))
-    same = np.ones(max(0, len(starts) - 1), bool)
+    earlier = np.empty(len(starts), np.int64)
+    earlier[np.lexsort(position[::-1])] = np.arange(len(starts))
+    order = np.lexsort((earlier, *words[::-1]))
+    common = np.zeros(max(0, len(starts) - 1), np.int64)
+    open_ = np.arange(len(common))  # neighbours that have agreed so far
     for w in words:
         ranked = w[order]
-        same &= ranked[1:] == ranked[:-1]
-    out = np.zeros(len(starts), bool)
-    out[order[1:]] = same
+        differ = ranked[open_ + 1] ^ ranked[open_]
+        common[open_] += 8
+        ends = np.flatnonzero(differ)
+        for k in range(8):  # less the bytes from the first that differs on
+            common[open_[ends]] -= (differ[ends] >> np.uint64(8 * k)) > 0
+        open_ = open_[differ == 0]
+    out = np.empty(len(starts), np.int64)
+    out[order] = factors_in_order(earlier[order], np.minimum(common, length))
     return out
 
 
@@ -390,7 +422,7 @@ def find_repeats(runs: DataFrame, length: int) -> DataFrame:
             n = count[part]
             owner = np.repeat(part, n)
             shift = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
-            hit = repeats_in(at[owner] + shift, data, (first[owner], sha[owner], start[owner] + shift), length)
+            hit = previous_factors(at[owner] + shift, data, (first[owner], sha[owner], start[owner] + shift), length) >= length
             spans_of.append(owner[hit])
             spans_start.append((start[owner] + shift)[hit])
             spans_end.append((start[owner] + shift)[hit] + length)
@@ -402,7 +434,7 @@ def find_repeats(runs: DataFrame, length: int) -> DataFrame:
         text = place.ravel()[of]
         order = np.lexsort((s, text))
         text, s, e = text[order], s[order], e[order]
-        reach = np.maximum.accumulate(e + text * (1 << 40)) - text * (1 << 40) if len(e) and e.max() < 1 << 40 else e
+        reach = np.maximum.accumulate(e + text * (1 << 40)) - text * (1 << 40)  # a text is far shorter than that
         new = np.concatenate([[True], (text[1:] != text[:-1]) | (s[1:] > reach[:-1])])
         heads = np.flatnonzero(new)
         tails = np.concatenate([heads[1:], [len(s)]]) - 1
@@ -458,7 +490,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows = text_rows(pick(docs, doc_id=id_col, text=text_col)).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, total // BUCKET_BYTES)
     repeated = scratch.save(keep_repeated(deal_anchors(rows, buckets, length, gram)))
     documents = scratch.save(documents_of(repeated))
     firsts = scratch.save(documents.groupBy("sha").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("first")))
