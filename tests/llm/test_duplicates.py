@@ -204,9 +204,11 @@ def brute_classes(docs):
     return {i: (len(sets[i]), ids[root[place[i]]]) for i in ids}
 
 
-@pytest.mark.parametrize("cell", [48, 1])  # pair by pair, and block against block
-def test_classes(spark, odd, none, texts, data, monkeypatch, cell):
+@pytest.mark.parametrize("cell, replicates", [(48, 2.5), (1, 1e9), (1, 0)])  # pair by pair, split again and again, and block against block
+def test_classes(spark, odd, none, texts, data, monkeypatch, cell, replicates):
     monkeypatch.setattr(jaccard, "SMALL_CELL", cell)
+    monkeypatch.setattr(jaccard, "REPLICATES", replicates)
+    monkeypatch.setattr(jaccard, "LEVELS", 3)
     monkeypatch.setattr(jaccard, "SLICE_BYTES", 4096)
     rng = np.random.default_rng(4)
     base = [f"t{i}" for i in range(80)]
@@ -225,6 +227,60 @@ def test_classes(spark, odd, none, texts, data, monkeypatch, cell):
     assert jaccard.jaccard_classes(none).count() == 0
 
 
+def random_cell(n=400, seed=1):
+    """Documents of a cell: several families that share shingles, and their sets."""
+    rng = np.random.default_rng(seed)
+    base = np.arange(60)
+    out = []
+    for k in range(n):
+        family = rng.integers(0, 6)
+        own = np.where(np.arange(60) < 10 * family, 1000 * (family + 1), 0) + base  # families differ in a part
+        change = rng.random(60) < rng.choice([0.02, 0.1, 0.2])
+        out.append(np.unique(np.where(change, 100_000 + 60 * k + base, own)))
+    return out
+
+
+def test_voronoi_cells_bring_every_linked_pair_together(spark):
+    sets = random_cell()
+    rows = [(b"%04d" % i, len(x), [int(v) for v in x], 0.0, b"%04d" % i) for i, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node binary, n long, tokens array<long>, central double, component binary")
+    large = frame.select(F.lit(5).cast("long").alias("cell"), "node", "n", "central", "component", F.lit(len(rows)).cast("long").alias("size"))
+    tries = jaccard.try_pivots(large, frame.select("node", "n", "tokens"), Scratch(spark, "test"))
+    assert tries.select("pivot").distinct().count() == jaccard.PIVOTS
+    cells = jaccard.voronoi_cells(tries).collect()
+    held = {}
+    for r in cells:
+        held.setdefault(int(bytes(r.node)), set()).add(r.cell)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))]
+    assert len(links) > 100 and all(held[i] & held[j] for i, j in links)
+    assert len(cells) < 0.9 * len(rows) * jaccard.PIVOTS  # windows leave cells out
+    for cell, replicates in ((48, 2.5), (4, 1e9), (4, 0)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(jaccard, "SMALL_CELL", cell)
+            m.setattr(jaccard, "REPLICATES", replicates)
+            m.setattr(jaccard, "LEVELS", 2)
+            found = jaccard.join_cells(large.drop("size"), frame.select("node", "n", "tokens"), Scratch(spark, "test")).collect()
+        assert roots(len(sets), [(int(bytes(r.a)), int(bytes(r.b))) for r in found]) == roots(len(sets), links)
+
+
+def test_a_family_of_many_near_copies(spark):
+    """Work follows the family's size: every copy meets the pivots, and those outside the main class meet the rest in blocks."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for k in range(6000):
+        words = [f"w{i}" for i in range(120)]
+        for p in rng.integers(0, 120, int(rng.integers(0, 7))):
+            words[p] = f"e{k}x{p}"
+        texts.append((k, " ".join(words)))
+    found = jaccard.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(8)).collect()
+    sets = {i: shingle_set(t) for i, t in texts}
+    main = {r.doc_id for r in found if r.component_id == 0}
+    assert len(main) > 4000
+    for r in found[:300]:
+        linked = [j for j in list(main)[:200] if j != r.doc_id and 4 * len(sets[r.doc_id] & sets[j]) >= 3 * len(sets[r.doc_id] | sets[j])]
+        assert not linked or r.component_id == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="notice">We use cookies {n}</div><div>All rights kept by the house</div><article><h1>Title &amp; {n}</h1><p>First   <b>bold</b>
 text {n}.<p>Second&nbsp;one {n}<br>after break</article><section class="comments"><p>nice post {n}</p></section><form><p>Sign up {n}</p></form><footer>c {n}</footer></body></html>"""

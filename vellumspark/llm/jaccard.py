@@ -10,14 +10,20 @@ all others, where no pivot can tell them apart, so regions are found in two step
    is its own class. For the others a document's rarest shared shingles, as many
    as a partner can't all lack, are its region keys: two linked documents have a
    region in common.
-2. Pivots. In each region the most central document is the pivot; every other gets
-   its exact distance to it. Those within r are linked to it. A region whose
-   documents are all in one component is settled.
-3. Windows. In the others, documents lie in rings of width r around the pivot. By
-   the triangle inequality a partner lies in the same ring or the next, so each
-   document is at home in its ring and replicated to the one within. Cells that
-   hold several components are joined exhaustively: small ones pair by pair,
-   large ones block against block.
+2. First pivot. In each region the most central document is a pivot; every other
+   gets its exact distance to it, and those within r are linked to it. A region
+   whose documents are all in one component is settled.
+3. Voronoi cells. A region that is not settled and not small gets several pivots,
+   from different components, and every document its distance to each. A document
+   is at home in the cell of its nearest pivot p. Its partners lie within r, so by
+   the triangle inequality one that is at home with q has (d(x, q) - d(x, p)) / 2
+   <= r: the document is replicated to the cells of all such q, and each pair
+   meets in some cell. Cells are settled, joined or split again in the same way.
+4. Leaf cells. Small cells are joined pair by pair. A cell whose documents lie so
+   close together that windows would replicate more than they separate is not
+   split further: documents outside its largest component are compared with all
+   others, block against block, so that its work grows with the one number times
+   the other.
 
 Pairs inside one component are not compared further: they can't change a class.
 
@@ -44,12 +50,16 @@ WORDS = 5
 PERCENT = 75
 #: Input bytes (of texts) that one bucket of shingles stands for.
 BUCKET_BYTES = 16 << 20
-LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16
+LEAST_BUCKETS = 16
 #: A task hands on its shingles after so many of them, or so many documents.
 CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 20_000
 SLICE_BYTES = 4 << 20
-#: Documents in a cell that is joined pair by pair; larger ones are joined in blocks, with strips of so many shingles.
+#: Documents in a cell that is joined pair by pair; pivots of a larger one, and parts over which its documents meet them.
 SMALL_CELL = 48
+PIVOTS, SALTS = 8, 16
+#: A split is undone if its cells hold more than so many times the documents; so often a cell is split at most.
+REPLICATES, LEVELS = 2.5, 12
+#: Documents of a block, and shingles of a strip, in block joins.
 BLOCK, STRIP = 1024, 4096
 
 _SPACE = np.zeros(256, bool)
@@ -118,14 +128,14 @@ def _chunk(texts: list[np.ndarray], nodes: list[bytes], ids: list, buckets: int)
     numbers = np.array([i or 0 for i in ids], np.int64)
     yield -1 - int.from_bytes(chunk[:4], "little") % buckets, chunk, b"".join(nodes), sizes.tobytes() + known.tobytes() + numbers.tobytes()
     hashes = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-    bucket = (hashes % np.uint64(buckets)).astype(np.uint16)
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
     place = np.repeat(np.arange(len(texts), dtype=np.uint16), sizes)[order]
     token = np.ascontiguousarray((hashes[order] >> np.uint64(24)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        s, e = cuts[b], cuts[b + 1]
-        yield b, chunk, token[s:e].tobytes(), place[s:e].tobytes()
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        yield int(bucket[s]), chunk, token[s:e].tobytes(), place[s:e].tobytes()
 
 
 def _directory(row_nodes: bytes, row_sizes: bytes) -> tuple[list[bytes], np.ndarray, list]:
@@ -237,7 +247,7 @@ def candidates_of(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
                 raw = np.frombuffer(r["tokens"], np.uint8).reshape(-1, 5)
                 wide = np.zeros((len(raw), 8), np.uint8)
                 wide[:, :5] = raw
-                token = (wide.view("<u8").ravel() << np.uint64(16)) | np.uint64(r["bucket"])
+                token = (wide.view("<u8").ravel() << np.uint64(24)) | np.uint64(r["bucket"] & 0xFFFFFF)  # 64 bits of the hash
                 parts.append((token.astype(np.int64), np.frombuffer(r["places"], np.uint16), np.frombuffer(r["counts"], np.uint16)))
         out: list[tuple] = []
         if parts and nodes:
@@ -287,30 +297,94 @@ def link_components(candidates: DataFrame, scratch: Scratch, percent: int = PERC
     sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (1, 2)]
     heads = members.groupBy("region").agg(F.count("*").alias("size"), F.max(F.struct("central", "node", "n")).alias("p"), *sums).filter("size > 1")
     heads = heads.groupBy("size", "sum1", "sum2").agg(F.min("region").alias("region"), F.first("p").alias("p"))
-    heads = scratch.save(heads.select("region", "size", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")))
-    regions = scratch.save(members.drop("central").join(heads, "region"))
-    first = regions.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
-    measured = scratch.save(_measured(first, sets))
-    links = measured.filter(_linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    heads = scratch.save(heads.select("region", F.col("p.node").alias("pivot")))
+    regions = scratch.save(members.join(heads, "region").filter(F.col("node") != F.col("pivot")))
+    measured = _measured(regions.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sets)
+    links = scratch.save(measured.filter(_linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b")))
     components = scratch.save(connected_components(links, scratch))
-    near = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"),
-                           (1 - F.col("common") / (F.col("n_x") + F.col("n_y") - F.col("common"))).alias("distance"))
-    unsettled = (regions.filter(F.col("node") != F.col("pivot")).join(near, ["node", "pivot"])
-                 .select("region", "node", "n", "distance").join(components, "node", "left")
-                 .select("region", "node", "n", "distance", F.coalesce("component", "node").alias("component")))
-    # rings of width r around the pivot; a document is at home in its own and visits the one within
-    ring = F.floor((F.col("distance") + 1e-9) / (1 - percent / 100)).cast("int")
-    placed = unsettled.withColumn("ring", ring).withColumn("cell", F.explode(F.array("ring", F.col("ring") - 1)))
-    placed = placed.filter("cell >= 0").withColumn("home", F.col("ring") == F.col("cell")).drop("ring", "distance")
-    cells = placed.groupBy("region", "cell").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-    placed = scratch.save(placed.join(cells.filter("low <> high").select("region", "cell", "size"), ["region", "cell"]))
-    found = scratch.save(_small_cells(placed.filter(F.col("size") <= SMALL_CELL), sets, scratch, percent).unionByName(
-        _large_cells(placed.filter(F.col("size") > SMALL_CELL), sets, percent)).distinct().coalesce(8))
+    placed = (regions.select(F.col("region").alias("cell"), "node", "n", "central").join(components, "node", "left")
+              .withColumn("component", F.coalesce("component", "node")))
+    found = join_cells(placed, sets, scratch, percent)
     if found.isEmpty():
         return components
     return scratch.save(_merged(components, connected_components(found, scratch)))
 
 
+CELL = ["cell", "node", "n", "central", "component", "size"]
+
+
+def _open_cells(placed: DataFrame) -> DataFrame:
+    """The rows of cells that hold several components, with their cell's size."""
+    cells = placed.groupBy("cell").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return placed.join(cells.filter("low <> high").select("cell", "size"), "cell").select(*CELL)
+
+
+def join_cells(placed: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b between components) among the documents of each cell. placed: cell, node, n, central, component.
+
+    Each level splits the cells that are still large. What pivots link is merged
+    before the next level, so cells settle as early as they can.
+    """
+    placed = scratch.save(_open_cells(placed))
+    small, dense, links = [], [], []
+    for level in range(LEVELS):
+        small.append(placed.filter(F.col("size") <= SMALL_CELL))
+        large = placed.filter(F.col("size") > SMALL_CELL)
+        if large.isEmpty():
+            break
+        tries = scratch.save(try_pivots(large, sets, scratch, percent))
+        links.append(scratch.save(tries.filter("linked").select(F.greatest("component", "to").alias("a"), F.least("component", "to").alias("b"))
+                                  .filter("a <> b").distinct().coalesce(8)))
+        split = voronoi_cells(tries, percent)
+        sizes = split.groupBy("parent").agg(F.count("*").alias("copies"), F.first("size").alias("size"))
+        close = scratch.save(sizes.filter(F.col("copies") > REPLICATES * F.col("size")).select(F.col("parent").alias("cell")))
+        dense.append(large.join(close, "cell").select(*CELL))
+        apart = split.join(close.withColumnRenamed("cell", "parent"), "parent", "left_anti").drop("parent", "size")
+        merged = connected_components(_union(links), scratch).select(F.col("node").alias("component"), F.col("component").alias("root"))
+        apart = apart.join(merged, "component", "left").withColumn("component", F.coalesce("root", "component"))
+        placed = scratch.save(_open_cells(apart.select(*CELL[:-1])))
+    else:
+        dense.append(placed)  # whatever is left is joined as it is
+    found = [*links, _small_cells(_union(small), sets, scratch, percent)]
+    if dense:
+        found.append(_dense_cells(_union(dense), sets, percent))
+    return scratch.save(_union(found).distinct().coalesce(8))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+def try_pivots(large: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """Each row of each cell with each pivot of the cell: pivot, to (its component), distance and whether they are linked.
+
+    Components are dealt to ``PIVOTS`` slots, and the most central document of a
+    slot is a pivot. Rows and pivots meet by cell and salt.
+    """
+    slot = F.pmod(F.xxhash64("component"), F.lit(PIVOTS))
+    pivots = large.groupBy("cell", slot.alias("slot")).agg(F.max(F.struct("central", "node", "component")).alias("p"))
+    pivots = pivots.select("cell", F.col("p.node").alias("pivot"), F.col("p.component").alias("to"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    tries = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(pivots, ["cell", "salt"]).drop("salt")
+    tries = scratch.save(tries)
+    pairs = tries.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
+    measured = _measured(pairs, sets).select(F.col("x").alias("node"), F.col("y").alias("pivot"), _linked(percent).alias("linked"),
+                                             (1 - F.col("common") / (F.col("n_x") + F.col("n_y") - F.col("common"))).alias("distance"))
+    return tries.join(measured, ["node", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+
+
+def voronoi_cells(tries: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """parent, size (the parent's) and CELL columns of every document at home in its nearest pivot's cell and in those its window reaches."""
+    seen = tries.groupBy("cell", "node").agg(*[F.first(c).alias(c) for c in ("n", "central", "component", "size")],
+                                             F.collect_list(F.struct("distance", "pivot")).alias("seen"))
+    nearest = F.array_min("seen")["distance"]
+    reached = F.filter("seen", lambda p: (p["distance"] - nearest) / 2 <= F.lit(1 - percent / 100 + 1e-9))
+    split = seen.withColumn("p", F.explode(reached))
+    return split.select(F.col("cell").alias("parent"), F.xxhash64("cell", "p.pivot").alias("cell"), "node", "n", "central", "component", "size")
+
+
 def _alike(a: Column, b: Column, percent: int) -> Column:
     """Whether sizes allow a link."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -318,26 +392,31 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
 
 def _small_cells(placed: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Links (a, b between components) of cells of a bounded size, pair by pair."""
-    other = placed.select("region", "cell", F.col("node").alias("y"), F.col("n").alias("m"), F.col("component").alias("b"))
-    pairs = placed.filter("home").withColumnRenamed("component", "a").join(other, ["region", "cell"])
-    pairs = pairs.filter((F.col("a") != F.col("b")) & _alike(F.col("n"), F.col("m"), percent))
-    pairs = pairs.select(F.greatest("node", "y").alias("x"), F.least("node", "y").alias("y"), F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = scratch.save(pairs.distinct())
-    linked = _measured(pairs.select("x", "y"), sets).filter(_linked(percent)).select("x", "y")
+    other = placed.select("cell", F.col("node").alias("y"), F.col("n").alias("m"), F.col("component").alias("b"))
+    pairs = placed.select("cell", F.col("node").alias("x"), "n", F.col("component").alias("a")).join(other, "cell")
+    pairs = pairs.filter((F.col("x") > F.col("y")) & (F.col("a") != F.col("b")) & _alike(F.col("n"), F.col("m"), percent))
+    pairs = scratch.save(pairs.select("x", "y", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    linked = _measured(pairs.select("x", "y").distinct(), sets).filter(_linked(percent)).select("x", "y")
     return pairs.join(linked, ["x", "y"]).select("a", "b")
 
 
-def _large_cells(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b between components) of all other cells, block against block.
+def _dense_cells(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b between components) of cells that windows don't separate, block against block.
 
-    A block pair's intersections are one product of 0/1 matrices of documents and
+    Documents of a cell's largest component are not compared among themselves. A
+    block pair's intersections are one product of 0/1 matrices of documents and
     shingles; shingles of one document only are left out, the others taken in
     strips. Pairs never become rows.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("region", "cell", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node", "n", "component", "home")
+    parts = placed.groupBy("cell", "component").agg(F.count("*").alias("held"))
+    main = parts.groupBy("cell").agg(F.max(F.struct("held", "component")).alias("m")).select("cell", F.col("m.component").alias("main"), F.col("m.held").alias("held"))
+    others = F.ceil((F.col("size") - F.col("held")) / BLOCK).cast("int")
+    rows = placed.join(main, "cell").withColumn("others", others).withColumn("blocks", F.col("others") + F.ceil(F.col("held") / BLOCK).cast("int"))
+    outside = F.col("component") != F.col("main")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("own", F.when(outside, deal(F.col("others"))).otherwise(F.col("others") + deal(F.col("blocks") - F.col("others"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("blocks")).otherwise(F.col("others")) - 1)))
+    rows = rows.select("cell", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node", "n", "component")
     rows = rows.join(sets.select("node", "tokens"), "node")
 
     def run(table: pa.Table) -> pa.Table:
@@ -357,12 +436,14 @@ def _large_cells(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             common += strip @ strip.T
         n = table.column("n").to_numpy()
         linked = 100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common.astype(np.int64))
-        linked &= np.triu(np.ones((m, m), bool), 1)
-        component = table.column("component").to_pylist()
-        pairs = {(max(component[i], component[j]), min(component[i], component[j])) for i, j in np.argwhere(linked).tolist() if component[i] != component[j]}
-        return pa.table([pa.array(c, pa.binary()) for c in (list(zip(*pairs)) or [[], []])], names=["a", "b"])
+        component = table.column("component").combine_chunks().dictionary_encode()
+        names, code = component.dictionary.to_pylist(), component.indices.to_numpy()
+        linked &= code[:, None] < code[None, :]
+        pairs = np.unique(np.stack([code[i] for i in np.nonzero(linked)], axis=1), axis=0)
+        both = [(max(names[i], names[j]), min(names[i], names[j])) for i, j in pairs.tolist()]
+        return pa.table([pa.array(c, pa.binary()) for c in (list(zip(*both)) or [[], []])], names=["a", "b"])
 
-    return rows.groupBy("region", "cell", "first", "second").applyInArrow(run, "a binary, b binary")
+    return rows.groupBy("cell", "first", "second").applyInArrow(run, "a binary, b binary")
 
 
 def _merged(components: DataFrame, roots: DataFrame) -> DataFrame:
@@ -377,7 +458,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = text_rows(pick(docs, doc_id=id_col, text=text_col)).select(F.col("doc_id").cast("long"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, size // BUCKET_BYTES))
+    buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
     shared = scratch.save(keep_shared(deal_shingles(rows, buckets, words)))
     components = link_components(candidates_of(shared, percent), scratch, percent)
     found = scratch.save(
