@@ -80,6 +80,12 @@ def auto_renewal(text: Column) -> Column:
                     (renews & F.coalesce(days >= 30, F.lit(False))).alias("adequate"), F.when(renews, trigger).alias("matched_text"))
 
 
+def renews_without_notice(text: Column) -> Column:
+    """Whether the text renews automatically with a notice under 30 days or none."""
+    renews = F.coalesce(F.regexp_extract(text, P.RENEWAL, 0) != "", F.lit(False))
+    return F.when(renews, ~F.coalesce(notice_days(text) >= 30, F.lit(False))).otherwise(F.lit(False))
+
+
 def governing_law(text: Column) -> Column:
     """The jurisdiction of the first governing-law phrase; case matters."""
     groups = [none_if_empty(F.regexp_extract(text, P.LAW, g)) for g in (1, 2, 3)]
@@ -87,8 +93,13 @@ def governing_law(text: Column) -> Column:
 
 
 def obligors(text: Column) -> Column:
-    """Distinct parties that must indemnify, in order; names under three characters don't count."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(P.OBLIGOR), 1), lambda n: F.regexp_replace(F.trim(n), r"[,.]+$", ""))
+    """Distinct parties that must indemnify, in order; names under three characters don't count.
+
+    Nothing behind the text's last verb can be part of a match, so the pattern,
+    which starts at every capital letter, is spared what follows.
+    """
+    upto = F.regexp_extract(text, P.OBLIGOR_END, 0)
+    names = F.transform(F.regexp_extract_all(upto, F.lit(P.OBLIGOR), 1), lambda n: F.regexp_replace(F.trim(n), r"[,.]+$", ""))
     return F.array_distinct(F.filter(names, lambda n: F.length(n) >= 3))
 
 
@@ -169,20 +180,22 @@ def bigrams(words: Column) -> Column:
 def claims(text: Column) -> Column:
     """Sentences of 20 and more characters with a modal word or four digits."""
     parts = F.transform(F.split(text, "[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"^\s+|\s+$", "")))
-    return F.filter(parts, lambda s: (F.length(s) >= 20) & (one_of(F.lower(s), ("must", "shall", "will", "may", "cannot")) | F.rlike(s, F.lit(r"\d{4}"))))
+    return F.filter(parts, lambda s: (F.length(s) >= 20) & (one_of(F.lower(s), P.MODALS) | F.rlike(s, F.lit(P.FOUR_DIGITS))))
 
 
 def key_entities(text: Column) -> Column:
     """Capitalised phrases, quoted phrases and words in capitals."""
-    return F.concat(F.regexp_extract_all(text, F.lit(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"), 0), F.regexp_extract_all(text, F.lit('"([^"]+)"'), 1),
-                    F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,}\b"), 0))
+    return F.concat(*[F.regexp_extract_all(text, F.lit(p), group) for p, group in P.KEY_ENTITIES])
 
 
 def factual_entities(text: Column) -> Column:
     """Distinct dollar amounts, dates and party names."""
-    patterns = (r"\$[\d,]+(?:\.\d{2})?", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"\d{4}[/-]\d{1,2}[/-]\d{1,2}",
-                r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b")
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), 0) for p in patterns]))
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), 0) for p in P.FACTS]))
+
+
+def file_name(name: Column) -> Column:
+    """A file name without its folders and without characters that file systems refuse."""
+    return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"[^A-Za-z0-9._-]", "_")
 
 
 def slug(name: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import params as P
 from ..functions import contract_text as C
+from . import tables
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -161,34 +162,154 @@ def assemble_context(ranked: DataFrame) -> DataFrame:
 
 
 def probe_evidence(hits: DataFrame, prefix: int = P.PROBE_PREFIX, cap: int = P.EVIDENCE_CHARS) -> DataFrame:
-    """project_id, evidence: probes' passages, first of equal beginnings kept, labelled and cut. hits: project_id, probe, place, text."""
-    key = F.substring("text", 1, prefix)
-    first = hits.groupBy("project_id", key.alias("head")).agg(F.min(F.struct("probe", "place", "text")).alias("h")).select("project_id", "h.*")
-    line = F.concat(F.lit("["), F.col("probe"), F.lit("] "), F.col("text"))
-    parts = first.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("probe", "place", line.alias("line")))).alias("l"))
-    return parts.select("project_id", C.cut_with_note(F.array_join("l.line", "\n---\n"), cap).alias("evidence"))
+    """project_id, evidence: the probes' passages in order, the first of equal beginnings kept, labelled, joined and cut.
 
+    hits: project_id, probe, probe_place, place, text; a row without a text stands for a project without a passage.
+    """
+    body = F.trim("text")
+    first = hits.filter(body != "").groupBy("project_id", F.substring(body, 1, prefix).alias("head")).agg(
+        F.min(F.struct("probe_place", "place", F.concat(F.lit("["), F.upper("probe"), F.lit("]\n"), body).alias("passage"))).alias("h"))
+    parts = first.groupBy("project_id").agg(F.array_sort(F.collect_list("h")).alias("l")).select("project_id", F.array_join("l.passage", "\n\n---\n\n").alias("all"))
+    cut = F.when(F.length("all") > cap, F.concat(F.substring("all", 1, cap), F.lit(P.EVIDENCE_CUT))).otherwise(F.col("all"))
+    return hits.select("project_id").distinct().join(parts, "project_id", "left").select("project_id", F.coalesce(cut, F.lit(P.NO_EVIDENCE)).alias("evidence"))
+
+
+def probe_hits(probes: DataFrame, items: DataFrame, k: int = P.PROBE_K, kept: int = P.PROBE_KEPT) -> DataFrame:
+    """The ``k`` best items of each probe, reranked, ``kept`` of them: probe, probe_place, place, id, text. probes: probe_place, probe, question."""
+    asked = probes.select(F.col("probe_place").alias("qid"), "probe", "question")
+    rows = bm25_top(asked, items, k, digits=4).join(asked, "qid").join(items, "id")
+    return rerank(rows, overlap_score(F.col("question"), F.col("text")), kept).select("probe", F.col("qid").alias("probe_place"), "place", "id", "text")
+
+
+MODES = ("semantic", "hybrid")
 
-def tfidf_pairs(items: DataFrame, least: float = P.NEAR_DUPLICATE, digits: int = 9) -> DataFrame:
-    """(a, b, similarity) of all pairs a < b with TF-IDF cosine of at least ``least``; smooth idf, unit norms.
 
-    A prefix of each vector's rarest terms is its key: the rest of the vector
-    has a norm below ``least``, so pairs without a common key can't reach it.
-    Frequent terms are in nobody's prefix unless a text has nothing rarer.
+def search(modes: DataFrame, dense: DataFrame, sparse: DataFrame | None, k: DataFrame | int | None = None) -> DataFrame:
+    """qid, id, score, rank, mode by each question's mode (qid, mode), with fallbacks.
+
+    A hybrid question is answered by fusion if the collection has sparse vectors
+    and the question has sparse hits, else by meaning alone, as is any question
+    of an unknown or missing mode. Without ``k`` a pool of ``params.POOL`` is returned.
+    """
+    k = P.POOL if k is None else k
+    wanted = modes.select("qid", F.when(F.col("mode").isin(*MODES), F.col("mode")).otherwise(MODES[0]).alias("mode"))
+    if sparse is None:
+        wanted = wanted.withColumn("mode", F.lit(MODES[0]))
+        both = None
+    else:
+        hit = sparse.select("qid").distinct().withColumn("hit", F.lit(True))
+        wanted = wanted.join(hit, "qid", "left").select("qid", F.when(F.col("hit").isNull(), MODES[0]).otherwise(F.col("mode")).alias("mode"))
+        both = fuse(dense, sparse, k).join(wanted.filter(F.col("mode") == "hybrid"), "qid").select("qid", "id", "score", "rank", "mode")
+    plain = dense.filter(F.col("rank") <= k).join(wanted.filter(F.col("mode") == "semantic"), "qid").select("qid", "id", "score", "rank", "mode")
+    return plain if both is None else plain.unionByName(both)
+
+
+CONTENT_TYPES = ("text", "table", "image")
+
+
+def filtered(items: DataFrame, page: int | None = None, content_type: str | None = None, clause_type: str | None = None) -> DataFrame:
+    """Items of a page, a content type and a clause type, before any ranking. items: page_number, content_types, clause_type."""
+    if content_type is not None and content_type not in CONTENT_TYPES:
+        raise ValueError(f"content type {content_type!r} is none of {CONTENT_TYPES}")
+    if page is not None:
+        items = items.filter(F.col("page_number") == page)
+    if content_type is not None:
+        items = items.filter(F.array_contains("content_types", content_type))
+    return items if clause_type is None else items.filter(F.col("clause_type") == clause_type)
+
+
+#: Candidates of one vector that one task verifies together.
+VERIFY_BLOCK = 4096
+
+
+def tfidf_vectors(items: DataFrame) -> DataFrame:
+    """rep, terms, weights, keys, members, one row a distinct vector: smooth idf, unit norms. items: id, text.
+
+    Texts with the same words equally often have one vector; ``rep`` is the least
+    of their ids. ``keys`` are the vector's rarest terms, so many that what is
+    left has a norm below NEAR_DUPLICATE: vectors without a common key can't
+    reach it. Terms are in the order of their rarity.
     """
     words = items.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("term"))
     tf = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = items.agg(F.count("*").alias("n"))
-    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", "df", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    entries = F.array_sort(F.collect_list(F.struct("df", "term", "w")))
-    vectors = raw.groupBy("id").agg(entries.alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    vectors = vectors.select("id", F.transform("e", lambda x: F.struct(x["df"], x["term"], (x["w"] / F.col("norm")).alias("w"))).alias("e"))
-    each = vectors.select("id", F.posexplode("e").alias("pos", "x")).select("id", "pos", "x.*")
-    rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id").orderBy(F.col("pos").desc()))
-    keys = each.withColumn("rest", rest).filter((F.col("rest") >= least * least - 1e-9) & (F.col("df") > 1)).select("id", "term")
-    pairs = keys.alias("p").join(keys.alias("q"), "term").filter(F.col("p.id") < F.col("q.id")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    left = pairs.join(each.select(F.col("id").alias("a"), "term", F.col("w").alias("wa")), "a")
-    both = left.join(each.select(F.col("id").alias("b"), "term", F.col("w").alias("wb")), ["b", "term"])
-    similar = both.groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), digits).alias("similarity"))
-    return similar.filter(F.col("similarity") >= least)
+    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "df", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
+    vectors = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("e"))
+    classes = vectors.groupBy(F.xxhash64("e").alias("k1"), F.sha2(F.to_json("e"), 256).alias("k2")).agg(F.min("id").alias("rep"), F.first("e").alias("e"), F.sort_array(F.collect_list("id")).alias("members"))
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    unit = classes.withColumn("norm", norm).select("rep", "members", F.col("e.df").alias("df"), F.col("e.term").alias("term"), F.transform("e", lambda x: x["w"] / F.col("norm")).alias("weights"))
+    return unit.select("rep", "members", "df", "term", F.transform("term", lambda t: F.xxhash64(t)).alias("terms"), "weights")
+
+
+def tfidf_pairs(items: DataFrame, least: float = P.NEAR_DUPLICATE, digits: int = 9) -> DataFrame:
+    """(a, b, similarity): pairs a < b with TF-IDF cosine of at least ``least``, copies of a vector with their representative only.
+
+    Candidates meet by key terms. Each vector's candidates are verified together,
+    in bounded blocks, on arrays.
+    """
+    vectors = tables.written(tfidf_vectors(items))
+    similar = similar_vectors(vectors, least, digits)
+    copies = vectors.select(F.col("rep").alias("a"), F.explode("members").alias("b")).filter("a < b")
+    return similar.unionByName(copies.select("a", "b", F.lit(1.0).alias("similarity")))
+
+
+def similar_vectors(vectors: DataFrame, least: float = P.NEAR_DUPLICATE, digits: int = 9) -> DataFrame:
+    """(a, b, similarity) of representatives a < b. vectors: as of ``tfidf_vectors``, written."""
+    # what is left from each term on, of a unit vector, summed from the end
+    squares = F.transform("weights", lambda w: w * w)
+    total = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
+    start = F.struct(total.alias("rest"), F.array().cast("array<bigint>").alias("keys"), F.lit(1).alias("i"))
+
+    def step(acc, square):
+        term, df = F.element_at("terms", acc["i"]), F.element_at("df", acc["i"])
+        use = (acc["rest"] >= least * least - 1e-9) & (df > 1)
+        return F.struct((acc["rest"] - square).alias("rest"), F.when(use, F.array_append(acc["keys"], term)).otherwise(acc["keys"]).alias("keys"), (acc["i"] + 1).alias("i"))
+
+    keys = vectors.select("rep", F.explode(F.aggregate(squares, start, step)["keys"]).alias("term"))
+    keys = tables.written(keys)
+    pairs = keys.alias("p").join(keys.alias("q"), "term").filter(F.col("p.rep") < F.col("q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
+    pairs = tables.written(pairs)
+    own = vectors.select(F.col("rep").alias("a"), F.col("terms").alias("ta"), F.col("weights").alias("wa"))
+    other = vectors.select(F.col("rep").alias("b"), F.col("terms").alias("tb"), F.col("weights").alias("wb"))
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_BLOCK).cast("int").alias("blocks"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    left = counts.join(own, "a").select(F.col("a").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "ta", "wa")
+    right = dealt.join(other, "b").select("a", "block", "b", "tb", "wb")
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if not mine.num_rows or not theirs.num_rows:
+            return pa.table({"a": pa.array([], mine.schema.field("mine").type), "b": pa.array([], theirs.schema.field("b").type), "similarity": pa.array([], pa.float64())})
+        terms, weights = (mine.column(c).combine_chunks().flatten().to_numpy() for c in ("ta", "wa"))
+        order = np.argsort(terms)
+        terms, weights = terms[order], weights[order]
+        lists = theirs.column("tb").combine_chunks()
+        flat, weight = lists.flatten().to_numpy(), theirs.column("wb").combine_chunks().flatten().to_numpy()
+        at = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
+        product = np.where(terms[at] == flat, weights[at] * weight, 0.0)
+        who = np.repeat(np.arange(theirs.num_rows), np.diff(lists.offsets.to_numpy()))
+        found = np.round(np.bincount(who, weights=product, minlength=theirs.num_rows), digits)
+        hit = np.flatnonzero(found >= least)
+        return pa.table({"a": mine.column("mine").take(pa.array(np.zeros(len(hit), np.int64))), "b": theirs.column("b").take(pa.array(hit)), "similarity": pa.array(found[hit])})
+
+    schema = StructType([StructField("a", vectors.schema["rep"].dataType), StructField("b", vectors.schema["rep"].dataType), StructField("similarity", DoubleType())])
+    return left.groupBy("mine", "part").cogroup(right.groupBy("a", "block")).applyInArrow(run, schema)
+
+
+def near_duplicates_removed(items: DataFrame, least: float = P.NEAR_DUPLICATE, digits: int = 9) -> DataFrame:
+    """id, kept. Of two similar items a gold one stays, else the earlier (smaller id); whatever the other pairs say. items: id, text, gold.
+
+    An item goes if any similar item beats it, so of each class of equal vectors
+    and its neighbours only the least id and the least gold id are needed.
+    """
+    vectors = tables.written(tfidf_vectors(items.select("id", "text")))
+    members = vectors.select("rep", F.explode("members").alias("id")).join(items.select("id", "gold"), "id")
+    least_of = members.groupBy("rep").agg(F.min("id").alias("first"), F.min(F.when(F.col("gold"), F.col("id"))).alias("first_gold"))
+    links = tables.written(similar_vectors(vectors, least, digits).select("a", "b"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    around = both.join(least_of.withColumnRenamed("rep", "b"), "b").select(F.col("a").alias("rep"), "first", "first_gold").unionByName(least_of)
+    around = around.groupBy("rep").agg(F.min("first").alias("first"), F.min("first_gold").alias("first_gold"))
+    earlier_gold = F.coalesce(F.col("first_gold") < F.col("id"), F.lit(False))
+    beaten = F.when(F.col("gold"), earlier_gold).otherwise(F.col("first_gold").isNotNull() | (F.col("first") < F.col("id")))
+    gone = members.join(around, "rep").filter(beaten).select("id").withColumn("gone", F.lit(True))
+    return items.select("id").join(gone, "id", "left").select("id", F.col("gone").isNull().alias("kept"))

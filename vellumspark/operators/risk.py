@@ -27,94 +27,123 @@ def severity_value(severity: Column) -> Column:
 def dedupe_clauses(clauses: DataFrame) -> DataFrame:
     """The longest text of each type, the first of equals; 'other' clauses once by title. One aggregate, no sort."""
     key = F.when(F.col("clause_type") == "other", F.concat(F.lit("other:"), F.lower(F.trim("title")))).otherwise(F.col("clause_type"))
-    length = F.when(F.col("clause_type") == "other", 0).otherwise(F.length("text"))
+    length = F.when(F.col("clause_type") == "other", 0).otherwise(F.length("text") if "text" in clauses.columns else F.col("chars"))
     best = F.max_by(F.struct(*clauses.columns), F.struct(length, -F.col("pos")))
     return clauses.groupBy("project_id", key.alias("key")).agg(best.alias("c")).select("c.*")
 
 
-def rule_risks(clauses: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Risks that follow from which clauses there are and what they say, in rule order."""
-    held = clauses.groupBy("project_id").agg(
-        F.collect_set("clause_type").alias("types"),
-        F.sort_array(F.collect_list(F.when(F.col("clause_type") == "auto_renewal", F.struct("pos", "text")))).alias("renewals"),
-        F.sort_array(F.collect_list(F.when(F.col("clause_type") == "liability", F.struct("pos", "text")))).alias("caps"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("clause_type") == "indemnification", F.struct("pos", "text")))), lambda x: x["text"]), " ")
-        .alias("indemnity"))
-    rows = metadata.join(held, "project_id", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
+def clause_facts(clauses: DataFrame) -> DataFrame:
+    """Clauses with what the rules ask of their texts in place of the texts, which are read once and where they are.
+
+    Adds chars, renews (automatically, without adequate notice), uncapped and
+    obligors; each pattern runs only over clauses of the type that it concerns.
+    """
+    text = F.col("text")
+    of = lambda kind, value: F.when(F.col("clause_type") == kind, value)
+    return clauses.select(
+        "project_id", "pos", "clause_type", "title", F.length(text).alias("chars"), of("auto_renewal", C.renews_without_notice(text)).alias("renews"),
+        of("liability", ~C.liability_cap(text)["has_cap"]).alias("uncapped"), of("indemnification", C.obligors(text)).alias("obligors"))
+
+
+RISK = "struct<pos:int,category:string,severity:string,title:string,confidence:double>"
+
+
+def assess(facts: DataFrame, metadata: DataFrame) -> DataFrame:
+    """project_id, the penalties, rule_score and rule risks (an array of RISK, in rule order) of every project of ``metadata``.
+
+    ``facts``: deduped ``clause_facts``; a project has one clause a type and its "other" clauses.
+    """
+    held = facts.groupBy("project_id").agg(
+        F.collect_set("clause_type").alias("types"), F.count_if("renews").alias("renewals"), F.count_if("uncapped").alias("caps"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("obligors")))).alias("parties"))
+    rows = metadata.join(held, "project_id", "left").na.fill(0, ["renewals", "caps"]).withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
     kind = F.lower(F.coalesce("contract_type", F.lit("")))
     lacks = lambda t: ~F.array_contains("types", t)
+    undated = F.coalesce(F.col("expiration_date"), F.lit("")) == ""
 
-    def risk(place: int, when: Column, category: str, severity: str, title: Column | str, confidence: float) -> Column:
-        title = F.lit(title) if isinstance(title, str) else title
-        return F.when(when, F.struct(F.lit(place).alias("pos"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), title.alias("title"),
-                                     F.lit(confidence).alias("confidence")))
-
-    core = [risk(i, lacks(t), "missing_clause", "high" if t == "liability" else "medium", f"Missing {t.replace('_', ' ')} clause", 1.0)
-            for i, t in enumerate(P.CORE_CLAUSES)]
-    fixed = [
-        risk(10, C.one_of(kind, P.TECH_WORDS) & lacks("intellectual_property"), "missing_clause", "high", "Missing Intellectual Property ownership clause", 1.0),
-        risk(11, C.one_of(kind, P.COMMERCE_WORDS) & lacks("payment"), "missing_clause", "high", "Missing Payment terms clause", 1.0),
-        risk(12, F.coalesce(F.col("expiration_date"), F.lit("")).eqNullSafe("") & lacks("termination"), "operational", "medium",
-             "No expiration date or termination clause", 1.0),
-    ]
-    each = F.transform(F.filter("renewals", lambda x: C.auto_renewal(x["text"])["has_auto_renewal"] & ~C.auto_renewal(x["text"])["adequate"]), lambda x: F.struct(
-        F.lit(20).alias("pos"), F.lit("unfavorable_terms").alias("category"), F.lit("high").alias("severity"),
-        F.lit("Auto-renewal without adequate opt-out notice").alias("title"), F.lit(0.95).alias("confidence")))
-    uncapped = F.transform(F.filter("caps", lambda x: ~C.liability_cap(x["text"])["has_cap"]), lambda x: F.struct(
-        F.lit(30).alias("pos"), F.lit("financial").alias("category"), F.lit("high").alias("severity"), F.lit("Uncapped liability").alias("title"),
-        F.lit(0.90).alias("confidence")))
-    one_sided = risk(40, C.one_sided_indemnity(F.col("indemnity")), "unfavorable_terms", "high", "One-sided indemnification obligation", 0.85)
-    found = F.concat(F.array_compact(F.array(*core, *fixed)), F.coalesce(each, F.array().cast("array<struct<pos:int,category:string,severity:string,title:string,confidence:double>>")),
-                     F.coalesce(uncapped, F.array().cast("array<struct<pos:int,category:string,severity:string,title:string,confidence:double>>")),
-                     F.array_compact(F.array(one_sided)))
-    return rows.select("project_id", F.posexplode(found).alias("place", "r")).select("project_id", F.col("place").alias("pos"), F.lit("rule").alias("origin"), "r.category",
-                                                                                      "r.severity", "r.title", "r.confidence")
+    def risk(place: int, category: str, severity: str, title: str, confidence: float) -> Column:
+        return F.struct(F.lit(place).alias("pos"), F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(title).alias("title"),
+                        F.lit(confidence).alias("confidence"))
 
+    missing = "missing_clause"
+    single = [F.when(lacks(t), risk(i, missing, "high" if t == "liability" else "medium", f"Missing {t.replace('_', ' ')} clause", 1.0)) for i, t in enumerate(P.CORE_CLAUSES)]
+    single += [
+        F.when(C.one_of(kind, P.TECH_WORDS) & lacks("intellectual_property"), risk(10, missing, "high", "Missing Intellectual Property ownership clause", 1.0)),
+        F.when(C.one_of(kind, P.COMMERCE_WORDS) & lacks("payment"), risk(11, missing, "high", "Missing Payment terms clause", 1.0)),
+        F.when(undated & lacks("termination"), risk(12, "operational", "medium", "No expiration date or termination clause", 1.0))]
+    repeated = [F.array_repeat(risk(20, "unfavorable_terms", "high", "Auto-renewal without adequate opt-out notice", 0.95), F.col("renewals").cast("int")),
+                F.array_repeat(risk(30, "financial", "high", "Uncapped liability", 0.90), F.col("caps").cast("int"))]
+    one_sided = F.when(F.coalesce(F.col("parties") == 1, F.lit(False)), risk(40, "unfavorable_terms", "high", "One-sided indemnification obligation", 0.85))
+    found = F.concat(F.array_compact(F.array(*single)), *repeated, F.array_compact(F.array(one_sided)))
+    penalties = sum((lacks(t).cast("int") for t in P.PENALTY_CLAUSES), F.lit(0)) * 16
+    rows = rows.select("project_id", penalties.alias("missing_penalty"), F.when(undated & lacks("termination"), 10).otherwise(0).alias("exit_penalty"),
+                       F.when(F.col("renewals") > 0, 20).otherwise(0).alias("renewal_penalty"), found.cast(f"array<{RISK}>").alias("risks"))
+    total = F.col("missing_penalty") + F.col("exit_penalty") + F.col("renewal_penalty")
+    return rows.withColumn("rule_score", F.least(F.lit(100), total))
 
-def dedupe_risks(risks: DataFrame, prefix: int = 40) -> DataFrame:
-    """Risks in order, one kept if neither its title nor its 40-character beginning was seen before in the same set."""
-    rows = risks.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in risks.columns if c not in ("project_id", "pos")]))).alias("r"))
-    empty = F.struct(F.array().cast("array<string>").alias("seen"), F.filter("r", lambda x: F.lit(False)).alias("kept"))
 
-    def step(acc, x):
-        title = F.lower(F.trim(x["title"]))
-        head = F.substring(title, 1, prefix)
-        known = F.array_contains(acc["seen"], title) | F.array_contains(acc["seen"], head)
-        return F.struct(F.when(known, acc["seen"]).otherwise(F.array_union(acc["seen"], F.array(title, head))).alias("seen"),
-                        F.when(known, acc["kept"]).otherwise(F.array_append(acc["kept"], x)).alias("kept"))
+def _facts(clauses: DataFrame) -> DataFrame:
+    return dedupe_clauses(clause_facts(clauses) if "text" in clauses.columns else clauses)
 
-    return rows.select("project_id", F.explode(F.aggregate("r", empty, step)["kept"]).alias("x")).select("project_id", "x.*")
+
+def listed_risks(assessed: DataFrame) -> DataFrame:
+    """Risks of assessed projects as rows, with their place; rule_score goes along, and a project without risks keeps a row of nulls."""
+    each = assessed.select("project_id", "rule_score", F.posexplode_outer("risks").alias("place", "r"))
+    return each.select("project_id", "rule_score", F.col("place").alias("pos"), F.when(F.col("r").isNotNull(), "rule").alias("origin"), "r.category", "r.severity", "r.title", "r.confidence")
+
+
+def rule_risks(clauses: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Risks that follow from which clauses there are and what they say, in rule order."""
+    return listed_risks(assess(_facts(clauses), metadata)).filter("origin is not null").drop("rule_score")
+
+
+def all_risks(rules: DataFrame, model: DataFrame) -> DataFrame:
+    """Rule risks, then a model's: its places follow all of the rules'. model: project_id, pos, category, severity, title, confidence."""
+    after = 1_000_000
+    found = model.withColumn("pos", F.col("pos") + after).withColumn("origin", F.lit("model"))
+    return rules.unionByName(found, allowMissingColumns=True)
+
+
+def dedupe_risks(risks: DataFrame, prefix: int = 40) -> DataFrame:
+    """Of risks whose titles begin alike (40 characters, case and outer blanks aside) the first; rows without a title stay.
+
+    A title of up to 40 characters is its own beginning, so that a title repeats
+    another's whole or its beginning exactly when their beginnings are equal.
+    """
+    head = F.substring(F.lower(F.trim("title")), 1, prefix)
+    titled = risks.filter(F.col("title").isNotNull()).groupBy("project_id", head.alias("head")).agg(F.min_by(F.struct(*risks.columns), "pos").alias("r")).select("r.*")
+    return titled.unionByName(risks.filter(F.col("title").isNull()))
 
 
 def rule_score(clauses: DataFrame, metadata: DataFrame) -> DataFrame:
     """project_id, missing_penalty, exit_penalty, renewal_penalty, rule_score."""
-    renewal = (F.col("clause_type") == "auto_renewal") & C.auto_renewal(F.col("text"))["has_auto_renewal"] & ~C.auto_renewal(F.col("text"))["adequate"]
-    held = clauses.groupBy("project_id").agg(F.collect_set("clause_type").alias("types"), F.bool_or(renewal).alias("renews"))
-    rows = metadata.join(held, "project_id", "left")
-    missing = sum((F.coalesce(~F.array_contains("types", t), F.lit(True)).cast("int") for t in P.PENALTY_CLAUSES), F.lit(0)) * 16
-    leaves = F.when((F.coalesce("expiration_date", F.lit("")) == "") & F.coalesce(~F.array_contains("types", "termination"), F.lit(True)), 10).otherwise(0)
-    renews = F.when(F.coalesce("renews", F.lit(False)), 20).otherwise(0)
-    parts = rows.select("project_id", missing.alias("missing_penalty"), leaves.alias("exit_penalty"), renews.alias("renewal_penalty"))
-    return parts.withColumn("rule_score", F.least(F.lit(100), F.col("missing_penalty") + F.col("exit_penalty") + F.col("renewal_penalty")))
+    return assess(_facts(clauses), metadata).select("project_id", "missing_penalty", "exit_penalty", "renewal_penalty", "rule_score")
 
 
 def score(rules: DataFrame, risks: DataFrame) -> DataFrame:
-    """project_id, rule_score, model_score, overall_score, risk_level, highest_severity, counts and the five greatest contributors."""
+    """Scores of every project of ``rules`` (project_id, rule_score) from its risks."""
+    return score_rows(rules.select("project_id", "rule_score").join(risks.drop("rule_score"), "project_id", "left"))
+
+
+def score_rows(risks: DataFrame) -> DataFrame:
+    """project_id, rule_score, model_score, overall_score, risk_level, highest_severity, counts and the five greatest contributors.
+
+    ``risks``: rows as of ``listed_risks``, a model's added; a project without risks has a row of nulls.
+    """
     value = severity_value(F.col("severity"))
     found = F.when(F.col("origin") != "rule", value)
-    counts = [F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in P.SEVERITY_VALUE]
-    held = risks.groupBy("project_id").agg(
-        F.coalesce((F.max(found) * F.lit(0.6) + F.avg(found) * F.lit(0.4)).cast("int"), F.lit(0)).alias("model_score"), *counts,
-        F.max_by("severity", value).alias("highest"), F.sort_array(F.collect_list(F.struct((-value).alias("v"), "pos", "title"))).alias("ordered"))
-    rows = rules.select("project_id", "rule_score").join(held, "project_id", "left").na.fill(0, ["model_score", *[f"{s}_count" for s in P.SEVERITY_VALUE]])
+    counts = [F.count_if(F.coalesce(F.col("severity") == s, F.lit(False))).alias(f"{s}_count") for s in P.SEVERITY_VALUE]
+    place = F.struct((-value).alias("v"), "pos", "title")
+    rows = risks.groupBy("project_id").agg(
+        F.max("rule_score").alias("rule_score"), F.coalesce((F.max(found) * F.lit(0.6) + F.avg(found) * F.lit(0.4)).cast("int"), F.lit(0)).alias("model_score"),
+        *counts, F.max_by("severity", value).alias("highest"), F.slice(F.sort_array(F.collect_list(F.when(F.col("title").isNotNull(), place))), 1, 5).alias("ordered"))
     blend = F.bround(P.RULE_WEIGHT * F.col("rule_score") + P.MODEL_WEIGHT * F.col("model_score")).cast("int")
     best = F.greatest("rule_score", "model_score", blend)
     floor = F.when((F.col("critical_count") >= 1) & (F.col("high_count") >= 2), 91).when(F.col("high_count") >= 2, 76).otherwise(0)
-    overall = F.least(F.lit(100), F.greatest(F.lit(0), best, floor))
-    rows = rows.withColumn("overall_score", overall)
-    top = F.transform(F.slice(F.coalesce("ordered", F.array().cast("array<struct<v:int,pos:int,title:string>>")), 1, 5), lambda x: x["title"])
+    rows = rows.withColumn("overall_score", F.least(F.lit(100), F.greatest(F.lit(0), best, floor)))
     return rows.select("project_id", "rule_score", "model_score", "overall_score", C.report_band(F.col("overall_score")).alias("risk_level"),
-                       F.coalesce("highest", F.lit("none")).alias("highest_severity"), *[f"{s}_count" for s in P.SEVERITY_VALUE], top.alias("top_contributors"))
+                       F.coalesce("highest", F.lit("none")).alias("highest_severity"), *[f"{s}_count" for s in P.SEVERITY_VALUE],
+                       F.transform("ordered", lambda x: x["title"]).alias("top_contributors"))
 
 
 def features(clauses: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ CHUNK_SIZE, CHUNK_OVERLAP = 1024, 200
 TOP_K, POOL, SCORE_THRESHOLD, PREFETCH, RRF_K = 5, 20, 0.50, 50, 60
 RERANK_N, RERANK_PAGE_N = 8, 10
 PROBE_K, PROBE_KEPT, PROBE_PREFIX, EVIDENCE_CHARS = 6, 3, 120, 12_000
+EVIDENCE_CUT, NO_EVIDENCE = "\n\n[... passages truncated for context budget ...]", "(retrieval returned no passages)"
+CITED_OVERLAP, KEYWORD_SHARE, ELIGIBLE_QUALITY, GOLD_SOURCE = 0.8, 0.5, 0.85, "cuad_gold"
 RULE_WEIGHT, MODEL_WEIGHT = 0.4, 0.6
 SEVERITY_VALUE = {"low": 10, "medium": 35, "high": 65, "critical": 90}
 SEVERITY_ORDER = {"low": 1, "medium": 2, "high": 3, "critical": 4}
@@ -62,6 +64,11 @@ LAW = (r"(?:governed\s+by\s+(?:and\s+construed\s+in\s+accordance\s+with\s+)?the\
        r"|laws?\s+of\s+(?:the\s+(?:State|Republic|Kingdom|Province|Country)\s+of\s+)?([A-Z][A-Za-z\s]+?)(?:\s+shall\s+govern|\s+governs?|\.|,)"
        r"|applicable\s+law\s*:\s*([A-Z][A-Za-z\s,]+?)(?:\.|,))")
 OBLIGOR = r"([A-Z][A-Za-z\s,\.]+?)\s+(?:shall|agrees?\s+to|will|must)\s+(?:defend,?\s+)?(?:indemnify|indemnification|hold\s+harmless)"
+OBLIGOR_END = r"(?s)^.*(?:indemnify|indemnification|hold\s+harmless)"
+MODALS, FOUR_DIGITS = ("must", "shall", "will", "may", "cannot"), r"\d{4}"
+KEY_ENTITIES = ((r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", 0), ('"([^"]+)"', 1), (r"\b[A-Z]{2,}\b", 0))
+FACTS = (r"\$[\d,]+(?:\.\d{2})?", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"\d{4}[/-]\d{1,2}[/-]\d{1,2}",
+         r"(?i)(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}", r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b")
 INJECTION = (
     r"(?i)ignore\s+(previous|all)\s+(instructions?|prompts?|rules?)",
     r"(?i)act\s+as\s+(if\s+)?(you\s+)?(are|can)\s+(a\s+)?different",

@@ -304,17 +304,26 @@ def _clauses(spark, d):
 
 
 def _metadata(spark, d):
-    p = _clauses(spark, d).select("project_id").distinct()
+    p = _t(spark, d, "documents").select(F.concat_ws("-", "source", (F.col("doc_id") % 7).cast("string")).alias("project_id")).distinct()
     last = F.substring("project_id", -1, 1).cast("int")
     return p.select("project_id", F.when(last < 3, "Software services").when(last < 5, "Lease").alias("contract_type"), F.when(last == 6, "2030-01-01").alias("expiration_date"))
 
 
 def clause_dedupe(spark, d):
-    return risk.dedupe_clauses(_clauses(spark, d)).select("project_id", "pos", "clause_type")
+    narrow = _clauses(spark, d).select("project_id", "pos", "clause_type", "title", F.length("text").alias("chars"))
+    return risk.dedupe_clauses(narrow).select("project_id", "pos", "clause_type")
 
 
 def _rules(spark, d):
-    return risk.rule_risks(risk.dedupe_clauses(_clauses(spark, d)), _metadata(spark, d))
+    return risk.rule_risks(_clauses(spark, d), _metadata(spark, d))
+
+
+def model_risks(spark, d):
+    """A model's findings: every third document of a project is one, of a severity and a title by its number."""
+    rows = _t(spark, d, "documents").filter("doc_id % 3 = 0")
+    severity = F.element_at(F.array(*[F.lit(s) for s in P.SEVERITY_VALUE]), (F.col("doc_id") % 4).cast("int") + 1)
+    return rows.select(F.concat_ws("-", "source", (F.col("doc_id") % 7).cast("string")).alias("project_id"), F.col("doc_id").alias("pos"), F.lit("model").alias("category"),
+                       severity.alias("severity"), F.concat(F.lit("Finding number "), (F.col("doc_id") % 11).cast("string")).alias("title"), F.lit(0.5).alias("confidence"))
 
 
 def rule_risks(spark, d):
@@ -322,7 +331,7 @@ def rule_risks(spark, d):
 
 
 def rule_scores(spark, d):
-    return risk.rule_score(risk.dedupe_clauses(_clauses(spark, d)), _metadata(spark, d))
+    return risk.rule_score(_clauses(spark, d), _metadata(spark, d))
 
 
 def risk_dedupe(spark, d):
@@ -330,9 +339,10 @@ def risk_dedupe(spark, d):
 
 
 def risk_scores(spark, d):
-    clauses = risk.dedupe_clauses(_clauses(spark, d))
-    rules = risk.rule_score(clauses, _metadata(spark, d))
-    return risk.score(rules, risk.dedupe_risks(_rules(spark, d))).withColumn("top_contributors", F.array_join("top_contributors", "|"))
+    assessed = risk.assess(risk.dedupe_clauses(risk.clause_facts(_clauses(spark, d))), _metadata(spark, d))
+    model = model_risks(spark, d).join(assessed.select("project_id").distinct(), "project_id", "left_semi")
+    found = risk.dedupe_risks(risk.all_risks(risk.listed_risks(assessed), model))
+    return risk.score_rows(found).withColumn("top_contributors", F.array_join("top_contributors", "|"))
 
 
 def risk_features(spark, d):
