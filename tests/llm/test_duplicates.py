@@ -204,11 +204,10 @@ def brute_classes(docs):
     return {i: (len(sets[i]), ids[root[place[i]]]) for i in ids}
 
 
-@pytest.mark.parametrize("cell, replicates", [(48, 2.5), (1, 1e9), (1, 0)])  # pair by pair, split again and again, and block against block
-def test_classes(spark, odd, none, texts, data, monkeypatch, cell, replicates):
-    monkeypatch.setattr(jaccard, "SMALL_CELL", cell)
-    monkeypatch.setattr(jaccard, "REPLICATES", replicates)
-    monkeypatch.setattr(jaccard, "LEVELS", 3)
+@pytest.mark.parametrize("cell, left", [(48, 0.5), (1, 1e9), (1, 0)])  # pair by pair, split again and again, and block against block
+def test_classes(spark, odd, none, texts, data, monkeypatch, cell, left):
+    for name, value in (("SMALL_CELL", cell), ("LEAF_CELL", cell), ("PAIRS_LEFT", left), ("LEVELS", 2)):
+        monkeypatch.setattr(jaccard, name, value)
     monkeypatch.setattr(jaccard, "SLICE_BYTES", 4096)
     rng = np.random.default_rng(4)
     base = [f"t{i}" for i in range(80)]
@@ -254,11 +253,10 @@ def test_voronoi_cells_bring_every_linked_pair_together(spark):
     links = [(i, j) for i in range(len(sets)) for j in range(i) if 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))]
     assert len(links) > 100 and all(held[i] & held[j] for i, j in links)
     assert len(cells) < 0.9 * len(rows) * jaccard.PIVOTS  # windows leave cells out
-    for cell, replicates in ((48, 2.5), (4, 1e9), (4, 0)):
+    for cell, left in ((48, 0.5), (4, 1e9), (4, 0)):
         with pytest.MonkeyPatch.context() as m:
-            m.setattr(jaccard, "SMALL_CELL", cell)
-            m.setattr(jaccard, "REPLICATES", replicates)
-            m.setattr(jaccard, "LEVELS", 2)
+            for name, value in (("SMALL_CELL", cell), ("LEAF_CELL", cell), ("PAIRS_LEFT", left), ("LEVELS", 2)):
+                m.setattr(jaccard, name, value)
             found = jaccard.join_cells(large.drop("size"), frame.select("node", "n", "tokens"), Scratch(spark, "test")).collect()
         assert roots(len(sets), [(int(bytes(r.a)), int(bytes(r.b))) for r in found]) == roots(len(sets), links)
 

@@ -13,17 +13,17 @@ all others, where no pivot can tell them apart, so regions are found in two step
 2. First pivot. In each region the most central document is a pivot; every other
    gets its exact distance to it, and those within r are linked to it. A region
    whose documents are all in one component is settled.
-3. Voronoi cells. A region that is not settled and not small gets several pivots,
+3. Voronoi cells. A region that is not settled and over a bound gets several pivots,
    from different components, and every document its distance to each. A document
    is at home in the cell of its nearest pivot p. Its partners lie within r, so by
    the triangle inequality one that is at home with q has (d(x, q) - d(x, p)) / 2
    <= r: the document is replicated to the cells of all such q, and each pair
    meets in some cell. Cells are settled, joined or split again in the same way.
-4. Leaf cells. Small cells are joined pair by pair. A cell whose documents lie so
-   close together that windows would replicate more than they separate is not
-   split further: documents outside its largest component are compared with all
-   others, block against block, so that its work grows with the one number times
-   the other.
+4. Leaf cells. Small cells are joined pair by pair, others of a bounded size in
+   blocks. A cell whose documents lie so close together that windows would leave
+   most pairs together is not split further and joined in blocks as well:
+   documents outside its largest component are compared with all others, so that
+   its work grows with the one number times the other.
 
 Pairs inside one component are not compared further: they can't change a class.
 
@@ -54,11 +54,12 @@ LEAST_BUCKETS = 16
 #: A task hands on its shingles after so many of them, or so many documents.
 CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 20_000
 SLICE_BYTES = 4 << 20
-#: Documents in a cell that is joined pair by pair; pivots of a larger one, and parts over which its documents meet them.
-SMALL_CELL = 48
+#: Documents in a cell that is joined pair by pair, and in one that is joined in blocks; larger ones are split.
+SMALL_CELL, LEAF_CELL = 48, 1024
+#: Pivots of a cell, and parts over which its documents meet them.
 PIVOTS, SALTS = 8, 16
-#: A split is undone if its cells hold more than so many times the documents; so often a cell is split at most.
-REPLICATES, LEVELS = 2.5, 12
+#: A split is undone if its cells have more than this share of the pairs that the whole had; so often a cell is split at most.
+PAIRS_LEFT, LEVELS = 0.5, 12
 #: Documents of a block, and shingles of a strip, in block joins.
 BLOCK, STRIP = 1024, 4096
 
@@ -329,15 +330,17 @@ def join_cells(placed: DataFrame, sets: DataFrame, scratch: Scratch, percent: in
     small, dense, links = [], [], []
     for level in range(LEVELS):
         small.append(placed.filter(F.col("size") <= SMALL_CELL))
-        large = placed.filter(F.col("size") > SMALL_CELL)
+        dense.append(placed.filter((F.col("size") > SMALL_CELL) & (F.col("size") <= LEAF_CELL)))
+        large = placed.filter(F.col("size") > max(SMALL_CELL, LEAF_CELL))
         if large.isEmpty():
             break
         tries = scratch.save(try_pivots(large, sets, scratch, percent))
         links.append(scratch.save(tries.filter("linked").select(F.greatest("component", "to").alias("a"), F.least("component", "to").alias("b"))
                                   .filter("a <> b").distinct().coalesce(8)))
-        split = voronoi_cells(tries, percent)
-        sizes = split.groupBy("parent").agg(F.count("*").alias("copies"), F.first("size").alias("size"))
-        close = scratch.save(sizes.filter(F.col("copies") > REPLICATES * F.col("size")).select(F.col("parent").alias("cell")))
+        split = scratch.save(voronoi_cells(tries, percent))
+        sizes = split.groupBy("parent", "cell").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+        pairs = sizes.groupBy("parent").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("left"), F.first("size").cast("double").alias("size"))
+        close = scratch.save(pairs.filter(F.col("left") > PAIRS_LEFT * F.col("size") * F.col("size")).select(F.col("parent").alias("cell")))
         dense.append(large.join(close, "cell").select(*CELL))
         apart = split.join(close.withColumnRenamed("cell", "parent"), "parent", "left_anti").drop("parent", "size")
         merged = connected_components(_union(links), scratch).select(F.col("node").alias("component"), F.col("component").alias("root"))
@@ -345,9 +348,7 @@ def join_cells(placed: DataFrame, sets: DataFrame, scratch: Scratch, percent: in
         placed = scratch.save(_open_cells(apart.select(*CELL[:-1])))
     else:
         dense.append(placed)  # whatever is left is joined as it is
-    found = [*links, _small_cells(_union(small), sets, scratch, percent)]
-    if dense:
-        found.append(_dense_cells(_union(dense), sets, percent))
+    found = [*links, _small_cells(_union(small), sets, scratch, percent), _dense_cells(_union(dense), sets, percent)]
     return scratch.save(_union(found).distinct().coalesce(8))
 
 
