@@ -68,7 +68,45 @@ def test_tfidf_pairs_by_brute_force(spark, data):
     norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vec.items()}
     expected = {(a, b) for a in vec for b in vec if a < b and sum(x * vec[b].get(w, 0) for w, x in vec[a].items()) >= 0.85 * norm[a] * norm[b]}
     found = {(r.a, r.b) for r in retrieval.tfidf_pairs(spark.createDataFrame(docs, "id long, text string")).collect()}
-    assert found == expected and expected
+    rep = {i: min(j for j, c in tf.items() if c == tf[i]) for i in tf}  # copies are paired with their representative only
+    assert found == {(a, b) for a, b in expected if rep[a] == a and rep[b] in (a, b)} and expected
+
+
+def test_near_duplicate_removal_keeps_gold_else_the_earlier(spark):
+    base = "the party shall pay all fees within thirty days of the invoice date without any delay"
+    rows = [(1, base, False), (2, base + " now", False), (3, base + " now", True), (4, "an entirely different text of other words", False), (5, base + " now", True), (6, "", False), (7, None, False)]
+    found = {r.id: r.kept for r in retrieval.near_duplicates_removed(spark.createDataFrame(rows, "id long, text string, gold boolean")).collect()}
+    assert found == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True}
+
+
+def test_search_falls_back_to_meaning(spark):
+    dense = spark.createDataFrame([(q, i, 1.0 - i / 10, i) for q in (1, 2, 3) for i in range(1, 4)], "qid long, id long, score double, rank int")
+    sparse = spark.createDataFrame([(1, 3, 5.0, 1), (3, 2, 4.0, 1)], "qid long, id long, score double, rank int")
+    modes = spark.createDataFrame([(1, "hybrid"), (2, "hybrid"), (3, "other")], "qid long, mode string")
+    assert {r.qid: r["mode"] for r in retrieval.search(modes, dense, sparse, 2).collect()} == {1: "hybrid", 2: "semantic", 3: "semantic"}
+    assert {r["mode"] for r in retrieval.search(modes, dense, None).collect()} == {"semantic"}
+    with pytest.raises(ValueError, match="content type"):
+        retrieval.filtered(dense, content_type="audio")
+
+
+def test_summaries_are_held_against_words_of_the_source(spark):
+    summaries = spark.createDataFrame([(1, "Acme Holdings shall pay the whole fee."), (1, "Zeta Corp must deliver goods at once."), (2, "nothing here")], "project_id long, text string")
+    sources = spark.createDataFrame([(1, "ACME pays."), (1, "zeta")], "project_id long, text string")
+    found = {r.project_id: (r.hallucinations, r.confidence) for r in guard.validate_summaries(summaries, sources).collect()}
+    assert found == {1: (2, 0.7), 2: (0, 1.0)}  # a phrase of two words is no word of the source
+
+
+def test_probe_evidence_without_passages(spark):
+    hits = spark.createDataFrame([("p", "financial", 0, 1, " a cap "), ("p", "compliance", 1, 1, "a cap"), ("p", "compliance", 1, 2, "other"), ("q", "financial", 0, 1, None)], "project_id string, probe string, probe_place int, place int, text string")
+    found = {r.project_id: r.evidence for r in retrieval.probe_evidence(hits).collect()}
+    assert found == {"p": "[FINANCIAL]\na cap\n\n---\n\n[COMPLIANCE]\nother", "q": "(retrieval returned no passages)"}
+
+
+def test_chat_pairs_and_cache_rows(spark):
+    rows = spark.createDataFrame([(1, 5, "Which law?", "Ohio", None, 3), (1, 6, " which LAW? ", "Utah", None, 3)], "project_id long, at long, question string, answer string, k int, documents int")
+    assert [(r.turn, r.role, r.text) for r in store.chat_pair(rows.limit(1)).orderBy("turn").collect()] == [(0, "user", "Which law?"), (1, "assistant", "Ohio")]
+    fresh = store.cache_rows(rows)
+    assert [r.answer for r in fresh.collect()] == ["Utah"] and store.cache_rows(rows, fresh).count() == 0
 
 
 def clauses(spark, *rows):

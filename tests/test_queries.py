@@ -6,8 +6,9 @@ import decimal
 import duckdb
 import pytest
 
-from vellumspark.plans.oracle import SQL
-from vellumspark.plans.queries import QUERIES
+from vellumspark.plans import assessments, oracle, queries
+
+QUERIES, SQL = queries.QUERIES | assessments.QUERIES, oracle.SQL | assessments.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

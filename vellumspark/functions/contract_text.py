@@ -224,6 +224,16 @@ def grade(share: Column) -> Column:
     return F.when(share >= 0.9, "A").when(share >= 0.8, "B").when(share >= 0.7, "C").when(share >= 0.6, "D").otherwise("F")
 
 
+def recommendation(grade_of: Column, weak: Column) -> Column:
+    """What to do next: nothing for grades A and B, else the weak metrics by name."""
+    return F.when(grade_of.isin("A", "B"), "no action").otherwise(F.concat(F.lit("improve: "), F.array_join(weak, "; ")))
+
+
+def slim_risk(severity: Column, title: Column, description: Column, cap: int = 500) -> Column:
+    """JSON of a risk with its description cut, for a prompt."""
+    return F.to_json(F.struct(severity.alias("severity"), title.alias("title"), F.substring(F.coalesce(description, F.lit("")), 1, cap).alias("description")))
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 

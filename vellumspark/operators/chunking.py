@@ -160,8 +160,25 @@ def documents_of(chunks: DataFrame) -> DataFrame:
 
 
 def parse_stats(pages: DataFrame) -> DataFrame:
-    """Pages, non-blank pages and characters of each document."""
-    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.trim("text") != "").alias("non_empty"), F.sum(F.length("text")).alias("chars"))
+    """Pages, non-blank pages and characters of each document; images and tables too where pages have such arrays."""
+    more = [F.sum(F.coalesce(F.size(c), F.lit(0))).alias(c) for c in ("images", "tables") if c in pages.columns]
+    return pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.trim("text") != "").alias("non_empty"), F.sum(F.length("text")).alias("chars"), *more)
+
+
+def answer_sources(ranked: DataFrame) -> DataFrame:
+    """What an answer cites of each ranked chunk. ranked: qid, rank, text, payload (JSON of the chunk), source_file, relevance_score."""
+    chunk = F.from_json("payload", PAYLOAD)
+    types = F.array_sort(content_types(F.coalesce(chunk["tables_html"], F.array().cast("array<string>")), F.coalesce(chunk["images_base64"], F.array().cast("array<string>"))))
+    return ranked.select("qid", "rank", F.col("text").alias("content"), F.coalesce(chunk["raw_text"], F.col("text")).alias("raw_text"), chunk["page_numbers"].alias("page_numbers"),
+                         F.coalesce("source_file", F.lit("")).alias("source_file"), types.alias("content_types"), "relevance_score")
+
+
+PAYLOAD = "raw_text string, tables_html array<string>, images_base64 array<string>, page_numbers array<int>, clause_type string"
+
+
+def promoted(points: DataFrame) -> DataFrame:
+    """Points with the fields of their JSON payload as columns; a payload that doesn't parse gives nulls."""
+    return points.withColumn("o", F.from_json("payload", PAYLOAD)).select(*points.columns, "o.*").drop("payload")
 
 
 def content_types(tables: Column, images: Column) -> Column:

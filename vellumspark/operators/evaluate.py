@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..functions.contract_text import normal_type, words3
 
 
 def ratio(a: Column, b: Column, digits: int = 6) -> Column:
@@ -47,6 +48,52 @@ def set_scores(found: Column, expected: Column) -> Column:
     return F.struct(p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
 
 
+def clause_scores(found: Column, expected: Column, unexpected: Column) -> Column:
+    """Struct precision, recall, f1 of normalised clause types; only types that neither list names count as wrong finds."""
+    fold = lambda c: F.array_distinct(F.transform(c, normal_type))
+    f, e, u = fold(found), fold(expected), fold(unexpected)
+    hits = F.size(F.array_intersect(f, e))
+    p, r = ratio(hits, hits + F.size(F.array_except(F.array_except(f, e), u))), ratio(hits, F.size(e))
+    return F.struct(p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"))
+
+
+def title_scores(found: Column, expected: Column) -> Column:
+    """Struct precision, recall of risk titles, case and outer blanks aside. With nothing expected recall is 1, and precision 1 only if nothing is found."""
+    fold = lambda c: F.array_distinct(F.transform(c, lambda t: F.trim(F.lower(t))))
+    f, e = fold(found), fold(expected)
+    hits = F.size(F.array_intersect(f, e))
+    none = F.size(e) == 0
+    p = F.when(none, (F.size(f) == 0).cast("double")).otherwise(ratio(hits, F.size(f)))
+    return F.struct(p.alias("precision"), F.when(none, 1.0).otherwise(ratio(hits, F.size(e))).alias("recall"))
+
+
+def summary_scores(summary: Column, expected: Column, excluded: Column) -> Column:
+    """Struct enough (half of the expected keywords or more), excluded (any excluded one), share of the expected; nothing expected is all found."""
+    text = F.lower(F.coalesce(summary, F.lit("")))
+    found = F.size(F.filter(expected, lambda w: F.contains(text, F.lower(w))))
+    none = F.size(expected) == 0
+    return F.struct((none | (found >= F.size(expected) * P.KEYWORD_SHARE)).alias("enough"), F.exists(excluded, lambda w: F.contains(text, F.lower(w))).alias("excluded"),
+                    F.when(none, 1.0).otherwise(ratio(found, F.size(expected))).alias("share"))
+
+
+def citation_validity(risks: DataFrame, sources: DataFrame, least: float = P.CITED_OVERLAP) -> DataFrame:
+    """project_id, validity: share of high and critical risks with a quote of which ``least`` of the words occur in the source; 1 without such risks.
+
+    risks: project_id, risk_id, severity, quotes (array); sources: project_id,
+    text. A quote's words meet the source's distinct words by project and word,
+    so no project's text is ever one row.
+    """
+    serious = risks.filter(F.col("severity").isin("high", "critical")).select("project_id", "risk_id", F.posexplode_outer("quotes").alias("quote_no", "quote"))
+    asked = serious.select("project_id", "risk_id", "quote_no", F.explode_outer(F.array_distinct(words3(F.coalesce("quote", F.lit(""))))).alias("word"))
+    wanted = asked.select("project_id", "word").distinct()
+    known = sources.select("project_id", F.explode(F.array_distinct(words3(F.col("text")))).alias("word")).join(wanted, ["project_id", "word"], "left_semi")
+    known = known.distinct().withColumn("hit", F.lit(1))
+    each = asked.join(known, ["project_id", "word"], "left").groupBy("project_id", "risk_id", "quote_no").agg((F.count("hit") / F.nullif(F.count("word"), F.lit(0))).alias("overlap"))
+    cited = each.groupBy("project_id", "risk_id").agg(F.coalesce(F.max("overlap") >= least, F.lit(False)).alias("cited"))
+    rates = cited.groupBy("project_id").agg(F.round(F.count_if("cited") / F.count("*"), 6).alias("validity"))
+    return risks.select("project_id").distinct().join(rates, "project_id", "left").select("project_id", F.coalesce("validity", F.lit(1.0)).alias("validity"))
+
+
 def severity_error(predicted: Column, expected: Column) -> Column:
     """Distance of severities; nothing predicted counts from below 'low'; nothing expected is null."""
     order = F.create_map(*[F.lit(x) for pair in P.SEVERITY_ORDER.items() for x in pair])
@@ -65,6 +112,33 @@ def rollup(results: DataFrame) -> DataFrame:
     return sums.withColumn("meets", (F.col("judge") >= 0.7) & (F.col("recall") >= 0.6) & (F.col("precision") >= 0.6))
 
 
+def calibration(results: DataFrame) -> DataFrame:
+    """Means over rows without error, null where no row has a value: severity error, accuracy of risk bands, citation validity; and flags of low means."""
+    ok = results.filter(F.col("error").isNull())
+    mean = lambda c: F.round(F.avg(c), 3)
+    sums = ok.agg(mean("severity_calibration_error").alias("severity_mae"), mean(F.col("risk_band_correct").cast("int")).alias("band_accuracy"),
+                  F.coalesce(mean("citation_validity"), F.lit(1.0)).alias("citation_validity"), F.sum("hallucinations").alias("hallucinations"),
+                  F.avg("judge_overall").alias("j"), F.avg("clause_recall").alias("r"), F.avg("clause_precision").alias("p"))
+    return sums.select("severity_mae", "band_accuracy", "citation_validity", "hallucinations", (F.col("j") < 0.7).alias("low_judge"), (F.col("r") < 0.6).alias("low_recall"),
+                       (F.col("p") < 0.6).alias("low_precision"))
+
+
+def by_case_name(results: DataFrame) -> DataFrame:
+    """part, name, n, pass_rate, judge: rows without error by contract type and by difficulty, the first two parts of the case's name."""
+    parts = F.split("case_id", "_")
+    named = lambda i: F.when(F.size(parts) > 1, F.get(parts, i)).otherwise("unknown")
+    each = results.filter(F.col("error").isNull()).select("passed", "judge_overall", F.explode(F.array(
+        F.struct(F.lit("contract_type").alias("part"), named(0).alias("name")), F.struct(F.lit("difficulty").alias("part"), named(1).alias("name")))).alias("b"))
+    return each.groupBy("b.part", "b.name").agg(F.count("*").alias("n"), F.round(F.count_if("passed") / F.count("*"), 6).alias("pass_rate"), F.round(F.avg("judge_overall"), 6).alias("judge"))
+
+
+def latencies(calls: DataFrame, value: str = "latency") -> DataFrame:
+    """p50 (median), p95 and p99 (sorted[int(n * share)]), from counts of distinct values."""
+    counted = calls.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    at = spread(calls.filter(F.col(value).isNotNull()), value, (0.95, 0.99)).select("p95", "p99")
+    return counted.agg(F.round(F.percentile("v", 0.5, F.col("c")), 6).alias("p50")).crossJoin(at)
+
+
 def breakdown(results: DataFrame, by: Column, name: str) -> DataFrame:
     return results.groupBy(by.alias(name)).agg(F.count("*").alias("n"), F.round(F.count_if("passed") / F.count("*"), 3).alias("pass_rate"),
                                                F.round(F.avg("clause_f1"), 3).alias("f1"))
@@ -76,8 +150,8 @@ def percentile_at(values: Column, share: float) -> Column:
     return F.try_element_at(ordered, F.least((F.size(ordered) * F.lit(share)).cast("int") + 1, F.size(ordered)))
 
 
-def spread(rows: DataFrame, value: str) -> DataFrame:
-    """Mean and the indexed percentiles 25, 75 and 95, by ranks over the whole table.
+def spread(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.25, 0.75, 0.95)) -> DataFrame:
+    """Mean and indexed percentiles (25, 75 and 95), by ranks over the whole table.
 
     Ranks come from counts of distinct values, so no array of all values is built.
     """
@@ -86,7 +160,7 @@ def spread(rows: DataFrame, value: str) -> DataFrame:
 
     upto = F.sum("c").over(Window.orderBy("v"))
     ranked = counted.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    at = [F.min(F.when(F.col("upto") > F.least((F.col("n") * F.lit(s)).cast("long"), F.col("n") - 1), F.col("v"))).alias(f"p{int(s * 100)}") for s in (0.25, 0.75, 0.95)]
+    at = [F.min(F.when(F.col("upto") > F.least((F.col("n") * F.lit(s)).cast("long"), F.col("n") - 1), F.col("v"))).alias(f"p{int(s * 100)}") for s in shares]
     return ranked.agg(F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"), *at)
 
 
@@ -127,8 +201,6 @@ def cost(calls: DataFrame, input_price: float, output_price: float) -> DataFrame
                        F.round(F.col("cost") / F.col("documents"), 9).alias("per_document"), F.round(F.col("cost") / F.col("documents") * 1000, 6).alias("per_thousand"))
 
 
-def word_overlap(quote: Column, source_words: Column) -> Column:
-    from ..functions.contract_text import words3
-
-    q = F.array_distinct(words3(quote))
-    return ratio(F.size(F.array_intersect(q, source_words)), F.size(q))
+def vision_cost(images: Column, price: float) -> Column:
+    """Estimated cost of describing images at a price each."""
+    return F.round(images * price, 6)

@@ -21,7 +21,9 @@ def clause_overlap(items: DataFrame, sources: DataFrame) -> DataFrame:
     Bigrams are exploded and semi-joined, so a project's source is never one row.
     """
     own = items.select("project_id", "item_id", F.explode_outer(C.bigrams(C.words3(F.col("text")))).alias("bigram"))
-    known = sources.select("project_id", F.explode(C.bigrams(C.words3(F.col("text")))).alias("bigram")).distinct().withColumn("hit", F.lit(1))
+    wanted = own.select("project_id", "bigram").distinct()
+    every = sources.select("project_id", F.explode(C.bigrams(C.words3(F.col("text")))).alias("bigram"))
+    known = every.join(wanted, ["project_id", "bigram"], "left_semi").distinct().withColumn("hit", F.lit(1))
     both = own.join(known, ["project_id", "bigram"], "left")
     return both.groupBy("project_id", "item_id").agg(F.coalesce(F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.nullif(F.count("bigram"), F.lit(0)), 6), F.lit(0.0)).alias("overlap"))
 
@@ -55,6 +57,37 @@ def validate_clauses(items: DataFrame, sources: DataFrame, least: float = P.CLAU
                        ((F.col("hallucinations") == 0) & (F.col("unsafe") == 0)).alias("passed"))
 
 
+def _known_words(items: DataFrame, sources: DataFrame, pattern: str) -> DataFrame:
+    """project_id, word (hit): the words of ``items`` (project_id, word) that the project's sources have."""
+    wanted = items.select("project_id", "word").distinct()
+    known = sources.select("project_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), 0))).alias("word"))
+    return known.join(wanted, ["project_id", "word"], "left_semi").distinct().withColumn("hit", F.lit(1))
+
+
+def validate_summaries(summaries: DataFrame, sources: DataFrame, least: float = P.SUMMARY_OVERLAP) -> DataFrame:
+    """project_id, hallucinations, confidence, passed: claims of which too few key entities are words of the source. summaries: project_id, text."""
+    said = summaries.select("project_id", F.monotonically_increasing_id().alias("summary"), F.posexplode(C.claims(F.col("text"))).alias("no", "claim"))
+    entities = said.select("project_id", "summary", "no", F.explode(C.key_entities(F.col("claim"))).alias("entity")).withColumn("word", F.lower("entity"))
+    known = _known_words(entities, sources, P.WORD3)
+    each = entities.join(known, ["project_id", "word"], "left").groupBy("project_id", "summary", "no").agg((F.count("hit") / F.count("*")).alias("overlap"))
+    return _verdict(summaries, each.filter(F.col("overlap") < least), 0.15)
+
+
+def validate_risks(risks: DataFrame, sources: DataFrame, least: float = P.RISK_OVERLAP) -> DataFrame:
+    """project_id, hallucinations, confidence, passed: risks of which too few terms occur in the source. risks: project_id, pos, title, description."""
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+    terms = risks.select("project_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(P.WORD4), 0))).alias("word"))
+    known = _known_words(terms, sources, P.WORD4)
+    each = terms.join(known, ["project_id", "word"], "left").groupBy("project_id", "pos").agg((F.count("hit") / F.count("*")).alias("overlap"))
+    return _verdict(risks, each.filter(F.col("overlap") < least), 0.1)
+
+
+def _verdict(items: DataFrame, wrong: DataFrame, weight: float) -> DataFrame:
+    counts = wrong.groupBy("project_id").agg(F.count("*").alias("hallucinations"))
+    rows = items.select("project_id").distinct().join(counts, "project_id", "left").na.fill(0, ["hallucinations"])
+    return rows.select("project_id", "hallucinations", F.round(confidence(F.col("hallucinations"), F.lit(0), weight), 6).alias("confidence"), (F.col("hallucinations") == 0).alias("passed"))
+
+
 def needs_review(overall, hallucinations, unsafe_serious, missing):
     return (overall < P.JUDGE_LEAST) | (hallucinations > 0) | (unsafe_serious > 0) | (missing > 2)
 

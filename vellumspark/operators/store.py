@@ -16,6 +16,60 @@ def unique_names(projects: DataFrame) -> DataFrame:
         "collection_name", F.when(F.col("place") == 0, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("place").cast("string")))).drop("slug", "place")
 
 
+def owned(projects: DataFrame, owner: str, name_like: str | None = None) -> DataFrame:
+    """An owner's projects, newest first; ``name_like`` is a pattern in which % and _ are wildcards, case aside."""
+    rows = projects.filter(F.col("user_id") == owner)
+    rows = rows if name_like is None else rows.filter(F.ilike("name", F.lit(name_like)))
+    return rows.orderBy(F.col("created_at").desc(), "id")
+
+
+SORTS = {"name": lambda: (F.lower("name"), F.col("id")), "documents": lambda: (F.col("documents").desc(), F.col("id")), "date": lambda: (F.col("created_at").desc(), F.col("id"))}
+
+
+def find_projects(projects: DataFrame, text: str, sort: str = "date") -> DataFrame:
+    """Projects whose name or description contains a text, case aside, in one of the orders of SORTS."""
+    held = [F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(text.lower())) for c in ("name", "description")]
+    return projects.filter(held[0] | held[1]).orderBy(*SORTS[sort]())
+
+
+def dataset_stats(analyses: DataFrame, clauses: DataFrame, least: float) -> DataFrame:
+    """clause_type, clauses, analyses (eligible ones in all): completed analyses of that quality. clauses: id, clause_type."""
+    eligible = analyses.filter((F.col("status") == "completed") & (F.col("quality_score") >= least)).select("id")
+    typed = clauses.filter(F.col("clause_type").isNotNull()).join(eligible, "id").groupBy("clause_type").agg(F.count("*").alias("clauses"))
+    return typed.crossJoin(eligible.agg(F.count("*").alias("analyses")))
+
+
+def training_stats(examples: DataFrame) -> DataFrame:
+    """part, source, clause_type, examples, part_hash. examples: part, source, clause_type, line.
+
+    A part's hash is that of its lines' hashes in their order, so lines are
+    hashed where they are and never meet; only counts by hash prefix do.
+    """
+    hashed = examples.select("part", "source", "clause_type", F.sha2("line", 256).alias("h"))
+    blocks = hashed.groupBy("part", F.substring("h", 1, 3).alias("block")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
+    parts = blocks.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ""), 256).alias("part_hash"))
+    counts = hashed.groupBy("part", "source", "clause_type").agg(F.count("*").alias("examples"))
+    return counts.join(parts, "part")
+
+
+def invalidated(analyses: DataFrame, project_ids: DataFrame) -> DataFrame:
+    """Analyses without those of projects that were ingested anew or deleted."""
+    return analyses.join(project_ids.select("project_id"), "project_id", "left_anti")
+
+
+def chat_pair(answers: DataFrame) -> DataFrame:
+    """Two chat rows an answered question, for appending. answers: project_id, at, question, answer."""
+    said = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("text"), F.lit(0).alias("turn")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("text"), F.lit(1).alias("turn")))
+    return answers.select("project_id", "at", F.explode(said).alias("s")).select("project_id", "at", "s.turn", "s.role", "s.text")
+
+
+def cache_rows(answers: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """cache_key, answer, at of answers whose key the cache lacks, the latest of each key, for appending."""
+    key = C.cache_key(F.col("project_id").cast("string"), F.col("question"), F.col("k"), F.col("documents"))
+    fresh = answers.withColumn("cache_key", key).groupBy("cache_key").agg(F.max_by(F.struct("answer", "at"), F.struct("at", "answer")).alias("x")).select("cache_key", "x.answer", "x.at")
+    return fresh if known is None else fresh.join(known.select("cache_key"), "cache_key", "left_anti")
+
+
 def delete_project(project_ids: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
     """Each table (with project_id) without the rows of the given projects."""
     return {name: t.join(project_ids.select("project_id"), "project_id", "left_anti") for name, t in tables.items()}

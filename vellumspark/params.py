@@ -65,6 +65,7 @@ LAW = (r"(?:governed\s+by\s+(?:and\s+construed\s+in\s+accordance\s+with\s+)?the\
        r"|applicable\s+law\s*:\s*([A-Z][A-Za-z\s,]+?)(?:\.|,))")
 OBLIGOR = r"([A-Z][A-Za-z\s,\.]+?)\s+(?:shall|agrees?\s+to|will|must)\s+(?:defend,?\s+)?(?:indemnify|indemnification|hold\s+harmless)"
 OBLIGOR_END = r"(?s)^.*(?:indemnify|indemnification|hold\s+harmless)"
+WORD3, WORD4 = r"\b[a-z]{3,}\b", r"\b[a-z]{4,}\b"
 MODALS, FOUR_DIGITS = ("must", "shall", "will", "may", "cannot"), r"\d{4}"
 KEY_ENTITIES = ((r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", 0), ('"([^"]+)"', 1), (r"\b[A-Z]{2,}\b", 0))
 FACTS = (r"\$[\d,]+(?:\.\d{2})?", r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", r"\d{4}[/-]\d{1,2}[/-]\d{1,2}",
