@@ -63,11 +63,15 @@ def blob_id(column: Column) -> Column:
 
 @dataclass
 class Ledger:
-    """paths: doc_id, blob of every version so far; findings: LEDGER_SCHEMA; scanned: blobs that each increment scanned."""
+    """paths: doc_id, blob of every version so far; findings: LEDGER_SCHEMA; scanned: blobs that each increment scanned.
+
+    ``once``: every (blob, rule version) is known to be there once, as in all that ``scan_increment`` makes from nothing.
+    """
 
     paths: DataFrame
     findings: DataFrame
     scanned: list[int] = field(default_factory=list)
+    once: bool = False
 
 
 def scan_blobs(blobs: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -122,8 +126,8 @@ def scan_increment(docs: DataFrame, ledger: Ledger | None = None, rule_version:
     if rows > distinct:  # a chosen path repeats its text
         fresh = scratch.save(fresh.dropDuplicates(["blob"]))
     if ledger is None:
-        return Ledger(versions, fresh, [distinct])
-    return Ledger(ledger.paths.unionByName(versions), ledger.findings.unionByName(fresh), [*ledger.scanned, distinct])
+        return Ledger(versions, fresh, [distinct], True)
+    return Ledger(ledger.paths.unionByName(versions), ledger.findings.unionByName(fresh), [*ledger.scanned, distinct], ledger.once)
 
 
 def scan_history(docs: DataFrame, increments: int = INCREMENTS, ledger: Ledger | None = None, rule_version: str = RULE_VERSION,
@@ -138,7 +142,8 @@ def scan_history(docs: DataFrame, increments: int = INCREMENTS, ledger: Ledger |
 
 def findings_by_path(ledger: Ledger, rule_version: str = RULE_VERSION) -> DataFrame:
     """Every version of every path, of all increments, with the findings of its blob at the rule version."""
-    current = ledger.findings.filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).drop("rule_version")
+    current = ledger.findings.filter(F.col("rule_version") == rule_version).drop("rule_version")
+    current = current if ledger.once else current.dropDuplicates(["blob"])
     return ledger.paths.join(current.hint("shuffle_hash"), "blob")
 
 
