@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellumspark.llm import langid, media, mixing, packing, quality, secrets
-from vellumspark.llm.common import crc_mod, table
+from vellumspark.llm.common import Scratch, crc_mod, table
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -318,6 +318,36 @@ def test_mixing(odd, none, texts, spark, data):
     assert mixing.mix_documents(none).count() == 0
 
 
+def test_rates_are_the_duals_optimum(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 200))), f"s{int(i % 11) % 4}") for i in range(600)]
+    found = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in {r.source for r in found}:
+        own = [r for r in found if r.source == source]
+        size, rate, target = np.array([r["size"] for r in own], float), np.array([r.rate for r in own]), own[0].target
+        if target >= 3 * size.sum():
+            assert (rate == 3).all()
+            continue
+        low, high = -50.0, 50.0  # plain bisection on the one multiplier of the source
+        for _ in range(200):
+            lam = (low + high) / 2
+            total = (size * np.minimum(3, np.exp(np.minimum(lam * size / size.mean(), 50)))).sum()
+            low, high = (low, lam) if total > target else (lam, high)
+        assert np.abs(rate - np.minimum(3, np.exp(lam * size / size.mean()))).max() < 1e-4
+        assert abs(sum(r.taken for r in own) - target) <= 0.02 * target + 1
+
+
+def test_mixing_refuses_what_it_can_not_settle(spark, odd, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix_documents(odd)
+    monkeypatch.undo()
+    sizes = spark.createDataFrame([("a", 5, 3), ("a", 50, 2)], "s string, size long, n long")
+    totals = spark.createDataFrame([("a", 115, 5, 170.0)], "source string, source_size long, n_docs long, target double")
+    with pytest.raises(RuntimeError, match="settled"):
+        mixing.solve_dual(sizes, totals, Scratch(spark, "test"), max_iterations=1)
+
+
 def test_mixing_stays_in_the_jvm(spark, data):
     plan = mixing.document_sizes(table(spark, data, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -29,6 +29,8 @@ CAP = 3
 #: Newton iterations stop once each source's tokens are this near its target, relatively.
 TOLERANCE = 1e-7
 MAX_ITERATIONS = 60
+#: Sources at most: targets are shared out over one row a source in one task, and more are refused.
+MOST_SOURCES = 2_000_000
 #: Parts that documents of one source and nearly one size are dealt over for rounding.
 SALTS = 64
 #: Rounds of repair after rounding.
@@ -76,7 +78,8 @@ def solve_dual(classes: DataFrame, sources: DataFrame, scratch: Scratch, cap: in
     """lambda per source. classes: source, size, n; sources: source, source_size, n_docs, target.
 
     Each iteration is one aggregation over the size classes. Its sums are of
-    decimals and thus the same in any order.
+    decimals and thus the same in any order. Sources that ``max_iterations``
+    leave unsettled are an error, not an answer.
     """
     bound = F.lit(1e6)
     free = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * F.lit(float(cap)))
@@ -113,6 +116,9 @@ def solve_dual(classes: DataFrame, sources: DataFrame, scratch: Scratch, cap: in
             (F.col("done") | reached | (high - low < 1e-11)).alias("done")), few_rows=True)
         scratch.drop(state)
         state = following
+    else:
+        if not state.filter(~F.col("done")).isEmpty():
+            raise RuntimeError(f"a source's rates have not settled after {max_iterations} iterations")
     return state.select("source", "mean", "lam")
 
 
@@ -129,6 +135,8 @@ def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, id_
     classes = scratch.save(sizes.groupBy(F.col("source").alias("s"), "size").agg(F.count("*").alias("n")))
     totals = classes.groupBy(F.col("s").alias("source")).agg(
         F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
+    if totals.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     targets = source_targets(totals.select("source", "source_size"), weights, cap)
     sources = scratch.save(targets.join(totals.select(F.col("source").alias("t"), "n_docs"), F.col("source").eqNullSafe(F.col("t"))).drop("t"), few_rows=True)
     solved = solve_dual(classes, sources, scratch, cap)
