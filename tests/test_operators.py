@@ -16,6 +16,12 @@ def test_split_text():
     assert chunking.split_text("x" * 50 + " " + "y" * 3000, 1024)[1:] == ["y" * 1024, "y" * 1024, "y" * 952]
 
 
+def test_chunks_of_single_pages(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.lit(1).alias("page_number"), "text")
+    rows = lambda f: sorted(tuple(r) for r in f.collect())
+    assert rows(chunking.chunk_single_pages(docs)) == rows(chunking.chunk_pages(docs)) and chunking.chunk_single_pages(docs.filter("false")).count() == 0
+
+
 def test_chunk_pages(spark):
     pages = [("d", 1, "alpha beta. " * 200), ("d", 2, "   "), ("d", 3, "gamma."), ("e", 1, "")]
     rows = chunking.chunk_pages(spark.createDataFrame(pages, "doc_id string, page_number int, text string")).orderBy("chunk_index").collect()

@@ -90,6 +90,12 @@ def chunk_pages(pages: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.CHU
     return rows.groupBy("doc_id").applyInArrow(run, CHUNK_SCHEMA)
 
 
+def chunk_single_pages(pages: DataFrame) -> DataFrame:
+    """CHUNK_SCHEMA for documents of one page each, as ``chunk_pages`` gives it, where the pages are read."""
+    each = pages.select(F.col("doc_id").cast("string"), F.posexplode(split_column(F.col("text"))).alias("chunk_index", "text"), F.col("page_number").cast("int"))
+    return each.select("doc_id", "chunk_index", "page_number", "text")
+
+
 def paragraph_pages(paragraphs: DataFrame, a_page: int = 40) -> DataFrame:
     """Non-blank paragraphs (doc_id, pos, text) as pages of so many."""
     kept = paragraphs.filter(F.trim("text") != "")

@@ -88,24 +88,31 @@ def dense_top(questions: DataFrame, items: DataFrame, k: int = P.TOP_K, digits:
     return _top(scored, k)
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """id, term, tf, length. items: id, text."""
+#: Distinct terms of all questions up to which they are sent to all tasks.
+SENT_TERMS = 200_000
+
+
+def postings(items: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, length; of ``wanted`` terms (term) only, so that no other word leaves its task. items: id, text."""
     words = items.select("id", C.words3(F.col("text")).alias("words"))
     each = words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
     return each.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_top(questions: DataFrame, items: DataFrame, k: int = P.PREFETCH, k1: float = P.BM25_K1, b: float = P.BM25_B, digits: int = 6) -> DataFrame:
     """qid, id, score, rank by BM25. questions: qid, question.
 
-    Statistics cover all items; postings are cut to the questions' terms before
-    they are joined, and scores are summed by partial aggregation.
+    Statistics cover all items; words are cut to the questions' terms where they
+    are read, and scores are summed by partial aggregation. The terms are sent to
+    all tasks if a count shows that they are few, else joined.
     """
-    posted = postings(items)
     size = items.agg(F.count("*").alias("n"), F.sum(F.size(C.words3(F.col("text")))).alias("total"))
-    asked = questions.select("qid", F.explode(F.array_distinct(C.words3(F.col("question")))).alias("term"))
-    wanted = asked.select("term").distinct()
-    posted = posted.join(wanted, "term")
+    asked = tables.written(questions.select("qid", F.explode(F.array_distinct(C.words3(F.col("question")))).alias("term")))
+    wanted = tables.written(asked.select("term").distinct())
+    few = wanted.count() <= SENT_TERMS
+    posted = tables.written(postings(items, F.broadcast(wanted) if few else wanted))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (F.col("total") / F.col("n"))))

@@ -202,7 +202,7 @@ def cache_keys(spark, d):
 
 def chunk_documents(spark, d):
     pages = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page_number"), "text")
-    return chunking.chunk_pages(pages)
+    return chunking.chunk_single_pages(pages)
 
 
 def chunk_stats(spark, d):
