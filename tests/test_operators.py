@@ -234,3 +234,30 @@ def test_dashboard_windows(spark):
     assert (row.this_n, row.last_n, row.n_change) == (2, 1, 100.0)
     assert dashboard.timeline(a, F.lit("2024-01-10").cast("date"), 14).count() == 14
     assert dashboard.totals(a).first().avg_quality == 50.0
+
+
+def docx(paragraphs, tables=()):
+    import io
+    import zipfile
+
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    body = "".join(f"<w:p><w:r><w:t>{t[:3]}</w:t></w:r><w:r><w:t xml:space='preserve'>{t[3:]}</w:t></w:r></w:p>" for t in paragraphs)
+    body += "".join("<w:tbl>" + "".join("<w:tr>" + "".join(map(cell, row)) + "</w:tr>" for row in t) + "</w:tbl>" for t in tables)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document xmlns:w='http://schemas.openxmlformats.org/wordprocessingml/2006/main'><w:body>{body}</w:body></w:document>")
+    return out.getvalue()
+
+
+def test_docx_pages(spark, tmp_path):
+    from vellumspark.sources import documents
+
+    table = [["H", "V"], ["a", "1"]]
+    made = {"long.docx": docx([f"par {i}" if i % 10 else "  " for i in range(100)], [table] * 5), "empty.docx": docx([]), "tables.docx": docx([], [table]), "broken.docx": b"no zip"}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    found = {(r.doc_id, r.page_number): r for r in documents.docx_pages(readers.files(spark, str(tmp_path))).collect()}
+    assert sorted(found) == [("broken.docx", 1), ("empty.docx", 1), ("long.docx", 1), ("long.docx", 2), ("long.docx", 3), ("tables.docx", 1)]
+    assert [len(found["long.docx", k].text.split("\n")) for k in (1, 2, 3)] == [40, 40, 10] and found["long.docx", 1].text.startswith("par 1\npar 2")
+    assert [len(found["long.docx", k].tables) for k in (1, 2, 3)] == [1, 1, 3]  # five tables over three pages: one each, what is left on the last
+    assert found["tables.docx", 1].tables[0].html.startswith("<table><tr><td>H") and found["empty.docx", 1].text == "" and found["broken.docx", 1].error
