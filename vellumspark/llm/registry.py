@@ -110,6 +110,24 @@ ids as (select doc_id as k from documents), {_REACHED}
 select k as doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id from reach left join sizes on sizes.doc_id = k group by k"""
 
 
+def _kind(number: int, kind: str, pattern: str, group: int = 0) -> str:
+    """Matches of one kind with their places: what lies between matches and the matches before give a match's start."""
+    return f"""select doc_id, {number} as number, '{kind}' as kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+        's': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i-1], lambda g: length(g))), 0), 'm': m[i], 'g': g[i]}})) as f
+      from (select doc_id, regexp_extract_all(x, '{pattern}') as m, regexp_split_to_array(x, '{pattern}') as gaps, regexp_extract_all(x, '{pattern}', {group}) as g from numbered where regexp_matches(x, '{pattern}')) q"""
+
+
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_HEX = "[0-9a-f]{24,}"
+_OP6 = f"""with t as (select row_number() over () as row, doc_id as id, coalesce(text, '') as x from documents), numbered as (select row as doc_id, x from t),
+found as ({" union all ".join(_kind(*k) for k in ((0, "assign", _ASSIGN, 2), (1, "access", "AKIA[A-Z0-9]+"), (2, "hex", _HEX)))}),
+kept as (select doc_id, number, kind, cast(f.s as bigint) as s, cast(f.s + length(f.m) as bigint) as e from found where case number when 0 then length(f.g) >= 6 when 1 then length(f.m) >= 20 else true end),
+spans as (select doc_id, count(*) filter (where number = 0) as a, count(*) filter (where number = 1) as k, count(*) filter (where number = 2) as h,
+  string_agg(kind || ':' || s || ':' || e, ',' order by s, number) as spans from kept group by doc_id)
+select id as doc_id, coalesce(a, 0) as n_assign, coalesce(k, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join spans on spans.doc_id = t.row"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the two joins; the other operators are learned, cut bytes or depend on their method, and tests hold them against brute force."""
-    return {"op2_projection_forest": _OP2, "op7_jaccard_regions": _OP7}
+    """SQL for the two joins and the scan's findings; the other operators are learned, cut bytes or depend on their method, and tests hold them against brute force."""
+    return {"op2_projection_forest": _OP2, "op6_blob_ledger_secrets": _OP6, "op7_jaccard_regions": _OP7}
