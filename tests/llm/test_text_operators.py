@@ -386,6 +386,15 @@ def test_packing(odd, none, texts):
     assert packing.pack_documents(none, PATH).count() == 0
 
 
+def test_one_id_with_two_texts_is_scored_and_packed_twice(spark):
+    rows = spark.createDataFrame([(1, "a first text"), (1, "and another one, longer than the first text"), (None, "without an id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted((r.doc_id or 0) for r in quality.classify_quality(rows, labels, F.lit(True)).collect()) == [0, 1, 1]
+    packed = packing.pack_documents(rows, PATH).collect()
+    assert sorted((r.doc_id or 0) for r in packed) == [0, 1, 1] and len({r.ids_crc32 for r in packed}) == 3
+    assert sorted((r.offset, r.length) for r in packed)[0][0] == 0 and len({r.sequence_id for r in packed}) == 1
+
+
 def test_best_two_fit_improves_on_greedy():
     # greedy takes 60 + 30 and leaves 10; 60 + 25 + 15 fills the bin
     bins, offsets = packing.best_two_fit(np.array([60, 30, 25, 15]), 100)
