@@ -33,7 +33,7 @@ ALPHABET = 64
 SLICE = 1 << 18
 UNDETERMINED = "und"
 #: Trigrams of a text under which its cosines are left out of account when texts are rejected.
-LEAST_TRIGRAMS = 12
+LEAST_TRIGRAMS = 150
 
 PREDICTION_SCHEMA = "doc_id long, lang_pred string, score double"
 
