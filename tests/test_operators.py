@@ -261,3 +261,34 @@ def test_docx_pages(spark, tmp_path):
     assert [len(found["long.docx", k].text.split("\n")) for k in (1, 2, 3)] == [40, 40, 10] and found["long.docx", 1].text.startswith("par 1\npar 2")
     assert [len(found["long.docx", k].tables) for k in (1, 2, 3)] == [1, 1, 3]  # five tables over three pages: one each, what is left on the last
     assert found["tables.docx", 1].tables[0].html.startswith("<table><tr><td>H") and found["empty.docx", 1].text == "" and found["broken.docx", 1].error
+
+
+def test_retry_failover_and_skips(spark):
+    from vellumspark.functions import models
+
+    pauses, answers = [], iter([TimeoutError(), TimeoutError(), "third"])
+
+    def call(x):
+        out = next(answers)
+        if isinstance(out, Exception):
+            raise out
+        return out + x
+
+    assert models.with_retry(call, (TimeoutError,), pause=pauses.append)("!") == "third!" and pauses == [1, 2]
+
+    def down(x):
+        raise TimeoutError
+
+    with pytest.raises(TimeoutError):
+        models.with_retry(down, (TimeoutError,), pause=pauses.append)("!")
+    assert models.with_failover([down, lambda x: x * 2], (TimeoutError,))("a") == "aa"
+    rows = spark.createDataFrame([(" skip ", "the cat sat", "the cat sat down"), ("A chart.", "unrelated words", "nothing of the kind")], "d string, answer string, source string")
+    found = rows.select(models.described(F.col("d")).alias("d"), models.default_judgement(F.col("answer"), F.col("source")).alias("j")).collect()
+    assert [r.d for r in found] == [None, "A chart."] and [r.j.grounded for r in found] == [True, False]
+
+
+def test_files_in_order(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{1 - k}.jsonl").write_text(f'{{"messages": [], "metadata": {{"n": "{k}"}}}}\n')
+    found = readers.json_lines_in_order(spark, [str(tmp_path / "1.jsonl"), str(tmp_path / "0.jsonl")]).orderBy("source_no").collect()
+    assert [(r.source_no, r.metadata["n"]) for r in found] == [(0, "0"), (1, "1")]

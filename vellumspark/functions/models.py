@@ -6,6 +6,7 @@ UDF, say); results of defaults are not comparable with a model's.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -30,6 +31,47 @@ def default_summary(text: Column, tables: Column, images: Column) -> Column:
     return F.concat(F.substring(text, 1, 300), F.lit(" [tables: "), tables.cast("string"), F.lit(", images: "), images.cast("string"), F.lit("]"))
 
 
+def default_judgement(answer: Column, source: Column) -> Column:
+    """Struct overall, grounded: the share of the answer's words that its source has stands for both."""
+    words = F.array_distinct(C.words3(answer))
+    share = F.round(F.coalesce(F.size(F.array_intersect(words, C.words3(source))) / F.nullif(F.size(words), F.lit(0)), F.lit(0.0)), 6)
+    return F.struct(share.alias("overall"), (share >= 0.7).alias("grounded"))
+
+
+def described(description: Column) -> Column:
+    """An image's description, or null where the describer said to skip it."""
+    return F.when(F.upper(F.trim(description)) != "SKIP", description)
+
+
+def with_retry(call: Callable, transient: tuple[type[Exception], ...], tries: int = 3, pause: Callable[[float], None] = time.sleep) -> Callable:
+    """A call that is tried again after 1, 2, 4 ... seconds on transient errors; the last one is raised. For use inside tasks."""
+
+    def run(*args, **options):
+        for attempt in range(tries):
+            try:
+                return call(*args, **options)
+            except transient:
+                if attempt + 1 == tries:
+                    raise
+                pause(2**attempt)
+
+    return run
+
+
+def with_failover(calls: list[Callable], transient: tuple[type[Exception], ...]) -> Callable:
+    """The first of several providers that answers, in their order."""
+
+    def run(*args, **options):
+        for call in calls[:-1]:
+            try:
+                return call(*args, **options)
+            except transient:
+                continue
+        return calls[-1](*args, **options)
+
+    return run
+
+
 @dataclass
 class Models:
     """The calls that a pipeline may make."""
@@ -38,6 +80,7 @@ class Models:
     intent: Callable[[Column], Column] = default_intent
     summarise: Callable[[Column, Column, Column], Column] = default_summary
     rerank: Callable[[Column, Column], Column] | None = None
+    judge: Callable[[Column, Column], Column] = default_judgement
     prompts: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     def prompt(self, purpose: str) -> tuple[str, str]:

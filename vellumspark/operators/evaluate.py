@@ -139,6 +139,32 @@ def latencies(calls: DataFrame, value: str = "latency") -> DataFrame:
     return counted.agg(F.round(F.percentile("v", 0.5, F.col("c")), 6).alias("p50")).crossJoin(at)
 
 
+def cases(rows: DataFrame, contract_type: str | None = None, difficulty: str | None = None, case_id: str | None = None) -> DataFrame:
+    """Eval cases of a contract type, a difficulty, an id; what is not given is not asked."""
+    for name, value in (("contract_type", contract_type), ("difficulty", difficulty), ("case_id", case_id)):
+        rows = rows if value is None else rows.filter(F.col(name) == value)
+    return rows
+
+
+_COUNTED = "array<string>"
+JUDGED = ("overall_score double, clause_extraction struct<recall:double,precision:double>, risk_assessment struct<accuracy:double,severity_calibration:double>, "
+          "summary_faithfulness struct<faithfulness:double,completeness:double>, "
+          f"hallucinations struct<clause_hallucinations:{_COUNTED},summary_hallucinations:{_COUNTED},risk_hallucinations:{_COUNTED}>, "
+          f"missing_content struct<missing_critical_clauses:{_COUNTED}>, unsafe_statements struct<severity:string>")
+
+
+def judge_rows(judged: DataFrame) -> DataFrame:
+    """A judge's nested JSON as one flat row of scores and counts. judged: analysis_id, output; output that doesn't parse gives nulls and zero counts."""
+    o = judged.select("analysis_id", F.from_json("output", JUDGED).alias("o"))
+    many = lambda path: F.coalesce(F.size(path), F.lit(0))
+    found = sum((many(F.col(f"o.hallucinations.{k}_hallucinations")) for k in ("clause", "summary", "risk")), F.lit(0))
+    return o.select(
+        "analysis_id", F.col("o.overall_score").alias("overall_score"), F.col("o.clause_extraction.recall").alias("clause_recall"), F.col("o.clause_extraction.precision").alias("clause_precision"),
+        F.col("o.risk_assessment.accuracy").alias("risk_accuracy"), F.col("o.risk_assessment.severity_calibration").alias("risk_severity_calibration"),
+        F.col("o.summary_faithfulness.faithfulness").alias("summary_faithfulness"), F.col("o.summary_faithfulness.completeness").alias("summary_completeness"),
+        found.alias("hallucination_count"), many(F.col("o.missing_content.missing_critical_clauses")).alias("missing_critical_clause_count"), F.col("o.unsafe_statements.severity").alias("unsafe_statement_severity"))
+
+
 def breakdown(results: DataFrame, by: Column, name: str) -> DataFrame:
     return results.groupBy(by.alias(name)).agg(F.count("*").alias("n"), F.round(F.count_if("passed") / F.count("*"), 3).alias("pass_rate"),
                                                F.round(F.avg("clause_f1"), 3).alias("f1"))

@@ -157,6 +157,12 @@ def features(clauses: DataFrame) -> DataFrame:
         C.one_sided_indemnity(F.array_join(F.transform("i", lambda x: x["text"]), " ")).alias("one_sided_indemnity"))
 
 
+def merge_metadata(fragments: DataFrame, fields: tuple[str, ...] = ("contract_type", "effective_date", "expiration_date", "governing_law")) -> DataFrame:
+    """project_id and the first non-empty value of each field, in the order of ``pos``. fragments: project_id, pos, fields..."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return fragments.groupBy("project_id").agg(*[F.min_by(filled(c), F.when(filled(c).isNotNull(), F.col("pos"))).alias(c) for c in fields])
+
+
 def obligations_by_party(clauses: DataFrame) -> DataFrame:
     """project_id, party, what it owes, in order. clauses: project_id, pos, obligations array<struct<party,description,deadline>>."""
     each = clauses.select("project_id", "pos", F.posexplode("obligations").alias("n", "o"))

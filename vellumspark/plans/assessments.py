@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import contract_text as C
-from ..operators import chunking, evaluate, guard, retrieval, store
+from ..operators import chunking, evaluate, guard, retrieval, risk, store
 from .oracle import _TFIDF, ANALYSES, CONTRACT, DENSE, _bm25, _list, _s
 from .queries import _dense, _items, _questions, _t, analyses, contracts
 
@@ -201,6 +201,28 @@ def vision_costs(spark, d):
     return rows.select("source", evaluate.vision_cost(F.col("images"), 0.00255).alias("cost"))
 
 
+def eval_cases_of_a_kind(spark, d):
+    rows = _results(spark, d).withColumn("contract_type", F.split("case_id", "_")[0]).withColumn("difficulty", F.when(F.size(F.split("case_id", "_")) > 1, F.split("case_id", "_")[1]))
+    return evaluate.cases(rows, "nda", "hard").select("case_id", "passed")
+
+
+def judge_rows(spark, d):
+    k = F.col("o_orderkey")
+    some = lambda m: F.when(k % m == 0, '["a","b"]').otherwise("[]")
+    output = F.concat(F.lit('{"overall_score":'), ((k % 100) / 100.0).cast("string"), F.lit(',"hallucinations":{"clause_hallucinations":'), some(3), F.lit(',"risk_hallucinations":'), some(5),
+                      F.lit('},"missing_content":{"missing_critical_clauses":'), some(4), F.lit('},"unsafe_statements":{"severity":"'), F.when(k % 7 == 0, "high").otherwise("none"), F.lit('"}}'))
+    return evaluate.judge_rows(_t(spark, d, "orders").select(k.alias("analysis_id"), output.alias("output"))).select(
+        "analysis_id", "overall_score", "clause_recall", "hallucination_count", "missing_critical_clause_count", "unsafe_statement_severity")
+
+
+def merged_metadata(spark, d):
+    rows = _t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("project_id"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos"), F.when(F.col("l_linenumber") > 2, F.col("l_returnflag")).alias("contract_type"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_shipdate").cast("date").cast("string")).otherwise(" ").alias("effective_date"), F.lit(None).cast("string").alias("expiration_date"),
+        F.col("l_linestatus").alias("governing_law"))
+    return risk.merge_metadata(rows)
+
+
 def file_names(spark, d):
     return _t(spark, d, "pages").select("page_id", C.file_name(F.col("url")).alias("file"))
 
@@ -208,7 +230,8 @@ def file_names(spark, d):
 QUERIES = {f.__name__: f for f in (
     search_modes, search_without_sparse, search_filtered, probe_evidence, near_duplicates_removed, risk_title_scores, summary_keywords, clause_set_scores, citation_validity, eval_calibration,
     eval_by_case_name, call_latencies, summary_validation, risk_validation, review_flags, parse_stats_full, dataset_stats, training_stats, owner_projects, project_search, projects_after_ingest,
-    chat_with_projects, cache_inserts, slim_risks, payload_columns, answer_sources, model_versions, vision_costs, file_names)}
+    chat_with_projects, cache_inserts, slim_risks, payload_columns, answer_sources, model_versions, vision_costs, file_names,
+    eval_cases_of_a_kind, judge_rows, merged_metadata)}
 
 _MODES = "modes as (select vec_id as qid, ['hybrid', 'semantic', 'keyword'][cast(vec_id % 3 as integer) + 1] as asked from embeddings where vec_id % 50 = 0)"
 _COSINE = "list_dot_product(cast(q.embedding as double[]), cast(e.embedding as double[])) / (sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[]))) * sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[]))))"
@@ -222,6 +245,11 @@ _PROJECTS = "projects as (select c_custkey as id, c_mktsegment as user_id, c_nam
 _PAIRS = """g as (select l_orderkey, list_distinct(list({f})) as f, list_distinct(list({e}) filter (where l_linenumber > 2)) as e from lineitem group by 1), h as (select *, len(list_intersect(f, coalesce(e, []))) as hits from g)"""
 
 SQL = {
+    "eval_cases_of_a_kind": """select 'nda_hard_' || o_orderkey as case_id, (o_orderkey * 37 % 100) / 100.0 >= 0.4 as passed from orders where o_orderkey % 20 <> 0 and o_orderkey % 3 = 0 and o_orderkey % 2 = 1""",
+    "judge_rows": """select o_orderkey as analysis_id, (o_orderkey % 100) / 100.0 as overall_score, cast(null as double) as clause_recall, (case when o_orderkey % 3 = 0 then 2 else 0 end) + (case when o_orderkey % 5 = 0 then 2 else 0 end) as hallucination_count,
+      case when o_orderkey % 4 = 0 then 2 else 0 end as missing_critical_clause_count, case when o_orderkey % 7 = 0 then 'high' else 'none' end as unsafe_statement_severity from orders""",
+    "merged_metadata": """select l_orderkey as project_id, min_by(l_returnflag, pos) filter (where l_linenumber > 2) as contract_type, min_by(cast(cast(l_shipdate as date) as varchar), pos) filter (where l_linestatus = 'O') as effective_date,
+      cast(null as varchar) as expiration_date, min_by(l_linestatus, pos) as governing_law from (select *, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey as pos from lineitem) q group by 1""",
     "search_modes": f"""with {_bm25(50)}, {DENSE}, {_MODES}, m as (select qid, case when asked = 'hybrid' and qid in (select qid from sparse) then 'hybrid' else 'semantic' end as mode from modes),
       fused as (select coalesce(d.qid, s.qid) as qid, coalesce(d.id, s.id) as id, round(coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) as score from dense d full join sparse s on d.qid = s.qid and d.id = s.id),
       f as (select * from (select *, row_number() over (partition by qid order by score desc, id) as rank from fused) r where rank <= 10)

@@ -32,6 +32,15 @@ def json_lines(spark: SparkSession, path: str, schema: str = MESSAGES) -> DataFr
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def json_lines_in_order(spark: SparkSession, paths: list[str], schema: str = MESSAGES) -> DataFrame:
+    """JSON lines of several files one after the other: ``source_no`` is a file's place in the list."""
+    parts = [json_lines(spark, path, schema).withColumn("source_no", F.lit(k)) for k, path in enumerate(paths)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def eval_cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases of every JSON file in a directory, each file a list or one object."""
     return spark.read.schema(CASE).option("multiLine", "true").json(path)
