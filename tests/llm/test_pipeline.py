@@ -8,9 +8,9 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vellumspark.llm import langid
 from tests.llm.test_duplicates import brute_classes
 from tests.llm.test_text_operators import brute_secrets, plain_cosines, plain_prototypes
+from vellumspark.llm import langid
 
 
 def test_stages(spark, odd, tmp_path):
@@ -63,7 +63,8 @@ def test_stages(spark, odd, tmp_path):
     for x in texts:
         held[source_of[x]] += size[x]
         taken[source_of[x]] += size[x] * fourth[x]
-    assert abs(sum(taken.values()) - sum(held.values())) <= 0.1 * sum(held.values())
+    assert all(taken[x] <= 3 * held[x] for x in held)
+    assert abs(sum(taken.values()) - sum(held.values())) <= max(size.values())  # a source misses its target by less than its largest document
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     model.encode_special_tokens = True
