@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import params as P
+
 CLAUSE = "struct<clause_type:string,title:string,text:string>"
 
 
@@ -32,6 +34,11 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("int")
 
 
+def within_limit(text: Column, limit: int = P.TOKEN_LIMIT) -> Column:
+    """Whether an example is short enough to train on."""
+    return F.coalesce(token_estimate(text) <= limit, F.lit(True))
+
+
 def tolerant_json(text: Column) -> Column:
     """JSON text without code fences, or its outermost list or object; null if neither parses."""
     bare = F.trim(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))

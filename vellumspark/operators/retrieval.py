@@ -146,7 +146,12 @@ def overlap_score(question: Column, text: Column) -> Column:
     return F.round(F.coalesce(F.size(F.array_intersect(q, C.words3(text))) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)), 4)
 
 
-def rerank(ranked: DataFrame, score: Column, n: int = P.RERANK_N) -> DataFrame:
+def rerank_size(page: Column) -> Column:
+    """How many reranked items a question gets: more if it asks about a page."""
+    return F.when(page.isNull(), P.RERANK_N).otherwise(P.RERANK_PAGE_N)
+
+
+def rerank(ranked: DataFrame, score: Column, n: int | Column = P.RERANK_N) -> DataFrame:
     """The n best of each question by another score; the former rank decides ties."""
     scored = ranked.withColumn("rerank_score", score)
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rerank_score").desc(), "rank"))

@@ -6,7 +6,7 @@ TOP_K, POOL, SCORE_THRESHOLD, PREFETCH, RRF_K = 5, 20, 0.50, 50, 60
 RERANK_N, RERANK_PAGE_N = 8, 10
 PROBE_K, PROBE_KEPT, PROBE_PREFIX, EVIDENCE_CHARS = 6, 3, 120, 12_000
 EVIDENCE_CUT, NO_EVIDENCE = "\n\n[... passages truncated for context budget ...]", "(retrieval returned no passages)"
-CITED_OVERLAP, KEYWORD_SHARE, ELIGIBLE_QUALITY, GOLD_SOURCE = 0.8, 0.5, 0.85, "cuad_gold"
+CITED_OVERLAP, KEYWORD_SHARE, ELIGIBLE_QUALITY = 0.8, 0.5, 0.85
 RULE_WEIGHT, MODEL_WEIGHT = 0.4, 0.6
 SEVERITY_VALUE = {"low": 10, "medium": 35, "high": 65, "critical": 90}
 SEVERITY_ORDER = {"low": 1, "medium": 2, "high": 3, "critical": 4}

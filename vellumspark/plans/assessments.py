@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import contract_text as C
+from ..functions import training as T
 from ..operators import chunking, evaluate, guard, retrieval, risk, store
 from .oracle import _TFIDF, ANALYSES, CONTRACT, DENSE, _bm25, _list, _s
 from .queries import _dense, _items, _questions, _t, analyses, contracts
@@ -223,6 +224,18 @@ def merged_metadata(spark, d):
     return risk.merge_metadata(rows)
 
 
+def token_limits(spark, d):
+    return _t(spark, d, "documents").select("doc_id", T.within_limit(F.col("text")).alias("trainable"))
+
+
+def rerank_sizes(spark, d):
+    """Reranked items of each question; every third one asks about a page."""
+    asked = _questions(spark, d).withColumn("page", F.when(F.col("qid") % 3 == 0, F.lit(2)))
+    ranked = retrieval.bm25_top(_questions(spark, d), _items(spark, d), 20, digits=4).join(asked, "qid").join(_items(spark, d), "id")
+    kept = retrieval.rerank(ranked, retrieval.overlap_score(F.col("question"), F.col("text")), retrieval.rerank_size(F.col("page")))
+    return kept.groupBy("qid").agg(F.count("*").alias("n"))
+
+
 def file_names(spark, d):
     return _t(spark, d, "pages").select("page_id", C.file_name(F.col("url")).alias("file"))
 
@@ -231,7 +244,7 @@ QUERIES = {f.__name__: f for f in (
     search_modes, search_without_sparse, search_filtered, probe_evidence, near_duplicates_removed, risk_title_scores, summary_keywords, clause_set_scores, citation_validity, eval_calibration,
     eval_by_case_name, call_latencies, summary_validation, risk_validation, review_flags, parse_stats_full, dataset_stats, training_stats, owner_projects, project_search, projects_after_ingest,
     chat_with_projects, cache_inserts, slim_risks, payload_columns, answer_sources, model_versions, vision_costs, file_names,
-    eval_cases_of_a_kind, judge_rows, merged_metadata)}
+    eval_cases_of_a_kind, judge_rows, merged_metadata, token_limits, rerank_sizes)}
 
 _MODES = "modes as (select vec_id as qid, ['hybrid', 'semantic', 'keyword'][cast(vec_id % 3 as integer) + 1] as asked from embeddings where vec_id % 50 = 0)"
 _COSINE = "list_dot_product(cast(q.embedding as double[]), cast(e.embedding as double[])) / (sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[]))) * sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[]))))"
@@ -245,6 +258,8 @@ _PROJECTS = "projects as (select c_custkey as id, c_mktsegment as user_id, c_nam
 _PAIRS = """g as (select l_orderkey, list_distinct(list({f})) as f, list_distinct(list({e}) filter (where l_linenumber > 2)) as e from lineitem group by 1), h as (select *, len(list_intersect(f, coalesce(e, []))) as hits from g)"""
 
 SQL = {
+    "token_limits": f"select doc_id, coalesce(ceil(length(text) / 4.0) <= {P.TOKEN_LIMIT}, true) as trainable from documents",
+    "rerank_sizes": f"with {_bm25(20)} select qid, least(count(*), case when qid % 3 = 0 then {P.RERANK_PAGE_N} else {P.RERANK_N} end) as n from sparse group by qid",
     "eval_cases_of_a_kind": """select 'nda_hard_' || o_orderkey as case_id, (o_orderkey * 37 % 100) / 100.0 >= 0.4 as passed from orders where o_orderkey % 20 <> 0 and o_orderkey % 3 = 0 and o_orderkey % 2 = 1""",
     "judge_rows": """select o_orderkey as analysis_id, (o_orderkey % 100) / 100.0 as overall_score, cast(null as double) as clause_recall, (case when o_orderkey % 3 = 0 then 2 else 0 end) + (case when o_orderkey % 5 = 0 then 2 else 0 end) as hallucination_count,
       case when o_orderkey % 4 = 0 then 2 else 0 end as missing_critical_clause_count, case when o_orderkey % 7 = 0 then 'high' else 'none' end as unsafe_statement_severity from orders""",

@@ -56,7 +56,7 @@ def dash_risk_distribution(spark, d):
 
 
 def dash_timeline(spark, d):
-    return dashboard.timeline(analyses(spark, d), F.lit(NOW).cast("date"), 14)
+    return dashboard.timeline(analyses(spark, d), F.lit(NOW).cast("date"), P.TIMELINE_DAYS["all"])
 
 
 def dash_trends(spark, d):
