@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codes import compress_vectors
 from .common import crc_mod, table
 from .forest import near_duplicates
 from .jaccard import jaccard_classes
@@ -14,16 +15,18 @@ from .langid import identify
 from .media import text_payload_columns
 from .mixing import mix_documents
 from .packing import pack_documents
+from .pieces import sentence_pieces
 from .quality import classify_quality
 from .secrets import findings_by_path, scan_history, span_digest
 from .suffixes import remove_repeats
+from .whitening import whiten
 from .wrapper import main_text
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,21 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_digit_slice_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compress_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hyperdimensional_language": op1_hyperdimensional_language,
@@ -83,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_gif_payload": op8_gif_payload,
         "op9_mix_sources": op9_mix_sources,
         "op10_best_two_fit": op10_best_two_fit,
+        "op11_digit_slice_whitening": op11_digit_slice_whitening,
+        "op12_prefix_table_pieces": op12_prefix_table_pieces,
+        "op13_hamerly_codes": op13_hamerly_codes,
     }
 
 
