@@ -270,13 +270,23 @@ def test_a_family_of_many_near_copies(spark):
         for p in rng.integers(0, 120, int(rng.integers(0, 7))):
             words[p] = f"e{k}x{p}"
         texts.append((k, " ".join(words)))
-    found = jaccard.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(8)).collect()
-    sets = {i: shingle_set(t) for i, t in texts}
-    main = {r.doc_id for r in found if r.component_id == 0}
-    assert len(main) > 4000
-    for r in found[:300]:
-        linked = [j for j in list(main)[:200] if j != r.doc_id and 4 * len(sets[r.doc_id] & sets[j]) >= 3 * len(sets[r.doc_id] | sets[j])]
-        assert not linked or r.component_id == 0
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string").repartition(8)).collect()}
+    sets = [shingle_set(t) for _, t in texts]
+    shared = {g: k for k, g in enumerate(sorted(g for g, n in Counter(g for s in sets for g in s).items() if n > 1))}
+    has = np.zeros((len(sets), len(shared)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [shared[g] for g in s if g in shared]] = 1
+    common, sizes = has @ has.T, np.array([len(s) for s in sets])
+    linked = 100 * common >= 75 * (sizes[:, None] + sizes[None, :] - common)
+    classes = {}
+    for i in range(len(sets)):  # the smallest document of a class comes first and reaches the others
+        if i not in classes:
+            reached, edge = np.arange(len(sets)) == i, np.array([i])
+            while len(edge):
+                edge = np.flatnonzero(linked[edge].any(axis=0) & ~reached)
+                reached[edge] = True
+            classes |= dict.fromkeys(np.flatnonzero(reached).tolist(), i)
+    assert max(Counter(classes.values()).values()) > 3000 and found == classes
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav>

@@ -67,7 +67,6 @@ def test_stages(spark, odd, tmp_path):
     assert abs(sum(taken.values()) - sum(held.values())) <= max(size.values())  # a source misses its target by less than its largest document
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     tokens = sum(len(model.encode(t, add_special_tokens=False).ids) + 1 for _, t in fourth.elements())
     assert sum(r.length for r in kept["best_fit_packing"]) == tokens
     fill = defaultdict(int)

@@ -355,15 +355,13 @@ def test_mixing_stays_in_the_jvm(spark, data):
 
 def test_word_cache_gives_the_tokenizers_ids(texts):
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     mine = packing.WordCachedTokenizer(PATH)
-    for t in [x or "" for _, x in texts] + ["a  b", " a", "a ", "a\n\nb", "a \nb", "it's <|endoftext|> x", "　x y", "a\tb c"]:
+    for t in [x or "" for _, x in texts] + ["a  b", " a", "a ", "a\n\nb", "a \nb", "it's <|endoftext|> x", "hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>\nb <|endoftext| >", "　x y", "a\tb c"]:
         assert np.frombuffer(mine.ids(t), "<u4").tolist() == model.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(odd, none, texts):
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     rows = packing.pack_documents(odd, PATH, pieces_a_group=16).collect()
     pieces = defaultdict(list)
     for r in rows:

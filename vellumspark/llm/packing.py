@@ -12,6 +12,7 @@ more than ``capacity`` tokens are cut, the remainder coming first.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_rows, worker_cache
+from .common import Scratch, pick, text_rows, worker_cache
 
 CAPACITY = 1024
 END_ID = 2
@@ -48,11 +49,12 @@ class WordCachedTokenizer:
 
     A byte-level BPE file whose merges are listed in the order of their ids is
     run by tiktoken, which gives the same ids in a fraction of the time; any
-    other by the tokenizers library.
+    other, and every text that holds a string of an added token, by the
+    tokenizers library, which gives such a string its own id.
     """
 
     def __init__(self, path: str):
-        self._core = _byte_bpe(path)
+        self._core, self._added, self._whole = _byte_bpe(path)
         self.cache: dict[str, bytes | None] = {}
 
     @classmethod
@@ -80,6 +82,8 @@ class WordCachedTokenizer:
         """Little-endian unsigned 32-bit ids of the text."""
         if not text:
             return b""
+        if self._added and self._added.search(text):
+            return array("I", self._whole(text)).tobytes()
         first, *words = text.replace("\n", " \n").split(" ")
         if not first or first[0].isspace() or first[-1].isspace():
             return self._encode(text)
@@ -94,29 +98,30 @@ class WordCachedTokenizer:
         return self._encode(text) if None in parts else self._encode(first) + b"".join(parts)
 
 
-def _byte_bpe(path: str) -> Callable[[str], list[int]]:
-    """The file's encoding of ordinary text."""
+def _byte_bpe(path: str) -> tuple[Callable[[str], list[int]], re.Pattern | None, Callable[[str], list[int]]]:
+    """The file's encoding of texts without added tokens, what finds such tokens, and the library's own encoding."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(path)
+    whole = lambda text: loaded.encode(text, add_special_tokens=False).ids
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
-    special = {a["content"] for a in spec.get("added_tokens", ())}
+    added = {a["content"] for a in spec.get("added_tokens", ())}
     merged = [(m if isinstance(m, str) else " ".join(m)).replace(" ", "") for m in model.get("merges", ())]
     plain = (model.get("type") == "BPE" and not model.get("dropout") and not spec.get("normalizer") and before.get("type") == "ByteLevel"
              and before.get("use_regex") and not before.get("add_prefix_space"))
-    if plain and all(model["vocab"].get(m) == 256 + k for k, m in enumerate(merged)):
-        import tiktoken
-
-        # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        return tiktoken.Encoding("byte-bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
+    if not plain or any(model["vocab"].get(m) != 256 + k for k, m in enumerate(merged)):
+        return whole, re.compile("(?s)."), whole
+    import tiktoken
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True  # their strings in a text are ordinary text
-    return lambda text: loaded.encode(text, add_special_tokens=False).ids
+    # the byte-level alphabet: printable Latin-1 stands for itself, other bytes for the characters from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    core = tiktoken.Encoding("byte-bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return core, re.compile("|".join(map(re.escape, sorted(added)))) if added else None, whole
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -243,8 +248,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """Pieces of all documents with their place in a sequence of at most ``capacity`` tokens.
 
     Texts never move: they are tokenised where they are read, and only five
-    numbers a piece are shuffled. The number of packing tasks grows with the
-    number of documents, so a task's size does not.
+    numbers a piece are written and shuffled. The number of packing tasks grows
+    with the number of pieces, so a task's size does not.
     """
-    groups = max(1, -(-docs.count() // pieces_a_group))
-    return pack_pieces(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), groups, capacity)
+    pieces = Scratch(docs.sparkSession, "packing").save(tokenised_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
+    return pack_pieces(pieces, max(1, -(-pieces.count() // pieces_a_group)), capacity)

@@ -32,7 +32,7 @@ STATISTICS = (
     "upper", "digit", "punctuation", "symbol", "space", "wide", "control", "stop_like", "short_lines", "bullet_lines", "ends_sentence", "commas",
     "periods", "pipes", "runs", "capital_words", "digit_words", "symbol_words", "top_word", "top_line", "byte_entropy", "deflated",
 )
-#: Rows that the fit takes at most; the bound is on labelled rows, chosen by a hash of the id.
+#: Rows that the fit takes at most, counted after labels have met their documents; chosen by a hash.
 SAMPLE_ROWS = 100_000
 BINS = 64
 TREES = 120
@@ -169,13 +169,14 @@ def fit_trees(rows: np.ndarray, labels: np.ndarray, trees: int = TREES, depth: i
 
 def fit_on_labels(stats: DataFrame, labels: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, label_col: str = "quality",
                   id_col: str = "doc_id") -> FlatTrees:
-    """Fit on the labelled rows that ``learn`` selects, at most ``sample_rows`` of them (about; the least of a hash of the id)."""
-    known = pick(labels, label_id=id_col, label=label_col).filter(F.col("label").isNotNull())
-    usable = known.filter(learn)
-    n = usable.count()
-    if n > sample_rows:
-        usable = usable.filter(F.pmod(F.xxhash64(F.col("label_id")), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    rows = stats.join(usable, F.col("doc_id") == F.col("label_id")).select("doc_id", "stats", "label").toPandas()
+    """Fit on the labelled rows that ``learn`` selects, ``sample_rows`` of them at most: those of the least hash. A label counts once an id."""
+    known = pick(labels, label_id=id_col, label=label_col).filter(F.col("label").isNotNull()).filter(learn).distinct()
+    rows = stats.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "stats", "label")
+    n, place = rows.count(), F.xxhash64("doc_id", "label")
+    if n > sample_rows:  # about half as many again, then exactly so many
+        share = F.pmod(place, F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.5 * sample_rows / n)) + 1000
+        rows = rows.filter(share).orderBy(F.pmod(place, F.lit(1_000_000)), "doc_id", "label", "stats").limit(sample_rows)
+    rows = rows.toPandas()
     rows = rows.sort_values(["doc_id", "label"], kind="stable")
     x = np.array(rows["stats"].tolist(), dtype=np.float32).reshape(len(rows), len(STATISTICS))
     return fit_trees(x, rows["label"].to_numpy(dtype=np.float64))
