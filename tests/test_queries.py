@@ -6,9 +6,9 @@ import decimal
 import duckdb
 import pytest
 
-from vellumspark.plans import assessments, oracle, queries
+from vellumspark.plans import assessments, kept, oracle, queries
 
-QUERIES, SQL = queries.QUERIES | assessments.QUERIES, oracle.SQL | assessments.SQL
+QUERIES, SQL = queries.QUERIES | assessments.QUERIES | kept.QUERIES, oracle.SQL | assessments.SQL | kept.SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

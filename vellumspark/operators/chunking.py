@@ -1,8 +1,8 @@
 """Pages to chunks: recursive splitting, page overlap, table and image chunks, merging.
 
 A page's chunks depend on the tail of the page before, so one document is one
-sequential unit; documents are dealt over tasks by id and a task holds one
-document at a time.
+sequential unit; documents are dealt over tasks by id and read in order, a page
+at a time.
 """
 
 from __future__ import annotations
@@ -60,34 +60,73 @@ def split_column(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [p.strip() for p in split_text(t or "") if p.strip()])
 
 
-def chunk_document(pages: list[tuple[int, str]], size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> Iterator[tuple[int, str]]:
-    """(page number, text) of each chunk. A page starts with the tail of the one before; a chunk that is mostly tail counts there."""
-    tail, before = "", None
-    for number, text in pages:
+class PageChunker:
+    """Chunks of one document's pages, given one after the other; between pages it holds the tail of the last one."""
+
+    def __init__(self, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP):
+        self.size, self.overlap, self.tail, self.before = size, overlap, "", None
+
+    def page(self, number: int, text: str | None) -> Iterator[tuple[int, str]]:
+        """(page number, text) of each chunk. A page starts with the tail of the one before; a chunk that is mostly tail counts there."""
         if not (text or "").strip():
-            continue
-        source = f"{tail} {text}" if tail else text
-        kept = [p.strip() for p in split_text(source, size) if p.strip()]
+            return
+        tail, before = self.tail, self.before
+        kept = [p.strip() for p in split_text(f"{tail} {text}" if tail else text, self.size) if p.strip()]
         for k, piece in enumerate(kept):
             mostly_tail = k == 0 and tail and before is not None and len(tail) > len(piece) / 2
             yield (before if mostly_tail else number), piece
-        tail = kept[-1][-overlap:] if kept and overlap else ""
-        before = number
+        self.tail = kept[-1][-self.overlap:] if kept and self.overlap else ""
+        self.before = number
 
 
-def chunk_pages(pages: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> DataFrame:
-    """CHUNK_SCHEMA for pages (doc_id, page_number, text)."""
+def chunk_document(pages: list[tuple[int, str]], size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> Iterator[tuple[int, str]]:
+    """(page number, text) of each chunk of a document."""
+    chunker = PageChunker(size, overlap)
+    for number, text in pages:
+        yield from chunker.page(number, text)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("page_number")
-        doc = table.column("doc_id")[0].as_py()
-        rows = list(chunk_document(list(zip(table.column("page_number").to_pylist(), table.column("text").to_pylist())), size, overlap))
-        return pa.table([pa.array([doc] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32()),
-                         pa.array([n for n, _ in rows], pa.int32()), pa.array([t for _, t in rows], pa.string())],
-                        names=["doc_id", "chunk_index", "page_number", "text"])
 
-    rows = pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("int"), "text")
-    return rows.groupBy("doc_id").applyInArrow(run, CHUNK_SCHEMA)
+#: Kinds of chunks in the order in which a document's index runs over them.
+KINDS = ("text", "table", "image")
+MERGED_SCHEMA = "doc_id string, chunk_index int, page_number int, chunk_type string, text string"
+
+
+def chunk_in_order(pages: DataFrame, tables: DataFrame | None = None, images: DataFrame | None = None, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> DataFrame:
+    """MERGED_SCHEMA: text chunks of pages, then a chunk a table, then one an image, under one running index a document.
+
+    pages: doc_id, page_number, text; tables and images: doc_id, page_number, pos,
+    text (an image's description). Rows are dealt by document and sorted within
+    partitions, on disk where they don't fit. A task reads them in order and holds
+    a page, the tail of the one before and a number, never a document. Blank pages,
+    tables and descriptions give no chunk and don't break the tail's way; a null
+    page number comes first, equal ones go by text; a null id is a document.
+    """
+    row = lambda frame, kind, pos: frame.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(kind).alias("kind"), F.col("page_number").cast("int").alias("page_number"), pos.alias("pos"), "text")
+    rows = row(pages, 0, F.lit(0))
+    for kind, frame in ((1, tables), (2, images)):
+        rows = rows if frame is None else rows.unionByName(row(frame, kind, F.col("pos").cast("int")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, chunker, index = None, None, 0
+        for batch in batches:
+            out = []
+            for own, kind, number, _, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if chunker is None or own != doc:
+                    doc, chunker, index = own, PageChunker(size, overlap), 0
+                found = chunker.page(number, text) if kind == 0 else [(number, text)] if (text or "").strip() else []
+                for page, piece in found:
+                    out.append((doc, index, page, KINDS[kind], piece))
+                    index += 1
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "chunk_index", "page_number", "chunk_type", "text"])
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "kind", "page_number", "pos", "text").mapInArrow(run, MERGED_SCHEMA)
+
+
+def chunk_pages(pages: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.CHUNK_OVERLAP) -> DataFrame:
+    """CHUNK_SCHEMA for pages (doc_id, page_number, text)."""
+    return chunk_in_order(pages, size=size, overlap=overlap).drop("chunk_type")
 
 
 def chunk_single_pages(pages: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import params as P
 from ..functions.contract_text import normal_type, words3
+from . import ranks
 
 
 def ratio(a: Column, b: Column, digits: int = 6) -> Column:
@@ -133,10 +135,11 @@ def by_case_name(results: DataFrame) -> DataFrame:
 
 
 def latencies(calls: DataFrame, value: str = "latency") -> DataFrame:
-    """p50 (median), p95 and p99 (sorted[int(n * share)]), from counts of distinct values."""
-    counted = calls.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    at = spread(calls.filter(F.col(value).isNotNull()), value, (0.95, 0.99)).select("p95", "p99")
-    return counted.agg(F.round(F.percentile("v", 0.5, F.col("c")), 6).alias("p50")).crossJoin(at)
+    """p50 (median), p95 and p99 (sorted[int(n * share)]) of the whole table."""
+    n = ranks.numbers(calls, value).count()
+    low, high, *rest = ranks.values_at(calls, value, [(n - 1) // 2, n // 2, *[min(int(n * s), n - 1) for s in (0.95, 0.99)]])
+    row = (round((low + high) / 2, 6) if n else None, *rest)
+    return calls.sparkSession.createDataFrame([row], StructType([StructField("p50", DoubleType()), *(StructField(p, calls.schema[value].dataType) for p in ("p95", "p99"))]))
 
 
 def cases(rows: DataFrame, contract_type: str | None = None, difficulty: str | None = None, case_id: str | None = None) -> DataFrame:
@@ -170,24 +173,12 @@ def breakdown(results: DataFrame, by: Column, name: str) -> DataFrame:
                                                F.round(F.avg("clause_f1"), 3).alias("f1"))
 
 
-def percentile_at(values: Column, share: float) -> Column:
-    """sorted[int(n * share)] of a collected array, the last where that is beyond it."""
-    ordered = F.array_sort(values)
-    return F.try_element_at(ordered, F.least((F.size(ordered) * F.lit(share)).cast("int") + 1, F.size(ordered)))
-
-
 def spread(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.25, 0.75, 0.95)) -> DataFrame:
-    """Mean and indexed percentiles (25, 75 and 95), by ranks over the whole table.
-
-    Ranks come from counts of distinct values, so no array of all values is built.
-    """
-    counted = rows.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    from pyspark.sql import Window
-
-    upto = F.sum("c").over(Window.orderBy("v"))
-    ranked = counted.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    at = [F.min(F.when(F.col("upto") > F.least((F.col("n") * F.lit(s)).cast("long"), F.col("n") - 1), F.col("v"))).alias(f"p{int(s * 100)}") for s in shares]
-    return ranked.agg(F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"), *at)
+    """Mean and values at int(n * share) of the sorted values (25, 75 and 95 percent); nulls are left out."""
+    sums = ranks.numbers(rows, value).agg(F.count("v").alias("n"), F.round(F.sum("v") / F.nullif(F.count("v"), F.lit(0)), 6).cast("double").alias("mean")).first()
+    found = ranks.values_at(rows, value, [min(int(sums["n"] * s), sums["n"] - 1) for s in shares])
+    schema = StructType([StructField("mean", DoubleType()), *(StructField(f"p{int(s * 100)}", rows.schema[value].dataType) for s in shares)])
+    return rows.sparkSession.createDataFrame([(sums["mean"], *found)], schema)
 
 
 def run_diff(base: DataFrame, current: DataFrame, drop: float = P.JUDGE_DROP) -> DataFrame:

@@ -6,8 +6,6 @@ than once an item.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +97,3 @@ def fabricated_entities(items: DataFrame, sources: DataFrame, strict: bool = Fal
     text = sources.groupBy("project_id").agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("source"))
     lacking = F.filter("entities", lambda e: ~F.contains(F.col("source"), fold(e)))
     return own.join(text, "project_id").select("project_id", "item_id", F.size("entities").alias("entities"), F.size(lacking).alias("fabricated"))
-
-
-def injected(text):
-    return reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in P.INJECTION])

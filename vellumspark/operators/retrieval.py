@@ -28,7 +28,7 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _top(scored: DataFrame, k: int, question: str = "qid", item: str = "id", score: str = "score") -> DataFrame:
+def top_of(scored: DataFrame, k: int, question: str = "qid", item: str = "id", score: str = "score") -> DataFrame:
     """The k best of each question, with ranks.
 
     Rows are first cut to k a question and salt, so a question's items never
@@ -44,7 +44,7 @@ def _top(scored: DataFrame, k: int, question: str = "qid", item: str = "id", sco
 ITEM_BLOCK, QUESTION_BLOCK = 4096, 1024
 
 
-def _unit_rows(vectors: pa.ListArray, dimensions: int) -> np.ndarray:
+def unit_rows(vectors: pa.ListArray, dimensions: int) -> np.ndarray:
     """Unit vectors, one a row; NaN where a vector is null, zero, of another length or holds a null."""
     fits = np.flatnonzero(pc.list_value_length(vectors).fill_null(-1).to_numpy(zero_copy_only=False) == dimensions)
     out = np.full((len(vectors), dimensions), np.nan)
@@ -71,9 +71,9 @@ def dense_top(questions: DataFrame, items: DataFrame, k: int = P.TOP_K, digits:
         sizes = pc.list_value_length(asked).fill_null(0).to_numpy(zero_copy_only=False)
         who, what, scores = [], [], []
         for d in np.unique(sizes).tolist() if left.num_rows else []:
-            x, rows = _unit_rows(vectors, d), np.flatnonzero(sizes == d)
+            x, rows = unit_rows(vectors, d), np.flatnonzero(sizes == d)
             for part in np.array_split(rows, -(-len(rows) // 128)):
-                s = _unit_rows(asked.take(pa.array(part)), d) @ x.T if d else np.full((len(part), len(x)), np.nan)
+                s = unit_rows(asked.take(pa.array(part)), d) @ x.T if d else np.full((len(part), len(x)), np.nan)
                 s = np.copysign(np.floor(np.abs(s) * 10**digits + 0.5) / 10**digits, s) + 0.0
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ids decide ties, items without a score come last
                 who.append(np.repeat(part, best.shape[1]))
@@ -85,7 +85,7 @@ def dense_top(questions: DataFrame, items: DataFrame, k: int = P.TOP_K, digits:
 
     schema = StructType([questions.schema["qid"], items.schema["id"], StructField("score", DoubleType())])
     scored = a.groupBy("ib", "qb").cogroup(b.groupBy("ib", "qb")).applyInArrow(run, schema)
-    return _top(scored, k)
+    return top_of(scored, k)
 
 
 #: Distinct terms of all questions up to which they are sent to all tasks.
@@ -118,14 +118,14 @@ def bm25_top(questions: DataFrame, items: DataFrame, k: int = P.PREFETCH, k1: fl
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / (F.col("total") / F.col("n"))))
     weights = posted.join(df, "term").crossJoin(F.broadcast(size)).select("id", "term", (idf * saturation).alias("weight"))
     scored = asked.join(weights, "term").groupBy("qid", "id").agg(F.round(F.sum("weight"), digits).alias("score"))
-    return _top(scored, k)
+    return top_of(scored, k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = P.TOP_K, constant: int = P.RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of two rankings (qid, id, rank)."""
     a, c = dense.select("qid", "id", F.col("rank").alias("ra")), sparse.select("qid", "id", F.col("rank").alias("rb"))
     part = lambda r: F.coalesce(1.0 / (F.lit(constant) + F.col(r)), F.lit(0.0))
-    return _top(a.join(c, ["qid", "id"], "full_outer").select("qid", "id", F.round(part("ra") + part("rb"), 9).alias("score")), k)
+    return top_of(a.join(c, ["qid", "id"], "full_outer").select("qid", "id", F.round(part("ra") + part("rb"), 9).alias("score")), k)
 
 
 def rank_score(ranked: DataFrame) -> DataFrame:

@@ -7,13 +7,12 @@ category, severity, title, confidence).
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import contract_text as C
+from . import ordered
 
 
 def _map(values: dict) -> Column:
@@ -187,13 +186,5 @@ def apply_verdicts(risks: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def corpus_hash(rows: DataFrame, group: str, text: str = "text") -> DataFrame:
-    """One hash of each group's texts in sorted order (first 32 hex digits). A group's texts meet in one task: groups are projects."""
-    return rows.groupBy(group).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "\n---\n"), 256), 1, 32).alias("corpus_hash"))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
-def running_place(order: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy("project_id").orderBy(*order)) - 1
+    """One hash of each group's texts in sorted order (first 32 hex digits), read in order without holding them."""
+    return ordered.ordered_digest(rows, [group], text, "\n---\n").select(group, F.substring("digest", 1, 32).alias("corpus_hash"))

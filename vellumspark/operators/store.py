@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contract_text as C
+from . import ordered
 
 
 def unique_names(projects: DataFrame) -> DataFrame:
@@ -42,12 +43,14 @@ def dataset_stats(analyses: DataFrame, clauses: DataFrame, least: float) -> Data
 def training_stats(examples: DataFrame) -> DataFrame:
     """part, source, clause_type, examples, part_hash. examples: part, source, clause_type, line.
 
-    A part's hash is that of its lines' hashes in their order, so lines are
-    hashed where they are and never meet; only counts by hash prefix do.
+    A part's hash is that of its blocks' hashes in order, a block's that of its
+    lines' hashes in order; lines are hashed where they are, and a block is the
+    hashes of one beginning, read in order without being held.
     """
-    hashed = examples.select("part", "source", "clause_type", F.sha2("line", 256).alias("h"))
-    blocks = hashed.groupBy("part", F.substring("h", 1, 3).alias("block")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    parts = blocks.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"]), ""), 256).alias("part_hash"))
+    hashed = examples.select("part", "source", "clause_type", F.sha2(F.coalesce("line", F.lit("")), 256).alias("h"))
+    blocks = ordered.ordered_digest(hashed.withColumn("block", F.substring("h", 1, 3)), ["part", "block"], "h")
+    parts = blocks.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("block", "digest"))).alias("b"))  # 4,096 blocks a part at most
+    parts = parts.select("part", F.sha2(F.array_join("b.digest", ""), 256).alias("part_hash"))
     counts = hashed.groupBy("part", "source", "clause_type").agg(F.count("*").alias("examples"))
     return counts.join(parts, "part")
 

@@ -141,7 +141,7 @@ def dataset_stats(spark, d):
 def training_stats(spark, d):
     part = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("doc_id") % 3).cast("int") + 1)
     rows = _t(spark, d, "documents").select(part.alias("part"), "source", F.col("lang").alias("clause_type"), F.col("text").alias("line"))
-    return store.training_stats(rows).select("part", "source", "clause_type", "examples")
+    return store.training_stats(rows)
 
 
 def _projects(spark, d):
@@ -311,7 +311,10 @@ SQL = {
       cast(sum(doc_id % 4) as bigint) as tables from documents group by source""",
     "dataset_stats": f"""with {ANALYSES}, ok as (select id from analyses where status = 'completed' and quality_score >= {P.ELIGIBLE_QUALITY})
       select l_returnflag as clause_type, count(*) as clauses, (select count(*) from ok) as analyses from lineitem join ok on l_orderkey = id where l_linenumber < 6 group by 1""",
-    "training_stats": "select ['train', 'val', 'test'][cast(doc_id % 3 as integer) + 1] as part, source, lang as clause_type, count(*) as examples from documents group by all",
+    "training_stats": """with e as (select ['train', 'val', 'test'][cast(doc_id % 3 as integer) + 1] as part, source, lang as clause_type, sha256(coalesce(text, '')) as h from documents),
+      blocks as (select part, substring(h, 1, 3) as block, sha256(string_agg(h, '' order by h)) as h from e group by all),
+      parts as (select part, sha256(string_agg(h, '' order by block)) as part_hash from blocks group by part)
+      select e.part, source, clause_type, count(*) as examples, any_value(part_hash) as part_hash from e join parts on e.part = parts.part group by e.part, source, clause_type""",
     "owner_projects": f"with {_PROJECTS} select id, name from projects where user_id = 'BUILDING' and name ilike '%00_1%' order by created_at desc, id",
     "project_search": f"with {_PROJECTS} select id, documents from projects where contains(lower(name), 'mach') or contains(lower(description), 'mach') order by documents desc, id",
     "projects_after_ingest": f"with {ANALYSES} select status, count(*) as n from analyses where project_id % 3 <> 0 group by status",
