@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -392,3 +393,37 @@ def test_given_tables(spark, data):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     expected = brute_classes(rows)
     assert all((r.n_shingles, r.component_id) == expected[r.doc_id] for r in jaccard.jaccard_classes(docs).collect())
+
+
+def test_first_regions_and_the_rest_hold_every_linked_pair(spark):
+    """Whatever pivots there are: a linked pair shares a region, or both are far and meet by rare shingles."""
+    sets = random_cell(300, seed=4)
+    rows = [(b"%04d" % i, len(x), 0.0, [int(v) for v in x]) for i, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node binary, n long, central double, tokens array<long>")
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 4 * len(np.intersect1d(sets[i], sets[j])) >= 3 * len(np.union1d(sets[i], sets[j]))]
+    for chosen in ((), (0,), (3, 50, 200), range(0, 300, 9)):
+        cells, far = {}, set()
+        found = jaccard.voronoi_regions(frame, [(b"%04d" % i, len(sets[i]), np.sort(sets[i].astype(np.int64))) for i in chosen]).collect()
+        for r in found:
+            node = int(bytes(r.node))
+            cells.setdefault(node, set()).add(r.cell)
+            far |= {node} if r.far else set()
+            if r.linked:
+                pivot = int(bytes(r.pivot))
+                assert 4 * len(np.intersect1d(sets[node], sets[pivot])) >= 3 * len(np.union1d(sets[node], sets[pivot]))
+        assert all((cells[i] & cells[j]) - {None} or {i, j} <= far for i, j in links)
+        assert set(cells) >= far and (len(chosen) < 3 or sum(len(c - {None}) for c in cells.values()) > 100)
+
+
+def test_voronoi_regions_decide_on_the_given_table(spark, data, monkeypatch):
+    """Pivots found in the table take documents into regions and link them; the result equals the full comparison with and without pivots."""
+    docs, seen = spark.read.parquet(f"{data}/documents.parquet"), []
+    real = jaccard.voronoi_regions
+    monkeypatch.setattr(jaccard, "voronoi_regions", lambda c, p, percent: seen.append((len(p), real(c, p, percent))) or seen[-1][1])
+    expected = brute_classes([(r.doc_id, r.text) for r in docs.collect()])
+    for pivots in (256, 2, 0):
+        monkeypatch.setattr(jaccard, "FIRST_PIVOTS", pivots)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()} == expected
+        n, cells = seen[-1]
+        assert n == min(pivots, seen[0][0]) and (cells.filter("cell is not null").count() > 0) == (pivots > 0)
+    assert seen[0][0] > 2 and seen[0][1].filter("linked and node <> pivot").count() > 0

@@ -1,24 +1,26 @@
 """Exact n-gram Jaccard join as a metric-space join.
 
 Jaccard distance is a metric: with a link at similarity t, linked documents lie
-within r = 1 - t of each other. Most documents of a corpus lie at distance 1 from
-all others, where no pivot can tell them apart, so regions are found in two steps.
+within r = 1 - t of each other.
 
 1. Shared shingles. Shingle hashes are dealt into buckets by value; a bucket sees
    each of its shingles with all its documents and returns those that at least
    two have. A document of which less than t is shared can't have a partner: it
-   is its own class. For the others a document's rarest shared shingles, as many
-   as a partner can't all lack, are its region keys: two linked documents have a
-   region in common.
-2. First pivot. In each region the most central document is a pivot; every other
-   gets its exact distance to it, and those within r are linked to it. A region
-   whose documents are all in one component is settled.
-3. Voronoi cells. A region that is not settled and over a bound gets several pivots,
-   from different components, and every document its distance to each. A document
-   is at home in the cell of its nearest pivot p. Its partners lie within r, so by
-   the triangle inequality one that is at home with q has (d(x, q) - d(x, p)) / 2
-   <= r: the document is replicated to the cells of all such q, and each pair
-   meets in some cell. Cells are settled, joined or split again in the same way.
+   is its own class. The others are candidates.
+2. Voronoi regions. Central documents of the largest groups, chosen apart from
+   each other, are pivots, and every candidate gets its exact distance to each. It
+   is at home in the region of its nearest pivot p. Its partners lie within r, so
+   by the triangle inequality one that is at home with q has (d(x, q) - d(x, p)) / 2
+   <= r: the document is replicated to the regions of all such q less than 1 - r
+   away, and documents within r of their pivot are linked to it. Every linked pair
+   of which one document lies less than 1 - 2r from its pivot meets so.
+3. The rest. Far out pivots tell little, and at distance 1 nothing. Documents that
+   lie 1 - 2r or more from all pivots, and only these, meet by their rarest shared
+   shingles, as many as a partner can't all lack: each such shingle is a region,
+   its most central document the pivot.
+   Equal regions are one. A region whose documents are all in one component is settled.
+   A region that is not and is over a bound gets several pivots of its own, from
+   different components, and is split like the whole; cells are split again.
 4. Leaf cells. Small cells are joined pair by pair, others of a bounded size in
    blocks. A cell whose documents lie so close together that windows would leave
    most pairs together is not split further and joined in blocks as well:
@@ -56,6 +58,8 @@ CHUNK_SHINGLES, CHUNK_DOCS = 1_500_000, 20_000
 SLICE_BYTES = 4 << 20
 #: Documents in a cell that is joined pair by pair, and in one that is joined in blocks; larger ones are split.
 SMALL_CELL, LEAF_CELL = 48, 1024
+#: Pivots of the whole, how many are tried for them, shingles of one at most, and their least distance from each other.
+FIRST_PIVOTS, TRIED_PIVOTS, PIVOT_TOKENS, APART = 256, 1024, 4096, 0.5
 #: Pivots of a cell, and parts over which its documents meet them.
 PIVOTS, SALTS = 8, 16
 #: A split is undone if its cells have more than this share of the pairs that the whole had; so often a cell is split at most.
@@ -133,7 +137,7 @@ def _chunk(texts: list[np.ndarray], nodes: list[bytes], ids: list, buckets: int)
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     place = np.repeat(np.arange(len(texts), dtype=np.uint16), sizes)[order]
-    token = np.ascontiguousarray((hashes[order] >> np.uint64(24)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+    token = hashes[order].astype("<u8")
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
     for s, e in zip(cuts[:-1], cuts[1:]):
         yield int(bucket[s]), chunk, token[s:e].tobytes(), place[s:e].tobytes()
@@ -189,12 +193,10 @@ def keep_shared(dealt: DataFrame) -> DataFrame:
         if key[0].as_py() < 0:
             return table.append_column("counts", pa.nulls(table.num_rows, pa.binary()))
         chunks = table.column("chunk").to_pylist()
-        raw = [np.frombuffer(t, np.uint8).reshape(-1, 5) for t in table.column("tokens").to_pylist()]
+        raw = [np.frombuffer(t, "<u8") for t in table.column("tokens").to_pylist()]
         lengths = [len(r) for r in raw]
-        wide = np.zeros((sum(lengths), 8), np.uint8)
-        wide[:, :5] = np.concatenate(raw)
+        tokens = np.concatenate(raw)
         del raw
-        tokens = wide.view("<u8").ravel()
         order = np.argsort(tokens)
         ranked = tokens[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -208,7 +210,7 @@ def keep_shared(dealt: DataFrame) -> DataFrame:
             part = slice(cuts[i], cuts[i + 1])
             shared = each[part] >= 2
             if shared.any():
-                out.append((key[0].as_py(), chunks[i], wide[part, :5][shared].tobytes(), np.frombuffer(places, np.uint16)[shared].tobytes(),
+                out.append((key[0].as_py(), chunks[i], tokens[part][shared].tobytes(), np.frombuffer(places, np.uint16)[shared].tobytes(),
                             each[part][shared].tobytes()))
         columns = list(zip(*out)) or [[]] * 5
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -245,11 +247,7 @@ def candidates_of(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
             if r["bucket"] < 0:
                 nodes, sizes, _ = _directory(r["tokens"], r["places"])
             else:
-                raw = np.frombuffer(r["tokens"], np.uint8).reshape(-1, 5)
-                wide = np.zeros((len(raw), 8), np.uint8)
-                wide[:, :5] = raw
-                token = (wide.view("<u8").ravel() << np.uint64(24)) | np.uint64(r["bucket"] & 0xFFFFFF)  # 64 bits of the hash
-                parts.append((token.astype(np.int64), np.frombuffer(r["places"], np.uint16), np.frombuffer(r["counts"], np.uint16)))
+                parts.append((np.frombuffer(r["tokens"], "<i8"), np.frombuffer(r["places"], np.uint16), np.frombuffer(r["counts"], np.uint16)))
         out: list[tuple] = []
         if parts and nodes:
             token, place, count = (np.concatenate(p) for p in zip(*parts))
@@ -278,33 +276,104 @@ def candidates_of(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     return shared.groupBy("chunk").applyInArrow(run, "node binary, n long, tokens array<long>, keys array<long>, central double")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, common, n_x, n_y of distinct pairs."""
+def _measured(pairs: DataFrame, sets: DataFrame, pivots: bool = False) -> DataFrame:
+    """x, y, common, n_x, n_y of distinct pairs. ``pivots``: few y have very many x, so that they meet by y and salt."""
     sx = sets.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("tokens").alias("t_x"))
     sy = sets.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("tokens").alias("t_y"))
-    return pairs.join(sy, "y").join(sx, "x").select("x", "y", F.size(F.array_intersect("t_x", "t_y")).cast("long").alias("common"), "n_x", "n_y")
+    on = ["y"]
+    if pivots:
+        sy = sy.join(pairs.select("y").distinct(), "y", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs, on = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), ["y", "salt"]
+    return pairs.join(sy, on).join(sx, "x").select("x", "y", F.size(F.array_intersect("t_x", "t_y")).cast("long").alias("common"), "n_x", "n_y")
 
 
 def _linked(percent: int):
     return 100 * F.col("common") >= percent * (F.col("n_x") + F.col("n_y") - F.col("common"))
 
 
+def choose_pivots(heads: DataFrame, sets: DataFrame) -> list[tuple[bytes, int, np.ndarray]]:
+    """(node, n, tokens) of documents at the centre of the largest groups, each at least ``APART`` from the others.
+
+    heads: size, p (central, node, n). What reaches the driver is bounded by
+    TRIED_PIVOTS rows of at most PIVOT_TOKENS shingles.
+    """
+    tried = heads.filter(F.col("p.n") <= PIVOT_TOKENS).groupBy(F.col("p.node").alias("node")).agg(F.max("size").alias("size")).orderBy(F.desc("size"), "node").limit(TRIED_PIVOTS)
+    rows = tried.join(sets, "node").collect()
+    chosen: list[tuple[bytes, int, np.ndarray]] = []
+    for r in sorted(rows, key=lambda r: (-r["size"], bytes(r["node"]))):
+        tokens = np.sort(np.array(r["tokens"], np.int64))
+        far = True
+        for _, n, other in chosen:
+            common = len(np.intersect1d(tokens, other, assume_unique=True))
+            far = far and common <= (1 - APART) * (r["n"] + n - common)
+        if far and len(chosen) < FIRST_PIVOTS:
+            chosen.append((bytes(r["node"]), r["n"], tokens))
+    return chosen
+
+
+REGION_SCHEMA = "cell long, node binary, n long, central double, pivot binary, linked boolean, far boolean"
+
+
+def voronoi_regions(candidates: DataFrame, pivots: list[tuple[bytes, int, np.ndarray]], percent: int = PERCENT) -> DataFrame:
+    """REGION_SCHEMA: a row for each region that a candidate is at home in or replicated to; ``far`` marks one that pivots alone don't settle.
+
+    A candidate that no region takes is one far row without a cell.
+    """
+    token = np.concatenate([t for _, _, t in pivots]) if pivots else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(pivots)), [len(t) for _, _, t in pivots])
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    names, sizes = [n for n, _, _ in pivots], np.array([n for _, n, _ in pivots], np.int64)
+    radius = 1 - percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, k = batch.num_rows, len(names)
+            lists, own = batch.column(3), batch.column(1).to_numpy()
+            flat, who = lists.flatten().to_numpy(), np.repeat(np.arange(m), np.diff(lists.offsets.to_numpy()))
+            first, last = np.searchsorted(token, flat, "left"), np.searchsorted(token, flat, "right")
+            many = last - first
+            at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(flat) else np.zeros(0, np.int64)
+            common = np.bincount(np.repeat(who, many) * max(1, k) + owner[at], minlength=m * max(1, k)).reshape(m, -1)[:, :k]
+            union = own[:, None] + sizes[None, :] - common
+            distance = 1 - common / np.maximum(union, 1)
+            nearest = distance.min(axis=1, initial=1.0)
+            inside = (distance < 1 - radius + 1e-9) & ((distance - nearest[:, None]) / 2 <= radius + 1e-9)
+            far = nearest >= 1 - 2 * radius - 1e-9
+            row, cell = np.nonzero(inside)
+            lone = np.flatnonzero(far & ~inside.any(axis=1))
+            linked = np.concatenate([100 * common[row, cell] >= percent * union[row, cell], np.zeros(len(lone), bool)])
+            row, none = np.concatenate([row, lone]), len(lone)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*cell.tolist(), *[None] * none], pa.int64()), *(batch.column(c).take(pa.array(row)) for c in (0, 1, 2)),
+                 pa.array([*(names[c] for c in cell.tolist()), *[None] * none], pa.binary()), pa.array(linked), pa.array(far[row])],
+                names=["cell", "node", "n", "central", "pivot", "linked", "far"])
+
+    return candidates.select("node", "n", "central", "tokens").mapInArrow(run, REGION_SCHEMA)
+
+
 def link_components(candidates: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(node, component) of all nodes with a link."""
     candidates = scratch.save(candidates.dropDuplicates(["node"]))
     sets = candidates.select("node", "n", "tokens")
     members = candidates.select(F.explode("keys").alias("region"), "node", "n", "central")
-    # keys that the same documents have are one region: their members' hashes have the same sums
+    place = F.max(F.struct("central", "node", "n")).alias("p")
+    every = scratch.save(members.groupBy("region").agg(F.count("*").alias("size"), place).filter("size > 1"))
+    cells = scratch.save(voronoi_regions(candidates, choose_pivots(every, sets), percent))
+    near = cells.filter(F.col("linked") & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+    # far documents meet by rare shingles; keys that the same documents have are one region: their members' hashes have the same sums
+    rest = members.join(cells.filter("far").select("node").distinct(), "node", "left_semi")
     sums = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"sum{k}") for k in (1, 2)]
-    heads = members.groupBy("region").agg(F.count("*").alias("size"), F.max(F.struct("central", "node", "n")).alias("p"), *sums).filter("size > 1")
+    heads = rest.groupBy("region").agg(F.count("*").alias("size"), place, *sums).filter("size > 1")
     heads = heads.groupBy("size", "sum1", "sum2").agg(F.min("region").alias("region"), F.first("p").alias("p"))
     heads = scratch.save(heads.select("region", F.col("p.node").alias("pivot")))
-    regions = scratch.save(members.join(heads, "region").filter(F.col("node") != F.col("pivot")))
-    measured = _measured(regions.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sets)
-    links = scratch.save(measured.filter(_linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    components = scratch.save(connected_components(links, scratch))
-    placed = (regions.select(F.col("region").alias("cell"), "node", "n", "central").join(components, "node", "left")
-              .withColumn("component", F.coalesce("component", "node")))
+    regions = scratch.save(rest.join(heads, "region").filter(F.col("node") != F.col("pivot")))
+    measured = _measured(regions.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sets, pivots=True)
+    links = measured.filter(_linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    components = scratch.save(connected_components(scratch.save(near.unionByName(links)), scratch))
+    both = cells.filter("cell is not null").select(F.xxhash64(F.lit("pivot"), "cell").alias("cell"), "node", "n", "central").unionByName(regions.select(F.col("region").alias("cell"), "node", "n", "central"))
+    placed = both.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = join_cells(placed, sets, scratch, percent)
     if found.isEmpty():
         return components
@@ -371,7 +440,7 @@ def try_pivots(large: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
     tries = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(pivots, ["cell", "salt"]).drop("salt")
     tries = scratch.save(tries)
     pairs = tries.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
-    measured = _measured(pairs, sets).select(F.col("x").alias("node"), F.col("y").alias("pivot"), _linked(percent).alias("linked"),
+    measured = _measured(pairs, sets, pivots=True).select(F.col("x").alias("node"), F.col("y").alias("pivot"), _linked(percent).alias("linked"),
                                              (1 - F.col("common") / (F.col("n_x") + F.col("n_y") - F.col("common"))).alias("distance"))
     return tries.join(measured, ["node", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("distance", F.coalesce("distance", F.lit(0.0)))
 
