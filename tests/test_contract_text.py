@@ -93,7 +93,9 @@ def test_small_pieces(spark):
 
 def test_tolerant_json(spark):
     t = F.col("t")
-    check(spark, T.tolerant_json(t), [('```json\n{"a": 1}\n```', '{"a": 1}'), ('so: [1, 2] ok', "[1, 2]"), ('x {"a": 2} y', '{"a": 2}'), ("none", None)])
+    check(spark, T.tolerant_json(t), [('```json\n{"a": 1}\n```', '{"a": 1}'), ('so: [1, 2] ok', "[1, 2]"), ('x {"a": 2} y', '{"a": 2}'), ("none", None), ("[1] x [2]", "[1]"), ('a {"k":1} b {"z":2}', '{"k":1}'),
+                                           ('{"a": 1} then [3]', "[3]"), ('see {"a": "]}{[\\" x", "b": [1]} end', "[1]"), ("[NaN] [Infinity] [0]", "[0]"), ("[1] trailing", "[1]"), ("[oops] {\"q\": {}}", '{"q": {}}'),
+                                           ("}] [ {", None), ("", None), (None, None), ("[" * 50_000, None), ("```\n[1, 2]\n```", "[1, 2]"), ('"text"', '"text"'), ("[not [5] json", "[5]")])
 
 
 def test_examples(spark):

@@ -1,6 +1,7 @@
 """Versioned points, merging figures, streams, ranks, ordered digests and documents read in order."""
 
 import hashlib
+import json
 import random
 from collections import Counter, defaultdict
 
@@ -8,9 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellumspark.functions.contract_text import words3
-from vellumspark.operators import chunking, dashboard, folders, ordered, partials, points, ranks
+from vellumspark.functions import contract_text
+from vellumspark.operators import chunking, dashboard, folders, guard, ordered, partials, points, ranks, sampling
+from vellumspark.operators import store as store_ops
 from vellumspark.plans import kept, queries
+from vellumspark.sources import writers
 from vellumspark.streaming import invalidation, machine
 
 POINT = "id string, source_file string, page_content string, dense array<double>, sparse map<string,int>"
@@ -266,3 +269,60 @@ def test_pages_with_tails_blanks_and_long_runs(spark):
     assert found[None] == [(0, 1, "text", "of no document")] and "z" not in found
     assert {(r.doc_id, r.chunk_index, r.page_number, r.text) for r in chunking.chunk_pages(pages).collect()} == {(d, i, p, t) for d, rows_ in found.items() for i, p, _, t in rows_}
     assert chunking.chunk_in_order(pages.filter("false")).count() == 0
+
+
+def test_phrases_in_sources(spark, monkeypatch):
+    monkeypatch.setattr(guard, "PHRASES", 3)
+    monkeypatch.setattr(guard, "TEXTS", 2)
+    rng = random.Random(5)
+    words = ["ab", "b", "abc", "ca", "", "xyz", "a b", "é", "bca"]
+    phrases = [(p, rng.choice(words)) for p in ("p", "q", None) for _ in range(12)] + [("p", None), ("alone", "ab")]
+    sources = [(p, "".join(rng.choice("abc é") for _ in range(rng.randint(0, 6)))) for p in ("p", "q", None, "no phrases") for _ in range(9)] + [("q", None)]
+    found = {tuple(r) for r in guard.phrases_found(spark.createDataFrame(phrases, "project_id string, phrase string"), spark.createDataFrame(sources, "project_id string, text string")).collect()}
+    assert found == {(p, w) for p, w in phrases if p is not None and w is not None and any(w in t for o, t in sources if o == p and t is not None)}
+
+
+def test_samples_and_splits_are_exact(spark):
+    rows = [(i, None if i % 50 == 0 else f"text {i % 90}") for i in range(400)]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    found = [{r.id: r.part for r in sampling.sample_and_split(frame.repartition(n), "text", "id", test=40).collect()} for n in (1, 7)]
+    assert found[0] == found[1]  # reruns and other partitions agree
+    order = sorted(rows, key=lambda r: (hashlib.sha256(f"42|{r[1] or ''}".encode()).hexdigest(), r[0]))
+    test = order[:40]
+    rest = [r for r in order[40:] if r[1] not in {t for _, t in test}]
+    train = int(len(rest) * 0.85)
+    assert found[0] == {i: "test" for i, _ in test} | {i: "train" for i, _ in rest[:train]} | {i: "val" for i, _ in rest[train:]}
+    few = sampling.sample_and_split(frame.limit(3), "text", "id").collect()
+    assert [r.part for r in few] == ["test"] * 3 and sampling.sample_and_split(frame.filter("false"), "text", "id").count() == 0
+    placed = sampling.with_positions(frame.repartition(5), [F.col("text"), F.col("id")]).collect()
+    assert [r.id for r in sorted(placed, key=lambda r: r.position)] == [i for i, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))]
+    assert sorted(r.position for r in placed) == list(range(400))
+
+
+def test_models_roll_back(spark):
+    schema = "model_id string, status string, previous_model_id string"
+    models = spark.createDataFrame([("a", "inactive", None), ("b", "active", "a"), ("c", "ready", None)], schema)
+    after = {r.model_id: (r.status, r.previous_model_id) for r in store_ops.rollback_model(models).collect()}
+    assert after == {"a": ("active", None), "b": ("ready", "a"), "c": ("ready", None)}
+    for rows in ([("a", "ready", None)], [("a", "active", None)], [("a", "active", "gone")], [("a", "active", "b"), ("b", "active", "a")]):
+        with pytest.raises(ValueError):
+            store_ops.rollback_model(spark.createDataFrame(rows, schema))
+
+
+def test_reports_and_prompt_json(spark, tmp_path):
+    rows = spark.createDataFrame([("<b>", 0.5), (None, 0.25)], "name string, clause_f1 double")
+    page = writers.html_table(rows, "A & B")
+    assert "<td>&lt;b&gt;</td><td>0.5</td>" in page and "<td></td>" in page and "<title>A &amp; B</title>" in page and page.startswith("<!DOCTYPE html>")
+    writers.json_report(rows.agg(F.lit(0.85).alias("clause_f1"), F.count("*").alias("n")), rows, f"{tmp_path}/report", F.lit("now"))
+    report = spark.read.json(f"{tmp_path}/report/report").first()
+    assert (report.timestamp, report.aggregates.n, report.summary.grade) == ("now", 2, "B") and spark.read.json(f"{tmp_path}/report/cases").count() == 2
+    clause = "struct<clause_type:string,title:string,text:string,section_reference:string,page_number:int,obligations:array<struct<party:string,description:string,type:string,deadline:string>>>"
+    held = spark.createDataFrame([([("liability", "T", "x" * 3000, None, 2, [("A", "pay", "payment", None)]), ("other", "U", None, "1.2", None, None)],)], f"clauses array<{clause}>")
+    slim = json.loads(held.select(contract_text.slim_analysis(F.create_map(F.lit("k"), F.lit("v")), F.col("clauses"), F.array(F.lit("2024-01-01"))).alias("j")).first().j)
+    assert len(slim["clauses"][0]["text_excerpt"]) == 2000 and slim["clauses"][0]["obligations"] == [{"party": "A", "description": "pay", "type": "payment", "deadline": None}]
+    assert slim["metadata"] == {"k": "v"} and slim["key_dates"] == ["2024-01-01"] and slim["clauses"][1]["text_excerpt"] == ""
+    judged = json.loads(held.select(contract_text.judge_clauses(F.col("clauses")).alias("j")).first().j)["clauses"]
+    assert [len(c["text"]) for c in judged] == [500, 0] and [c["obligation_count"] for c in judged] == [1, 0]
+    risks = F.array(F.struct(F.lit("high").alias("severity"), F.lit("c").alias("category"), F.lit("t").alias("title"), F.repeat(F.lit("d"), F.lit(300)).alias("description")))
+    risk = json.loads(held.select(contract_text.judge_risks(F.lit(70), F.lit("medium"), risks, F.array(F.lit("liability"))).alias("j")).first().j)
+    assert len(risk["items"][0].pop("description")) == 200 and risk == {"overall_score": 70, "risk_level": "medium", "items": [{"severity": "high", "category": "c", "title": "t"}], "missing_clauses": ["liability"]}

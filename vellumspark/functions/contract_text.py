@@ -234,6 +234,28 @@ def slim_risk(severity: Column, title: Column, description: Column, cap: int = 5
     return F.to_json(F.struct(severity.alias("severity"), title.alias("title"), F.substring(F.coalesce(description, F.lit("")), 1, cap).alias("description")))
 
 
+def slim_analysis(metadata: Column, clauses: Column, key_dates: Column, cap: int = 2000) -> Column:
+    """JSON of an analysis for a prompt, clause texts cut. clauses: array of clause_type, title, text, section_reference, page_number, obligations (party, description, type, deadline)."""
+    owed = lambda c: F.transform(c["obligations"], lambda o: F.struct(*[o[k].alias(k) for k in ("party", "description", "type", "deadline")]))
+    slim = F.transform(clauses, lambda c: F.struct(c["clause_type"].alias("clause_type"), c["title"].alias("title"), F.substring(F.coalesce(c["text"], F.lit("")), 1, cap).alias("text_excerpt"),
+                                                   c["section_reference"].alias("section_reference"), c["page_number"].alias("page_number"), owed(c).alias("obligations")))
+    return F.to_json(F.struct(metadata.alias("metadata"), slim.alias("clauses"), key_dates.alias("key_dates")), {"ignoreNullFields": "false"})
+
+
+def judge_clauses(clauses: Column, cap: int = 500) -> Column:
+    """JSON of clauses for the judge: texts cut, obligations counted."""
+    slim = F.transform(clauses, lambda c: F.struct(c["clause_type"].alias("clause_type"), c["title"].alias("title"), F.substring(F.coalesce(c["text"], F.lit("")), 1, cap).alias("text"),
+                                                   c["section_reference"].alias("section_reference"), F.coalesce(F.size(c["obligations"]), F.lit(0)).alias("obligation_count")))
+    return F.to_json(F.struct(slim.alias("clauses")), {"ignoreNullFields": "false"})
+
+
+def judge_risks(score: Column, level: Column, risks: Column, missing: Column, cap: int = 200) -> Column:
+    """JSON of a risk report for the judge: descriptions cut. risks: array of severity, category, title, description."""
+    items = F.transform(risks, lambda r: F.struct(r["severity"].alias("severity"), r["category"].alias("category"), r["title"].alias("title"),
+                                                  F.substring(F.coalesce(r["description"], F.lit("")), 1, cap).alias("description")))
+    return F.to_json(F.struct(score.alias("overall_score"), level.alias("risk_level"), items.alias("items"), missing.alias("missing_clauses")), {"ignoreNullFields": "false"})
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import params as P
 
@@ -39,11 +44,60 @@ def within_limit(text: Column, limit: int = P.TOKEN_LIMIT) -> Column:
     return F.coalesce(token_estimate(text) <= limit, F.lit(True))
 
 
-def tolerant_json(text: Column) -> Column:
-    """JSON text without code fences, or its outermost list or object; null if neither parses."""
-    bare = F.trim(F.regexp_replace(text, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    listed, record = F.regexp_extract(bare, r"(?s)\[.*\]", 0), F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    def parses(c: Column) -> Column:
-        return F.when((c != "") & F.try_parse_json(c).isNotNull(), c)
-
-    return F.coalesce(parses(bare), parses(listed), parses(record))
+_OPENING, _CLOSING = {"[": "]", "{": "}"}, {"]": "[", "}": "{"}
+
+
+def _strict(text: str) -> bool:
+    """Whether the whole text is JSON, without the constants that JSON lacks."""
+    def refused(name: str):
+        raise ValueError(name)
+
+    try:
+        json.loads(text, parse_constant=refused)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
+def balanced(text: str) -> dict[str, list[tuple[int, int]]]:
+    """(start, end) of the balanced lists and objects of a text, by their opening sign, in the order of their starts; brackets in strings don't count.
+
+    A quote opens a string only inside brackets, where JSON has strings; a bracket
+    of the other kind drops what was open before it.
+    """
+    found: dict[str, list[tuple[int, int]]] = {"[": [], "{": []}
+    stack: list[tuple[str, int]] = []
+    quoted, at, n = False, 0, len(text)
+    while at < n:
+        c = text[at]
+        if quoted:
+            at += c == "\\"
+            quoted = c != '"'
+        elif c == '"' and stack:
+            quoted = True
+        elif c in _OPENING:
+            stack.append((c, at))
+        elif c in _CLOSING and stack:
+            if stack[-1][0] == _CLOSING[c]:
+                found[stack[-1][0]].append((stack.pop()[1], at + 1))
+            else:
+                stack.clear()
+        at += 1
+    return {sign: sorted(places) for sign, places in found.items()}
+
+
+def json_of(text: str | None) -> str | None:
+    """JSON text without code fences, or its first balanced list, or else object, that is JSON; null if there is none."""
+    if text is None:
+        return None
+    bare = re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", text).strip()
+    if _strict(bare):
+        return bare
+    places = balanced(bare)
+    return next((bare[s:e] for sign in "[{" for s, e in places[sign] if _strict(bare[s:e])), None)
+
+
+@F.pandas_udf(StringType())
+def tolerant_json(texts: pd.Series) -> pd.Series:
+    """``json_of`` of each text."""
+    return texts.map(json_of)

@@ -218,6 +218,16 @@ def cost(calls: DataFrame, input_price: float, output_price: float) -> DataFrame
                        F.round(F.col("cost") / F.col("documents"), 9).alias("per_document"), F.round(F.col("cost") / F.col("documents") * 1000, 6).alias("per_thousand"))
 
 
+#: Tokens in and out of a chunk's extraction and of an analysis besides, and prices of a million of each (fixed values).
+CHUNK_TOKENS, FIXED_TOKENS, PRICES = (1100, 400), (3500, 1400), (5.0, 15.0)
+
+
+def analysis_cost(chunks: Column) -> Column:
+    """Struct tokens_in, tokens_out, cost: an estimate for an analysis of so many chunks."""
+    used = [chunks * c + f for c, f in zip(CHUNK_TOKENS, FIXED_TOKENS)]
+    return F.struct(used[0].alias("tokens_in"), used[1].alias("tokens_out"), F.round(used[0] / 1e6 * PRICES[0] + used[1] / 1e6 * PRICES[1], 6).alias("cost"))
+
+
 def vision_cost(images: Column, price: float) -> Column:
     """Estimated cost of describing images at a price each."""
     return F.round(images * price, 6)

@@ -6,11 +6,14 @@ than once an item.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import params as P
 from ..functions import contract_text as C
+from . import tables
 
 
 def clause_overlap(items: DataFrame, sources: DataFrame) -> DataFrame:
@@ -32,12 +35,51 @@ def unsafe_statements(items: DataFrame) -> DataFrame:
     return items.select("project_id", "item_id", F.explode(found).alias("label"))
 
 
+#: Phrases of a project that one automaton holds; texts that one task runs it over, about.
+PHRASES, TEXTS = 50_000, 4096
+
+
+def phrases_found(phrases: DataFrame, sources: DataFrame) -> DataFrame:
+    """project_id, phrase: those of a project's phrases that occur anywhere in one of its texts. phrases: project_id, phrase; sources: project_id, text.
+
+    A task builds one automaton of a block of a project's phrases and runs it over
+    a part of the project's texts, each read once whatever the number of phrases. A
+    project of many texts is many parts, one of many phrases many blocks. An empty
+    phrase occurs in every text; null phrases and texts count for nothing.
+    """
+    wanted = phrases.select("project_id", "phrase").filter("phrase is not null").distinct()
+    held = sources.select("project_id", "text").filter("text is not null")
+    blocks = wanted.groupBy("project_id").agg(F.ceil(F.count("*") / PHRASES).cast("int").alias("blocks"))
+    shape = tables.written(held.groupBy("project_id").agg(F.ceil(F.count("*") / TEXTS).cast("int").alias("parts")).join(blocks, "project_id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = wanted.join(shape, "project_id").select("project_id", F.pmod(F.xxhash64("phrase"), F.col("blocks")).cast("int").alias("block"), every("parts").alias("part"), "phrase")
+    right = held.join(shape, "project_id").select("project_id", every("blocks").alias("block"), F.pmod(F.xxhash64("text"), F.col("parts")).cast("int").alias("part"), "text")
+    schema = StructType([phrases.schema["project_id"], StructField("phrase", StringType())])
+
+    def run(key: tuple[pa.Scalar, ...], mine: pa.Table, texts: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        seen: set[str] = set()
+        automaton = ahocorasick.Automaton()
+        for phrase in mine.column("phrase").to_pylist():
+            automaton.add_word(phrase, phrase) if phrase else seen.add("")
+        if len(automaton):
+            automaton.make_automaton()
+        for text in texts.column("text") if texts.num_rows else ():
+            if len(automaton) and len(seen) < mine.num_rows:
+                seen.update(phrase for _, phrase in automaton.iter(text.as_py()))
+        found = sorted(seen) if texts.num_rows else []
+        return pa.table({"project_id": pa.array([key[0].as_py()] * len(found), mine.schema.field("project_id").type), "phrase": pa.array(found, pa.string())})
+
+    on = ("project_id", "block", "part")
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, schema).distinct()
+
+
 def entity_overlap(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Share of an item's key entities that occur in its project's source, case-insensitively."""
-    own = items.select("project_id", "item_id", F.explode(F.array_distinct(C.key_entities(F.col("text")))).alias("entity"))
-    text = sources.select("project_id", F.lower("text").alias("source"))
-    hits = own.join(text, "project_id").filter(F.contains("source", F.lower("entity"))).select("project_id", "item_id", "entity").distinct().withColumn("hit", F.lit(1))
-    both = own.join(hits, ["project_id", "item_id", "entity"], "left")
+    own = items.select("project_id", "item_id", F.explode(F.array_distinct(C.key_entities(F.col("text")))).alias("entity")).withColumn("phrase", F.lower("entity"))
+    hits = phrases_found(own.select("project_id", "phrase"), sources.select("project_id", F.lower("text").alias("text"))).withColumn("hit", F.lit(1))
+    both = own.join(hits, ["project_id", "phrase"], "left")
     return both.groupBy("project_id", "item_id").agg((F.count("hit") / F.count("*")).alias("overlap"))
 
 
@@ -91,9 +133,22 @@ def needs_review(overall, hallucinations, unsafe_serious, missing):
 
 
 def fabricated_entities(items: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
-    """Entities of an item that its source lacks. strict: the source is lower-cased and the entities are not."""
+    """project_id, item_id, entities, fabricated: facts of an item, and those of them that its project's sources don't state.
+
+    Facts of both sides are compared as sets, case aside; ``strict`` lower-cases the
+    source before its facts are found and the items' not at all, so that whatever
+    is capitalised counts as fabricated. Facts meet by project and fact.
+    """
     fold = (lambda c: c) if strict else F.lower
-    own = items.select("project_id", "item_id", C.factual_entities(F.col("text")).alias("entities"))
-    text = sources.groupBy("project_id").agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("source"))
-    lacking = F.filter("entities", lambda e: ~F.contains(F.col("source"), fold(e)))
-    return own.join(text, "project_id").select("project_id", "item_id", F.size("entities").alias("entities"), F.size(lacking).alias("fabricated"))
+    own = items.select("project_id", "item_id", F.explode_outer(F.array_distinct(F.transform(C.factual_entities(F.col("text")), fold))).alias("entity"))
+    source = F.lower("text") if strict else F.col("text")
+    stated = sources.select("project_id", F.explode(F.transform(C.factual_entities(source), fold)).alias("entity"))
+    stated = stated.join(own.select("project_id", "entity").distinct(), ["project_id", "entity"], "left_semi").distinct().withColumn("hit", F.lit(1))
+    each = own.join(stated, ["project_id", "entity"], "left").groupBy("project_id", "item_id")
+    return each.agg(F.count("entity").alias("entities"), F.count_if(F.col("entity").isNotNull() & F.col("hit").isNull()).alias("fabricated"))
+
+
+def fabrication_rates(items: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
+    """project_id, items, fabricating, rate: items with a fact that the sources don't state."""
+    each = fabricated_entities(items, sources, strict).groupBy("project_id")
+    return each.agg(F.count("*").alias("items"), F.count_if(F.col("fabricated") > 0).alias("fabricating"), F.round(F.count_if(F.col("fabricated") > 0) / F.count("*"), 6).alias("rate"))

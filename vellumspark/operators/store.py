@@ -139,3 +139,20 @@ def activate_model(registry: DataFrame, model_id: str) -> DataFrame:
         *[c for c in registry.columns if c not in ("status", "previous_model_id")],
         F.when(this, "active").when(F.col("status") == "active", "inactive").otherwise(F.col("status")).alias("status"),
         F.when(this & (F.col("before") != F.col("model_id")), F.col("before")).otherwise(F.col("previous_model_id")).alias("previous_model_id"))
+
+
+def rollback_model(registry: DataFrame) -> DataFrame:
+    """The active model's predecessor becomes active, without a predecessor of its own; the one that was active is ready again.
+
+    Without an active model, without a predecessor, or with one that the registry
+    lacks, there is nothing to go back to, and that is an error.
+    """
+    active = registry.filter(F.col("status") == "active").select("model_id", "previous_model_id").limit(2).collect()
+    if len(active) != 1:
+        raise ValueError("no active model" if not active else "several active models")
+    before = active[0]["previous_model_id"]
+    if before is None or registry.filter(F.col("model_id") == before).isEmpty():
+        raise ValueError("no previous model to go back to")
+    this, last = F.col("model_id") == before, F.col("model_id") == active[0]["model_id"]
+    return registry.withColumn("status", F.when(this, "active").when(last, "ready").otherwise(F.col("status"))).withColumn(
+        "previous_model_id", F.when(this, F.lit(None)).otherwise(F.col("previous_model_id")))

@@ -118,8 +118,8 @@ def summary_validation(spark, d):
 
 
 def risk_validation(spark, d):
-    risks = contracts(spark, d).select((F.col("doc_id") % 5).alias("project_id"), F.col("doc_id").alias("pos"), F.lit("Clause").alias("title"), F.substring_index("text", ".", 1).alias("description"))
-    return guard.validate_risks(risks, _sources(spark, d).filter("project_id < 4"))
+    risks = contracts(spark, d).select((F.col("doc_id") % 5).alias("project_id"), F.col("doc_id").alias("pos"), F.lit("Clause").alias("title"), F.col("text").alias("description"))
+    return guard.validate_risks(risks, _sources(spark, d))
 
 
 def review_flags(spark, d):
@@ -302,8 +302,8 @@ SQL = {
     "call_latencies": """with v as (select cast(l_extendedprice as double) as v, row_number() over (order by l_extendedprice) - 1 as i, count(*) over () as n from lineitem)
       select round(median(v), 6) as p50, max(v) filter (where i = least(cast(trunc(n * 0.95) as bigint), n - 1)) as p95, max(v) filter (where i = least(cast(trunc(n * 0.99) as bigint), n - 1)) as p99 from v""",
     "review_flags": "select o_orderkey, (o_orderkey * 37 % 100) / 100.0 < 0.7 or o_orderkey % 13 = 0 or o_orderkey % 17 = 0 or o_orderkey % 4 > 2 as review from orders",
-    "risk_validation": f"""with {CONTRACT}, r as (select doc_id % 5 as project_id, doc_id as pos, list_distinct({_W4.format("'Clause ' || split_part(text, '.', 1)")}) as w from contracts),
-      known as (select distinct doc_id % 5 as project_id, unnest({_W4.format('text')}) as word from documents where doc_id % 5 < 4), u as (select project_id, pos, unnest(w) as word from r),
+    "risk_validation": f"""with {CONTRACT}, r as (select doc_id % 5 as project_id, doc_id as pos, list_distinct({_W4.format("'Clause ' || text")}) as w from contracts),
+      known as (select distinct doc_id % 5 as project_id, unnest({_W4.format('text')}) as word from documents), u as (select project_id, pos, unnest(w) as word from r),
       o as (select project_id, pos, count(k.word) / cast(count(*) as double) as overlap from u left join known k using (project_id, word) group by all),
       h as (select project_id, count(*) filter (where overlap < 0.2) as hallucinations from o group by 1)
       select project_id, hallucinations, round(greatest(0, least(1, 1 - hallucinations * 0.1)), 6) as confidence, hallucinations = 0 as passed from h""",

@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..operators import chunking, folders, partials, tables
+from ..operators import chunking, evaluate, folders, guard, partials, sampling, store, tables
 from ..operators.dense_index import DenseIndex
 from ..operators.points import PointStore, rebuild_sparse
 from ..operators.sparse_index import SparseIndex
 from ..streaming import invalidation, machine
-from .oracle import ANALYSES, DONE, SQL as BASE
-from .queries import NOW, _items, _questions, _t, analyses
+from .oracle import CONTRACT, DONE, SQL as BASE, _s
+from .queries import NOW, _items, _questions, _t, analyses, contracts
 
 
 def _fresh(frame: DataFrame, label: str) -> str:
@@ -52,12 +52,12 @@ def points_after_changes(spark, d):
     """A store of suppliers after an upsert of all, one of every third with a new balance, a deletion of a nation and a rebuild of sparse vectors."""
     rows = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"), F.col("s_name").alias("page_content"),
                                            F.lit(None).cast("map<string,int>").alias("sparse"))
-    store = PointStore.create(spark, _fresh(rows, "points"), rows.schema, buckets=16)
-    store.upsert(rows)
-    store.upsert(rows.filter("id % 3 = 0").withColumn("balance", F.lit(0.0)))
-    store.delete(F.col("nation") == 7)
-    rebuild_sparse(store)
-    return store.read().select("id", "nation", "balance", F.array_join(F.sort_array(F.map_keys("sparse")), ",").alias("words"))
+    held = PointStore.create(spark, _fresh(rows, "points"), rows.schema, buckets=16)
+    held.upsert(rows)
+    held.upsert(rows.filter("id % 3 = 0").withColumn("balance", F.lit(0.0)))
+    held.delete(F.col("nation") == 7)
+    rebuild_sparse(held)
+    return held.read().select("id", "nation", "balance", F.array_join(F.sort_array(F.map_keys("sparse")), ",").alias("words"))
 
 
 # --- streams and partial sums ------------------------------------------------------
@@ -88,10 +88,10 @@ def job_states_stream(spark, d):
 def _figures(spark, d, parts: int = 3):
     """Partials of all analyses, taken in as batches; the last is given twice."""
     rows = analyses(spark, d)
-    store = partials.create(spark, _fresh(rows, "figures"))
+    held = partials.create(spark, _fresh(rows, "figures"))
     for k in [*range(parts), parts - 1]:
-        partials.take_in(store, rows.filter(F.pmod("id", F.lit(parts)) == k), "analyses", k)
-    return store
+        partials.take_in(held, rows.filter(F.pmod("id", F.lit(parts)) == k), "analyses", k)
+    return held
 
 
 def dash_merged_totals(spark, d):
@@ -112,14 +112,14 @@ def dash_overview(spark, d):
 def figures_after_ingests(spark, d):
     """Totals after every project whose id is divisible by three was ingested anew; the batch is replayed."""
     rows = analyses(spark, d).withColumn("created_at", F.to_date("created_at"))
-    store = PointStore.create(spark, _fresh(rows, "analyses"), rows.schema)
-    store.upsert(rows)
+    held = PointStore.create(spark, _fresh(rows, "analyses"), rows.schema)
+    held.upsert(rows)
     figures = partials.create(spark, _fresh(rows, "figures"))
     partials.take_in(figures, rows, "analyses", 0)
     ingests = _t(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("project_id"))
     for _ in range(2):
-        invalidation.apply_ingests(store, figures, ingests, 0)
-    left = store.read().agg(F.count("*").alias("stored"))
+        invalidation.apply_ingests(held, figures, ingests, 0)
+    left = held.read().agg(F.count("*").alias("stored"))
     return partials.totals(figures.read()).crossJoin(F.broadcast(left))
 
 
@@ -139,13 +139,85 @@ def chunk_conversations(spark, d):
     return chunking.chunk_in_order(*conversation_parts(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (dense_index_topk, bm25_index_topk, points_after_changes, job_states_stream, dash_merged_totals, dash_merged_timeline, dash_overview, figures_after_ingests, chunk_conversations)}
+# --- phrases and facts in sources, samples, costs -------------------------------------
+
+
+def _pairs(spark, d):
+    """(items, sources): a source's contract texts as items, its documents as sources."""
+    items = contracts(spark, d).select(F.col("source").alias("project_id"), F.col("doc_id").alias("item_id"), "text")
+    return items, _t(spark, d, "documents").select(F.col("source").alias("project_id"), "text")
+
+
+def entity_overlaps(spark, d):
+    """How many of the key entities of each contract text its project's documents have."""
+    return guard.entity_overlap(*_pairs(spark, d)).select("project_id", "item_id", F.round("overlap", 6).alias("overlap"))
+
+
+def fabrication_rates(spark, d):
+    return guard.fabrication_rates(*_pairs(spark, d))
+
+
+def overlap_stats(spark, d):
+    """Mean and percentiles of the items' overlaps with their source."""
+    items = _t(spark, d, "benchmark").select(F.lit("p").alias("project_id"), F.col("item_id"), "text")
+    return evaluate.spread(guard.clause_overlap(items, _t(spark, d, "documents").select(F.lit("p").alias("project_id"), "text")), "overlap")
+
+
+def training_split(spark, d):
+    """Forty test rows, and 85 and 15 percent of the other documents whose text isn't among them."""
+    return sampling.sample_and_split(_t(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "part")
+
+
+def analysis_costs(spark, d):
+    """Estimated tokens and cost of analysing each project, a document a chunk."""
+    chunks = _t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("chunks"))
+    return chunks.select("source", evaluate.analysis_cost(F.col("chunks")).alias("c")).select("source", "c.*")
+
+
+def models_after_rollback(spark, d):
+    """Suppliers as models, each trained from the one before: the state after the newest is activated and rolled back."""
+    key = F.col("s_suppkey")
+    models = _t(spark, d, "supplier").select(key.alias("model_id"), F.when(key == 1, "active").otherwise("ready").alias("status"), F.lit(None).cast("long").alias("previous_model_id"))
+    newest = models.agg(F.max("model_id").alias("m")).first()["m"]
+    return store.rollback_model(store.activate_model(models, newest)).groupBy("status").agg(F.count("*").alias("n"), F.min("model_id").alias("first"), F.count("previous_model_id").alias("with_previous"))
+
+
+QUERIES = {f.__name__: f for f in (entity_overlaps, fabrication_rates, overlap_stats, training_split, analysis_costs, models_after_rollback, dense_index_topk, bm25_index_topk, points_after_changes, job_states_stream, dash_merged_totals, dash_merged_timeline, dash_overview, figures_after_ingests, chunk_conversations)}
 
 _STEPS = "[" + ", ".join(f"'{s}'" for s in machine.STEPS) + "]"
 _FIGURES = """count(*) as analyses, count(distinct project_id) as {}, round_even(avg(overall_risk_score), 1) as avg_risk,
       round_even(avg(case when quality_score <> 0 then quality_score end) * 100, 1) as avg_quality, count(*) filter (where flagged) as flagged, count(*) filter (where overall_risk_score > 60) as high_risk"""
 
+_PLAIN = "regexp_replace({}, '[^\\x00-\\x7F]', '_', 'g')"
+
+
+def _facts(text: str) -> str:
+    """The lower-cased facts of a text as SQL."""
+    return "list_transform(list_distinct(flatten([" + ", ".join(f"regexp_extract_all({text}, {_s(p)})" for p in P.FACTS) + "])), lambda x: lower(x))"
+
+
+def _named(text: str) -> str:
+    """The distinct key entities of a text as SQL."""
+    return "list_distinct(flatten([" + ", ".join(f"regexp_extract_all({text}, {_s(p)}, {g})" for p, g in P.KEY_ENTITIES) + "]))"
+
+
 SQL: dict[str, str] = {
+    "entity_overlaps": f"""with {CONTRACT}, own as (select source as project_id, doc_id as item_id, unnest({_named(_PLAIN.format('text'))}) as entity from contracts),
+      wanted as (select distinct project_id, lower(entity) as phrase from own),
+      found as (select distinct project_id, phrase from wanted join documents on source = project_id and contains(lower(text), phrase))
+      select own.project_id, item_id, round(count(found.phrase) / cast(count(*) as double), 6) as overlap from own left join found on found.project_id = own.project_id and found.phrase = lower(entity) group by all""",
+    "fabrication_rates": f"""with {CONTRACT}, own as (select source as project_id, doc_id as item_id, list_distinct({_facts(_PLAIN.format('text'))}) as facts from contracts),
+      stated as (select source as project_id, list_distinct(flatten(list({_facts(_PLAIN.format('text'))}))) as known from documents group by source),
+      each as (select project_id, item_id, len(list_filter(facts, lambda x: not list_contains(known, x))) > 0 as bad from own join stated using (project_id))
+      select project_id, count(*) as items, count(*) filter (where bad) as fabricating, round(count(*) filter (where bad) / cast(count(*) as double), 6) as rate from each group by project_id""",
+    "overlap_stats": f"""with o as ({BASE['bigram_overlap']}), r as (select overlap as v, row_number() over (order by overlap) - 1 as i, count(*) over () as n from o)
+      select round(avg(v), 6) as mean, """ + ", ".join(f"max(v) filter (where i = least(cast(trunc(n * cast({p} as double)) as bigint), n - 1)) as p{round(p * 100)}" for p in (0.25, 0.75, 0.95)) + " from r",
+    "training_split": """with r as (select doc_id, text, row_number() over (order by sha256('42|' || coalesce(text, '')), doc_id) - 1 as p from documents), test as (select * from r where p < 40),
+      rest as (select doc_id, row_number() over (order by p) - 1 as q, count(*) over () as n from r where p >= 40 and not exists (select 1 from test where test.text is not distinct from r.text))
+      select doc_id, 'test' as part from test union all select doc_id, case when q < cast(trunc(n * cast(0.85 as double)) as bigint) then 'train' else 'val' end as part from rest""",
+    "analysis_costs": """select source, count(*) * 1100 + 3500 as tokens_in, count(*) * 400 + 1400 as tokens_out, round((count(*) * 1100 + 3500) / 1e6 * 5 + (count(*) * 400 + 1400) / 1e6 * 15, 6) as cost
+      from documents group by source""",
+    "models_after_rollback": """select case when s_suppkey = 1 then 'active' else 'ready' end as status, count(*) as n, min(s_suppkey) as "first", 1 - max(cast(s_suppkey = 1 as integer)) as with_previous from supplier group by 1""",
     "bm25_index_topk": BASE["bm25_topk"],
     "points_after_changes": """select s_suppkey as id, s_nationkey as nation, case when s_suppkey % 3 = 0 then 0.0 else s_acctbal end as balance,
       array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(s_name), '[^\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{3,}')))), ',') as words from supplier where s_nationkey <> 7""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,27 @@ def markdown_table(rows: DataFrame, most: int = 100) -> str:
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.limit(most).collect()])
 
 
+def html_table(rows: DataFrame, title: str, most: int = 100) -> str:
+    """A small, ordered result as an HTML page, values escaped; at most so many rows reach the driver."""
+    cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
+    head = "<tr>" + "".join(cell("th", c) for c in rows.columns) + "</tr>"
+    body = ["<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows.limit(most).collect()]
+    return "\n".join(["<!DOCTYPE html>", f"<html><head><meta charset=\"utf-8\">{cell('title', title)}</head><body>{cell('h1', title)}", "<table>", head, *body, "</table></body></html>"])
+
+
+def json_report(aggregates: DataFrame, cases: DataFrame, path: str, at: Column | None = None) -> None:
+    """One JSON line with a time, a one-row table of aggregates, its grade and recommendation; a case a line beside it, in ``path``/cases.
+
+    aggregates has clause_f1 and whatever else is to be reported.
+    """
+    from ..functions.contract_text import grade
+
+    summary = F.struct(grade(F.col("clause_f1")).alias("grade"))
+    line = aggregates.select((at if at is not None else F.current_timestamp()).alias("timestamp"), F.struct(*aggregates.columns).alias("aggregates"), summary.alias("summary"))
+    line.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    cases.write.mode("overwrite").json(f"{path}/cases")
+
+
 def metric_rows(results: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """One row a metric, for appending to a metrics table."""
     return results.unpivot(keys, metrics, "metric", "value").filter(F.col("value").isNotNull())
