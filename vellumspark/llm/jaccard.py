@@ -62,6 +62,8 @@ SMALL_CELL, LEAF_CELL = 48, 1024
 FIRST_PIVOTS, TRIED_PIVOTS, PIVOT_TOKENS, APART = 256, 1024, 4096, 0.5
 #: Pivots of a cell, and parts over which its documents meet them.
 PIVOTS, SALTS = 8, 16
+#: Documents that meet one copy of a pivot's set.
+MEETINGS = 1024
 #: A split is undone if its cells have more than this share of the pairs that the whole had; so often a cell is split at most.
 PAIRS_LEFT, LEVELS = 0.5, 12
 #: Documents of a block, and shingles of a strip, in block joins.
@@ -276,15 +278,14 @@ def candidates_of(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     return shared.groupBy("chunk").applyInArrow(run, "node binary, n long, tokens array<long>, keys array<long>, central double")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, pivots: bool = False) -> DataFrame:
-    """x, y, common, n_x, n_y of distinct pairs. ``pivots``: few y have very many x, so that they meet by y and salt."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y, common, n_x, n_y of distinct pairs. A y of very many x is several parts, each with a copy of its set for MEETINGS of them."""
     sx = sets.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("tokens").alias("t_x"))
     sy = sets.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("tokens").alias("t_y"))
-    on = ["y"]
-    if pivots:
-        sy = sy.join(pairs.select("y").distinct(), "y", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs, on = pairs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")), ["y", "salt"]
-    return pairs.join(sy, on).join(sx, "x").select("x", "y", F.size(F.array_intersect("t_x", "t_y")).cast("long").alias("common"), "n_x", "n_y")
+    parts = pairs.groupBy("y").agg(F.ceil(F.count("*") / MEETINGS).cast("int").alias("parts"))
+    sy = sy.join(parts, "y").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    dealt = pairs.join(parts, "y").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
+    return dealt.join(sy, ["y", "part"]).join(sx, "x").select("x", "y", F.size(F.array_intersect("t_x", "t_y")).cast("long").alias("common"), "n_x", "n_y")
 
 
 def _linked(percent: int):
@@ -369,7 +370,7 @@ def link_components(candidates: DataFrame, scratch: Scratch, percent: int = PERC
     heads = heads.groupBy("size", "sum1", "sum2").agg(F.min("region").alias("region"), F.first("p").alias("p"))
     heads = scratch.save(heads.select("region", F.col("p.node").alias("pivot")))
     regions = scratch.save(rest.join(heads, "region").filter(F.col("node") != F.col("pivot")))
-    measured = _measured(regions.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sets, pivots=True)
+    measured = _measured(regions.select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct(), sets)
     links = measured.filter(_linked(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     components = scratch.save(connected_components(scratch.save(near.unionByName(links)), scratch))
     both = cells.filter("cell is not null").select(F.xxhash64(F.lit("pivot"), "cell").alias("cell"), "node", "n", "central").unionByName(regions.select(F.col("region").alias("cell"), "node", "n", "central"))
@@ -440,7 +441,7 @@ def try_pivots(large: DataFrame, sets: DataFrame, scratch: Scratch, percent: int
     tries = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(pivots, ["cell", "salt"]).drop("salt")
     tries = scratch.save(tries)
     pairs = tries.filter(F.col("node") != F.col("pivot")).select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
-    measured = _measured(pairs, sets, pivots=True).select(F.col("x").alias("node"), F.col("y").alias("pivot"), _linked(percent).alias("linked"),
+    measured = _measured(pairs, sets).select(F.col("x").alias("node"), F.col("y").alias("pivot"), _linked(percent).alias("linked"),
                                              (1 - F.col("common") / (F.col("n_x") + F.col("n_y") - F.col("common"))).alias("distance"))
     return tries.join(measured, ["node", "pivot"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("distance", F.coalesce("distance", F.lit(0.0)))
 
