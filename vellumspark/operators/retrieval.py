@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .. import params as P
 from ..functions import contract_text as C
@@ -230,35 +230,42 @@ def filtered(items: DataFrame, page: int | None = None, content_type: str | None
     return items if clause_type is None else items.filter(F.col("clause_type") == clause_type)
 
 
-#: Candidates of one vector that one task verifies together.
-VERIFY_BLOCK = 4096
+#: Candidates of one vector that one task verifies together; vectors of a key in one block.
+VERIFY_BLOCK, KEY_BLOCK = 4096, 2048
 
 
 def tfidf_vectors(items: DataFrame) -> DataFrame:
-    """rep, terms, weights, keys, members, one row a distinct vector: smooth idf, unit norms. items: id, text.
+    """rep, members, df, terms, weights, one row a distinct vector: smooth idf, unit norms. items: id, text.
 
     Texts with the same words equally often have one vector; ``rep`` is the least
-    of their ids. ``keys`` are the vector's rarest terms, so many that what is
-    left has a norm below NEAR_DUPLICATE: vectors without a common key can't
-    reach it. Terms are in the order of their rarity.
+    of their ids. Terms are 64-bit hashes of words from the first shuffle on, in
+    the order of their rarity.
     """
-    words = items.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("term"))
-    tf = words.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    words = items.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), 0)).alias("word"))
+    tf = tables.written(words.select("id", F.xxhash64("word").alias("term")).groupBy("id", "term").agg(F.count("*").cast("int").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = items.agg(F.count("*").alias("n"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "df", "term", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    vectors = raw.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("e"))
-    classes = vectors.groupBy(F.xxhash64("e").alias("k1"), F.sha2(F.to_json("e"), 256).alias("k2")).agg(F.min("id").alias("rep"), F.first("e").alias("e"), F.sort_array(F.collect_list("id")).alias("members"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    unit = classes.withColumn("norm", norm).select("rep", "members", F.col("e.df").alias("df"), F.col("e.term").alias("term"), F.transform("e", lambda x: x["w"] / F.col("norm")).alias("weights"))
-    return unit.select("rep", "members", "df", "term", F.transform("term", lambda t: F.xxhash64(t)).alias("terms"), "weights")
+    vectors = raw.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("e"))
+    classes = vectors.groupBy(F.xxhash64("e").alias("k1"), F.xxhash64(F.lit(1), "e").alias("k2")).agg(F.min("id").alias("rep"), F.first("e").alias("e"), F.sort_array(F.collect_list("id")).alias("members"))
+    parts = classes.select("rep", "members", F.col("e.df").alias("df"), F.col("e.term").alias("terms"), F.col("e.w").alias("weights"))
+
+    def unit(batches):  # a norm in an array expression would be computed anew for each element
+        for batch in batches:
+            lists = batch.column(4)
+            w, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            norms = np.sqrt(np.add.reduceat(w * w, np.cumsum(sizes) - sizes)) if len(w) else np.zeros(0)  # no vector is empty
+            weights = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(w / np.repeat(norms, sizes)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), weights], names=batch.schema.names)
+
+    return parts.mapInArrow(unit, parts.schema)
 
 
 def tfidf_pairs(items: DataFrame, least: float = P.NEAR_DUPLICATE, digits: int = 9) -> DataFrame:
     """(a, b, similarity): pairs a < b with TF-IDF cosine of at least ``least``, copies of a vector with their representative only.
 
-    Candidates meet by key terms. Each vector's candidates are verified together,
-    in bounded blocks, on arrays.
+    Candidates meet by key terms and are bounded by what these bring. Each vector's
+    candidates are verified together, in bounded blocks, on arrays.
     """
     vectors = tables.written(tfidf_vectors(items))
     similar = similar_vectors(vectors, least, digits)
@@ -266,22 +273,55 @@ def tfidf_pairs(items: DataFrame, least: float = P.NEAR_DUPLICATE, digits: int =
     return similar.unionByName(copies.select("a", "b", F.lit(1.0).alias("similarity")))
 
 
+def vector_keys(vectors: DataFrame, least: float) -> DataFrame:
+    """rep, term, weight, upto, after: the rarest terms of each vector, so many that what is left has a norm below ``least``.
+
+    ``upto`` is the norm of what a vector has from the term on, ``after`` of what it
+    has beyond it. Terms that no other vector has are no keys.
+    """
+    def run(batches):
+        for batch in batches:
+            terms, weights, df = (batch.column(c).flatten().to_numpy() for c in (1, 2, 3))
+            offsets = batch.column(1).offsets.to_numpy()
+            who = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            squares = np.append(weights * weights, 0.0)
+            ends = offsets[1:][who] - offsets[0]
+            total = np.concatenate([[0.0], np.cumsum(squares)])
+            left = lambda at: np.sqrt(np.maximum(total[ends] - total[at], 0.0))
+            place = np.arange(len(terms))
+            upto, after = left(place), left(place + 1)
+            key = np.flatnonzero((upto >= least - 1e-9) & (df > 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who[key])), *(pa.array(x[key]) for x in (terms, weights, upto, after))], names=["rep", "term", "weight", "upto", "after"])
+
+    schema = StructType([vectors.schema["rep"], StructField("term", LongType()), *(StructField(c, DoubleType()) for c in ("weight", "upto", "after"))])
+    return vectors.select("rep", "terms", "weights", "df").mapInArrow(run, schema)
+
+
+def candidate_pairs(keys: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of representatives a < b that common keys don't rule out.
+
+    Two vectors meet by a key only if the norms that they have from it on can still
+    reach ``least`` together, which holds for all common keys up to some place in
+    their order. What the common keys bring is added up, and beyond the last of
+    them no more than the product of the norms after it can come; pairs that fall
+    short go. A key of many vectors is dealt over pairs of blocks, so no task holds
+    more than two blocks of one key.
+    """
+    sizes = keys.groupBy("term").agg(F.ceil(F.count("*") / KEY_BLOCK).cast("int").alias("blocks"))
+    placed = keys.join(sizes, "term").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = tables.written(placed.select("term", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "rep", "weight", "upto", "after"))
+    p, q = placed.alias("p"), placed.alias("q")
+    on = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("term", "first", "second")]
+    once = (F.col("p.own") != F.col("q.own")) | (F.col("p.first") == F.col("p.second"))
+    met = p.join(q, on).filter((F.col("p.rep") < F.col("q.rep")) & once & (F.col("p.upto") * F.col("q.upto") >= least - 1e-9))
+    pairs = met.groupBy(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).agg(F.sum(F.col("p.weight") * F.col("q.weight")).alias("common"), F.min(F.col("p.after") * F.col("q.after")).alias("rest"))
+    return pairs.filter(F.col("common") + F.col("rest") >= least - 1e-9).select("a", "b")
+
+
 def similar_vectors(vectors: DataFrame, least: float = P.NEAR_DUPLICATE, digits: int = 9) -> DataFrame:
     """(a, b, similarity) of representatives a < b. vectors: as of ``tfidf_vectors``, written."""
-    # what is left from each term on, of a unit vector, summed from the end
-    squares = F.transform("weights", lambda w: w * w)
-    total = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
-    start = F.struct(total.alias("rest"), F.array().cast("array<bigint>").alias("keys"), F.lit(1).alias("i"))
-
-    def step(acc, square):
-        term, df = F.element_at("terms", acc["i"]), F.element_at("df", acc["i"])
-        use = (acc["rest"] >= least * least - 1e-9) & (df > 1)
-        return F.struct((acc["rest"] - square).alias("rest"), F.when(use, F.array_append(acc["keys"], term)).otherwise(acc["keys"]).alias("keys"), (acc["i"] + 1).alias("i"))
-
-    keys = vectors.select("rep", F.explode(F.aggregate(squares, start, step)["keys"]).alias("term"))
-    keys = tables.written(keys)
-    pairs = keys.alias("p").join(keys.alias("q"), "term").filter(F.col("p.rep") < F.col("q.rep")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct()
-    pairs = tables.written(pairs)
+    pairs = tables.written(candidate_pairs(vector_keys(vectors, least), least))
     own = vectors.select(F.col("rep").alias("a"), F.col("terms").alias("ta"), F.col("weights").alias("wa"))
     other = vectors.select(F.col("rep").alias("b"), F.col("terms").alias("tb"), F.col("weights").alias("wb"))
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_BLOCK).cast("int").alias("blocks"))
