@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -75,6 +76,18 @@ def test_stages(spark, odd, tmp_path):
     assert max(fill.values()) <= 1024 and len(fill) <= 1.2 * np.ceil(tokens / 1024) + 1
 
 
+def test_stages_keep_columns_of_any_name(spark, odd, tmp_path):
+    """Columns named like the stages' own, and one with a dot, come through with their values."""
+    extra = [F.lit(k).alias(c) for k, c in enumerate(("__row_key", "__own", "__starts", "__ends", "__n", "__copies", "row", "key", "key2", "copies", "copy", "own", "blob", "starts", "found_id", "a.b"))]
+    source = odd.filter("doc_id between 20 and 44").select("doc_id", "text", "lang", "source", "n_chars", *extra)
+    docs = source
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == source.columns and docs.count() > 0
+        assert [tuple(r) for r in docs.select(*[F.col(f"`{c}`") for c in source.columns[5:]]).distinct().collect()] == [tuple(range(16))]
+
+
 def test_run_and_empty_tables(spark, odd, tmp_path):
     odd.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id < 12").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0

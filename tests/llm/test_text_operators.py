@@ -172,6 +172,35 @@ def test_ledger_is_incremental(odd, texts):
     assert key(twice) == key(both)
 
 
+def test_a_kept_ledger_is_reopened_in_another_session(spark, odd, texts, tmp_path):
+    """One changed document and one changed rule are all that later sessions scan."""
+    path, whole = f"{tmp_path}/ledger", {t or "" for _, t in texts}
+    assert secrets.open_ledger(spark, path) is None
+    first = secrets.keep_increment(path, odd, "monday")
+    assert first.scanned == [len(whole)]
+    other = spark.newSession()
+    docs = other.createDataFrame(odd.collect(), odd.schema)
+    again = secrets.keep_increment(path, docs, "tuesday")
+    assert again.scanned == [len(whole), 0]
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 1, "new: password = hunter22x").otherwise(F.col("text")))
+    third = secrets.keep_increment(path, changed, "wednesday")
+    assert third.scanned[-1] == 1
+    versions = {r.at: r.blob for r in third.paths.filter("doc_id = 1").collect()}
+    assert versions["monday"] == versions["tuesday"] != versions["wednesday"]
+    newest = {r.doc_id: (r.blob, r.at) for r in secrets.latest_versions(third).collect()}
+    assert newest[1] == (versions["wednesday"], "wednesday") and {at for _, at in newest.values()} == {"wednesday"}
+    rules = secrets.Rules((("pin", r"\bpin \d{4}\b"),))
+    assert rules.version not in (secrets.BASE.version, secrets.Rules((("pin", r"\bpin \d{5}\b"),)).version)
+    more = changed.unionByName(changed.limit(1).withColumn("doc_id", F.lit(5000).cast("long")).withColumn("text", F.lit("my pin 1234 and token=abcdef12")))
+    fourth = secrets.keep_increment(path, more, "thursday", rules)
+    assert fourth.scanned[-1] == more.select(F.coalesce("text", F.lit(""))).distinct().count()  # every blob anew, at the new rules
+    assert secrets.keep_increment(path, more, "friday", rules).scanned[-1] == 0
+    found = [r for r in secrets.findings_by_path(fourth, rules.version).filter("doc_id = 5000").collect()]
+    assert [list(r.kinds) for r in found] == [["pin", "assign"]]
+    base = secrets.findings_by_path(fourth).filter("doc_id = 1").select("blob", "starts").distinct().collect()
+    assert {r.blob for r in base} == set(versions.values())
+
+
 def test_masking(spark, odd):
     masked = secrets.redact_spans(odd, secrets.findings_by_path(secrets.scan_history(odd)))
     assert masked.columns == odd.columns and masked.count() == odd.count()

@@ -210,12 +210,14 @@ def keep_identified(docs: DataFrame, prototypes: dict[str, list[float]], least_s
     """
     langs = sorted(prototypes)
     matrix = np.array([prototypes[x] for x in langs], dtype=np.float32).reshape(len(langs), dimensions)
-    place = docs.columns.index(text_col)
     text_rows(docs)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"))  # columns of any name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.shared(dimensions, seed)
         for batch in batches:
-            yield batch.filter(pa.array([identified(encoder, matrix, t.as_py(), least_score, least_trigrams) for t in batch.column(place)], pa.bool_()))
+            texts = batch.column(0).field(text_col)
+            yield batch.filter(pa.array([identified(encoder, matrix, t.as_py(), least_score, least_trigrams) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = packed.mapInArrow(run, packed.schema)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -48,6 +48,8 @@ REGION_SHARE = 0.6
 PAIRS, CELLS = 60_000, 40_000
 #: Reference pages are broadcast up to so many bytes; beyond, pages and references are joined by host and salt, a salt for so many pages.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of the counts of one voted node.
+NODE_BYTES = 56
 LEAST_SALTS, PAGES_A_SALT = 32, 50_000
 
 # Fixed word lists of HTML and of common class names.
@@ -510,8 +512,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url, host, text, n_chars of every page.
 
     One page a host is the reference. References are few and small as a rule;
-    their total size is measured, and only within a fixed bound are they
-    broadcast, which leaves the pages where they are read.
+    their total size is measured, with the counts of votes once there are any,
+    and only within a fixed bound are they broadcast, which leaves the pages
+    where they are read.
     """
     scratch = Scratch(pages.sparkSession, "wrapper")
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
@@ -523,6 +526,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     references = references.drop("pages")
     wrappers = scratch.save(induce(_with_host(rows, references, salts)))
     hosts = scratch.save(references.join(wrappers, "host", "left"))
+    counted = F.greatest(F.coalesce(F.size("counts"), F.lit(0)), F.lit(0)) * NODE_BYTES
+    measured = hosts.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host") + counted), F.lit(0))).first()[0]
+    salts = 0 if measured <= BROADCAST_BYTES else max(LEAST_SALTS, -(-most // PAGES_A_SALT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _References()
