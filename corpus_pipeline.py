@@ -7,7 +7,8 @@
 5. packing cuts the mixed documents into sequences.
 
 Stages 1 to 4 return the columns of ``documents``; a document that the mix takes
-more than once is that many rows. Every stage works on all rows it is given.
+more than once is that many rows. Every stage works on all rows it is given, and
+columns beyond those of ``documents`` come through with whatever names they have.
 """
 
 from __future__ import annotations
@@ -29,13 +30,19 @@ from vellumspark.llm.secrets import findings_by_path, redact_spans, scan_history
 #: texts have 0.15 at least (a text of one repeated word), random letters of any script 0.08 at the median and up to 0.16.
 LEAST_COSINE = 0.12
 
-#: Name of the key that stands for a row's id and text; two rows are one document only if both are equal.
-ROW = "__row_key"
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """row (all columns, whatever their names), doc_id, text, source, and two hashes of id and text.
 
+    ``key`` brings rows without an id, or with another's, through the operators;
+    rows are one document only if both hashes are equal, 128 bits in all.
+    """
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    return docs.select(row.alias("row"), "doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit(1), "text", "doc_id").alias("key2"))
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """The table with a key of each row's id and text, so that rows without an id, or with another's, take part as well."""
-    return docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``row``."""
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,25 +52,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class; a null id comes last. Rows equal in id and text are one document."""
-    keyed = with_key(docs)
-    classes = jaccard_classes(keyed, id_col=ROW).select(F.col("doc_id").alias("key"), "component_id").distinct()
-    ids = keyed.select(F.col(ROW).alias("key"), "doc_id").distinct()
+    rows = keyed_rows(docs)
+    classes = jaccard_classes(rows, id_col="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = rows.select("key", "doc_id").distinct()
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    kept = ids.join(classes, "key").groupBy("component_id").agg(F.min(place)["key"].alias(ROW)).select(ROW)
-    return keyed.join(kept.hint("shuffle_hash"), ROW).dropDuplicates([ROW]).select(*docs.columns)
+    kept = ids.join(classes, "key").groupBy("component_id").agg(F.min(place)["key"].alias("key")).select("key").distinct()
+    return unpacked(rows.join(kept.hint("shuffle_hash"), "key").dropDuplicates(["key", "key2"]), docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked; n_chars is the masked text's."""
-    return redact_spans(docs, findings_by_path(scan_history(docs))).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    masked = redact_spans(docs, findings_by_path(scan_history(docs)))
+    counted = {"n_chars": F.length("text").cast("long")}
+    return masked.select(*[counted.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, under one id."""
-    keyed = with_key(docs)
-    taken = mix_documents(keyed, id_col=ROW).groupBy(F.col("doc_id").alias(ROW)).agg(F.max("copies").alias("__n"))
-    taken = taken.filter("__n > 0").select(ROW, F.sequence(F.lit(1), "__n").alias("__copies"))
-    return keyed.join(taken.hint("shuffle_hash"), ROW).withColumn("__copy", F.explode("__copies")).select(*docs.columns)
+    rows = keyed_rows(docs)
+    taken = mix_documents(rows, id_col="key").groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").alias("n"))
+    taken = taken.filter("n > 0").select("key", F.sequence(F.lit(1), "n").alias("copies"))
+    return unpacked(rows.join(taken.hint("shuffle_hash"), "key").withColumn("copy", F.explode("copies")), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
