@@ -1,5 +1,7 @@
 """Kept indexes against exact searches."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -102,7 +104,8 @@ def test_sparse_index_equals_the_full_scan(spark, asked, tmp_path, monkeypatch):
 
 def test_indexes_are_kept_and_read_no_text(spark, data):
     items = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    first, second = (sparse_index.SparseIndex.kept(items, "test") for _ in range(2))
+    name = f"test-{uuid.uuid4().hex}"  # the session's shared folder outlives it
+    first, second = (sparse_index.SparseIndex.kept(items, name) for _ in range(2))
     assert first.path == second.path and len(folders.names(spark, f"{first.path}/batches")) == 1
     plan = second.search(spark.createDataFrame([(1, "the")], "qid long, question string"))._jdf.queryExecution().toString()
     assert "documents.parquet" not in plan

@@ -39,6 +39,8 @@ SAMPLE, MOST_CELLS, CODE_BYTES, CODE_VALUES = 100_000, 4096, 8, 256
 RECALL, TRIED, NEIGHBOURS = 0.98, 500, 10
 #: Candidates of a question that are settled on whole vectors; rows of a cell that one task scores.
 POOL, BLOCK = 200, 16_384
+#: Number of the layout on disk; an index of another isn't taken for a kept one.
+FORMAT = 1
 
 
 @dataclass
@@ -143,7 +145,7 @@ class DenseIndex:
     def kept(cls, items: DataFrame, name: str) -> DenseIndex:
         """The index of these files in the session's shared folder, made if there is none yet."""
         spark = items.sparkSession
-        path = f"{tables.shared_dir(items)}/vellum-index-{name}-{folders.fingerprint(items, SAMPLE, MOST_CELLS, CODE_BYTES)}"
+        path = f"{tables.shared_dir(items)}/vellum-index-{name}-{folders.fingerprint(items, FORMAT, SAMPLE, MOST_CELLS, CODE_BYTES)}"
         if not folders.exists(spark, f"{path}/model.json"):
             fresh = f"{path}-{uuid.uuid4().hex}"
             cls.create(spark, fresh, items)

@@ -36,6 +36,8 @@ from .retrieval import top_of
 
 #: Documents in one range, about; folders of terms; postings that a question's first pass reads, about.
 RANGE, FOLDERS, FIRST_POSTINGS = 64, 64, 2048
+#: Number of the layout on disk; an index of another isn't taken for a kept one.
+FORMAT = 2
 
 
 @dataclass
@@ -54,7 +56,7 @@ class SparseIndex:
     def kept(cls, items: DataFrame, name: str) -> SparseIndex:
         """The index of these files in the session's shared folder, made if there is none yet."""
         spark = items.sparkSession
-        path = f"{tables.shared_dir(items)}/vellum-index-{name}-{folders.fingerprint(items, RANGE, FOLDERS)}"
+        path = f"{tables.shared_dir(items)}/vellum-index-{name}-{folders.fingerprint(items, FORMAT, RANGE, FOLDERS)}"
         if not folders.exists(spark, f"{path}/shape.json"):
             fresh = f"{path}-{uuid.uuid4().hex}"
             cls.create(spark, fresh, items)
