@@ -57,7 +57,8 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ids = rows.select("key", "doc_id").distinct()
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     kept = ids.join(classes, "key").groupBy("component_id").agg(F.min(place)["key"].alias("key")).select("key").distinct()
-    return unpacked(rows.join(kept.hint("shuffle_hash"), "key").dropDuplicates(["key", "key2"]), docs.columns)
+    whole = rows.select("row", "key", "key2")  # the text moves in the row alone
+    return unpacked(whole.join(kept.hint("shuffle_hash"), "key").dropDuplicates(["key", "key2"]), docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed_rows(docs)
     taken = mix_documents(rows, id_col="key").groupBy(F.col("doc_id").alias("key")).agg(F.max("copies").alias("n"))
     taken = taken.filter("n > 0").select("key", F.sequence(F.lit(1), "n").alias("copies"))
-    return unpacked(rows.join(taken.hint("shuffle_hash"), "key").withColumn("copy", F.explode("copies")), docs.columns)
+    return unpacked(rows.select("row", "key").join(taken.hint("shuffle_hash"), "key").withColumn("copy", F.explode("copies")), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
