@@ -64,6 +64,8 @@ FIRST_PIVOTS, TRIED_PIVOTS, PIVOT_TOKENS, APART = 256, 1024, 4096, 0.5
 PIVOTS, SALTS = 8, 16
 #: Documents that meet one copy of a pivot's set.
 MEETINGS = 1024
+#: Meetings of shingles with first pivots that a task holds at once; one document's are never parted.
+MET_AT_ONCE = 1_000_000
 #: A split is undone if its cells have more than this share of the pairs that the whole had; so often a cell is split at most.
 PAIRS_LEFT, LEVELS = 0.5, 12
 #: Documents of a block, and shingles of a strip, in block joins.
@@ -334,8 +336,17 @@ def voronoi_regions(candidates: DataFrame, pivots: list[tuple[bytes, int, np.nda
             flat, who = lists.flatten().to_numpy(), np.repeat(np.arange(m), np.diff(lists.offsets.to_numpy()))
             first, last = np.searchsorted(token, flat, "left"), np.searchsorted(token, flat, "right")
             many = last - first
-            at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(flat) else np.zeros(0, np.int64)
-            common = np.bincount(np.repeat(who, many) * max(1, k) + owner[at], minlength=m * max(1, k)).reshape(m, -1)[:, :k]
+            common = np.zeros((m, k), np.int64)
+            met = np.concatenate([[0], np.cumsum(many)])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=m))])  # where each document's shingles end
+            s = 0
+            while s < m:  # so many documents at a time that their meetings with pivots are bounded
+                e = min(m, max(s + 1, int(np.searchsorted(met[ends], met[ends[s]] + MET_AT_ONCE, "right")) - 1))
+                part = slice(ends[s], ends[e])
+                at = np.repeat(first[part] - (met[part] - met[ends[s]]), many[part]) + np.arange(met[ends[e]] - met[ends[s]])
+                place = np.repeat(who[part] - s, many[part]) * max(1, k) + owner[at]
+                common[s:e] = np.bincount(place, minlength=(e - s) * max(1, k)).reshape(e - s, -1)[:, :k]
+                s = e
             union = own[:, None] + sizes[None, :] - common
             distance = 1 - common / np.maximum(union, 1)
             nearest = distance.min(axis=1, initial=1.0)
