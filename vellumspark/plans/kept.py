@@ -186,7 +186,7 @@ QUERIES = {f.__name__: f for f in (entity_overlaps, fabrication_rates, overlap_s
 
 _STEPS = "[" + ", ".join(f"'{s}'" for s in machine.STEPS) + "]"
 _FIGURES = """count(*) as analyses, count(distinct project_id) as {}, round_even(avg(overall_risk_score), 1) as avg_risk,
-      round_even(avg(case when quality_score <> 0 then quality_score end) * 100, 1) as avg_quality, count(*) filter (where flagged) as flagged, count(*) filter (where overall_risk_score > 60) as high_risk"""
+      round_even(cast(sum(case when quality_score <> 0 then cast(quality_score as decimal(18, 6)) end) as double) / nullif(count(*) filter (where quality_score <> 0), 0) * 100, 1) as avg_quality, count(*) filter (where flagged) as flagged, count(*) filter (where overall_risk_score > 60) as high_risk"""
 
 _PLAIN = "regexp_replace({}, '[^\\x00-\\x7F]', '_', 'g')"
 
