@@ -96,6 +96,14 @@ def test_recall_at_production_parameters(spark):
     assert any(len(rows) < 6000 for rows in forest.tree_leaves(x[:6000] @ forest.directions(0, 64), forest.margin(0.93, 64), forest.LEAF))
 
 
+def test_recall_of_groups_beyond_one_task_at_production_parameters(spark):
+    x = near_the_threshold(10_000)  # 20,000 vectors of one label, split over the cluster
+    assert len(x) > forest.GROUP
+    frame = spark.createDataFrame([(i, v.tolist(), "one") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    found = {r.vec_id: r.component_id for r in forest.near_duplicates(frame).collect()}
+    assert sum(found[i + 5000] == i for i in range(5000)) >= 0.99 * 5000
+
+
 def test_a_pair_exactly_at_the_threshold(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [0.93, float(np.sqrt(1 - 0.93**2))], 0), (3, [0.0, 1.0], 0), (4, [1e200, 0.0], 0), (5, [1e-200, 0.0], 0)]
     found = {r.vec_id: r for r in forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
@@ -191,6 +199,42 @@ def test_repeats(odd, none, texts, monkeypatch):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_a_line_of_all_documents_costs_its_bucket_a_mark_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK_DOCS", 50)
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 20_000)
+    line = " ".join(f"licence{i}" for i in range(14))
+    rng = np.random.default_rng(5)
+    noise = lambda: " ".join("".join(w) for w in rng.choice(list("abcdefghij"), (12, 8)))
+    rows = [(i, f"{noise()}\n{line}\n{noise()}" if i % 2 else f"same head\n{line}\nsame tail {noise()}") for i in range(1200)]
+    rows += [rows[7], (2000, rows[8][1]), (None, rows[9][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    marks, chunks = [], 0
+    for r in suffixes.deal_anchors(frame, 16, 100, 50).collect():
+        if r.bucket < 0:
+            chunks += 1
+        else:
+            marks += [(r.bucket, t) for t in suffixes._wide([bytes(r.tokens)]).tolist()]
+    most = max(marks.count(m) for m in set(marks))
+    assert 24 <= chunks < 40 and 4 <= most <= chunks  # and not 1,200
+    expected = brute_repeats([r for r in rows if r[0] is not None])
+    for r in suffixes.remove_repeats(frame).collect():
+        if r.doc_id is None:
+            assert r.n_removed == r.n_bytes
+        else:
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id], r.doc_id
+
+
+def test_equal_runs_of_a_task_are_sent_once(spark):
+    passage = " ".join(f"passage{i}" for i in range(60))
+    texts = spark.createDataFrame([(i, f"{chr(97 + i % 26)}{i} {passage} {i}") for i in range(200)], "first long, text string").coalesce(1)
+    keys = np.unique(suffixes._key(*suffixes._bucket_key(suffixes.window_keys(np.frombuffer(passage.encode(), np.uint8), suffixes._Grams(), 100, 50)[0], 16)[::-1]))
+    dealt = suffixes.deal_runs(texts.selectExpr("unhex(sha2(text, 256)) sha", "first", f"X'{keys.tobytes().hex()}' keys", "text"), 16, 100, 50).collect()
+    sent = sum(len(r.data) for r in dealt if r.bucket >= 0)
+    spans = sum(len(r.starts) // 8 for r in dealt if r.bucket < 0)
+    runs = sum(len(r.starts) // 8 for r in dealt if r.bucket >= 0)
+    assert spans > 10 * 199 and runs < 3 * 200 + 20 and sent < 200 * len(passage)
+
+
 def shingle_set(text, n=5):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()

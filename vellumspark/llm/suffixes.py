@@ -14,9 +14,13 @@ only, and suffixes that could match that far are brought together first:
 1. Anchors. Of each window of ``length`` bytes the least hash of its ``GRAM``-byte
    strings is its key. Equal windows have equal keys, wherever they stand. Key
    hashes are dealt into buckets by value, which return those that occur twice.
+   What occurs twice within a task's chunk of documents is settled there, and one
+   mark of it goes to its bucket: a line of every document costs its bucket one
+   mark a chunk.
 2. Runs. Neighbouring windows with one key form a run. The texts are read again,
-   and each run with a repeated key sends its bytes to its key's bucket. Equal
-   texts are one text here: all rows but the first of an equal text lose all.
+   and each run with a repeated key sends its bytes to its key's bucket. Of equal
+   runs a task sends the earliest it holds; the others are repeats throughout.
+   Equal texts are one text here: all rows but the first of an equal text lose all.
 3. Previous factors. A bucket sorts the suffixes at all window starts, to
    ``length`` bytes, takes the common prefixes of neighbours, finds for each the
    previous and the next smaller position in that order, and from them its
@@ -181,11 +185,20 @@ def _cuts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.int64)
 
 
-ANCHOR_SCHEMA = "bucket int, chunk binary, tokens binary, places binary"
+ANCHOR_SCHEMA = "bucket int, chunk binary, tokens binary, places binary, settled binary, owners binary"
+ANCHOR_KINDS = (pa.int32(), *[pa.binary()] * 5)
+ANCHOR_NAMES = ["bucket", "chunk", "tokens", "places", "settled", "owners"]
+#: Place of an anchor that its chunk has settled; a chunk has fewer documents.
+SETTLED = 0xFFFF
 
 
 def deal_anchors(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Anchor hashes of all documents, packed by chunk and bucket, and a directory of each chunk at a bucket below 0."""
+    """Anchor hashes of all documents, packed by chunk and bucket, and a directory of each chunk at a bucket below 0.
+
+    A hash that occurs once in its chunk goes to its bucket with its document's
+    place; one that occurs more often is repeated wherever else it stands. Its
+    documents are listed with the directory, and its bucket gets one mark.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams()
@@ -199,18 +212,24 @@ def deal_anchors(docs: DataFrame, buckets: int, length: int, gram: int) -> DataF
             chunk = hashlib.blake2b(b"".join(shas), digest_size=16).digest()
             known = np.array([i is not None for i in ids], np.uint8).tobytes()
             numbers = np.array([i or 0 for i in ids], np.int64).tobytes()
-            rows = [(-1 - int.from_bytes(chunk[:4], "little") % buckets, chunk, b"".join(shas), np.array(sizes, np.int64).tobytes() + numbers + known)]
             bucket, token = _bucket_key(np.concatenate(found), buckets)
             place = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
+            whole = (bucket.astype(np.uint64) << np.uint64(40)) | token
+            order = np.argsort(whole, kind="stable")
+            bucket, token, place, whole = (x[order] for x in (bucket, token, place, whole))
+            again = np.concatenate([[False], whole[1:] == whole[:-1], [False]])[: len(whole) + 1]
+            head, many = ~again[:-1], again[1:] | again[:-1]
+            same_place = np.concatenate([[False], place[1:] == place[:-1]])[: len(many)]
+            owner = many & ~(again[:-1] & same_place)
+            rows = [(-1 - int.from_bytes(chunk[:4], "little") % buckets, chunk, b"".join(shas), np.array(sizes, np.int64).tobytes() + numbers + known,
+                     _key(token[owner], bucket[owner]).tobytes(), place[owner].tobytes())]
+            place = np.where(many, np.uint16(SETTLED), place)[head]
+            bucket, token = bucket[head], token[head]
             cuts = _cuts(bucket)
-            narrow = np.ascontiguousarray(token[order]).view(np.uint8).reshape(-1, 8)[:, :5]
-            place = place[order]
+            narrow = np.ascontiguousarray(token).view(np.uint8).reshape(-1, 8)[:, :5]
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                rows.append((int(bucket[x]), chunk, narrow[x:y].tobytes(), place[x:y].tobytes()))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "chunk", "tokens", "places"])
+                rows.append((int(bucket[x]), chunk, narrow[x:y].tobytes(), place[x:y].tobytes(), None, None))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), ANCHOR_KINDS)], names=ANCHOR_NAMES)
 
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1)):
@@ -238,7 +257,7 @@ def _wide(raw: list[bytes]) -> np.ndarray:
 
 
 def keep_repeated(dealt: DataFrame) -> DataFrame:
-    """Of each bucket the anchors whose hash occurs at least twice, once a document; directories pass through."""
+    """Of each bucket the anchors whose hash occurs at least twice, but for marks; directories pass through."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
@@ -254,13 +273,11 @@ def keep_repeated(dealt: DataFrame) -> DataFrame:
             place = np.frombuffer(places, np.uint16)
             part = slice(at, at + len(place))
             at += len(place)
-            own = repeated[part]
+            own = repeated[part] & (place != SETTLED)
             if own.any():
-                pairs = np.unique((place[own].astype(np.uint64) << np.uint64(40)) | tokens[part][own])
-                narrow = np.ascontiguousarray(pairs & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8)[:, :5]
-                out.append((key[0].as_py(), chunk, narrow.tobytes(), (pairs >> np.uint64(40)).astype(np.uint16).tobytes()))
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)], names=["bucket", "chunk", "tokens", "places"])
+                narrow = np.ascontiguousarray(tokens[part][own]).view(np.uint8).reshape(-1, 8)[:, :5]
+                out.append((key[0].as_py(), chunk, narrow.tobytes(), place[own].tobytes(), None, None))
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, ANCHOR_KINDS)], names=ANCHOR_NAMES)
 
     return dealt.groupBy("bucket").applyInArrow(run, ANCHOR_SCHEMA)
 
@@ -294,6 +311,7 @@ def keys_of(repeated: DataFrame) -> DataFrame:
         for r in table.to_pylist():
             if r["bucket"] < 0:
                 shas = _directory(r["tokens"], r["places"])[0]
+                parts.append((np.frombuffer(r["settled"], np.uint64), np.frombuffer(r["owners"], np.uint16)))
             else:
                 parts.append((_key(_wide([r["tokens"]]), r["bucket"]), np.frombuffer(r["places"], np.uint16)))
         out: dict[bytes, bytes] = {}
@@ -311,20 +329,35 @@ def keys_of(repeated: DataFrame) -> DataFrame:
 RUN_SCHEMA = "bucket int, keys binary, shas binary, firsts binary, starts binary, counts binary, data binary"
 
 
+def _position(run: tuple) -> tuple[int, int, int]:
+    """What orders runs: the id, eight bytes of the text's hash, the start."""
+    _, sha, first, start, _ = run
+    return first, int.from_bytes(sha[:8], "little"), start
+
+
 def deal_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    """Runs with repeated keys, packed by bucket. texts: sha, first (id), keys, text."""
+    """Runs with repeated keys, packed by bucket. texts: sha, first (id), keys, text.
+
+    Equal runs of a task are folded to the earliest; the spans of the others
+    (``starts``, and their ends as ``counts``) stand at a bucket below 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = _Grams()
-        held: dict[int, list[list]] = {}
+        held: dict[int, dict[bytes, tuple]] = {}
+        repeats: list[tuple] = []
         size = 0
 
         def emit() -> pa.RecordBatch:
             rows = []
             for b, r in held.items():
-                columns = list(zip(*r))
+                columns = list(zip(*r.values()))
                 rows.append((b, np.array(columns[0], np.uint64).tobytes(), b"".join(columns[1]), np.array(columns[2], np.int64).tobytes(),
-                             np.array(columns[3], np.int64).tobytes(), np.array(columns[4], np.int64).tobytes(), b"".join(columns[5])))
+                             np.array(columns[3], np.int64).tobytes(), np.array(columns[4], np.int64).tobytes(), b"".join(r)))
+            if repeats:
+                sha, start, end = zip(*repeats)
+                rows.append((-1 - int.from_bytes(sha[0][:4], "little") % buckets, None, b"".join(sha), None,
+                             np.array(start, np.int64).tobytes(), np.array(end, np.int64).tobytes(), None))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6))],
                                               names=["bucket", "keys", "shas", "firsts", "starts", "counts", "data"])
 
@@ -342,11 +375,18 @@ def deal_runs(texts: DataFrame, buckets: int, length: int, gram: int) -> DataFra
                     for i in np.flatnonzero(wanted[place] == key).tolist():
                         s, e = int(cuts[i]), int(cuts[i + 1])
                         part = raw[at + s : at + e - 1 + length]
-                        held.setdefault(int(bucket[i]), []).append((int(key[i]), sha, first, at + s, e - s, part))
-                        size += len(part) + 72
+                        new = (int(key[i]), sha, first, at + s, e - s)
+                        runs = held.setdefault(int(bucket[i]), {})
+                        old = runs.setdefault(part, new)
+                        if old is new:
+                            size += len(part) + 72
+                        elif _position(old) != _position(new):  # equal positions: one row read twice
+                            runs[part], later = sorted((old, new), key=_position)
+                            repeats.append((later[1], later[3], later[3] + len(part)))
+                            size += 48
                     if size >= CHUNK_BYTES:
                         yield emit()
-                        held, size = {}, 0
+                        held, repeats, size = {}, [], 0
         if held:
             yield emit()
 
@@ -385,11 +425,31 @@ def previous_factors(starts: np.ndarray, data: np.ndarray, position: tuple[np.nd
     return out
 
 
+def _by_text(sha_raw: np.ndarray, of: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Table:
+    """The union of each text's spans: sha, starts, ends. Span i is one of the text ``sha_raw[of[i]]``."""
+    if not len(of):
+        return pa.table([pa.array([], pa.binary())] * 3, names=["sha", "starts", "ends"])
+    names, place = np.unique(sha_raw, axis=0, return_inverse=True)
+    text = place.ravel()[of]
+    order = np.lexsort((s, text))
+    text, s, e = text[order], s[order], e[order]
+    reach = np.maximum.accumulate(e + text * (1 << 40)) - text * (1 << 40)  # a text is far shorter than that
+    heads = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (s[1:] > reach[:-1])]))
+    tails = np.concatenate([heads[1:], [len(s)]]) - 1
+    text, s, e = text[heads], s[heads], reach[tails]
+    cuts = _cuts(text)
+    out = [(names[text[x]].tobytes(), s[x:y].tobytes(), e[x:y].tobytes()) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return pa.table([pa.array(c, pa.binary()) for c in zip(*out)], names=["sha", "starts", "ends"])
+
+
 def find_repeats(runs: DataFrame, length: int) -> DataFrame:
     """sha, starts, ends (64-bit, packed) of repeated stretches, one row a text and bucket."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         column = lambda c: b"".join(table.column(c).to_pylist())
+        if group[0].as_py() < 0:  # spans that tasks have settled
+            s, e = (np.frombuffer(column(c), np.int64) for c in ("starts", "counts"))
+            return _by_text(np.frombuffer(column("shas"), np.uint8).reshape(-1, 32), np.arange(len(s)), s, e)
         key, first, start, count = (np.frombuffer(column(c), k) for c, k in (("keys", np.uint64), ("firsts", np.int64), ("starts", np.int64), ("counts", np.int64)))
         sha_raw = np.frombuffer(column("shas"), np.uint8).reshape(-1, 32)
         sha = np.ascontiguousarray(sha_raw[:, :8]).view("<u8").ravel()
@@ -427,21 +487,7 @@ def find_repeats(runs: DataFrame, length: int) -> DataFrame:
             spans_start.append((start[owner] + shift)[hit])
             spans_end.append((start[owner] + shift)[hit] + length)
         of, s, e = (np.concatenate(x) for x in (spans_of, spans_start, spans_end))
-        if not len(of):
-            return pa.table([pa.array([], pa.binary())] * 3, names=["sha", "starts", "ends"])
-        # by text: runs of one text are those of one sha
-        names, place = np.unique(sha_raw, axis=0, return_inverse=True)
-        text = place.ravel()[of]
-        order = np.lexsort((s, text))
-        text, s, e = text[order], s[order], e[order]
-        reach = np.maximum.accumulate(e + text * (1 << 40)) - text * (1 << 40)  # a text is far shorter than that
-        new = np.concatenate([[True], (text[1:] != text[:-1]) | (s[1:] > reach[:-1])])
-        heads = np.flatnonzero(new)
-        tails = np.concatenate([heads[1:], [len(s)]]) - 1
-        text, s, e = text[heads], s[heads], reach[tails]
-        cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]]))
-        out = [(names[text[x]].tobytes(), s[x:y].tobytes(), e[x:y].tobytes()) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return pa.table([pa.array(c, pa.binary()) for c in zip(*out)], names=["sha", "starts", "ends"])
+        return _by_text(sha_raw, of, s, e)
 
     return runs.groupBy("bucket").applyInArrow(run, "sha binary, starts binary, ends binary")
 
