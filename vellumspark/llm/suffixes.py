@@ -206,6 +206,7 @@ def deal_anchors(docs: DataFrame, buckets: int, length: int, gram: int) -> DataF
         ids: list = []
         shas: list[bytes] = []
         sizes: list[int] = []
+        met: set[bytes] = set()  # equal texts are one text: a chunk's copies have no anchors of their own
         held = 0
 
         def emit() -> pa.RecordBatch:
@@ -221,8 +222,10 @@ def deal_anchors(docs: DataFrame, buckets: int, length: int, gram: int) -> DataF
             head, many = ~again[:-1], again[1:] | again[:-1]
             same_place = np.concatenate([[False], place[1:] == place[:-1]])[: len(many)]
             owner = many & ~(again[:-1] & same_place)
+            settled = _key(token[owner], bucket[owner])
+            cuts = _cuts(settled)
             rows = [(-1 - int.from_bytes(chunk[:4], "little") % buckets, chunk, b"".join(shas), np.array(sizes, np.int64).tobytes() + numbers + known,
-                     _key(token[owner], bucket[owner]).tobytes(), place[owner].tobytes())]
+                     settled[cuts[:-1]].tobytes(), np.diff(cuts).astype(np.uint32).tobytes() + place[owner].tobytes())]
             place = np.where(many, np.uint16(SETTLED), place)[head]
             bucket, token = bucket[head], token[head]
             cuts = _cuts(bucket)
@@ -234,15 +237,17 @@ def deal_anchors(docs: DataFrame, buckets: int, length: int, gram: int) -> DataF
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1)):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                own = [window_keys(data, grams, length, gram)[1] for _, data in slices(raw, length)]
+                sha = hashlib.sha256(raw).digest()
+                own = [window_keys(data, grams, length, gram)[1] for _, data in slices(raw, length)] if sha not in met else []
                 found.append(np.concatenate(own) if own else np.zeros(0, np.uint64))
                 ids.append(key.as_py())
-                shas.append(hashlib.sha256(raw).digest())
+                shas.append(sha)
+                met.add(sha)
                 sizes.append(len(raw))
                 held += len(found[-1])
                 if held >= CHUNK_ANCHORS or len(found) >= CHUNK_DOCS:
                     yield emit()
-                    found, ids, shas, sizes, held = [], [], [], [], 0
+                    found, ids, shas, sizes, met, held = [], [], [], [], set(), 0
         if found:
             yield emit()
 
@@ -311,7 +316,9 @@ def keys_of(repeated: DataFrame) -> DataFrame:
         for r in table.to_pylist():
             if r["bucket"] < 0:
                 shas = _directory(r["tokens"], r["places"])[0]
-                parts.append((np.frombuffer(r["settled"], np.uint64), np.frombuffer(r["owners"], np.uint16)))
+                keys = np.frombuffer(r["settled"], np.uint64)
+                times = np.frombuffer(r["owners"], np.uint32, len(keys))
+                parts.append((np.repeat(keys, times), np.frombuffer(r["owners"], np.uint16, -1, 4 * len(keys))))
             else:
                 parts.append((_key(_wide([r["tokens"]]), r["bucket"]), np.frombuffer(r["places"], np.uint16)))
         out: dict[bytes, bytes] = {}
