@@ -1,5 +1,6 @@
 """Versioned points, merging figures, streams, ranks, ordered digests and documents read in order."""
 
+import datetime
 import hashlib
 import json
 import random
@@ -199,6 +200,20 @@ def test_stuck_jobs_and_unknown_steps(spark, tmp_path):
     assert of[3, "Chunking"] == of[3, "Embedding"] == ("completed", "completed", 0, False) and of[4, "Parsing"] == ("completed", "running", 0, False)
 
 
+def test_jobs_are_aggregated_before_they_meet_and_late_events_count(spark, tmp_path):
+    """An event behind the latest by more than the lateness changes its job; no row passes through Python."""
+    schema = "job_id long, seq long, ts timestamp, step string, status string"
+    day = lambda d: datetime.datetime(2024, 1, d)
+    batches = [[(1, 1, day(1), "Parsing", "running"), (2, 2, day(20), None, "running")], [(1, 3, day(2), "Parsing", "failed"), (1, 4, day(2), None, "completed")]]
+    for k in range(2):
+        spark.createDataFrame(batches[k], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        machine.run_jobs(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
+        events = spark.createDataFrame([r for b in batches[: k + 1] for r in b], schema)
+        assert job_rows(machine.latest_states(machine.sent(spark, f"{tmp_path}/out"))) == job_rows(machine.job_batch(events))
+    plan = machine.job_stream(spark.read.parquet(f"{tmp_path}/in"))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "TransformWithState" not in plan
+
+
 @pytest.mark.parametrize("bins,few", [(4096, 20_000), (3, 2)])
 def test_values_at_ranks(spark, monkeypatch, bins, few):
     monkeypatch.setattr(ranks, "BINS", bins)
