@@ -1,5 +1,6 @@
 """Kept indexes against exact searches."""
 
+import random
 import uuid
 
 import numpy as np
@@ -111,3 +112,21 @@ def test_indexes_are_kept_and_read_no_text(spark, data):
     assert "documents.parquet" not in plan
     folders.write_text(spark, f"{first.path}/blocks/batch=torn", "")  # a batch that isn't listed is never read
     assert second.blocks().count() == first.blocks().count()
+
+
+def test_bm25_of_sent_questions_equals_the_join(spark, monkeypatch):
+    """Few questions are scored within tasks, without a row for each question and item; ties, repeated words, texts without words and ids of strings included."""
+    rng = random.Random(5)
+    words = [a + b for a in ("lease", "term", "court", "law") for b in ("abc", "def", "ghi", "jkl", "mno")]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(120)] + ["leaseabc leaseabc", "leaseabc leaseabc", "", None, "12 ab"]
+    items = spark.createDataFrame([(f"d{k:03}", t) for k, t in enumerate(texts)], "id string, text string").repartition(3)
+    questions = spark.createDataFrame([(k, " ".join(rng.choices(words, k=3))) for k in range(7)] + [(7, "leaseabc unknown"), (8, "zzz"), (9, None)], "qid long, question string")
+    found = []
+    for cells, scores in ((retrieval.SENT_CELLS, retrieval.SCORE_CELLS), (retrieval.SENT_CELLS, 1), (0, 1)):
+        monkeypatch.setattr(retrieval, "SENT_CELLS", cells)
+        monkeypatch.setattr(retrieval, "SCORE_CELLS", scores)
+        top = retrieval.bm25_top(questions, items, 3, digits=4)
+        assert ("MapInArrow" in top._jdf.queryExecution().executedPlan().toString()) == (cells > 0)
+        found.append({tuple(r) for r in top.select("qid", "id", "score", "rank").collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 24
+    assert retrieval.bm25_top(questions.filter("qid = 9"), items, 3).count() == 0
