@@ -1,6 +1,7 @@
 """Kept indexes against exact searches."""
 
 import random
+import re
 import uuid
 
 import numpy as np
@@ -130,3 +131,14 @@ def test_bm25_of_sent_questions_equals_the_join(spark, monkeypatch):
         found.append({tuple(r) for r in top.select("qid", "id", "score", "rank").collect()})
     assert found[0] == found[1] == found[2] and len(found[0]) == 24
     assert retrieval.bm25_top(questions.filter("qid = 9"), items, 3).count() == 0
+
+
+def test_what_grows_with_the_index_is_not_broadcast(spark, tmp_path):
+    """However small its tables look as Parquet, postings and their items are joined by merging."""
+    items = spark.createDataFrame([(k, f"lease court {'abc' * (k % 3 + 1)}") for k in range(30)], "id long, text string")
+    index = sparse_index.SparseIndex.create(spark, f"{tmp_path}/index", items)
+    top = index.search(spark.createDataFrame([(1, "lease abc"), (2, "court")], "qid long, question string"), 3, digits=4)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    for keys in (r"term#\d+, range#\d+", r"term#\d+, range#\d+, id#\d+L"):
+        assert re.search(rf"SortMergeJoin \[{keys}\]", plan) and not re.search(rf"BroadcastHashJoin \[{keys}\]", plan)
+    assert top.count() == 6

@@ -112,17 +112,19 @@ class SparseIndex:
         idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         terms = tables.written(terms.select("term", "df", idf.alias("idf"), (idf * F.col("top")).alias("bound")))
         own = tables.written(asked.select("qid", "term").join(terms, "term"))
+        posted = blocks.select("term", "range", "postings").join(asked.select("term").distinct(), "term", "left_semi")  # what is shuffled from here on has asked terms only
+        # What grows with the index is small as Parquet and many times that as a broadcast table, so joins of it are merged.
 
         def weights(needed: DataFrame, on: list[str]) -> DataFrame:
             """term, range, id, weight of the postings in the needed blocks."""
-            posted = blocks.join(needed.select(on).distinct(), on, "left_semi").select("term", "range", F.explode("postings").alias("p")).join(terms.select("term", "idf"), "term")
-            return posted.select("term", "range", "p.id", (F.col("idf") * saturation(F.col("p.tf"), F.col("p.length"))).alias("weight"))
+            read = posted.join(needed.select(on).distinct().hint("merge"), on, "left_semi").select("term", "range", F.explode("postings").alias("p")).join(terms.select("term", "idf"), "term")
+            return read.select("term", "range", "p.id", (F.col("idf") * saturation(F.col("p.tf"), F.col("p.length"))).alias("weight"))
 
         def whole(items: DataFrame) -> DataFrame:
             """qid, id, score: all terms of the items' questions."""
             placed = items.select("qid", "id").withColumn("range", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
             each = tables.written(placed.join(own.select("qid", "term"), "qid"))
-            found = each.join(weights(each, ["term", "range"]), ["term", "range", "id"])
+            found = each.join(weights(each, ["term", "range"]).hint("merge"), ["term", "range", "id"])
             return found.groupBy("qid", "id").agg(F.round(F.sum("weight"), digits).alias("score"))
 
         heaviest = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "term").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,9 +136,9 @@ class SparseIndex:
         bounds = tables.written(parted.join(heads, "term").select("qid", "term", "range", "light", "least", (F.col("idf") * heads["top"]).alias("bound")))
         spread = bounds.groupBy("qid", "range").agg(F.sum("bound").alias("all"), F.sum(F.when(F.col("light"), F.col("bound")).otherwise(0.0)).alias("rest"), F.first("least").alias("least"))
         open_ranges = tables.written(spread.filter(F.col("least").isNull() | (F.col("all") >= F.col("least"))).select("qid", "range", "rest", "least"))
-        read = tables.written(bounds.filter(~F.col("light")).join(open_ranges, ["qid", "range"], "left_semi").select("qid", "term", "range"))
-        partial = read.join(weights(read, ["term", "range"]), ["term", "range"]).groupBy("qid", "range", "id").agg(F.sum("weight").alias("partial"))
-        reaching = partial.join(open_ranges, ["qid", "range"]).filter(F.col("least").isNull() | (F.col("partial") + F.col("rest") >= F.col("least")))
+        read = tables.written(bounds.filter(~F.col("light")).join(open_ranges.hint("merge"), ["qid", "range"], "left_semi").select("qid", "term", "range"))
+        partial = read.join(weights(read, ["term", "range"]).hint("merge"), ["term", "range"]).groupBy("qid", "range", "id").agg(F.sum("weight").alias("partial"))
+        reaching = partial.join(open_ranges.hint("merge"), ["qid", "range"]).filter(F.col("least").isNull() | (F.col("partial") + F.col("rest") >= F.col("least")))
         return {"hits": top_of(whole(tables.written(reaching.select("qid", "id"))), k), "asked": bounds.select("qid", "term", "range", "bound"), "read": read}
 
 
