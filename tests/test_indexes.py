@@ -142,3 +142,22 @@ def test_what_grows_with_the_index_is_not_broadcast(spark, tmp_path):
     for keys in (r"term#\d+, range#\d+", r"term#\d+, range#\d+, id#\d+L"):
         assert re.search(rf"SortMergeJoin \[{keys}\]", plan) and not re.search(rf"BroadcastHashJoin \[{keys}\]", plan)
     assert top.count() == 6
+
+
+def test_vectors_are_sent_once_to_a_pair_of_blocks(spark, monkeypatch):
+    """Small blocks and parts of them find the pairs that all cosines give; ids of strings."""
+    rng = random.Random(3)
+    words = [a + b for a in "abcdefgh" for b in "pqrstuv"]
+    texts = [rng.choices(words, k=30) for _ in range(12)]
+    texts = [" ".join(t[: 30 - k]) for t in texts for k in range(5)]
+    items = spark.createDataFrame([(f"d{k:02}", t) for k, t in enumerate(texts)], "id string, text string")
+    rows = {r.rep: dict(zip(r.terms, r.weights)) for r in retrieval.tfidf_vectors(items).collect()}
+    alike = {(a, b): round(sum(w * rows[b].get(t, 0.0) for t, w in rows[a].items()), 6) for a in rows for b in rows if a < b}
+    wanted = {p: s for p, s in alike.items() if s >= 0.85}
+    for block, pairs, at_once in ((16_384, 2_000_000, 4096), (7, 5, 2)):
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", block)
+        monkeypatch.setattr(retrieval, "VERIFY_PAIRS", pairs)
+        monkeypatch.setattr(retrieval, "VERIFY_BLOCK", at_once)
+        found = {(r.a, r.b): r.similarity for r in retrieval.tfidf_pairs(items, 0.85, 6).collect()}
+        assert found.keys() == wanted.keys() and len(found) > 20
+        assert all(abs(found[p] - s) < 2e-6 for p, s in wanted.items())
