@@ -161,3 +161,20 @@ def test_vectors_are_sent_once_to_a_pair_of_blocks(spark, monkeypatch):
         found = {(r.a, r.b): r.similarity for r in retrieval.tfidf_pairs(items, 0.85, 6).collect()}
         assert found.keys() == wanted.keys() and len(found) > 20
         assert all(abs(found[p] - s) < 2e-6 for p, s in wanted.items())
+
+
+def test_similar_vectors_move_neither_candidates_nor_vectors(spark, monkeypatch):
+    """Blocks are read from their files by every task; terms of one item aren't kept; rows of one id are one item; copies are left to their representative."""
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 4)
+    monkeypatch.setattr(retrieval, "MET_CELLS", 6)
+    texts = ["a court heard the lease dispute today", "a court heard the lease dispute today", "a court heard the lease dispute then", "quite other words stand here alone", "", None]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10 + k, f"only{k} word{k} in{k} this{k}") for k in range(9)] + [(30, "a court heard the"), (30, "lease dispute today")]
+    items = spark.createDataFrame(rows, "id long, text string")
+    packed = retrieval.packed_vectors(items)
+    assert {(r.rep, r.id) for r in packed.members.collect() if r.rep != r.id} == {(0, 1), (0, 30)}
+    found = retrieval.similar_vectors(packed, 0.7, 6)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert [(r.a, r.b) for r in found.collect()] == [(0, 2)]
+    vectors = {r.rep: r.terms for r in retrieval.tfidf_vectors(items).collect()}
+    assert len(vectors[0]) == 6 and len(vectors[2]) == 5 and not vectors[3] and not any(vectors[10 + k] for k in range(9)) and 4 not in vectors
