@@ -178,3 +178,19 @@ def test_similar_vectors_move_neither_candidates_nor_vectors(spark, monkeypatch)
     assert [(r.a, r.b) for r in found.collect()] == [(0, 2)]
     vectors = {r.rep: r.terms for r in retrieval.tfidf_vectors(items).collect()}
     assert len(vectors[0]) == 6 and len(vectors[2]) == 5 and not vectors[3] and not any(vectors[10 + k] for k in range(9)) and 4 not in vectors
+
+
+def test_parts_send_on_the_best_of_all_their_cells(spark, embedded, tmp_path, monkeypatch):
+    """What is ranked is a question's best of each part, in tasks whose number grows with it; small parts and steps change nothing."""
+    items, questions = embedded
+    index = dense_index.DenseIndex.create(spark, f"{tmp_path}/dense", items)
+    found = []
+    for parts, cells, ranked in ((1, 8_000_000, 500_000), (5, 300, 40)):
+        monkeypatch.setattr(dense_index, "PARTS", parts)
+        monkeypatch.setattr(dense_index, "SCORE_CELLS", cells)
+        monkeypatch.setattr(dense_index, "RANKED", ranked)
+        top = index.candidates(questions, 12)
+        assert "salt" not in top._jdf.queryExecution().executedPlan().toString()
+        assert top.rdd.getNumPartitions() == max(parts, -(-questions.count() * parts * 12 // ranked))
+        found.append(sorted((r.qid, r.id, round(r.score, 9)) for r in top.collect()))
+    assert found[0] == found[1] and len(found[0]) == 12 * questions.count()

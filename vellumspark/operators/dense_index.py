@@ -26,7 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
@@ -39,6 +40,8 @@ SAMPLE, MOST_CELLS, CODE_BYTES, CODE_VALUES = 100_000, 4096, 8, 256
 RECALL, TRIED, NEIGHBOURS = 0.98, 500, 10
 #: Candidates of a question that are settled on whole vectors; rows of a cell that one task scores.
 POOL, BLOCK = 200, 16_384
+#: Parts that cells are dealt over at least, rows of a part about; scores that a part holds at once; candidates that one task ranks.
+PARTS, PART_ROWS, SCORE_CELLS, RANKED = 16, 262_144, 8_000_000, 500_000
 #: Number of the layout on disk; an index of another isn't taken for a kept one.
 FORMAT = 1
 
@@ -199,35 +202,56 @@ class DenseIndex:
         return questions.select("qid", "qvec").mapInArrow(run, schema)
 
     def candidates(self, questions: DataFrame, pool: int = POOL, probes: int | None = None) -> DataFrame:
-        """qid, id, cell, score: the best of the visited cells by their codes."""
+        """qid, id, cell, score: the best of the visited cells by their codes.
+
+        Cells, and blocks of crowded ones, are dealt over parts. A part sends on a
+        question's best of all its cells, not of each, so what is ranked grows with
+        the questions and parts, however many cells there are.
+        """
         model, visits = self.model(), tables.written(self.visits(questions, probes))
         cells = sorted(r["cell"] for r in visits.select("cell").distinct().collect())  # MOST_CELLS at most
         coded = self.rows().filter(F.col("cell").isin(cells)).select("id", "code", "cell")
-        blocks = tables.written(coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # a row a cell
-        blocks = F.broadcast(blocks)
-        dealt = coded.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "code")
-        asked = visits.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qid", "qunit")
+        blocks = tables.written(coded.groupBy("cell").agg(F.count("*").alias("rows"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # a row a cell
+        parts = max(PARTS, -(-(blocks.agg(F.sum("rows")).first()[0] or 0) // PART_ROWS))
+        part = F.pmod(F.xxhash64("cell", "block"), F.lit(parts)).cast("int").alias("part")
+        placed = blocks.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("cell", part).distinct()
+        dealt = coded.join(F.broadcast(blocks), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "code").select(part, "cell", "id", "code")
+        asked = visits.join(F.broadcast(placed), "cell").groupBy("part", "qid").agg(F.first("qunit").alias("qunit"), F.collect_list("cell").alias("cells"))
         schema = StructType([questions.schema["qid"], coded.schema["id"], StructField("cell", IntegerType()), StructField("score", DoubleType())])
 
-        def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-            left = left.sort_by("id")
-            codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, len(model.books))
-            who, what, scores = [], [], []
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            left, right = left.sort_by("id").combine_chunks(), right.combine_chunks()
+            who, what, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            own = left.column("cell").to_numpy()
             if left.num_rows and right.num_rows:
-                questions = np.array(right.column("qunit").to_pylist(), np.float64).reshape(right.num_rows, -1)
-                for part in np.array_split(np.arange(right.num_rows), -(-right.num_rows // 256)):
-                    s = model.scores(questions[part], key[0].as_py(), codes)
-                    best = np.argsort(-s, axis=1, kind="stable")[:, :pool]
-                    who.append(np.repeat(part, best.shape[1]))
-                    what.append(best.ravel())
-                    scores.append(np.take_along_axis(s, best, axis=1).ravel())
-            flat = lambda found, kind: np.concatenate(found) if found else np.array([], kind)
-            who, what, scores = flat(who, np.int64), flat(what, np.int64), flat(scores, np.float64)
-            return pa.table({"qid": right.column("qid").take(pa.array(who)), "id": left.column("id").take(pa.array(what)),
-                             "cell": pa.array(np.full(len(who), key[0].as_py() or 0, np.int32)), "score": pa.array(scores)})
-
-        scored = dealt.groupBy("cell", "block").cogroup(asked.groupBy("cell", "block")).applyInArrow(run, schema)
-        return top_of(scored, pool).select("qid", "id", "cell", "score")
+                codes = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(left.num_rows, len(model.books))
+                units = right.column("qunit").combine_chunks().flatten().to_numpy().reshape(right.num_rows, -1)
+                lists = right.column("cells").combine_chunks()
+                visitor, visited = np.repeat(np.arange(right.num_rows), pc.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+                members = {c: np.flatnonzero(own == c) for c in np.unique(own).tolist()}
+                step = max(1, min(256, SCORE_CELLS // left.num_rows))
+                for start in range(0, right.num_rows, step):
+                    s = np.full((min(step, right.num_rows - start), left.num_rows), -np.inf)
+                    span = slice(*np.searchsorted(visitor, [start, start + len(s)]))
+                    for c, rows in members.items():
+                        asking = np.unique(visitor[span][visited[span] == c])
+                        if len(asking):
+                            s[np.ix_(asking - start, rows)] = model.scores(units[asking], c, codes[rows])
+                    for q, row in enumerate(s, start):
+                        least = np.partition(row, -pool)[-pool] if len(row) > pool else -np.inf
+                        near = np.flatnonzero((row >= least) & (row > -np.inf))
+                        near = near[np.argsort(-row[near], kind="stable")[:pool]]  # ids decide ties
+                        who.append(np.full(len(near), q))
+                        what.append(near)
+                        scores.append(row[near])
+            who, what = np.concatenate(who), np.concatenate(what)
+            return pa.table({"qid": right.column("qid").take(pa.array(who)), "id": left.column("id").take(pa.array(what)), "cell": pa.array(own[what].astype(np.int32)), "score": pa.array(np.concatenate(scores))})
+
+        scored = dealt.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, schema)
+        spread = max(PARTS, -(-questions.count() * parts * pool // RANKED))
+        order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "id")
+        best = scored.repartition(spread, "qid").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pool)
+        return best.select("qid", "id", "cell", "score")
 
     def search(self, questions: DataFrame, k: int = 10, digits: int = 9, pool: int = POOL, probes: int | None = None) -> DataFrame:
         """qid, id, score, rank of about the k best items of each question (qid, qvec), with their exact cosines."""
