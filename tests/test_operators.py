@@ -292,3 +292,16 @@ def test_files_in_order(spark, tmp_path):
         (tmp_path / f"{1 - k}.jsonl").write_text(f'{{"messages": [], "metadata": {{"n": "{k}"}}}}\n')
     found = readers.json_lines_in_order(spark, [str(tmp_path / "1.jsonl"), str(tmp_path / "0.jsonl")]).orderBy("source_no").collect()
     assert [(r.source_no, r.metadata["n"]) for r in found] == [(0, "0"), (1, "1")]
+
+
+def test_chunks_are_sent_on_in_bounded_steps(spark, monkeypatch):
+    """However few characters a task splits at once, a text's chunks keep their places; nulls and blank texts give none."""
+    rows = [(1, "one. two"), (2, None), (3, " "), (4, "x" * 2500), (5, "five"), (6, "six words stand here")]
+    docs = spark.createDataFrame([(k, 7, t) for k, t in rows], "doc_id long, page_number int, text string").coalesce(1)
+    found = []
+    for chars in (1, 20, 1 << 22):
+        monkeypatch.setattr(chunking, "SPLIT_CHARS", chars)
+        chunks = chunking.chunk_single_pages(docs)
+        assert "ArrowEvalPython" not in chunks._jdf.queryExecution().executedPlan().toString()
+        found.append([tuple(r) for r in chunks.collect()])
+    assert found[0] == found[1] == found[2] and [(d, i, p, len(t)) for d, i, p, t in found[0]] == [("1", 0, 7, 8), ("4", 0, 7, 1024), ("4", 1, 7, 1024), ("4", 2, 7, 452), ("5", 0, 7, 4), ("6", 0, 7, 20)]

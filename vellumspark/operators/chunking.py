@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import params as P
 from ..functions import contract_text as C
@@ -54,10 +52,8 @@ def split_text(text: str, size: int = P.CHUNK_SIZE, separators: tuple[str, ...]
     return pieces
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_column(texts: pd.Series) -> pd.Series:
-    """Stripped, non-empty pieces of each text."""
-    return texts.map(lambda t: [p.strip() for p in split_text(t or "") if p.strip()])
+#: Characters of texts that a task splits before it sends their chunks on.
+SPLIT_CHARS = 1 << 22
 
 
 class PageChunker:
@@ -130,9 +126,32 @@ def chunk_pages(pages: DataFrame, size: int = P.CHUNK_SIZE, overlap: int = P.CHU
 
 
 def chunk_single_pages(pages: DataFrame) -> DataFrame:
-    """CHUNK_SCHEMA for documents of one page each, as ``chunk_pages`` gives it, where the pages are read."""
-    each = pages.select(F.col("doc_id").cast("string"), F.posexplode(split_column(F.col("text"))).alias("chunk_index", "text"), F.col("page_number").cast("int"))
-    return each.select("doc_id", "chunk_index", "page_number", "text")
+    """CHUNK_SCHEMA for documents of one page each, as ``chunk_pages`` gives it, where the pages are read.
+
+    A task holds the rows that Spark sends it at once, and of these the strings and
+    chunks of ``SPLIT_CHARS`` characters and one text.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, pieces, held = [], [], [], 0
+
+            def sent() -> pa.RecordBatch:
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(places, pa.int32()), batch.column(1).take(at), pa.array(pieces, pa.string())], names=["doc_id", "chunk_index", "page_number", "text"])
+
+            for row, text in enumerate(batch.column(2)):
+                text = text.as_py() or ""
+                kept = [p.strip() for p in split_text(text) if p.strip()]
+                rows += [row] * len(kept)
+                places += range(len(kept))
+                pieces += kept
+                held += len(text)
+                if held >= SPLIT_CHARS:
+                    yield sent()
+                    rows, places, pieces, held = [], [], [], 0
+            yield sent()
+
+    return pages.select(F.col("doc_id").cast("string"), F.col("page_number").cast("int"), "text").mapInArrow(run, CHUNK_SCHEMA)
 
 
 def paragraph_pages(paragraphs: DataFrame, a_page: int = 40) -> DataFrame:
