@@ -305,3 +305,15 @@ def test_chunks_are_sent_on_in_bounded_steps(spark, monkeypatch):
         assert "ArrowEvalPython" not in chunks._jdf.queryExecution().executedPlan().toString()
         found.append([tuple(r) for r in chunks.collect()])
     assert found[0] == found[1] == found[2] and [(d, i, p, len(t)) for d, i, p, t in found[0]] == [("1", 0, 7, 8), ("4", 0, 7, 1024), ("4", 1, 7, 1024), ("4", 2, 7, 452), ("5", 0, 7, 4), ("6", 0, 7, 20)]
+
+
+def test_values_of_a_spread_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    values = spark.createDataFrame([(i,) for i in range(1, 21)], "v int").mapInArrow(run, "v int")
+    assert tuple(evaluate.spread(values, "v").first()) == (10.5, 6, 16, 20) and seen.value == 20

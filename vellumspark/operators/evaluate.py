@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import params as P
 from ..functions.contract_text import normal_type, words3
-from . import ranks
+from . import ranks, tables
 
 
 def ratio(a: Column, b: Column, digits: int = 6) -> Column:
@@ -175,6 +175,7 @@ def breakdown(results: DataFrame, by: Column, name: str) -> DataFrame:
 
 def spread(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.25, 0.75, 0.95)) -> DataFrame:
     """Mean and values at int(n * share) of the sorted values (25, 75 and 95 percent); nulls are left out."""
+    rows = tables.written(rows.select(value))  # each pass over the values would compute them anew
     sums = ranks.numbers(rows, value).agg(F.count("v").alias("n"), F.round(F.sum("v") / F.nullif(F.count("v"), F.lit(0)), 6).cast("double").alias("mean")).first()
     found = ranks.values_at(rows, value, [min(int(sums["n"] * s), sums["n"] - 1) for s in shares])
     schema = StructType([StructField("mean", DoubleType()), *(StructField(f"p{int(s * 100)}", rows.schema[value].dataType) for s in shares)])
