@@ -180,6 +180,34 @@ def test_similar_vectors_move_neither_candidates_nor_vectors(spark, monkeypatch)
     assert len(vectors[0]) == 6 and len(vectors[2]) == 5 and not vectors[3] and not any(vectors[10 + k] for k in range(9)) and 4 not in vectors
 
 
+def test_outlines_leave_few_pairs_to_multiply(spark, monkeypatch):
+    """Long texts of the same common words are told apart by short outlines of any length and in any chunks; no pair is lost."""
+    rng = random.Random(5)
+    words = [a + b + c for a in "abcdefgh" for b in "pqrstuv" for c in "klmnoijxyz"]
+    texts = [rng.choices(words, [1 / (k + 20) for k in range(len(words))], k=rng.choice((40, 150, 700, 1500))) for _ in range(150)]
+    texts += [t[: len(t) - len(t) // 10] for t in texts[:20]]
+    packed = retrieval.packed_vectors(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "id long, text string"))
+    table = packed.blocks.toArrow()
+    block = retrieval._Block({c: table.column(c)[0] for c in table.schema.names}, packed.frequencies)
+    assert table.num_rows == 1 and block.n == len(texts) and (np.diff(block.sizes) >= 0).all()
+    whole = np.zeros((block.n, packed.frequencies.terms))
+    whole[np.repeat(np.arange(block.n), block.sizes), block.numbers] = block.weights
+    alike = {(a, b) for a, b in np.argwhere(np.triu(whole @ whole.T, 1) >= 0.85).tolist()}
+    assert len(alike) >= 20
+    for shortest, longest, cells in ((128, 8192, 2_000_000), (4, 64, 700), (1, 8, 1)):
+        monkeypatch.setattr(retrieval, "OUTLINE", shortest)
+        monkeypatch.setattr(retrieval, "LONGEST_OUTLINE", longest)
+        monkeypatch.setattr(retrieval, "MET_CELLS", cells)
+        met = [(int(min(p)), int(max(p))) for a, b in retrieval._candidates(block, block, 0.85) for p in zip(a, b) if p[0] != p[1]]
+        apart = [(int(p), int(q)) for a, b in retrieval._candidates(block, retrieval._Block({c: table.column(c)[0] for c in table.schema.names}, packed.frequencies), 0.85) for p, q in zip(a, b)]
+        assert len(apart) == len(set(apart)) and {(min(p), max(p)) for p in apart if p[0] != p[1]} == set(met) >= alike
+        if cells > 700:
+            assert len(set(met)) < 1.5 * len(alike)  # keys of the rarest terms let 11,427 of 14,365 pass
+    found = {(r.a, r.b) for r in retrieval.similar_vectors(packed, 0.85).collect()}
+    reps = table.column("reps")[0].as_py()
+    assert found == {(min(reps[a], reps[b]), max(reps[a], reps[b])) for a, b in alike}
+
+
 def test_parts_send_on_the_best_of_all_their_cells(spark, embedded, tmp_path, monkeypatch):
     """What is ranked is a question's best of each part, in tasks whose number grows with it; small parts and steps change nothing."""
     items, questions = embedded
