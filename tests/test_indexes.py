@@ -208,6 +208,20 @@ def test_outlines_leave_few_pairs_to_multiply(spark, monkeypatch):
     assert found == {(min(reps[a], reps[b]), max(reps[a], reps[b])) for a, b in alike}
 
 
+def test_every_two_blocks_meet_once_and_evenly(spark):
+    p, q = (spark.range(9).withColumnRenamed("id", c) for c in "pq")
+    met = [(r.p, r.q) for r in p.crossJoin(q).filter(retrieval._once(F.col("p"), F.col("q"))).collect()]
+    assert sorted((min(m), max(m)) for m in met) == [(a, b) for a in range(9) for b in range(a, 9)]
+    assert {sum(m[0] == k for m in met) for k in range(9)} == {5}  # p <= q gave 1 to 9
+
+
+def test_similar_vectors_without_common_terms(spark):
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, ""), (4, None)], "id long, text string")
+    for some in (items, items.limit(0)):
+        assert retrieval.tfidf_pairs(some).count() == 0
+        assert all(r.kept for r in retrieval.near_duplicates_removed(some.withColumn("gold", F.lit(False))).collect())
+
+
 def test_parts_send_on_the_best_of_all_their_cells(spark, embedded, tmp_path, monkeypatch):
     """What is ranked is a question's best of each part, in tasks whose number grows with it; small parts and steps change nothing."""
     items, questions = embedded
